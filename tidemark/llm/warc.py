@@ -1,12 +1,12 @@
 r"""A writer and reader of Zstandard-compressed WARC archives with an embedded dictionary.
 
 Each archive opens with a skippable frame (magic 0x184D2A5D) that holds a dictionary built from the archive's own records, up to
-``SAMPLE_BYTES`` of them; each record follows as a frame of its own, compressed with that dictionary. Records are dealt to archives by a
-hash of their id, so the first records of an archive are a fair sample of it.
+``SAMPLE_BYTES`` of them; each record follows as a frame of its own, compressed with that dictionary. Records are dealt to archives by
+their payload's digest, so the first records of an archive are a fair sample of it.
 
 Spark writes the archives itself, so they reach any store that it reaches, and a lost executor's archive is written anew by its commit
-protocol: a row is a run of whole frames, and the line separator of the text writer is an empty skippable frame, which every
-Zstandard reader passes over. (The files are named part-*.txt; they are .warc.zst files.)
+protocol: a row is an archive and a file, and the line separator that the text writer ends it with is an empty skippable frame, which
+every Zstandard reader passes over. (The files are named part-*.txt; they are .warc.zst files.)
 
 Of records with equal payloads of at least ``least`` bytes that with the smallest page_id is a response, the others are
 revisits of it; rows that repeat that page_id are responses too. Null html is an empty payload; a null url has no target
@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import math
 import re
 from collections.abc import Iterator
 
@@ -33,7 +32,6 @@ from .texts import table
 DICTIONARY_MAGIC, SKIPPABLE, FRAME = 0x184D2A5D, 0x184D2A50, 0xFD2FB528
 EMPTY_FRAME = "P*M\x18\x00\x00\x00\x00"  # a skippable frame of no bytes
 ARCHIVE_BYTES, SAMPLE_BYTES, DICTIONARY_BYTES, LEVEL = 32 << 20, 2 << 20, 64 << 10, 3
-ROW_BYTES = 1 << 20
 DATE = "2024-01-01T00:00:00Z"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _HEADER = re.compile(rb"([^:\r\n]+): *([^\r\n]*)\r\n")
@@ -134,37 +132,52 @@ def parsed(data: bytes) -> tuple[dict[str, str], dict[str, str], bytes]:
     return head, {k.decode().lower(): v.decode() for k, v in _HEADER.findall(block[block.index(b"\r\n") + 2 : cut])}, block[cut:]
 
 
+def archives_of(records: Iterator[tuple[int, bytes]], archive_bytes: int) -> Iterator[bytes]:
+    """Whole archives from (payload bytes, record) pairs; each one ends with the record that reaches ``archive_bytes`` of payload."""
+    ended = False
+    while not ended:
+
+        def one() -> Iterator[bytes]:
+            nonlocal ended
+            size = 0
+            while size < archive_bytes:
+                found = next(records, None)
+                if found is None:
+                    ended = True
+                    return
+                size += found[0]
+                yield found[1]
+
+        if archive := b"".join(frames(one())):
+            yield archive
+
+
 def write_archives(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES, least: int = 0) -> None:
-    """Writes ``pages`` (page_id, url, html) to archives of about ``archive_bytes`` of payload each under ``path``."""
+    """Writes ``pages`` (page_id, url, html) to archives of at most about ``archive_bytes`` of payload each under ``path``.
+
+    Payloads are shuffled once, for the join with the groups of equal payloads; Spark can split the partition of a group with very many
+    copies there, as nothing after it needs a group's rows together.
+    """
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select("page_id", "url", payload.alias("payload")).select("*", F.octet_length("payload").cast("long").alias("size"), F.sha1("payload").alias("sha1"))
     brief = materialise(rows.select("page_id", "size", "sha1"))
-    archives = max(1, math.ceil((brief.agg(F.sum("size")).first()[0] or 0) / archive_bytes))
-    copies = brief.where(F.col("size") >= least).groupBy("sha1", "size").agg(F.count(F.lit(1)).alias("n"), F.min("page_id").alias("first")).where("n > 1").select("sha1", F.col("size").alias("_size"), "first")
-    joined = rows.join(copies, "sha1", "left").drop("_size")
+    copies = brief.where(F.col("size") >= least).groupBy("sha1").agg(F.count(F.lit(1)).alias("n"), F.min("page_id").alias("first")).where("n > 1").select("sha1", "first")
     refers = F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
-    placed = joined.select("page_id", "url", "size", "sha1", refers.alias("refers_to"), F.when(refers.isNull(), F.col("payload")).alias("payload"), F.pmod(F.xxhash64("page_id", "url"), F.lit(archives)).alias("archive"))
+    placed = rows.join(copies, "sha1", "left").select("page_id", "url", "size", "sha1", refers.alias("refers_to"), F.when(refers.isNull(), F.col("payload")).alias("payload"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def records() -> Iterator[bytes]:
+        def records() -> Iterator[tuple[int, bytes]]:
             for b in batches:
                 for page_id, url, size, sha1, refers_to, body in zip(*(b.column(i) for i in range(6)), strict=True):
                     b32 = base64.b32encode(bytes.fromhex(sha1.as_py())).decode()
-                    yield record(page_id.as_py(), url.as_py(), body.as_py() or b"", b32, size.as_py(), refers_to.as_py())
-
-        held, size = [], 0
-        for f in frames(records()):
-            held.append(f)
-            size += len(f)
-            if size >= ROW_BYTES:
-                yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], names=["frames"])
-                held, size = [], 0
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], names=["frames"])
-
-    dealt = placed.repartition(archives, "archive").sortWithinPartitions("archive", "page_id", "url").drop("archive")
-    packed = dealt.mapInArrow(pack, "frames binary")
-    packed.select(F.col("frames").cast("string").alias("value")).write.option("lineSep", EMPTY_FRAME).text(path)
+                    content = body.as_py() or b""
+                    yield len(content), record(page_id.as_py(), url.as_py(), content, b32, size.as_py(), refers_to.as_py())
+
+        for archive in archives_of(records(), archive_bytes):
+            yield pa.RecordBatch.from_arrays([pa.array([archive], pa.binary())], names=["archive"])
+
+    packed = placed.mapInArrow(pack, "archive binary").select(F.col("archive").cast("string").alias("value"))
+    packed.write.option("lineSep", EMPTY_FRAME).option("maxRecordsPerFile", 1).text(path)
 
 
 def read_archives(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
