@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import bars
+from . import bars, indicators
 
 FLAGSHIP = "bars_hourly"
-_MODULES = [bars]
+_MODULES = [bars, indicators]
 
 
 def queries() -> dict:
