@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import bars, indicators
+from . import bars, indicators, logs, quality, valuation
 
 FLAGSHIP = "bars_hourly"
-_MODULES = [bars, indicators]
+_MODULES = [bars, indicators, valuation, quality, logs]
 
 
 def queries() -> dict:
