@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import bars, indicators, logs, quality, valuation
+from . import bars, fundamentals, identity, indicators, logs, news, quality, streams, valuation
 
 FLAGSHIP = "bars_hourly"
-_MODULES = [bars, indicators, valuation, quality, logs]
+_MODULES = [bars, indicators, valuation, quality, logs, identity, news, fundamentals, streams]
 
 
 def queries() -> dict:

@@ -10,6 +10,13 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tick_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``events`` as a stream of ticks."""
+    schema = read(spark, sf_dir, "events").schema
+    e = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")
+    return e.select("event_id", F.col("event_type").alias("asset"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("price"), F.get_json_object("props", "$.k").try_cast("bigint").alias("volume"))
+
+
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """event_id, asset, ts, price, volume: a tick for each row of ``events``."""
     e = read(spark, sf_dir, "events")
