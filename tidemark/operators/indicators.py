@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions.numbers import steady
 
@@ -292,9 +293,7 @@ def _recursive(bars: DataFrame, loops: list[tuple[Indicator, dict]]) -> DataFram
             added = pd.DataFrame(columns, index=f.index).astype("float64")
             yield pd.concat([f[known], added.astype(object).where(added.notna(), None)], axis=1)
 
-    schema = bars.schema
-    for n in names:
-        schema = schema.add(n, "double")
+    schema = T.StructType([*bars.schema, *(T.StructField(n, T.DoubleType()) for n in names)])
     return bars.repartition("asset").sortWithinPartitions("asset", "ts").mapInPandas(run, schema)
 
 

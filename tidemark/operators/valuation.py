@@ -76,6 +76,11 @@ def _present(base: str, growth: str, rate: str, last: str) -> str:
     return f"({base}) * ({sums} + power((1 + {growth}) / (1 + {rate}), {YEARS}) * (1 + {last}) / nullif({rate} - {last}, 0))"
 
 
+def _floored(value: str) -> str:
+    """A value a share: not below 0, and null where it isn't known (``greatest`` passes nulls over)."""
+    return steady_sql(f"case when {value} is not null then greatest({value}, 0e0) end", 2)
+
+
 def fcf_steps(terminal: float = 0.025, growth: float | None = None) -> Steps:
     own = f"coalesce({_cagr('fcf', 0.2)}, {_cagr('rev', 0.2)}, 0.04e0)" if growth is None else f"{growth}e0"
     return [
@@ -83,7 +88,7 @@ def fcf_steps(terminal: float = 0.025, growth: float | None = None) -> Steps:
         ("fcf_growth", own),
         ("fcf_last", f"least({terminal}e0, wacc - 0.005e0)"),
         ("fcf_equity", _present("fcf_start", "fcf_growth", "wacc", "fcf_last") + " - (coalesce(total_debt_now, 0) - coalesce(cash_now, 0))"),
-        ("fcf_value", steady_sql("greatest(fcf_equity / nullif(shares, 0), 0)", 2)),
+        ("fcf_value", _floored("fcf_equity / nullif(shares, 0)")),
     ]
 
 
@@ -99,7 +104,7 @@ def eps_steps(terminal: float = 0.025, growth: float | None = None) -> Steps:
     for t in range(1, YEARS + 1):
         steps.append((f"eps_{t}", f"eps_{t - 1} * (1 + eps_growth * {1 - t / YEARS!r}e0 + eps_last * {t / YEARS!r}e0)"))
     paid = " + ".join(f"eps_{t} / power(1 + ke, {t})" for t in range(1, YEARS + 1))
-    return [*steps, ("eps_value", steady_sql(f"greatest({paid} + eps_{YEARS} * multiple / power(1 + ke, {YEARS}), 0)", 2))]
+    return [*steps, ("eps_value", _floored(f"{paid} + eps_{YEARS} * multiple / power(1 + ke, {YEARS})"))]
 
 
 def ddm_steps(terminal: float = 0.02, growth: float | None = None) -> Steps:
@@ -113,7 +118,7 @@ def ddm_steps(terminal: float = 0.02, growth: float | None = None) -> Steps:
         ("ddm_start", f"coalesce({', '.join(base)})"),
         ("ddm_growth", own),
         ("ddm_last", f"least({terminal}e0, ke - 0.005e0)"),
-        ("ddm_value", steady_sql(f"greatest({_present('ddm_start', 'ddm_growth', 'ke', 'ddm_last')}, 0)", 2)),
+        ("ddm_value", _floored(_present("ddm_start", "ddm_growth", "ke", "ddm_last"))),
         ("ddm_status", "case when ddm_start is null then 'no dividend' else 'ok' end"),
     ]
 
@@ -150,5 +155,5 @@ def sensitivity(company: DataFrame, rates: list[float], growths: list[float]) ->
 def sensitivity_steps() -> Steps:
     return [
         ("used", "least(growth, rate - 0.005e0)"),
-        ("value", steady_sql("greatest((" + _present("fcf_start", "fcf_growth", "rate", "used") + " - (coalesce(total_debt_now, 0) - coalesce(cash_now, 0))) / nullif(shares, 0), 0)", 2)),
+        ("value", _floored("(" + _present("fcf_start", "fcf_growth", "rate", "used") + " - (coalesce(total_debt_now, 0) - coalesce(cash_now, 0))) / nullif(shares, 0)")),
     ]
