@@ -261,3 +261,39 @@ def test_upserts_and_sources(spark):
     assert rows(bars.upsert(old, new, ["k"], ["v"])) == [("a", 1, "x"), ("b", 9, "y"), ("c", 3, None)]
     assert rows(bars.insert_absent(old, new, ["k"])) == [("a", 1, "x"), ("b", 2, "y"), ("c", 3, None)]
     assert rows(bars.first_source(old, new, keys=["k"])) == [("a", 1, "x"), ("b", 2, "y"), ("c", 3, None)]
+
+
+def test_members_of_an_index():
+    from tidemark.sources.pages import rows_of
+
+    page = '<table class="wikitable" id="constituents"><tr><th>Symbol</th><th>Security</th></tr><tr><td>MMM[1]</td><td><a>3M</a> Co.</td></tr><tr><td></td><td></td></tr></table><table class="wikitable"><tr><th>X</th></tr></table>'
+    assert rows_of(page, "constituents") == rows_of(page) == [{"Symbol": "MMM", "Security": "3M Co."}]
+    assert rows_of("<p>none</p>") == [] and rows_of(None) == []
+
+
+def test_feeds_filings_and_mappings(spark):
+    from tidemark.sources import pages
+
+    make = lambda *rows, schema: spark.createDataFrame(list(rows), schema)
+    feed = '{"subCards":[{"title":"A headline","url":"http://x/1","publishedDateTime":"2026-05-01T10:00:00Z","provider":"P"},{"headline":"no address"}]}'
+    got = pages.feed_articles(make((feed,), schema="json string"), "msn").collect()
+    assert [(r.title, r.url, r.source, r.published_at) for r in got] == [("A headline", "http://x/1", "P", dt.datetime(2026, 5, 1, 10))]
+    subs = '{"filings":{"recent":{"form":["4","10-K","4"],"filingDate":["2026-04-14","2026-01-01","2026-04-12"],"accessionNumber":["a","b","c"]}}}'
+    assert [(r.cik, r.accession) for r in pages.insider_filings(make((320193, subs), schema="cik int, json string"), 1).collect()] == [("0000320193", "a")]
+    batch = '[{"data":[{"figi":"F1","ticker":"AAPL","exchCode":"US"}]},{"error":"No identifier found."}]'
+    assert [tuple(r) for r in pages.identifier_mappings(make((["I1", "I2"], batch), schema="isins array<string>, json string")).collect()] == [("I1", "F1", "AAPL", "US")]
+    fund = '{"ter":"0,20 %","fundSize":"85,42 Mrd. EUR","currency":"USD","holdings":[{"name":"A","percentage":"4,87 %"}]}'
+    r = pages.fund_profile(make(("k", fund), schema="key string, json string")).first()
+    assert r.ter == pytest.approx(0.002) and r["size"] == pytest.approx(85.42e9) and r.holdings[0].weight == pytest.approx(0.0487)
+
+
+def test_records_are_written(spark, tmp_path):
+    from tidemark.operators import search
+
+    b = spark.createDataFrame([("a", START, 1.0, 2.0, 0.5, 1.5, 10)], BAR).withColumn("adj_close", F.lit(None).cast("double"))
+    search.write_records(search.eod_records(b), str(tmp_path / "csv"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "csv")).first()["date"] == "01-01-2024"
+    search.write_bars(b, str(tmp_path / "bars"))
+    assert spark.read.parquet(str(tmp_path / "bars")).where("month = '2024-01'").count() == 1
+    with pytest.raises(ValueError):
+        search.checked_ticker("a b")

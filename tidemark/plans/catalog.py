@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import bars, fundamentals, identity, indicators, logs, news, quality, streams, valuation
+from . import bars, fundamentals, identity, indicators, logs, news, quality, search, streams, valuation
 
 FLAGSHIP = "bars_hourly"
-_MODULES = [bars, indicators, valuation, quality, logs, identity, news, fundamentals, streams]
+_MODULES = [bars, indicators, valuation, quality, logs, identity, news, fundamentals, search, streams]
 
 
 def queries() -> dict:
