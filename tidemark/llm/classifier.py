@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 from .texts import WHITESPACE, alnum_words, blank_words, map_texts, table
 
-BUCKETS, FACTORS, MAX_TRAIN, EPOCHS, BATCH = 1 << 15, 8, 6000, 12, 128
-RATE, DECAY, SEED, THRESHOLD = 0.1, 1e-5, 7, 0.3
+BUCKETS, FACTORS, MAX_TRAIN, EPOCHS, BATCH = 1 << 15, 8, 6000, 8, 128
+RATE, DECAY, SEED, THRESHOLD = 0.3, 1e-5, 7, 0.3
 _STEPS = 16
 _UPPER, _DIGITS, _SYMBOLS, _STOPS = bytes(range(65, 91)), bytes(range(48, 58)), b"#*$%&|<>", b".,;:!?"
 STATISTICS = ["words", "word length", "upper", "digits", "symbols", "stops", "other words", "repeated lines", "line length", "beyond ascii", "first words", "n_chars"]
