@@ -9,10 +9,10 @@ from tidemark.functions.numbers import falsy
 from tidemark.functions.web import suffix
 
 from .bars import first_source, gap_ranges, history_range, normalise, ranked, upsert
-from .identity import ISIN_SHAPE
+from .identity import ISIN_SHAPE, PRIMARY_CURRENCIES
 
 #: Exchange: its code in quote addresses of one service. Fixed values.
-QUOTE_CODES = {"XPAR": "EPA", "XAMS": "AMS", "XBRU": "EBR", "XETR": "ETR", "XFRA": "FRA", "XLON": "LON", "XMIL": "BIT", "XMAD": "BME", "XSWX": "SWX"}
+QUOTE_CODES = {"XPAR": "EPA", "XAMS": "AMS", "XBRU": "EBR", "XETR": "ETR", "XLON": "LON", "XMIL": "BIT", "XMAD": "BME", "XSTO": "STO", "XHEL": "HEL", "XSWX": "SWX", "NYSE": "NYSE", "NASDAQ": "NASDAQ"}
 EUROPEAN = [".PA", ".AS", ".BR", ".DE", ".F", ".L", ".MI", ".MC", ".ST", ".HE", ".SW"]
 
 
@@ -56,6 +56,12 @@ def quote_address(ticker: Column, exchange: Column) -> Column:
     return F.concat(F.lit("https://www.google.com/finance/quote/"), F.substring_index(ticker, ".", 1), F.lit(":"), code)
 
 
+def yahoo_address(ticker: Column, currency: Column) -> Column:
+    """Address of a page on another service; null where a ticker without suffix could be of several euro exchanges."""
+    known = ticker.contains(".") | currency.isin(PRIMARY_CURRENCIES)
+    return F.when(known, F.concat(F.lit("https://finance.yahoo.com/quote/"), ticker))
+
+
 def compatible_provider(provider: Column, ticker: Column, european: list[str]) -> Column:
     """False where a provider knows only European instruments and the ticker is none."""
     return ~(provider.isin(european) & ~suffix(ticker).isin(EUROPEAN))
