@@ -297,3 +297,30 @@ def test_records_are_written(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "bars")).where("month = '2024-01'").count() == 1
     with pytest.raises(ValueError):
         search.checked_ticker("a b")
+
+
+def test_pieces_of_texts(spark):
+    from tidemark.functions import names
+
+    assert one(spark, "Société Générale ☃", names.without_accents) == "Societe Generale "
+    assert one(spark, "a1 b2 c3", lambda c: names.every_group(c, "([a-z])([0-9])", 2)) == ["a", "1", "b", "2", "c", "3"] and one(spark, "none", lambda c: names.every_group(c, "([0-9])", 1)) == []
+    assert one(spark, "id=[x7] end", lambda c: names.between(c, "[", "]")) == "x7" and one(spark, "nothing", lambda c: names.between(c, "[", "]")) is None
+
+
+def test_ticker_news(spark):
+    at = lambda h: dt.datetime(2026, 5, 1, h)
+    rows = [("T", 0, "Apple beats estimates in Q2", "http://x/1", "en", at(9)), ("T", 1, "Apple beats estimates in Q2", "http://x/1?utm_source=a", "en", at(10)), ("T", 2, "Apple beats the estimates in Q2", "http://x/2", None, at(11)), ("T", 3, "Gold rises", "http://x/3", "fr", at(12)), ("T", 4, "Oil falls sharply", "http://x/4", "en", None)]
+    df = spark.createDataFrame(rows, "ticker string, ordinal int, title string, url string, language string, published_at timestamp")
+    assert [r.ordinal for r in news.ticker_news(df, ["ticker"], "en", 5).orderBy(F.col("published_at").desc_nulls_last()).collect()] == [2, 4]
+
+
+def test_ingest(spark):
+    from tidemark.operators import assets
+
+    day = lambda n: dt.datetime(2024, 1, n)
+    stored = spark.createDataFrame([("a", day(1), 1.0, 1.0, 1.0, 1.0, 1), ("b", day(9), 1.0, 1.0, 1.0, 1.0, 1)], BAR)
+    first = spark.createDataFrame([("a", day(1), 2.0, 2.0, 2.0, 2.0, 2, 0), ("a", day(5), 2.0, 2.0, 2.0, 2.0, 2, 1)], BAR + ", ordinal int")
+    second = spark.createDataFrame([("a", day(6), 3.0, 3.0, 3.0, 3.0, 3, 0), ("c", day(6), 3.0, None, 3.0, 3.0, 3, 1), ("b", day(10), 3.0, 3.0, 3.0, 3.0, 3, 2)], BAR + ", ordinal int")
+    bars_after, log = assets.ingest(stored, first, second, "2024-01-10")
+    assert sorted((r.asset, r.ts.day, r.close) for r in bars_after.collect()) == [("a", 1, 1.0), ("a", 5, 2.0), ("b", 9, 1.0)]
+    assert {r.asset: (r.status, r.n) for r in log.collect()} == {"a": ("success", 1), "b": ("up_to_date", 0), "c": ("failed", 0)}

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.numbers import finite
+
 from .bars import ranked
 
 #: Statement line: column. Of lines for the same column the first with a value counts. Fixed values.
@@ -36,6 +38,38 @@ def merged(rows: DataFrame, key: str, priority: str, columns: list[str]) -> Data
     return rows.groupBy(key).agg(*(F.min_by(c, F.when(F.col(c).isNotNull(), F.col(priority))).alias(c) for c in columns))
 
 
+#: Column of the highlights: key of a provider's info document. Fixed values.
+HIGHLIGHTS = {
+    "market_cap": "marketCap", "enterprise_value": "enterpriseValue", "pe_ratio": "trailingPE", "pe_forward": "forwardPE", "pb_ratio": "priceToBook", "ps_ratio": "priceToSalesTrailing12Months", "peg_ratio": "pegRatio",
+    "ev_ebitda": "enterpriseToEbitda", "ev_revenue": "enterpriseToRevenue", "roe": "returnOnEquity", "roa": "returnOnAssets", "roic": "returnOnCapital", "net_margin": "profitMargins", "operating_margin": "operatingMargins",
+    "gross_margin": "grossMargins", "eps_trailing": "trailingEps", "eps_forward": "forwardEps", "book_value_per_share": "bookValue", "revenue_per_share": "revenuePerShare", "dividend_yield": "dividendYield",
+    "dividend_rate": "dividendRate", "payout_ratio": "payoutRatio", "beta": "beta", "week_52_high": "fiftyTwoWeekHigh", "week_52_low": "fiftyTwoWeekLow", "ma_50": "fiftyDayAverage", "ma_200": "twoHundredDayAverage",
+    "shares_outstanding": "sharesOutstanding", "float_shares": "floatShares", "pct_insiders": "heldPercentInsiders", "pct_institutions": "heldPercentInstitutions", "shares_short": "sharesShort",
+    "shares_short_prior": "sharesShortPriorMonth", "short_ratio": "shortRatio", "short_percent_float": "shortPercentOfFloat", "gross_profit_ttm": "grossProfits", "quarterly_revenue_growth_yoy": "revenueGrowth",
+    "quarterly_earnings_growth_yoy": "earningsGrowth", "revenue_ttm": "totalRevenue", "ebitda_ttm": "ebitda",
+}
+WHOLE = ["shares_outstanding", "float_shares", "shares_short", "shares_short_prior"]
+
+
+def highlights(documents: DataFrame) -> DataFrame:
+    """asset_id and HIGHLIGHTS from info documents (asset_id, json); what is no finite number is null."""
+    info = F.from_json("json", "map<string,string>")
+    number = lambda key: finite(F.try_element_at("_info", F.lit(key)).try_cast("double"))
+    rows = documents.select("asset_id", info.alias("_info"))
+    return rows.select("asset_id", *((number(k).try_cast("bigint") if c in WHOLE else number(k)).alias(c) for c, k in HIGHLIGHTS.items()))
+
+
+def sections(companies: DataFrame, statement_rows: DataFrame, earnings: DataFrame, latest_statements: int = 5, latest_earnings: int = 10) -> DataFrame:
+    """asset_id, highlights (a struct), statements and earnings (arrays, newest first): what a page of a company shows, in one row."""
+    def newest(rows: DataFrame, name: str, n: int) -> DataFrame:
+        kept = ranked(rows, ["asset_id"], [F.desc("period")], n)
+        entry = F.struct("period", *(c for c in rows.columns if c not in ("asset_id", "period")))
+        return kept.groupBy("asset_id").agg(F.sort_array(F.collect_list(entry), asc=False).alias(name))
+
+    head = companies.select("asset_id", F.struct(*(c for c in companies.columns if c != "asset_id")).alias("highlights"))
+    return head.join(newest(statement_rows, "statements", latest_statements), "asset_id", "left").join(newest(earnings, "earnings", latest_earnings), "asset_id", "left")
+
+
 def consensus_label(votes: dict[str, str]) -> object:
     """The label with the most votes, by column; the first of ``votes`` wins a tie, and none has a label without votes."""
     best = F.greatest(*(F.coalesce(F.col(c), F.lit(0)) for c in votes))

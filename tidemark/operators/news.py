@@ -64,6 +64,14 @@ def in_language(language: str) -> Column:
     return F.col("language").isNull() | (F.col("language") == language)
 
 
+def ticker_news(articles: DataFrame, group: list[str], language: str | None = None, n: int = 20) -> DataFrame:
+    """What is told for each ticker and fetch: the language is chosen first, then repeated addresses and near-equal titles go, then the newest ``n`` stay."""
+    out = articles if language is None else articles.where(in_language(language))
+    keyed = out.withColumn("url_key", canonical_url("url"))
+    once = ranked(keyed, [*group, "url_key"], [F.col("ordinal")]).drop("url_key")
+    return ranked(title_dedup(once, group), group, [F.col("published_at").desc_nulls_last(), F.col("ordinal")], n)
+
+
 def counts(articles: DataFrame) -> DataFrame:
     """kind, name, n, latest by provider and by language."""
     both = [articles.groupBy(F.lit(k).alias("kind"), F.col(k).alias("name")).agg(F.count(F.lit(1)).alias("n"), F.max("published_at").alias("latest")) for k in ("provider", "language")]

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions import dates, numbers
+from tidemark.functions import dates, names, numbers
 from tidemark.functions.numbers import steady, steady_sql
 from tidemark.operators import fundamentals as op
 from tidemark.sources.adapters import intraday_bars, read, ticks
 
 from .bars import HOURLY
+from .identity import _rows
 
 PERIODS = [str(y) for y in range(1995, 2002)]
 AS_OF = "2024-01-30 23:00:00"
@@ -47,6 +48,21 @@ def _document(spark: SparkSession, d: str) -> DataFrame:
     return op.document(companies, op.statements(lines(spark, d)).select("asset_id", "period", "revenue", "net_income", "cash_and_equivalents"))
 
 
+def _sections(spark: SparkSession, d: str) -> DataFrame:
+    companies = read(spark, d, "customer").select(F.col("c_custkey").alias("asset_id"), F.col("c_acctbal").alias("balance"), F.col("c_name").alias("name"))
+    s = op.statements(lines(spark, d))
+    return op.sections(companies, s.select("asset_id", "period", "revenue", "net_income"), s.select("asset_id", "period", (F.col("revenue") / 1e4).alias("eps")))
+
+
+INFOS = """
+select c_custkey as asset_id, chr(123) || '"trailingPE": ' || case when c_custkey % 3 = 0 then '"n/a"' else cast(c_custkey % 50 as varchar) || '.5' end || ', "sharesOutstanding": ' || cast(c_custkey * 1000 as varchar) || ', "beta": "NaN"' || chr(125) as json from customer
+"""
+NAMES = """
+select c_custkey as id, case when c_custkey % 3 = 0 then 'Foo Limited, Bar Inc.' else 'Baz Corp.' end as name, case c_custkey % 4 when 0 then 'HKSE' when 1 then 'NASDAQGS' when 2 then 'LSE main' else 'Madrid' end as market,
+  case when c_custkey % 2 = 0 then 'A:B' || cast(c_custkey as varchar) else 'AB' end as pair, 'http://example.com/c/x' || cast(c_custkey as varchar) || case when c_custkey % 5 = 0 then '/' else '' end as url from customer
+"""
+_infos, _names = _rows(INFOS), _rows(NAMES)
+
 TEXTS = """
 select o_orderkey as id, replace(cast(round(o_totalprice, 2) as varchar), '.', ',') || ' €' as french, cast(o_orderkey % 1000 as varchar) || '.5' || case o_orderkey % 5 when 0 then 'B' when 1 then 'M' when 2 then 'T' when 3 then 'K' else '' end as magnitude,
   case o_orderkey % 4 when 0 then 'N/A' when 1 then '-' else cast(o_orderkey % 97 as varchar) || ',25 %' end as share, cast(o_orderkey % 900 as varchar) || ',5 ' || case o_orderkey % 3 when 0 then 'Mrd. EUR' when 1 then 'Mio. EUR' else 'EUR' end as amount,
@@ -75,6 +91,20 @@ QUERIES = {
         f"with p as ({PROVIDERS}) select ticker, arg_min(price, priority) filter (where price is not null) as price, arg_min(status, priority) filter (where status is not null) as status from p group by 1",
     ),
     "deep_document": (_document, None),
+    "company_sections": (
+        lambda spark, d: _sections(spark, d).select("asset_id", F.col("highlights.balance").alias("balance"), F.coalesce(F.size("statements"), F.lit(0)).cast("bigint").alias("n_statements"), F.get("statements", 0)["period"].alias("newest"), steady(F.get("earnings", 0)["eps"], 2).alias("eps")),
+        LINES + f""", s as (select asset_id, period, max(case when label = 'Total Revenue' then value end) as r from l group by 1, 2), k as (select asset_id, least(count(*), 5) as n, max(period) as p, arg_max(r, period) as r from s group by 1)
+        select c_custkey as asset_id, c_acctbal as balance, coalesce(n, 0) as n_statements, p as newest, {steady_sql("r / 1e4", 2)} as eps from customer left join k on c_custkey = asset_id""",
+    ),
+    "highlights_json": (
+        lambda spark, d: op.highlights(_infos(spark, d)).select("asset_id", "pe_ratio", "shares_outstanding", "beta"),
+        f"with i as ({INFOS}) select asset_id, try_cast(json_extract_string(json, '$.trailingPE') as double) as pe_ratio, cast(trunc(try_cast(json_extract_string(json, '$.sharesOutstanding') as double)) as bigint) as shares_outstanding, cast(null as double) as beta from i",
+    ),
+    "company_names": (
+        lambda spark, d: _names(spark, d).select("id", names.plain_company("name").alias("plain"), names.before_comma("name").alias("short"), names.market_name("market").alias("market"), names.swapped("pair", ":").alias("swapped"), names.last_segment("url").alias("tail"), names.between("url", "example.com/", "/x").alias("middle")),
+        f"""with n as ({NAMES}) select id, trim(regexp_replace(replace(replace(name, 'Limited', ''), ',', ''), '[.]$', '')) as plain, split_part(name, ', ', 1) as short,
+        case id % 4 when 0 then 'Hong Kong Stock Exchange' when 1 then 'NASDAQ' when 2 then 'London' else 'Madrid' end as market, case when id % 2 = 0 then split_part(pair, ':', 2) || ':' || split_part(pair, ':', 1) end as swapped, 'x' || cast(id as varchar) as tail, 'c' as middle from n""",
+    ),
     "quote_snapshot": (
         lambda spark, d: op.quotes(intraday_bars(spark, d)).select("asset", *(steady(c).alias(c) for c in ("price", "previous", "change", "change_pct"))),
         f"with b as ({HOURLY}), l as (select asset, max(case when rn = 1 then close end) as p, max(case when rn = 2 then close end) as q from (select *, row_number() over (partition by asset order by ts desc) as rn from b) group by 1) "

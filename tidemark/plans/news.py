@@ -40,6 +40,7 @@ QUERIES = {
         CANONICAL + " select c.page_id as ordinal, pages.url from c join pages using (page_id) qualify row_number() over (partition by c.url order by c.page_id) = 1",
     ),
     "news_title_dedup": (lambda spark, d: op.title_dedup(articles(spark, d).withColumn("day", F.to_date("published_at")), ["provider", "day"]).select("ordinal", "title", "provider"), None),
+    "ticker_news": (lambda spark, d: op.ticker_news(articles(spark, d).withColumn("day", F.to_date("published_at")), ["provider", "day"], "en", 10).select("ordinal", "title", "provider", "published_at"), None),
     "news_feed": (
         lambda spark, d: op.feed(articles(spark, d), "en", ["T1", "T2"], 40).select("ordinal", "url", "published_at"),
         f"with a as ({ARTICLES}) select ordinal, url, published_at from a where language = 'en' and (t1 in ('T1', 'T2') or t2 in ('T1', 'T2')) order by published_at desc nulls first, url limit 40",
