@@ -70,6 +70,25 @@ def test_state_is_carried_across_batches(spark, shapes):
     assert whole.keys() == cut.keys() and all(whole[k] == pytest.approx(cut[k]) for k in whole if whole[k] is not None)
 
 
+def test_chunks_give_the_same(spark):
+    rng, level, closes = random.Random(8), 100.0, []
+    for _ in range(15_000):
+        level *= 1 + rng.uniform(-0.02, 0.02)
+        closes.append(level)
+    rows = [("hot", START + dt.timedelta(minutes=30 * i), c, c + 0.5, c - 0.5, c, 100 + i % 7) for i, c in enumerate(closes)] + [("cold", START, 1.0, 1.0, 1.0, 1.0, 1)]
+    bars = spark.createDataFrame(rows, BAR)
+    specs = [n for n in indicators.CATALOG if n != "tema"] + ["tema_10"]
+    whole, cut = indicators.indicators(bars, specs), indicators.indicators(bars, specs, chunk_rows=6000)
+    assert whole.columns == cut.columns or set(whole.columns) == set(cut.columns)
+    a, b = ({(r.asset, r.ts): r for r in df.collect()} for df in (whole, cut))
+    assert a.keys() == b.keys() and len(b) == 15_001
+    for k in a:
+        for c in whole.columns[7:]:
+            assert (a[k][c] is None) == (b[k][c] is None) and (a[k][c] is None or a[k][c] == pytest.approx(b[k][c], rel=1e-9, abs=1e-6)), (k, c)
+    with pytest.raises(ValueError):
+        indicators.indicators(bars, ["rsi_14"], chunk_rows=100)
+
+
 def test_names_and_screen(spark, shapes):
     assert indicators.parse("rsi_14") == ("rsi", {"length": 14}) and indicators.parse("bbands_20")[1] == {"length": 20, "std": 2.0} and indicators.parse("macd")[1] == {"fast": 12, "slow": 26, "signal": 9}
     with pytest.raises(ValueError):

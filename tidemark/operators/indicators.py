@@ -2,10 +2,14 @@
 
 Those that look back over a fixed number of bars are window expressions. The recursive ones (exponential and Wilder averages) run in one
 pass over the sorted bars of a partition: a few numbers of state are carried from batch to batch, so no asset's history is held in memory.
+
+A task reads an asset at a time. Where an asset holds much of all rows, ``chunk_rows`` cuts its history into chunks of whole days, each with so many
+bars before it that windows are whole and older weights of the recursive averages are below 1e-18; running sums add up the chunks before.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -17,6 +21,8 @@ from pyspark.sql import types as T
 
 from tidemark.functions.numbers import steady
 
+from .bars import latest
+
 def _order():
     return Window.partitionBy("asset").orderBy("ts")
 
@@ -86,14 +92,27 @@ def _bbands(df: DataFrame, length: int, std: float, ddof: int = 1) -> DataFrame:
     return df.withColumns({f"BBL_{tail}": m - s, f"BBM_{tail}": m, f"BBU_{tail}": m + s, f"BBB_{tail}": F.try_divide(200 * s, m), f"BBP_{tail}": F.try_divide(F.col("close") - (m - s), F.nullif(2 * s, F.lit(0.0)))}).drop("_m", "_s")
 
 
+def _running(df: DataFrame, name: str, step: Column) -> DataFrame:
+    """The sum of ``step`` so far. In chunks, only their own bars count, and the sums of the chunks before are joined."""
+    chunks = "_chunk" in df.columns
+    df = df.withColumn("_step", step)
+    if chunks:
+        df = df.withColumn("_step", F.when(F.col("_own"), F.col("_step")).otherwise(0.0))
+    out = df.withColumn(name, F.sum("_step").over(_order().rowsBetween(Window.unboundedPreceding, 0)))
+    if chunks:
+        sums = df.groupBy("_asset", "_chunk").agg(F.sum("_step").alias("_sum"))
+        before = Window.partitionBy("_asset").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+        out = out.join(sums.select("_asset", "_chunk", F.coalesce(F.sum("_sum").over(before), F.lit(0.0)).alias("_past")), ["_asset", "_chunk"]).withColumn(name, F.col(name) + F.col("_past")).drop("_past")
+    return out.drop("_step")
+
+
 def _obv(df: DataFrame) -> DataFrame:
-    step = F.coalesce(F.signum(F.col("close") - _before(F.col("close"))), F.lit(1.0)) * F.col("volume")
-    return df.withColumn("_step", step).withColumn("OBV", F.sum("_step").over(_order().rowsBetween(Window.unboundedPreceding, 0))).drop("_step")
+    return _running(df, "OBV", F.coalesce(F.signum(F.col("close") - _before(F.col("close"))), F.lit(1.0)) * F.col("volume"))
 
 
 def _ad(df: DataFrame) -> DataFrame:
     flow = F.when(F.col("high") == F.col("low"), 0.0).otherwise(F.try_divide(2 * F.col("close") - F.col("high") - F.col("low"), F.col("high") - F.col("low"))) * F.col("volume")
-    return df.withColumn("AD", F.sum(flow).over(_order().rowsBetween(Window.unboundedPreceding, 0)))
+    return _running(df, "AD", flow)
 
 
 def _mfi(df: DataFrame, length: int) -> DataFrame:
@@ -219,6 +238,11 @@ class Indicator:
     unit: str = "price"
     min_bars: Callable[[dict], int] = lambda p: int(p.get("length", 2))
     intraday: bool = False
+    levels: int = 1
+
+    def look_back(self, p: dict) -> int:
+        """Bars before a bar that it depends on, to the precision of a double."""
+        return math.ceil(sum(p.values()) * (60 * self.levels if self.recursive else 1)) + 2
 
     def names(self, p: dict) -> list[str]:
         return [c.format(**p) for c in self.columns]
@@ -228,8 +252,8 @@ CATALOG: dict[str, Indicator] = {
     "sma": Indicator("Simple moving average", {"length": 20}, ("SMA_{length}",), _sma),
     "ema": Indicator("Exponential moving average", {"length": 20}, ("EMA_{length}",), recursive=Ema),
     "wma": Indicator("Weighted moving average", {"length": 20}, ("WMA_{length}",), _wma),
-    "dema": Indicator("Double exponential average", {"length": 20}, ("DEMA_{length}",), recursive=lambda length: Ema(length, 2)),
-    "tema": Indicator("Triple exponential average", {"length": 20}, ("TEMA_{length}",), recursive=lambda length: Ema(length, 3)),
+    "dema": Indicator("Double exponential average", {"length": 20}, ("DEMA_{length}",), recursive=lambda length: Ema(length, 2), levels=2),
+    "tema": Indicator("Triple exponential average", {"length": 20}, ("TEMA_{length}",), recursive=lambda length: Ema(length, 3), levels=3),
     "vwap": Indicator("Volume-weighted price of the day", {}, ("VWAP_D",), _vwap, intraday=True),
     "rsi": Indicator("Relative strength", {"length": 14}, ("RSI_{length}",), recursive=Rsi, unit="percent", min_bars=lambda p: p["length"] + 1),
     "macd": Indicator("Convergence and divergence of averages", {"fast": 12, "slow": 26, "signal": 9}, ("MACD_{fast}_{slow}_{signal}", "MACDh_{fast}_{slow}_{signal}", "MACDs_{fast}_{slow}_{signal}"), recursive=Macd, min_bars=lambda p: p["slow"] + p["signal"]),
@@ -262,8 +286,38 @@ def parse(spec: str) -> tuple[str, dict]:
     return name, p
 
 
-def indicators(bars: DataFrame, specs: list[str | tuple[str, dict]]) -> DataFrame:
-    """``bars`` with the columns of each of ``specs``, all from one scan and one shuffle by asset. Values stay null until there are bars enough."""
+def _chunked(bars: DataFrame, look_back: int, chunk_rows: int) -> DataFrame:
+    """``bars`` with asset as a key of asset and chunk (the asset itself in _asset), _chunk, and _own: false for copies of the bars before a chunk.
+
+    Bars are counted by asset and day, and the running counts, a row for each asset and day, tell where chunks begin.
+    """
+    if chunk_rows < 2 * look_back:
+        raise ValueError(f"chunks of {chunk_rows} bars are too short for {look_back} bars before them")
+    days = bars.groupBy("asset", F.to_date("ts").alias("_day")).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("asset").orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    placed = days.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).withColumn("_chunk", F.floor(F.col("_start") / chunk_rows))
+    first = placed.groupBy("asset", "_chunk").agg(F.min("_start").alias("_first"))
+    order = Window.partitionBy("asset").orderBy("_chunk")
+    nexts = first.select("asset", "_chunk", F.lead("_chunk").over(order).alias("_next"), F.lead("_first").over(order).alias("_next_first"))
+    calendar = placed.join(nexts, ["asset", "_chunk"]).drop("_n")
+    rows = bars.withColumn("_day", F.to_date("ts")).join(calendar, ["asset", "_day"])
+    at = F.col("_start") + F.row_number().over(Window.partitionBy("asset", "_day").orderBy("ts")) - 1
+    again = F.when(at >= F.col("_next_first") - look_back, F.col("_next"))
+    out = rows.withColumn("_again", again).withColumn("_c", F.explode(F.array_compact(F.array("_chunk", "_again"))))
+    out = out.withColumns({"_own": F.col("_c") == F.col("_chunk"), "_asset": F.col("asset"), "asset": F.concat_ws("\u0001", F.col("asset").cast("string"), F.col("_c").cast("string"))})
+    return out.drop("_day", "_start", "_chunk", "_next", "_next_first", "_again").withColumnRenamed("_c", "_chunk")
+
+
+def indicators(bars: DataFrame, specs: list[str | tuple[str, dict]], chunk_rows: int | None = None) -> DataFrame:
+    """``bars`` with the columns of each of ``specs``, all from one scan and one shuffle by asset. Values stay null until there are bars enough.
+
+    With ``chunk_rows`` an asset is dealt out in chunks. Only a series that hasn't moved for so long that its past weighs nothing differs: its RSI is null.
+    """
+    if chunk_rows is not None:
+        parsed = [parse(s) if isinstance(s, str) else (s[0], {**CATALOG[s[0]].defaults, **s[1]}) for s in specs]
+        chunks = _chunked(bars, max(CATALOG[n].look_back(p) for n, p in parsed), chunk_rows)
+        out = indicators(chunks, specs).where("_own").withColumn("asset", F.col("_asset")).drop("_asset", "_chunk", "_own")
+        return out.select(*bars.columns, *(F.col(f"`{c}`") for c in out.columns if c not in bars.columns))
     parsed = [parse(s) if isinstance(s, str) else (s[0], {**CATALOG[s[0]].defaults, **s[1]}) for s in specs]
     loops = [(CATALOG[n], p) for n, p in parsed if CATALOG[n].recursive]
     out = _recursive(bars, loops) if loops else bars
@@ -304,10 +358,10 @@ def long_frame(bars: DataFrame, specs: list[str]) -> DataFrame:
     return wide.unpivot(["asset", "ts"], [f"`{n}`" for n in names], "series", "value")
 
 
-def chart(bars: DataFrame, specs: list[str]) -> DataFrame:
-    """A row for each asset: arrays in order of time."""
+def chart(bars: DataFrame, specs: list[str], n: int = 5000) -> DataFrame:
+    """A row for each asset: arrays in order of time, of its newest ``n`` bars, which is what a chart shows."""
     names = [c for n, p in map(parse, specs) for c in CATALOG[n].names(p)]
-    wide = indicators(bars, list(specs))
+    wide = latest(indicators(bars, list(specs)), n)
     held = wide.groupBy("asset").agg(F.array_sort(F.collect_list(F.struct("ts", "close", *(F.col(f"`{n}`").alias(f"s{i}") for i, n in enumerate(names))))).alias("_rows"))
     return held.select("asset", F.col("_rows.ts").alias("ts"), F.col("_rows.close").alias("close"), *(F.col(f"_rows.s{i}").alias(n) for i, n in enumerate(names)))
 
