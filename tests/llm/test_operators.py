@@ -192,6 +192,23 @@ def test_mix(spark, folder):
     same([tuple(r) for r in got], [tuple(r) for r in again])
 
 
+@pytest.mark.parametrize("sizes", [{f"s{i}": 1000 for i in range(6)}, {"a": 300, "b": 100}, {"a": 300, "b": 100, "c": 200}, {"a": 300, "b": 100, None: 200, "d": 900, "e": 7, "f": 0}])
+def test_targets_of_tied_sources(spark, sizes):
+    from tidemark.llm.mixing import source_targets
+
+    got = {r.source: r.target for r in source_targets(spark.createDataFrame(list(sizes.items()), "source string, size long")).collect()}
+    assert got == pytest.approx(brute.targets(sizes))
+    assert sum(got.values()) == pytest.approx(1.5 * sum(sizes.values()))
+
+
+def test_mix_of_tied_sources_takes_documents(spark):
+    from tidemark.llm.mixing import mixed_documents
+
+    rows = [(i, " ".join(["w"] * 10), "a" if i < 30 else "b") for i in range(40)]
+    got = mixed_documents(spark.createDataFrame(rows, "doc_id long, text string, source string")).groupBy("source").sum("taken").collect()
+    assert {r[0]: r[1] for r in got} == {"a": 450, "b": 150}
+
+
 def test_flight_keeps_totals():
     from tidemark.llm.mixing import flight_step, landed
 

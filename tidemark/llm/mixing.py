@@ -52,7 +52,8 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
     rows = rows.select("*", (F.lit(share) * F.sum("source_size").over(Window.partitionBy())).alias("all"), F.coalesce(F.sum("most").over(before), F.lit(0.0)).alias("stopped"), F.sum("w").over(by_level.rowsBetween(Window.currentRow, Window.unboundedFollowing)).alias("rest"))
     level = (F.col("all") - F.col("stopped")) / F.col("rest")  # of the sources from this one on, if none of them stops
     free = F.col("most") / F.col("w") > level
-    rows = rows.withColumn("level", F.min(F.when(free, F.struct((F.col("most") / F.col("w")).alias("o"), level.alias("level")))).over(Window.partitionBy())["level"])
+    place = F.row_number().over(by_level)  # tied sources stop together or not at all, so the first free one has the level
+    rows = rows.withColumn("place", place).withColumn("level", F.min(F.when(free, F.struct("place", level.alias("level")))).over(Window.partitionBy())["level"])
     return rows.select("source", "source_size", F.least("most", F.coalesce(F.col("level") * F.col("w"), F.col("most"))).alias("target"))
 
 
