@@ -292,6 +292,38 @@ def test_simhash_components_of_random_fingerprints(spark, monkeypatch):
         same([(r.doc_id, r.component_id) for r in simhash.components(df).collect()], want)
 
 
+def test_pipeline_links_pairs_of_similarity_four_fifths(spark):
+    """Texts with words replaced: groups are the components of exact five-word similarities of 4/5 and more."""
+    import corpus_pipeline
+
+    rng = random.Random(11)
+    rows = []
+    for base in range(12):
+        words = [f"v{rng.randrange(5000)}" for _ in range(rng.randint(60, 400))]
+        for _ in range(8):
+            copy = list(words)
+            for i in rng.sample(range(len(copy)), rng.randint(0, len(copy) // 30)):
+                copy[i] = f"z{rng.randrange(5000)}"
+            rows.append((len(rows), " ".join(copy)))
+    rows += [(500, None), (501, ""), (502, "a b"), (503, "A  b"), (None, "a b c")]
+    sets = [frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4)) if w) for w in ((t or "").lower().split() for _, t in rows)]
+    group = list(range(len(rows)))
+    linked = 0
+    for i in range(len(rows)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                linked += (brute.simhash(rows[i][1]) ^ brute.simhash(rows[j][1])).bit_count() > 4
+                group = [group[j] if g == group[i] else g for g in group]
+    assert linked > 50  # links that fingerprints of four bits don't tell
+    least = {}
+    for (i, _), g in zip(rows, group, strict=True):
+        if i is not None:
+            least[g] = min(i, least.get(g, i))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id for r in corpus_pipeline.STAGES[1][1](spark, docs, "").collect()}
+    assert got == {None, *least.values()}
+
+
 def test_secrets(spark, folder):
     for r, d in zip(sorted(run(spark, "op9_", folder), key=str), sorted(docs(spark, folder), key=lambda x: str(x)), strict=True):
         assert 0 <= r.n_assign

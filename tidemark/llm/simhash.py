@@ -112,9 +112,8 @@ def components(fingerprinted: DataFrame, radius: int = RADIUS) -> DataFrame:
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def near_dedup(documents: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
-    """``documents`` with one document of each component, that of the smallest doc_id; rows without a doc_id stay, and of rows that share one the first by text stays."""
-    grouped = materialise(components(fingerprints(documents, ["doc_id"], shingle), radius))
+def one_of_each(documents: DataFrame, grouped: DataFrame) -> DataFrame:
+    """``documents`` with one document of each component of ``grouped`` (doc_id, component_id), that of the smallest doc_id; rows without a doc_id stay, and of rows that share one the first by text stays."""
     gone = grouped.where("doc_id <> component_id").select("doc_id").distinct()
     left = documents.join(gone, "doc_id", "left_anti").select(*documents.columns)
     repeated = materialise(grouped.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
@@ -124,6 +123,11 @@ def near_dedup(documents: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     return left.join(repeated, "doc_id", "left_anti").select(*documents.columns).union(once)
 
 
+def near_dedup(documents: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
+    """``documents`` with one document of each component by fingerprints."""
+    return one_of_each(documents, materialise(components(fingerprints(documents, ["doc_id"], shingle), radius)))
+
+
 def op8_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = components(fingerprints(table(spark, sf_dir, "documents"), ["doc_id"]))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
