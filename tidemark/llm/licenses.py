@@ -2,11 +2,11 @@ r"""License scans: one Aho-Corasick automaton over words, and licence expression
 
 A text's lower-cased words are joined by blanks, and an automaton of all phrases runs over them once; a match counts where it starts and
 ends with words. Base phrases are counted and placed; notice phrases add labels of their own. Where the automaton meets the tag
-``spdx license identifier``, the expressions behind the tags are read from the text: identifiers joined by AND, OR and WITH, and
-parentheses. WITH binds closest, then AND, then OR; the expression goes to postfix order and is evaluated twice, to the set of
+``spdx license identifier``, the expression behind that tag is read at its place in the text: identifiers joined by AND, OR and WITH, and
+parentheses. Each tag is read once, so the time grows with the text whatever the tags are. WITH binds closest, then AND, then OR; the expression goes to postfix order and is evaluated twice, to the set of
 labels and to whether its terms can be met by permissive licences alone (OR: either side, AND: both, WITH: as the licence).
 
-A malformed expression counts up to its fault. Score is the strength of the evidence: 1 for a tag, else 1 less the product of the
+A malformed expression counts up to its fault, and WITH between groups tells the labels of both. Score is the strength of the evidence: 1 for a tag, else 1 less the product of the
 phrases' doubts, 0 where nothing is found. Null and empty texts have no words and no labels. Rows are told one by one.
 An empty table gives an empty result. Other columns are left out unless kept, and those that the result names too are replaced.
 """
@@ -44,7 +44,9 @@ NOTICES = {
 }
 TAG = "spdx license identifier"
 BASE_DOUBT = 0.15
-_EXPRESSION = re.compile(r"spdx-license-identifier[ \t]*:[ \t]*([A-Za-z0-9.+\-() \t]+)", re.I | re.A)
+_WORD = re.compile(rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+_SPELLED = b"spdx-license-identifier"
+_BEHIND = re.compile(rb"[ \t]*:[ \t]*([A-Za-z0-9.+\-() \t]+)")
 _TOKEN = re.compile(r"[()]|[A-Za-z0-9.+\-]+")
 _BINDS = {"or": 1, "and": 2, "with": 3}
 #: Starts of identifiers whose terms are permissive.
@@ -78,6 +80,13 @@ def postfix(expression: str) -> list[str]:
     return out + (rest[1:] if term_next and rest else rest)  # an operator without its second term falls away
 
 
+def _both(a: set[str], b: set[str]) -> set[str]:
+    """The union, made of the larger one."""
+    a, b = (a, b) if len(a) >= len(b) else (b, a)
+    a |= b
+    return a
+
+
 def evaluate(terms: list[str]) -> tuple[set[str], bool] | None:
     """Labels, and whether permissive licences alone can meet the terms."""
     stack: list[tuple[set[str], bool]] = []
@@ -85,9 +94,9 @@ def evaluate(terms: list[str]) -> tuple[set[str], bool] | None:
         if t in _BINDS:
             (b, y), (a, x) = stack.pop(), stack.pop()
             if t == "with":
-                stack.append(({f"{label} with {e}" for label in a for e in b}, x))
+                stack.append(({f"{next(iter(a))} with {next(iter(b))}"} if len(a) == len(b) == 1 else _both(a, b), x))
             else:
-                stack.append((a | b, (x or y) if t == "or" else (x and y)))
+                stack.append((_both(a, b), (x or y) if t == "or" else (x and y)))
         else:
             stack.append(({t}, t.startswith(PERMISSIVE)))
     return stack[-1] if stack else None
@@ -104,8 +113,28 @@ def automaton() -> ahocorasick.Automaton:
     return a
 
 
+class _Places:
+    """Where a text's words end, in bytes."""
+
+    def __init__(self, text: bytes):
+        self.text, self.ends, self.at, self.word = text, None, 0, 0
+
+    def expression(self, joined: str, start: int) -> str | None:
+        """What stands behind the tag whose words begin at ``start`` of the joined words; tags come in order."""
+        if self.ends is None:
+            self.ends = [m.end() for m in _WORD.finditer(self.text)]
+        self.word += joined.count(" ", self.at, start)
+        self.at = start
+        end = self.ends[self.word + 2]
+        if self.text[max(0, end - len(_SPELLED)) : end].lower() != _SPELLED:
+            return None
+        m = _BEHIND.match(self.text, end)
+        return m and m[1].decode()
+
+
 def scan(text: bytes | None, phrases: ahocorasick.Automaton) -> tuple:
     words = alnum_words(text or b"")
+    places = _Places(text or b"")
     joined = b" ".join(words).decode()
     starts: list[int] = []
     base: set[str] = set()
@@ -120,12 +149,11 @@ def scan(text: bytes | None, phrases: ahocorasick.Automaton) -> tuple:
             if start and joined[start - 1] != " ":
                 continue
             if label is None:
-                for m in _EXPRESSION.finditer((text or b"").decode()) if not expressions else ():
-                    if result := evaluate(postfix(m[1])):
-                        expressions.append(m[1].strip())
-                        labels |= result[0]
-                        permissive = result[1] if permissive is None else permissive and result[1]
-                        doubt = 0.0
+                if (read := places.expression(joined, start)) and (result := evaluate(postfix(read))):
+                    expressions.append(read.strip())
+                    labels |= result[0]
+                    permissive = result[1] if permissive is None else permissive and result[1]
+                    doubt = 0.0
                 continue
             labels.add(label)
             doubt *= d
