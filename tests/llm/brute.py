@@ -70,8 +70,8 @@ def simhash(text: str | None) -> int:
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-def components(rows: list[tuple[int | None, int]]) -> list[int | None]:
-    """The smallest id that each row reaches by links of 4 bits at most."""
+def _least(rows: list[tuple], linked) -> list[int | None]:
+    """The smallest id that each row reaches by links."""
     n = len(rows)
     parent = list(range(n))
 
@@ -83,7 +83,7 @@ def components(rows: list[tuple[int | None, int]]) -> list[int | None]:
 
     for i in range(n):
         for j in range(i):
-            if (rows[i][1] ^ rows[j][1]).bit_count() <= 4:
+            if linked(i, j):
                 parent[root(i)] = root(j)
     least: dict[int, int] = {}
     for i, (doc, _) in enumerate(rows):
@@ -92,6 +92,19 @@ def components(rows: list[tuple[int | None, int]]) -> list[int | None]:
     return [least.get(root(i)) for i in range(n)]
 
 
+def components(rows: list[tuple[int | None, int]]) -> list[int | None]:
+    """By links of 4 bits at most."""
+    return _least(rows, lambda i, j: (rows[i][1] ^ rows[j][1]).bit_count() <= 4)
+
+
+def similar_components(rows: list[tuple[int | None, str | None]]) -> list[int | None]:
+    """By links of a similarity of 4/5 or more between sets of five-word shingles; texts without words are copies."""
+    words = [BLANK.findall((t or "").translate(LOWER)) for _, t in rows]
+    sets = [frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4)) if w) for w in words]
+    near = lambda x, y: 5 * min(len(x), len(y)) >= 4 * max(len(x), len(y)) and 9 * len(x & y) >= 4 * (len(x) + len(y))
+    return _least(rows, lambda i, j: near(sets[i], sets[j]))
+
+
 def secret_base(text: str | None) -> tuple:
     text = text or ""
     assign = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)

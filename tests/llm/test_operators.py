@@ -268,6 +268,25 @@ def test_license_expressions():
     assert evaluate([]) is None
 
 
+def test_license_tags_are_read_at_their_place_in_linear_time():
+    import time
+
+    from tidemark.llm.licenses import automaton, scan
+
+    phrases = automaton()
+    text = "é SPDX-License-Identifier: MIT\nspdx license identifier: GPL\n// spdx-license-identifier : (Apache-2.0 OR\tISC) x\nSPDX-License-Identifier Zlib"
+    found = scan(text.encode(), phrases)
+    assert found[5] == ["apache-2.0", "isc", "mit"] and found[6] == ["MIT", "(Apache-2.0 OR\tISC) x"] and found[7] is True and found[8] == 1.0
+    assert scan(b"SPDX-License-Identifier: (A OR B) WITH (C OR D)", phrases)[5] == ["a", "b", "c", "d"]
+    for bad in ("SPDX-License-Identifier: ) AND\n", "SPDX-License-Identifier\n", "spdx-license-identifier: (\n"):
+        began = time.perf_counter()
+        found = scan((bad * 4000).encode(), phrases)
+        assert time.perf_counter() - began < 0.5 and found[6] == []
+    long = "SPDX-License-Identifier: " + " OR ".join(f"L{i}" for i in range(20_000))
+    began = time.perf_counter()
+    assert len(scan(long.encode(), phrases)[5]) == 20_000 and time.perf_counter() - began < 2
+
+
 def test_simhash(spark, folder):
     rows = [(r.doc_id, brute.simhash(r.text)) for r in docs(spark, folder)]
     want = [(i, f"{h:016x}", c) for (i, h), c in zip(rows, brute.components(rows), strict=True)]
@@ -397,8 +416,9 @@ def stage_quality(spark, before, after, folder):
 
 
 def stage_near(spark, before, after, folder):
+    """Stages on word shingles take five words and a similarity of 0.8; four words and four bits are the contract of the op8 query alone."""
     rows = list(_rows(before))
-    groups = brute.components([(i, brute.simhash(t)) for i, t in rows])
+    groups = brute.similar_components(rows)
     assert _rows(after).keys() == {(i, t) for (i, t), g in zip(rows, groups, strict=True) if i is None or i == g}
 
 

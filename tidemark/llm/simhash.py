@@ -15,7 +15,7 @@ that they reach, or null. Repeated rows and equal ids are told row by row. An em
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -32,23 +32,34 @@ SHINGLE, RADIUS, SEED, WIDE = 4, 4, 42, 1 << 27
 _AT_ONCE = 1 << 15
 
 
-def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
-    """Signed 64 bits: a bit is set if it is in over half the hashes of the shingles."""
+def shingle_digests(text: bytes | None, shingle: int = SHINGLE) -> Iterator[np.ndarray]:
+    """XXH64 of the shingles, repeats included, in order: arrays of (shingles, 8) bytes, the first byte the highest."""
     words = (text or b"").lower().split()
     if not words:
-        return 0
+        return
     n = max(1, len(words) - shingle + 1)
     joined, digest = b" ".join(words), xxhash.xxh64_digest
     ends = np.cumsum([len(w) + 1 for w in words])
     starts = np.concatenate(([0], ends[:-1]))[:n].tolist()
     ends = (ends[min(shingle, len(words)) - 1 :] - 1).tolist()
-    counts = np.zeros(64, np.int64)
     for i in range(0, n, _AT_ONCE):
         hashes = b"".join([digest(joined[a:b], SEED) for a, b in zip(starts[i : i + _AT_ONCE], ends[i : i + _AT_ONCE], strict=True)])
-        counts += np.unpackbits(np.frombuffer(hashes, np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        yield np.frombuffer(hashes, np.uint8).reshape(-1, 8)
+
+
+def fingerprint_of(digests: Iterable[np.ndarray]) -> int:
+    """Signed 64 bits: a bit is set if it is in over half the digests."""
+    n, counts = 0, np.zeros(64, np.int64)
+    for d in digests:
+        n += len(d)
+        counts += np.unpackbits(d, axis=1).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big", signed=True)
 
 
+def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
+    return fingerprint_of(shingle_digests(text, shingle))
+
+
 def fingerprints(documents: DataFrame, keep: list[str], shingle: int = SHINGLE, text: str = "text") -> DataFrame:
     """``keep`` columns and fp, the fingerprint of each whole text."""
 
@@ -107,19 +118,19 @@ def components(fingerprinted: DataFrame, radius: int = RADIUS) -> DataFrame:
     rows = materialise(fingerprinted.select("doc_id", "fp"))
     fps = materialise(rows.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first")))
     rooted = materialise(fingerprint_components(fps, radius).join(fps.select("fp", "first"), "fp"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    least = materialise(rooted.groupBy("root").agg(F.min("first").alias("component_id")))  # written, so that the join can split a root with most fingerprints
     named = rooted.join(least, "root").select("fp", "component_id")
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
 def one_of_each(documents: DataFrame, grouped: DataFrame) -> DataFrame:
-    """``documents`` with one document of each component of ``grouped`` (doc_id, component_id), that of the smallest doc_id; rows without a doc_id stay, and of rows that share one the first by text stays."""
+    """``documents`` with one document of each component of ``grouped`` (doc_id, component_id), that of the smallest doc_id; rows without a doc_id stay, and of rows that share one the first by text (then by all columns as JSON) stays."""
     gone = grouped.where("doc_id <> component_id").select("doc_id").distinct()
     left = documents.join(gone, "doc_id", "left_anti").select(*documents.columns)
     repeated = materialise(grouped.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
     if repeated.isEmpty():
         return left
-    once = left.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*documents.columns), F.struct(F.coalesce("text", F.lit("")))).alias("row")).select("row.*")
+    once = left.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*documents.columns), F.struct(F.coalesce("text", F.lit("")), F.to_json(F.struct(*documents.columns)))).alias("row")).select("row.*")
     return left.join(repeated, "doc_id", "left_anti").select(*documents.columns).union(once)
 
 
