@@ -105,14 +105,41 @@ def test_decontamination(spark, folder):
     same([tuple(r)[:6] for r in run(spark, "op2_", folder)], [(r.doc_id, *brute.decontamination(r.text, items)) for r in rows])
 
 
-def test_decontamination_by_blocks(spark, odd):
+def test_decontamination_by_a_join(spark, folder):
+    """A benchmark beyond the bound of a broadcast: the same rows as by an index."""
     from tidemark.llm.decontaminate import benchmark_hits
 
-    read = lambda t: spark.read.parquet(f"{odd}/{t}.parquet")
-    key = lambda rows: Counter((r.doc_id, r.n_hit, tuple(r["items"]), tuple((s.start, s.end) for s in r.spans)) for r in rows)
-    whole = benchmark_hits(read("documents"), read("benchmark"), ["doc_id"]).collect()
-    blocks = benchmark_hits(read("documents"), read("benchmark"), ["doc_id"], block_words=5).collect()
-    assert key(whole) == key(blocks)
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
+    read = lambda t: spark.read.parquet(f"{folder}/{t}.parquet")
+    key = lambda rows: Counter((r.doc_id, r.n_words, r.n_hit, tuple(r["items"]), tuple((s.start, s.end) for s in r.spans)) for r in rows)
+    whole = benchmark_hits(read("documents"), read("benchmark"), ["doc_id"])
+    joined = benchmark_hits(read("documents"), read("benchmark"), ["doc_id"], block_words=5)
+    assert whole.columns == joined.columns
+    whole, joined = whole.collect(), joined.collect()
+    assert key(whole) == key(joined)
+    same([(r.doc_id, r.n_words, r.n_hit) for r in joined], [(r.doc_id, *brute.decontamination(r.text, items)[:2]) for r in docs(spark, folder)])
+
+
+def test_decontamination_of_many_items_by_a_join(spark):
+    """More items than documents, passages cut from them, and a passage that most documents share."""
+    from tidemark.llm.decontaminate import benchmark_hits
+
+    rng = random.Random(9)
+    item = lambda n: " ".join(f"w{rng.randrange(400)}" for _ in range(n))
+    items = [(i, item(rng.choice([3, 12, 13, 14, 40, 90]))) for i in range(300)] + [(None, item(20))]
+    rows = []
+    for i in range(120):
+        parts = [item(rng.randint(0, 30))]
+        for _ in range(rng.randint(0, 3)):
+            words = rng.choice(items)[1].split()
+            a = rng.randrange(len(words))
+            parts.append(" ".join(words[a : a + rng.randint(8, 60)]))
+            parts.append(item(rng.randint(0, 10)))
+        parts += [items[7][1]] * (i % 3 > 0)
+        rows.append((i, " ".join(parts)))
+    found = benchmark_hits(spark.createDataFrame(rows + rows[:5], "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), block_words=100).collect()
+    want = [(i, *brute.decontamination(t, items)[:3]) for i, t in rows + rows[:5]]
+    same([(r.doc_id, r.n_words, r.n_hit, len(r["items"])) for r in found], want)
 
 
 def test_quality_metrics(spark, folder):

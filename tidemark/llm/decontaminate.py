@@ -5,9 +5,10 @@ any 13 words that a document and an item share have the same smallest hash on bo
 finds every shared span of 13 words or more; a hit is extended to the windows of 13 words around it, which are compared
 word by word. Items of fewer words than that have no such guarantee. Each is one window, looked up by its first word.
 
-The benchmark is read in blocks of at most ``BLOCK_WORDS`` words (one item at least), each broadcast by itself; a task goes
-through the blocks for each batch of documents, with one block's index in memory. So the benchmark may be of any
-size, and no document text is shuffled.
+A benchmark of at most ``BLOCK_WORDS`` words (counted first) is broadcast as one index, and no document text is shuffled. A larger one never
+reaches the driver or a task as a whole: its kept hashes and its windows are tables. Documents' distinct kept hashes are joined with the former, and the windows of the
+texts that share one with the latter, by 128-bit digests of words' hashes. Items of fewer words take part with their one window. Equal texts
+are joined once; no step gathers more than one text's rows under a key, and joins of frequent hashes can be split.
 
 Null texts have no words. Items without words have no windows. Rows of the benchmark with the same item_id
 count as one item; those with a null item_id hit documents but aren't listed. Documents that repeat are handled row by
@@ -16,17 +17,21 @@ row. An empty benchmark hits nothing. Columns of the documents that the result n
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.session import materialise
+
 from .texts import alnum_words, map_texts, table
 
 K, WINDOW = 5, 9
 SPAN = K + WINDOW - 1
-BLOCK_WORDS = 200_000
+BLOCK_WORDS, SEED = 200_000, 42
 RESULT = "n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>"
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)  # odd numbers, one for each word of a k-gram
 
@@ -110,65 +115,130 @@ class BlockIndex:
         return {self.names[i] for i in found}
 
 
-_INDEXES: dict[tuple, BlockIndex] = {}
+_INDEXES: dict[str, BlockIndex] = {}
 
 
-def _index(block) -> BlockIndex:
-    """One index is kept in each worker."""
-    key = (block.id if hasattr(block, "id") else None, id(block.value))
-    if key not in _INDEXES:
+def _index(name: str, items: list[tuple[str | None, bytes]]) -> BlockIndex:
+    """One index is kept in each worker, under the name that its broadcast was given."""
+    if name not in _INDEXES:
         _INDEXES.clear()
-        _INDEXES[key] = BlockIndex(block.value)
-    return _INDEXES[key]
-
-
-def benchmark_blocks(benchmark: DataFrame, text: str = "text", block_words: int = BLOCK_WORDS) -> list:
-    """Broadcasts of (item_id, text) lists, each of at most ``block_words`` words or one item."""
-    spark = benchmark.sparkSession
-    words = F.length(F.coalesce(F.col(text), F.lit(""))) / 2 + 1  # no text has more words
-    rows = benchmark.select(F.col("item_id").cast("string").alias("name"), F.col(text).cast("binary").alias("text"), words.alias("words"))
-    blocks, block, size = [], [], 0.0
-    for r in rows.orderBy("name").toLocalIterator():
-        if block and size + r["words"] > block_words:
-            blocks.append(spark.sparkContext.broadcast(block))
-            block, size = [], 0.0
-        if r["text"]:
-            block.append((r["name"], bytes(r["text"])))
-            size += r["words"]
-    return [*blocks, *([spark.sparkContext.broadcast(block)] if block else [])]
+        _INDEXES[name] = BlockIndex(items)
+    return _INDEXES[name]
 
 
-def benchmark_hits(documents: DataFrame, benchmark: DataFrame, keep: list[str] | None = None, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """``documents`` with n_words, n_hit, items (ids sorted as strings) and spans (runs of hit words, end exclusive)."""
-    blocks = benchmark_blocks(benchmark, block_words=block_words)
-    group = 256 if len(blocks) > 1 else 1
+def _spans(hit: np.ndarray) -> list[dict]:
+    edges = np.flatnonzero(np.diff(np.concatenate(([0], hit.view(np.int8), [0]))))
+    return [{"start": int(a), "end": int(b)} for a, b in zip(edges[::2], edges[1::2], strict=True)]
 
-    def scan(texts: Iterator[bytes | None]) -> Iterator[tuple]:
-        held: list[list[bytes]] = []
-
-        def done() -> Iterator[tuple]:
-            hits = [np.zeros(len(w), bool) for w in held]
-            items: list[set] = [set() for _ in held]
-            for b in blocks:
-                index = _index(b)
-                for words, hit, found in zip(held, hits, items, strict=True):
-                    if words:
-                        found |= index.scan(words, hit)
-            for words, hit, found in zip(held, hits, items, strict=True):
-                edges = np.flatnonzero(np.diff(np.concatenate(([0], hit.view(np.int8), [0])))) if found else []
-                spans = [{"start": int(a), "end": int(b)} for a, b in zip(edges[::2], edges[1::2], strict=True)]
-                yield len(words), int(hit.sum()), sorted(x for x in found if x is not None), spans
 
+def _broadcast_hits(documents: DataFrame, items: DataFrame, keep: list[str] | None) -> DataFrame:
+    rows = [(r["name"], bytes(r["text"])) for r in items.select("name", F.col("text").cast("binary").alias("text")).where("octet_length(text) > 0").collect()]
+    name, block = uuid.uuid4().hex, documents.sparkSession.sparkContext.broadcast(rows)
+
+    def scan(texts: Iterator[bytes | None]) -> Iterator[tuple]:
+        index = _index(name, block.value)
         for text in texts:
-            held.append(alnum_words(text or b""))
-            if len(held) >= group:
-                yield from done()
-                held = []
-        yield from done()
+            words = alnum_words(text or b"")
+            hit = np.zeros(len(words), bool)
+            found = index.scan(words, hit) if words else set()
+            yield len(words), int(hit.sum()), sorted(x for x in found if x is not None), _spans(hit) if found else []
 
     return map_texts(documents, scan, RESULT, keep)
 
 
+class _Words:
+    """64-bit hashes of words, remembered up to a bound."""
+
+    REMEMBERED = 200_000
+
+    def __init__(self) -> None:
+        self.known: dict[bytes, int] = {}
+
+    def ids(self, words: list[bytes]) -> np.ndarray:
+        if len(self.known) > self.REMEMBERED:
+            self.known.clear()
+        known = self.known
+        out = np.empty(len(words), np.uint64)
+        for i, w in enumerate(words):
+            h = known.get(w)
+            if h is None:
+                h = known[w] = xxhash.xxh64_intdigest(w, SEED)
+            out[i] = h
+        return out
+
+
+def _windows(ids: np.ndarray, n: int) -> list[bytes]:
+    raw = ids.astype("<u8").tobytes()
+    return [xxhash.xxh3_128_digest(raw[8 * i : 8 * (i + n)], n) for i in range(len(ids) - n + 1)]
+
+
+def _hash_of(window: bytes) -> int:
+    return int.from_bytes(window[:8], "big", signed=True)
+
+
+def _kept(ids: np.ndarray, lengths: list[int]) -> list[int]:
+    """Distinct kept hashes of a text, and those of its windows of ``lengths`` words."""
+    found = set(np.unique(smallest_hashes(ids)).view(np.int64).tolist()) if len(ids) >= SPAN else set()
+    for n in lengths:
+        found.update(map(_hash_of, _windows(ids, n)))
+    return list(found)
+
+
+def _item_windows(texts: Iterator[bytes | None]) -> Iterator[tuple]:
+    make = _Words()
+    for t in texts:
+        ids = make.ids(alnum_words(t or b""))
+        n = min(SPAN, len(ids))
+        yield n, _kept(ids, [n] if 0 < n < SPAN else []), list(set(_windows(ids, n))) if n else []
+
+
+def _joined_hits(documents: DataFrame, items: DataFrame, keep: list[str] | None) -> DataFrame:
+    made = materialise(map_texts(items, _item_windows, "n int, hashes array<long>, windows array<binary>", ["name"]))
+    lengths = sorted(r["n"] for r in made.where(f"n between 1 and {SPAN - 1}").select("n").distinct().collect())
+    hashes = made.select(F.explode("hashes").alias("h")).distinct()
+    windows = made.select("name", F.explode("windows").alias("w")).distinct()
+
+    def keys(texts: Iterator[bytes | None]) -> Iterator[tuple]:
+        make = _Words()
+        for t in texts:
+            yield (_kept(make.ids(alnum_words(t or b"")), lengths),)
+
+    def places(texts: Iterator[bytes | None]) -> Iterator[tuple]:
+        make = _Words()
+        for t in texts:
+            ids = make.ids(alnum_words(t or b""))
+            yield ([{"start": i, "end": i + n, "w": w} for n in [*lengths, SPAN] for i, w in enumerate(_windows(ids, n))],)
+
+    key = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
+    texts = documents.select(key.alias("_key"), "text")
+    met = materialise(map_texts(texts, keys, "hashes array<long>", ["_key"]).select("_key", F.explode("hashes").alias("h")).join(hashes, "h", "left_semi").select("_key"))
+    matched = texts.groupBy("_key").agg(F.first("text").alias("text")).join(met.distinct(), "_key", "left_semi")
+    found = map_texts(matched, places, "places array<struct<start:long,end:long,w:binary>>", ["_key"]).select("_key", F.inline("places"))
+    hits = materialise(found.join(windows, "w").select("_key", "start", "end", "name"))
+
+    def add(state, p):
+        """Joins a place to the last span if they touch; places come by their starts."""
+        last = F.element_at(state, -1)
+        longer = F.concat(F.slice(state, 1, F.size(state) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], p["end"]).alias("end"))))
+        return F.when((F.size(state) > 0) & (p["start"] <= F.try_element_at(state, F.lit(-1))["end"]), longer).otherwise(F.concat(state, F.array(p)))
+
+    spans = F.aggregate("places", F.array().cast("array<struct<start:long,end:long>>"), add)
+    of_text = hits.groupBy("_key").agg(F.array_sort(F.collect_set("name")).alias("items"), F.array_sort(F.collect_set(F.struct("start", "end"))).alias("places"))
+    of_text = materialise(of_text.select("_key", "items", spans.alias("spans")))
+    counted = map_texts(documents.withColumn("_key", key), lambda rows: ((len(alnum_words(t or b"")),) for t in rows), "n_words long", None if keep is None else [*keep, "_key"])
+    counted = counted.drop("n_hit", "items", "spans").join(of_text, "_key", "left").drop("_key")
+    n_hit = F.coalesce(F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"]), F.lit(0).cast("long"))
+    nothing = {c: F.coalesce(c, F.array().cast(of_text.schema[c].dataType)) for c in ("items", "spans")}
+    return counted.withColumn("n_hit", n_hit).withColumns(nothing).select(*(c for c in counted.columns if c not in ("items", "spans", "n_words")), "n_words", "n_hit", "items", "spans")
+
+
+def benchmark_hits(documents: DataFrame, benchmark: DataFrame, keep: list[str] | None = None, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """``documents`` with n_words, n_hit, items (ids sorted as strings) and spans (runs of hit words, end exclusive)."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("name"), "text")
+    words = items.agg(F.coalesce(F.sum(F.length("text") / 2 + 1), F.lit(0.0))).first()[0]  # no text has more words
+    return (_broadcast_hits if words <= block_words else _joined_hits)(documents, items, keep)
+
+
 def contaminated(n_hit: str = "n_hit", n_words: str = "n_words"):
     """True where a twentieth of the words or more are hit."""
     return (F.col(n_hit) > 0) & (20 * F.col(n_hit) >= F.col(n_words))
