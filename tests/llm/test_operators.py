@@ -277,6 +277,42 @@ def test_factorisation_machine_pairs():
     assert abs(m.raw(index, value) - (0.3 + m.w[index] @ value + pairs)) < 1e-9
 
 
+def test_scores_against_all_pairs_of_features(spark, odd):
+    """Each score as the logistic function of the sum over every pair of features, one by one."""
+    import math
+
+    import numpy as np
+
+    from tidemark.llm.classifier import FACTORS, FEATURES, FactorisationMachine, Featuriser, scored
+
+    rng = np.random.default_rng(1)
+    m = FactorisationMachine(-0.2, rng.normal(size=FEATURES), rng.normal(size=(FEATURES, FACTORS)))
+    rows = [(i, t, None if i == 3 else len(t or "")) for i, t in ODD if i is not None and i != 5 and i != 6 and i != 18]
+    got = {r.doc_id: r.score for r in scored(spark.createDataFrame(rows, "doc_id long, text string, n_chars long"), m, ["doc_id"]).collect()}
+    for i, text, chars in rows:
+        index, value = Featuriser().vector((text or "").encode(), chars)
+        value = value.astype(np.float32).astype(float)
+        raw = m.bias + sum(m.w[k] * x for k, x in zip(index, value))
+        for a in range(len(index)):
+            for b in range(a):
+                raw += float(m.v[index[a]] @ m.v[index[b]]) * value[a] * value[b]
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-max(-35, min(35, raw)))), abs=1e-9)
+
+
+def test_training_takes_a_row_of_each_labelled_id(spark, monkeypatch):
+    from tidemark.llm import classifier
+
+    seen = []
+    monkeypatch.setattr(classifier.FactorisationMachine, "fit", classmethod(lambda cls, vectors, labels: seen.append((len(vectors), labels.tolist()))))
+    ids = [i for i in range(40) if not brute.held_out(i)]
+    documents = spark.createDataFrame([(i, f"text {i} {k}", 9) for i in range(40) for k in range(50)], "doc_id long, text string, n_chars long")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)] * 2, "doc_id long, quality int, toxic int")
+    classifier.train(documents, labels, max_train=5)
+    assert seen[0][0] == 5
+    classifier.train(documents, labels)
+    assert seen[1][0] == len(ids) and sorted(seen[1][1]) == sorted(float(i % 2) for i in ids)
+
+
 def test_licenses(spark, folder):
     rows = run(spark, "op7_", folder)
     same([tuple(r)[:6] for r in rows], [(r.doc_id, *brute.license_base(r.text)) for r in docs(spark, folder)])
