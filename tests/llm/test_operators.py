@@ -8,6 +8,7 @@ import sys
 import uuid
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 sys.path.insert(0, os.path.dirname(__file__))
@@ -151,15 +152,49 @@ def test_quality_metrics(spark, folder):
 def test_binomial_tail_and_choice():
     from math import comb
 
-    from tidemark.llm.quality import choose, tail
+    from tidemark.llm.quality import choose, path, tail
 
     for k, n, p in ((0, 10, 0.3), (2, 50, 0.1), (4, 200, 0.05), (9, 9, 0.5)):
         exact = sum(comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1))
         assert abs(tail(k, n, p) - (exact if k < n * p else 1.0)) < 1e-12
-    cutoffs = [3.0, 2.0, 1.0]
-    assert choose(500, 100, [0, 0, 400], [10, 60, 100], cutoffs, 0.05, 0.01) == 2.0
-    assert choose(500, 100, [400, 0, 0], [10, 60, 100], cutoffs, 0.05, 0.01) is None  # tested in order
-    assert choose(5, 100, [0, 0, 0], [10, 60, 100], cutoffs, 0.05, 0.01) is None  # too few labels
+    rows = np.array([[0], [5], [6], [7]])  # a rule alone: rejects a row of k cutoffs exceeded from step 8 - k on
+    order = [(1,), (2,), (3,)]
+    assert choose(order, rows, np.array([500, 400, 0, 0]), 0.05, 0.01) == (2,)
+    assert choose(order, rows, np.array([500, 0, 0, 400]), 0.05, 0.01) is None  # tested in order
+    assert choose(order, rows, np.array([5, 0, 0, 0]), 0.05, 0.01) is None  # too few labels
+    assert choose(order, rows, np.array([500, 0, 0, 0]), 0.05, 0.01) == (3,)
+    assert path(rows, np.array([500, 400, 0, 0]), np.array([10, 500, 50, 50])) == [(2,)]  # the next step costs more than it gains
+
+
+def test_risk_is_controlled_in_repeated_draws():
+    """Known rates: in all but 5 of 100 draws, and their chance, the chosen rules reject at most alpha of the good documents."""
+    from tidemark.llm.quality import STEPS, choose, path, rejected
+
+    rng = np.random.default_rng(3)
+    too_many, acting, draws = 0, 0, 300
+    for _ in range(draws):
+        good_rate, bad_rate = rng.dirichlet([80, *[0.6] * STEPS]), rng.dirichlet([1.0] * (STEPS + 1))
+        rows = np.arange(STEPS + 1)[:, None]
+        halves = [(rng.multinomial(250, good_rate), rng.multinomial(120, bad_rate)) for _ in range(2)]
+        steps = choose(path(rows, *halves[0]), rows, halves[1][0], 0.05, 0.05)
+        acting += steps is not None
+        too_many += steps is not None and good_rate[rejected(rows, steps)].sum() > 0.05
+    assert too_many <= 0.05 * draws + 2 * (0.05 * 0.95 * draws) ** 0.5 and acting > draws / 2
+
+
+def test_cutoffs_are_chosen_from_a_table(spark):
+    """Junk of one language goes, its good texts stay, and a language with few labels has no rules."""
+    from tidemark.llm.quality import quality_filter
+
+    rng = random.Random(6)
+    clean = lambda: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 8))) for _ in range(80))
+    junk = lambda: " ".join(rng.choice(["#$#$", "|||", "word", "&&&"]) + str(rng.randrange(10**6)) for _ in range(80))
+    rows = [(i, junk() if i % 3 == 0 else clean(), "xx" if i < 900 else "yy") for i in range(930)]
+    labels = [(i, int(i % 3 > 0), 0) for i in range(930)] + [(3, 0, 1), (None, 1, 1)]
+    documents = spark.createDataFrame(rows + rows[:3], "doc_id long, text string, lang string")
+    kept = Counter(r.doc_id for r in quality_filter(documents, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect())
+    want = Counter(i for i, _, lang in rows + rows[:3] if i % 3 or lang == "yy")
+    assert not want - kept and sum((kept - want).values()) <= 6  # of 300 junk texts
 
 
 def test_warc(spark, folder):

@@ -1,27 +1,29 @@
 r"""Quality rules with risk-controlled thresholds.
 
-Each rule compares a figure of a text with a cutoff. The labelled documents are a holdout on which cutoffs are chosen: for a stratum
-(the language) and a rule, the cutoffs are tested from the most lenient to the strictest. "The rule rejects
-more than ``alpha / rules`` of the good documents" is refuted by an exact binomial tail, at the level
-``delta`` over the number of (stratum, rule) pairs (Bonferroni); the first cutoff that isn't refuted ends the sequence
-(fixed-sequence testing), so a pair needs no further correction. With a probability of 1 - ``delta`` no stratum loses more than
-``alpha`` of its good documents. Among the cutoffs that pass, the one with the largest share of bad documents rejected less
-``PRICE`` times the share of good ones is taken; a rule without any gain is off in that stratum, as is every rule of a
-stratum with too few labels.
-
-Cutoffs are constants and don't depend on the data. Counts are over all labelled documents, in one partial aggregation.
-Null texts have no words. Rows with null labels aren't used; a document that has several labels counts for each.
-A null language is a stratum of its own. Without labels only the base rules hold. Other columns are kept by
+Each rule compares a figure of a text with a cutoff. The labelled documents that pass the base rules are a holdout on which cutoffs are chosen, for each
+stratum (the language) by itself. One half of them orders configurations (a cutoff for each rule, or off): from all off, the
+change of one rule that rejects the most of the bad documents less ``PRICE`` times the share of good ones comes next, until none gains. The other
+half tests the configurations in that order: "this one, all rules together, rejects more than ``alpha`` of the good documents" is
+refuted by an exact binomial tail at the level ``delta`` over the number of strata (Bonferroni); the first one that isn't refuted ends the sequence
+(fixed-sequence testing, so its length costs nothing), and the last one that was refuted holds. With a probability of 1 - ``delta`` no stratum loses
+more than ``alpha`` of the good documents that pass the base rules; what those reject isn't bounded. Equal texts are one
+trial and so are several labels of a document (the largest counts); near copies aren't told, so the bound is as good as their labels are independent. A stratum with
+too few labels (fewer than 86 good ones in the testing half, with four strata) has all rules off.
+
+Cutoffs are constants and don't depend on the data. Counts are over all labelled documents, in partial aggregations; what a task gets of a stratum is
+a row for each combination of cutoffs exceeded, 8 ** 5 at most for each label and half.
+Null texts have no words. Rows with null labels aren't used. A null language is a stratum of its own. Very long texts are measured whole, repeated rows each by itself.
+Without labels only the base rules hold. An empty table gives an empty result. Other columns are kept by
 ``quality_filter``; those of ``documents`` that METRICS names too are replaced in ``text_metrics``.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,9 +31,9 @@ from tidemark.session import materialise
 
 from .texts import blank_words, map_texts, table, word_chars
 
-METRICS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long"
+METRICS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, text_key long"
 SYMBOLS = b"#*$%&|<>"
-ALPHA, DELTA, PRICE = 0.05, 0.05, 20.0
+ALPHA, DELTA, PRICE, SEED = 0.05, 0.05, 20.0, 42
 #: Name, figure, and cutoffs from lenient to strict; a document is rejected above the cutoff.
 RULES = [
     ("symbols", "n_symbols / greatest(n_words, 1)", [2.0, 1.0, 0.5, 0.3, 0.2, 0.1, 0.05]),
@@ -68,11 +70,11 @@ def repeated_words(words: list[bytes]) -> int:
     return int(inside.sum())
 
 
-def metrics_of(text: bytes | None) -> tuple[int, int, int, int, int, int]:
+def metrics_of(text: bytes | None) -> tuple[int, int, int, int, int, int, int]:
     text = text or b""
     words = blank_words(text)
     lines = [x for x in text.split(b"\n") if x.strip()]
-    return len(words), word_chars(text), len(text) - len(text.translate(None, SYMBOLS)), len(lines) - len(set(lines)), repeated_words(words), len(lines)
+    return len(words), word_chars(text), len(text) - len(text.translate(None, SYMBOLS)), len(lines) - len(set(lines)), repeated_words(words), len(lines), int.from_bytes(xxhash.xxh64_digest(text, SEED), "big", signed=True)
 
 
 def text_metrics(documents: DataFrame, keep: list[str] | None = None) -> DataFrame:
@@ -99,36 +101,59 @@ def tail(k: int, n: int, p: float) -> float:
     return min(1.0, math.exp(top) * total)
 
 
-def choose(good: int, bad: int, good_out: list[int], bad_out: list[int], cutoffs: list[float], alpha: float, level: float) -> float | None:
-    """The cutoff of a rule in a stratum, from how many good and bad documents each one rejects; None: off."""
-    best, gain = None, 0.0
-    for c, g, b in zip(cutoffs, good_out, bad_out, strict=True):
-        if not good or tail(g, good, alpha) > level:
+STEPS = len(RULES[0][2])  # of each rule; step 0 is off, step k the k-th cutoff
+
+
+def rejected(exceeded: np.ndarray, steps: tuple[int, ...]) -> np.ndarray:
+    """Which rows of ``exceeded`` (how many cutoffs of each rule a figure exceeds) the configuration ``steps`` rejects."""
+    at = np.array(steps)
+    return ((at > 0) & (exceeded + at > STEPS)).any(axis=1)
+
+
+def path(exceeded: np.ndarray, good: np.ndarray, bad: np.ndarray) -> list[tuple[int, ...]]:
+    """Configurations from lenient to strict, chosen on how many good and bad documents have each row of ``exceeded``."""
+    now, out = (0,) * exceeded.shape[1], []
+    value = bad / max(1, bad.sum()) - PRICE * good / max(1, good.sum())
+    while True:
+        here = value[rejected(exceeded, now)].sum()
+        options = [(*now[:r], k, *now[r + 1 :]) for r in range(len(now)) for k in range(now[r] + 1, STEPS + 1)]
+        gains = [value[rejected(exceeded, x)].sum() - here for x in options]
+        if not gains or max(gains) <= 1e-12:
+            return out
+        now = options[int(np.argmax(gains))]
+        out.append(now)
+
+
+def choose(configurations: list[tuple[int, ...]], exceeded: np.ndarray, good: np.ndarray, alpha: float, level: float) -> tuple[int, ...] | None:
+    """The last of ``configurations`` before the first whose risk isn't refuted on the good documents; None: all rules off."""
+    best = None
+    for steps in configurations:
+        if not good.sum() or tail(int(good[rejected(exceeded, steps)].sum()), int(good.sum()), alpha) > level:
             break
-        if (now := b / max(bad, 1) - PRICE * g / good) > gain:
-            best, gain = c, now
+        best = steps
     return best
 
 
 def fit_cutoffs(metrics: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """A row for each stratum: stratum, and c0, c1, ... the cutoffs of RULES (null: off)."""
-    labelled = metrics.join(labels.select("doc_id", "quality").where("doc_id is not null and quality in (0, 1)"), "doc_id").where(~base_failed())
-    counts = [F.count_if(F.col("quality") == 1).alias("good"), F.count_if(F.col("quality") == 0).alias("bad")]
-    for q, side in ((1, "good"), (0, "bad")):
-        for r, (_, figure, cutoffs) in enumerate(RULES):
-            counts.append(F.array(*(F.count_if((F.col("quality") == q) & (F.expr(figure) > c)) for c in cutoffs)).alias(f"{side}{r}"))
-    counted = materialise(labelled.groupBy(F.col(stratum).alias("stratum")).agg(*counts))
-    level = delta / max(1, counted.count() * len(RULES))
-
-    def choose_all(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            out = pd.DataFrame({"stratum": f["stratum"]})
-            for r, (_, _, cutoffs) in enumerate(RULES):
-                out[f"c{r}"] = pd.Series([choose(int(x["good"]), int(x["bad"]), list(x[f"good{r}"]), list(x[f"bad{r}"]), cutoffs, alpha / len(RULES), level) for _, x in f.iterrows()], index=f.index, dtype="float64")
-            yield out.astype(object).where(out.notna(), None)
-
+    known = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    exceeded = [sum((F.expr(figure) > c).cast("int") for c in cutoffs).alias(f"e{r}") for r, (_, figure, cutoffs) in enumerate(RULES)]
+    names = [f"e{r}" for r in range(len(RULES))]
+    labelled = metrics.join(known, "doc_id").where(~base_failed()).select(F.col(stratum).alias("stratum"), "text_key", "quality", *exceeded)
+    trials = labelled.groupBy("stratum", "text_key", *names).agg(F.max("quality").alias("quality"))  # equal texts have equal figures
+    half = F.pmod(F.xxhash64(F.lit(SEED), "text_key"), F.lit(2)).cast("int").alias("half")
+    cells = materialise(trials.groupBy("stratum", half, *names).agg(F.count_if(F.col("quality") == 1).alias("good"), F.count_if(F.col("quality") == 0).alias("bad")))
+    level = delta / max(1, cells.select("stratum").distinct().count())
     kind = dict(metrics.dtypes)[stratum]
-    return materialise(counted.mapInPandas(choose_all, f"stratum {kind}, " + ", ".join(f"c{r} double" for r in range(len(RULES)))))
+
+    def chosen(f: pd.DataFrame) -> pd.DataFrame:
+        halves = [f[f["half"] == i].sort_values(names) for i in (0, 1)]
+        (x, good, bad), (y, tested, _) = ((h[names].to_numpy(), h["good"].to_numpy(), h["bad"].to_numpy()) for h in halves)
+        steps = choose(path(x, good, bad), y, tested, alpha, level) or (0,) * len(RULES)
+        out = {"stratum": [f["stratum"].iloc[0]]} | {f"c{r}": [cutoffs[k - 1] if k else None] for r, ((_, _, cutoffs), k) in enumerate(zip(RULES, steps, strict=True))}
+        return pd.DataFrame(out).astype(object).where(lambda d: d.notna(), None)
+
+    return materialise(cells.groupBy("stratum").applyInPandas(chosen, f"stratum {kind}, " + ", ".join(f"c{r} double" for r in range(len(RULES)))))
 
 
 def judged(metrics: DataFrame, cutoffs: DataFrame, stratum: str = "lang") -> DataFrame:
