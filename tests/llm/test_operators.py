@@ -271,6 +271,20 @@ def test_mix_of_tied_sources_takes_documents(spark):
     assert {r[0]: r[1] for r in got} == {"a": 450, "b": 150}
 
 
+def test_mix_of_many_small_sources_is_dealt_out(spark):
+    """100,000 sources, no task with a row for each, and one source over many chunks beside them."""
+    from tidemark.llm import mixing
+
+    rows = spark.range(120_000).selectExpr("id as doc_id", "if(id < 100000, concat('host', id), 'large') as source", "1 + id % 7 as size", "if(id < 100000, 0.25 + (id % 3) / 4D, 0.4D) as p")
+    got = mixing.balanced_sample(rows, block_rows=1000)
+    assert got.where("p not in (0, 1)").isEmpty() and got.count() == got.select("doc_id").distinct().count() == 120_000
+    large, words, small = got.selectExpr("sum(if(source = 'large', p, 0))", "sum(if(source = 'large', p * size, 0))", "sum(if(source <> 'large', p, 0))").first()
+    assert abs(large - 8000) <= 30 and abs(words - 8000 * 4) <= 60 and 0 < small < 100_000
+    summed = {f"s{i:05d}": (i * 7919) % 997 for i in range(20_000)}
+    made = mixing.source_targets(spark.createDataFrame(list(summed.items()), "source string, size long"))
+    assert {r.source: r.target for r in made.collect()} == pytest.approx(brute.targets(summed))
+
+
 def test_flight_keeps_totals():
     from tidemark.llm.mixing import flight_step, landed
 

@@ -6,14 +6,18 @@ constraints, the source's expected documents and words, until each is 0 or 1: th
 direction that changes neither total, and a step along it decides one of them. So a stream of documents needs three of each
 source in memory. Large documents go first, and the few smallest of each source are held back.
 
-The flight runs over blocks of documents dealt by a hash of their id, whatever the source, so that a source with most rows is
-spread over all blocks. The undecided of ``FAN`` blocks meet in a block of the next flight, and so on until one block is left, whose
-last documents of each source (``LANDING`` at most, besides two) are landed: the few largest are tried in all ways, the others fill up
+The flight runs over chunks of a source of about ``BLOCK_ROWS`` documents, dealt by a hash of their ids, so that a source with most rows is spread over
+many tasks and any number of small sources over all tasks. A chunk leaves ``HELD`` documents and two at most undecided; those of a source meet again in the next flight, in fewer chunks.
+A source that fits into one chunk is landed there: of its last ``LANDING`` documents and two the few largest are tried in all ways, the others fill up
 what is missing, and the way that comes closest to the source's expected words is taken.
-Blocks, orders and random draws come from hashes of the rows, so reruns agree whatever the partitions.
+Chunks, orders and random draws come from hashes of the rows, so reruns agree whatever the partitions.
 
-Null texts and texts without words have size 0; they take part and take no words. A null source is a source of its
-own, the last. Equal rows are drawn one by one. Sources of size 0 have target 0. An empty table gives an empty result.
+Sources are ranked for their weights by a range partitioning, and the common level of the targets is found from sums over buckets of sources of like capacity,
+then among the different capacities of one bucket, so no task gets a row for every source.
+
+Null texts and texts without words have size 0; they take part and take no words; very long ones are counted whole. A null source is a source of its
+own, the last. Equal rows are drawn one by one, and rows of equal id and size share their draw's hash, not their decision. Sources of size 0 have target 0. Extra columns are left
+out of ``mix``; ``mixed_documents`` keeps them and replaces those named copies and taken. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,30 +35,52 @@ from tidemark.session import materialise
 from .texts import blank_words, map_texts, table
 
 WEIGHTS, SHARE, CAP = (3.0, 1.0, 2.0), 1.5, 2.0
-BLOCK_ROWS, FAN, SEED = 10_000, 1000, 2024
+BLOCK_ROWS, SEED, FEW = 10_000, 2024, 10_000
 HELD, LANDING, TRIED = 4, 24, 4
 _EPS = 1e-9
 
 
+def _ranked(summed: DataFrame) -> DataFrame:
+    """``summed`` with place, from 0 by code points of source, null last."""
+    parts = summed.repartitionByRange(F.col("source").asc_nulls_last()).withColumn("_part", F.spark_partition_id())
+    parts = materialise(parts)
+    counts = parts.groupBy("_part").count()
+    offsets = counts.select("_part", (F.sum("count").over(Window.orderBy("_part")) - F.col("count")).alias("_before"))  # a row for each partition
+    own = F.row_number().over(Window.partitionBy("_part").orderBy(F.col("source").asc_nulls_last()))
+    return parts.withColumn("_own", own).join(F.broadcast(offsets), "_part").withColumn("place", (F.col("_own") + F.col("_before") - 1).cast("long")).drop("_part", "_own", "_before")
+
+
+def common_level(rows: DataFrame, words: float) -> float | None:
+    """The level l at which the sum of least(most, l * w) over ``rows`` (most, w) is ``words``; None if the sum of most doesn't reach it.
+
+    The different ratios of most to w are summed in buckets of a 64th of an octave, of which some thousand exist; only the bucket in which the level
+    lies is looked at ratio by ratio.
+    """
+    ratios = rows.where("most > 0").groupBy((F.col("most") / F.col("w")).alias("r")).agg(F.sum("most").alias("m"), F.sum("w").alias("w"))
+    ratios = materialise(ratios.withColumn("bucket", F.floor(F.log2("r") * 64).cast("int")))
+    before, rest = 0.0, ratios.agg(F.sum("w")).first()[0] or 0.0
+    for b in ratios.groupBy("bucket").agg(F.max("r").alias("r"), F.sum("m").alias("m"), F.sum("w").alias("w")).orderBy("bucket").collect():
+        if before + b["m"] + b["r"] * (rest - b["w"]) >= words * (1 - _EPS):
+            up_to = Window.orderBy("r")
+            earlier = up_to.rowsBetween(Window.unboundedPreceding, -1)
+            inside = ratios.where(F.col("bucket") == b["bucket"]).select("r", "m", "w", (F.coalesce(F.sum("m").over(earlier), F.lit(0.0)) + before).alias("m0"), (F.lit(rest) - F.coalesce(F.sum("w").over(earlier), F.lit(0.0))).alias("w0"))
+            first = inside.where(F.col("m0") + F.col("r") * F.col("w0") >= words * (1 - _EPS)).orderBy("r").first()
+            return (words - first["m0"]) / first["w0"] if first else None
+        before, rest = before + b["m"], rest - b["w"]
+    return None
+
+
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
     """source, source_size, target for each source of ``sizes`` (source, size).
 
-    ``share`` of all words are dealt by weight; a target stops at ``cap`` times its source and the excess goes to the others. The sources
-    that stop are those with the smallest cap for their weight, so sorting by that finds the common level in one pass over the
-    sources, of which there is a row each.
+    ``share`` of all words are dealt by weight; a target stops at ``cap`` times its source and the excess goes to the others, so a target is the
+    least of its cap and the common level times its weight.
     """
     summed = sizes.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"))
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    weight = F.element_at(F.array(*map(F.lit, weights)), ((F.row_number().over(by_name) - 1) % len(weights) + 1).cast("int"))
-    rows = summed.withColumn("w", weight).withColumn("most", F.lit(cap) * F.col("source_size"))
-    by_level = Window.orderBy((F.col("most") / F.col("w")).asc(), F.col("source").asc_nulls_last())
-    before = by_level.rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.select("*", (F.lit(share) * F.sum("source_size").over(Window.partitionBy())).alias("all"), F.coalesce(F.sum("most").over(before), F.lit(0.0)).alias("stopped"), F.sum("w").over(by_level.rowsBetween(Window.currentRow, Window.unboundedFollowing)).alias("rest"))
-    level = (F.col("all") - F.col("stopped")) / F.col("rest")  # of the sources from this one on, if none of them stops
-    free = F.col("most") / F.col("w") > level
-    place = F.row_number().over(by_level)  # tied sources stop together or not at all, so the first free one has the level
-    rows = rows.withColumn("place", place).withColumn("level", F.min(F.when(free, F.struct("place", level.alias("level")))).over(Window.partitionBy())["level"])
-    return rows.select("source", "source_size", F.least("most", F.coalesce(F.col("level") * F.col("w"), F.col("most"))).alias("target"))
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("place") % len(weights) + 1).cast("int"))
+    rows = materialise(_ranked(summed).withColumn("w", weight).withColumn("most", F.lit(cap) * F.col("source_size")))
+    level = common_level(rows, share * (rows.agg(F.sum("source_size")).first()[0] or 0))
+    return rows.select("source", "source_size", (F.col("most") if level is None else F.least("most", F.lit(level) * F.col("w"))).alias("target"))
 
 
 def _unit(*parts) -> float:
@@ -106,38 +132,31 @@ def landed(pool: list[list]) -> None:
         x[0] = p
 
 
-def _flight(rows: DataFrame, last: bool) -> DataFrame:
-    """``rows`` (block, source, h, doc_id, size, p) with p moved; rows of a block come together, the largest first."""
+def _flight(rows: DataFrame) -> DataFrame:
+    """``rows`` (chunk, whole, source, h, doc_id, size, p) with p moved; rows of a chunk come together, the largest first, and a whole source is landed."""
     names = rows.columns
 
-    held_back = LANDING if last else HELD
-
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        block, pools, done = None, {}, []
+        at, pool, held, landing, done = None, [], deque(), False, []
 
         def close() -> None:
-            for pool, held in pools.values():
-                pool.extend(held)
-                if last:
-                    landed(pool)
-                done.extend(pool)
-            pools.clear()
+            pool.extend(held)
+            held.clear()
+            if landing:
+                landed(pool)
+            done.extend(pool)
+            pool.clear()
 
         for f in frames:
-            for b, source, h, doc, size, p in zip(*(f[c].tolist() for c in ("block", "source", "h", "doc_id", "size", "p")), strict=True):
-                if b != block:
+            for chunk, whole, source, h, doc, size, p in zip(*(f[c].tolist() for c in ("chunk", "whole", "source", "h", "doc_id", "size", "p")), strict=True):
+                if (chunk, source) != at:
                     close()
-                    block = b
-                x = [p, float(size), b, source, h, doc, size]
-                if not 0.0 < p < 1.0:
-                    done.append(x)
-                    continue
-                pool, held = pools.setdefault(source, ([], deque()))
-                held.append(x)
-                if len(held) > held_back:
+                    at, landing = (chunk, source), whole
+                held.append([p, float(size), chunk, whole, source, h, doc, size])
+                if len(held) > (LANDING if whole else HELD):
                     pool.append(held.popleft())
                 if len(pool) == 3:
-                    flight_step(pool, _unit(b, h, size))
+                    flight_step(pool, _unit(chunk, h, size))
                     done.extend(y for y in pool if y[0] in (0.0, 1.0))
                     pool[:] = [y for y in pool if 0.0 < y[0] < 1.0]
             yield frame(done)
@@ -146,47 +165,50 @@ def _flight(rows: DataFrame, last: bool) -> DataFrame:
         yield frame(done)
 
     def frame(done: list[list]) -> pd.DataFrame:
-        made = pd.DataFrame([(x[2], x[3], x[4], x[5], x[6], x[0]) for x in done], columns=["block", "source", "h", "doc_id", "size", "p"])
-        return made.astype({"block": "int64", "h": "int64", "size": "int64", "p": "float64"})[names]
+        made = pd.DataFrame([(*x[2:8], x[0]) for x in done], columns=["chunk", "whole", "source", "h", "doc_id", "size", "p"])
+        return made.astype({"chunk": "int64", "whole": "bool", "h": "int64", "size": "int64", "p": "float64"})[names]
 
-    sorted_rows = rows.repartition("block").sortWithinPartitions("block", F.desc("size"), "h", "doc_id")
+    sorted_rows = rows.repartition("chunk").sortWithinPartitions("chunk", "source", F.desc("size"), "h", "doc_id")
     return sorted_rows.mapInPandas(run, rows.schema)
 
 
-def balanced_sample(rows: DataFrame, block_rows: int = BLOCK_ROWS, fan: int = FAN) -> DataFrame:
+def _by_source(rows: DataFrame, table: DataFrame, columns: list[str]) -> DataFrame:
+    """``rows`` with ``columns`` of their source in ``table``, which is broadcast if it has few rows."""
+    named = table.select(F.col("source").alias("_s"), *columns)
+    return rows.join(F.broadcast(named) if table.count() <= FEW else named, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+
+
+def balanced_sample(rows: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``rows`` (doc_id, source, size, p) with p decided: 0 or 1, the documents and words of each source near to their expectation."""
-    n = rows.count()
-    blocks = max(1, math.ceil(n / block_rows))
-    h = F.xxhash64(F.lit(SEED), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "size")
     kind = dict(rows.dtypes)["doc_id"]
-    now = rows.select(F.col("doc_id").cast("string").alias("doc_id"), "source", "size", "p", h.alias("h")).withColumn("block", F.pmod("h", F.lit(blocks)).cast("long"))
-    kept = []
+    h = F.xxhash64(F.lit(SEED), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "size")
+    given = materialise(rows.select(F.col("doc_id").cast("string").alias("doc_id"), "source", "size", "p", h.alias("h")))
+    names, open_ = given.columns, F.col("p").between(_EPS, 1 - _EPS)
+    out = given.where(~open_)
+    now, salt = given.where(open_), 0
     while True:
-        flown = materialise(_flight(now, blocks == 1))
-        if blocks == 1:
+        counts = materialise(now.groupBy("source").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("long").alias("chunks")))
+        if counts.isEmpty():
             break
-        kept.append(flown.where("p in (0, 1)"))
-        blocks = math.ceil(blocks / fan)
-        now = flown.where("p not in (0, 1)").withColumn("block", F.pmod("block", F.lit(blocks)).cast("long"))
-    out = flown
-    for k in kept:
-        out = out.unionByName(k)
-    return out.withColumn("doc_id", F.col("doc_id").cast(kind)).drop("block", "h")
+        salt += 1  # chunks of one flight mix those of the flight before
+        placed = _by_source(now, counts, ["chunks"])
+        chunk = F.xxhash64(F.lit(salt), "source", F.pmod(F.xxhash64("h", F.lit(salt)), F.col("chunks")))
+        flown = materialise(_flight(placed.select(*names, chunk.alias("chunk"), (F.col("chunks") == 1).alias("whole"))))
+        out = out.unionByName(flown.where(~open_).select(*names))
+        now = flown.where(open_).select(*names)
+    return out.withColumn("doc_id", F.col("doc_id").cast(kind)).drop("h")
 
 
 def mix(documents: DataFrame) -> DataFrame:
     """doc_id, source, size, source_size, target, copies (how often the mix takes the document) and taken (words)."""
     sizes = materialise(map_texts(documents, lambda texts: ((len(blank_words(t or b"")),) for t in texts), "size long", ["doc_id", "source"]))
     targets = materialise(source_targets(sizes))
-    small = targets.count() <= 10_000
-    named = targets.withColumnRenamed("source", "_s")
-    joined = sizes.join(F.broadcast(named) if small else named, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    joined = _by_source(sizes, targets, ["source_size", "target"])
     rate = F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0))
     whole = F.floor(rate + _EPS)
     split = F.greatest(F.lit(0.0), rate - whole)
     p = F.when(split < _EPS, 0.0).otherwise(split)
-    drawn = balanced_sample(joined.select("doc_id", "source", "size", p.alias("p")))
-    back = drawn.join(F.broadcast(named) if small else named, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    back = _by_source(balanced_sample(joined.select("doc_id", "source", "size", p.alias("p"))), targets, ["source_size", "target"])
     copies = (whole + F.col("p")).cast("long")
     return back.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
