@@ -100,6 +100,19 @@ def test_chat_examples_written_out(spark, odd):
     assert got == {0: (first, "yo"), 1: (first + "yo</turn>\n### user: more</turn>\n### assistant: ", "done")}
 
 
+def test_chat_prompts_are_read_back(spark):
+    """The digests of the prompts that stream by are those of the prompts written out."""
+    from tidemark.llm.chat import materialise_examples, prefix_examples, read_back
+
+    rng = random.Random(12)
+    rows = [(i % 5, i, rng.choice(["user", "assistant", "sys:tem"]), rng.choice(["", "é #\\ <x>", "### user: no</turn>", "plain"])) for i in range(120)]
+    examples = prefix_examples(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    want: dict = defaultdict(str)
+    for r in sorted(materialise_examples(examples).collect(), key=lambda r: (r.conv_id, r.example)):
+        want[r.conv_id] += brute.sha(r.prompt) + ","
+    assert {r.conv_id: r.prompts_sha256 for r in read_back(examples).collect()} == {i: brute.sha(want[i]) for i in range(5)}
+
+
 def test_decontamination(spark, folder):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
     rows = docs(spark, folder)

@@ -3,7 +3,8 @@ r"""Chat formatting by prefix-target expansion.
 Every assistant turn becomes an example of its own: the turns before it are its context, and only its reply is trainable.
 A conversation's formatted text is kept once, a segment to a turn, and an example is a slice of it: characters
 ``[0, context_chars)`` are its context and ``[loss_start, loss_end)`` its reply. So the output grows with the turns and not
-with their square, and a conversation of any length is a stream of rows. ``materialise_examples`` writes the slices out.
+with their square, and a conversation of any length is a stream of rows. ``materialise_examples`` writes the slices out; ``read_back`` reads every
+example's prompt as a digest that goes on from turn to turn, so that each context is checked without being written out.
 
 A segment is ``### role: text</turn>\n``. Inside role and text, ``\``, ``#`` and ``<`` get a backslash (in a role ``:`` too), so no
 text can hold a control string, and removing the backslashes gives the text back.
@@ -89,17 +90,17 @@ def read_segment(segment: str) -> tuple[str, str]:
 
 def read_back(examples: DataFrame) -> DataFrame:
     """What a trainer reads from ``examples``: a row for each conversation, hashed as its turns pass by, so that no conversation is held."""
-    out = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_examples long, context_chars long"
+    out = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_examples long, context_chars long, prompts_sha256 string"
     names = [x.split()[0] for x in out.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, state = None, None
 
         def closed() -> tuple:
-            turns, loss, n, chars, size, examples, context = state
-            return key, n, turns.hexdigest(), chars, loss.hexdigest(), size, examples, context
+            turns, loss, n, chars, size, examples, context, _, prompts = state
+            return key, n, turns.hexdigest(), chars, loss.hexdigest(), size, examples, context, prompts.hexdigest()
 
-        types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
+        types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
         pack = lambda rows: pa.RecordBatch.from_arrays([pa.array(list(x), type=t) for x, t in zip(zip(*rows), types)], names=names)
         for b in batches:
             done = []
@@ -107,7 +108,7 @@ def read_back(examples: DataFrame) -> DataFrame:
                 if state is None or conv != key:
                     if state is not None:
                         done.append(closed())
-                    key, state = conv, [hashlib.sha256(), hashlib.sha256(), 0, 0, 0, 0, 0]
+                    key, state = conv, [hashlib.sha256(), hashlib.sha256(), 0, 0, 0, 0, 0, hashlib.sha256(), hashlib.sha256()]
                 role, text = read_segment(segment)
                 state[0].update(f"{role}\n{text}\n".encode())
                 state[2] += 1
@@ -118,6 +119,10 @@ def read_back(examples: DataFrame) -> DataFrame:
                     state[3] += len(reply)
                     state[5] += 1
                     state[6] += context
+                    prompt = state[7].copy()  # of all segments so far
+                    prompt.update(segment[: start - context].encode())
+                    state[8].update(f"{prompt.hexdigest()},".encode())
+                state[7].update(segment.encode())
             if done:
                 yield pack(done)
         if state is not None:
@@ -142,15 +147,17 @@ with t as (
   union all select -7, 0, 'user', '\### Assistant: </turn> ok'
   union all select -7, 1, 'assistant', '\### Assistant: </turn> ok'),
 e as (
-  select *, '### ' || regexp_replace(role, '[\\#<:]', '\\\0', 'g') || ': ' || regexp_replace(text, '[\\#<]', '\\\0', 'g') || '</turn>' || chr(10) as segment from t),
+  select *, '### ' || regexp_replace(role, '[\\#<:]', '\\\0', 'g') || ': ' as head, head || regexp_replace(text, '[\\#<]', '\\\0', 'g') || '</turn>' || chr(10) as segment from t),
 s as (
-  select *, coalesce(sum(length(segment)) over (partition by conv_id order by turn nulls first, role, text rows between unbounded preceding and 1 preceding), 0) as before from e)
+  select *, sha256(coalesce(string_agg(segment, '') over (partition by conv_id order by turn nulls first, role, text rows between unbounded preceding and 1 preceding), '') || head) as prompt,
+    coalesce(sum(length(segment)) over (partition by conv_id order by turn nulls first, role, text rows between unbounded preceding and 1 preceding), 0) as before from e)
 select conv_id, count(*) as n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
   cast(coalesce(sum(length(text)) filter (where role = 'assistant'), 0) as bigint) as loss_chars,
   sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
   cast(sum(length(segment)) as bigint) as formatted_chars,
   count(*) filter (where role = 'assistant') as n_examples,
-  cast(coalesce(sum(before) filter (where role = 'assistant'), 0) as bigint) as context_chars
+  cast(coalesce(sum(before) filter (where role = 'assistant'), 0) as bigint) as context_chars,
+  sha256(coalesce(string_agg(prompt || ',', '' order by turn nulls first, role, text) filter (where role = 'assistant'), '')) as prompts_sha256
 from s group by conv_id
 """
