@@ -46,7 +46,7 @@ def _iban_shape() -> str:
         codes = "|".join(c for c, x in IBAN_LENGTHS.items() if x == n)
         shapes.append(f"(?:{codes})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{whole}}}" + (f" ?[A-Z0-9]{{{rest}}}" if rest else ""))
     shapes.append(f"(?!{'|'.join(IBAN_LENGTHS)})[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?")
-    return "(?:" + "|".join(shapes) + ")"
+    return "(?=[A-Z]{2}[0-9]{2})(?:" + "|".join(shapes) + ")"
 
 
 # The groups of a phone number don't begin a card number: groups of four with no fifth one behind them, 4-6-5, or digits in a row.
