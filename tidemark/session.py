@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
+_DELETED: set[str] = set()
 
 
 def local_session(cpus: int | str = "*", partitions: int = 8) -> SparkSession:
@@ -28,8 +29,9 @@ def local_session(cpus: int | str = "*", partitions: int = 8) -> SparkSession:
 def scratch_path(spark: SparkSession) -> str:
     """A fresh path that every executor can reach.
 
-    It lies in ``spark.checkpoint.dir``. Where that is unset, a local session gets a temporary folder
-    and a cluster gets a folder of its warehouse, which is shared too.
+    It lies in ``spark.checkpoint.dir``. Where that is unset, a local session (one JVM) gets a temporary folder of its machine
+    and a cluster gets a folder of its warehouse, which is shared too. All paths of an application lie in one folder, which is
+    deleted when its driver ends, as results are read from there until then.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
@@ -38,7 +40,12 @@ def scratch_path(spark: SparkSession) -> str:
             base = _LOCAL.setdefault(app, _LOCAL.get(app) or tempfile.mkdtemp(prefix="spark-"))
         else:
             base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    app = f"{base.rstrip('/')}/scratch-{spark.sparkContext.applicationId}"
+    if app not in _DELETED:
+        _DELETED.add(app)
+        path = spark._jvm.org.apache.hadoop.fs.Path(app)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return f"{app}/{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame) -> DataFrame:
