@@ -13,7 +13,7 @@ from tidemark.functions.web import canonical_url
 
 from .bars import ranked
 
-SIMILAR = 0.85
+SIMILAR, PAGE = 0.85, 100
 _MARKS = re.compile(r"[^\w\s]")
 
 
@@ -38,8 +38,16 @@ def greedy_titles(titles: list[str], times: list) -> list[int]:
     return kept
 
 
+def fetch_of(ordinal: str = "ordinal") -> Column:
+    """A fetch for each PAGE numbers of ``ordinal``: providers give a page at a time, so no fetch has more articles than that."""
+    return F.floor(F.col(ordinal) / PAGE)
+
+
 def title_dedup(articles: DataFrame, group: list[str], ordinal: str = "ordinal") -> DataFrame:
-    """``articles`` without near-equal titles within a ``group``: what one fetch returns for a ticker, which providers' page sizes bound."""
+    """``articles`` without near-equal titles within a ``group``, which has to be one fetch: its rows meet in a task and are compared in their order.
+
+    ``fetch_of`` makes such a key of bounded size where articles come without one.
+    """
 
     def one(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values(ordinal, kind="stable").reset_index(drop=True)

@@ -1,4 +1,4 @@
-"""Queries over news and pages: documents stand for articles."""
+"""Queries over news and pages: documents stand for articles, their whole first lines for titles, and a hundred ids in a row for a fetch."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from tidemark.operators import news as op
 from tidemark.sources.adapters import read
 
 ARTICLES = """
-select doc_id as ordinal, substr(split_part(coalesce(text, ''), chr(10), 1), 1, 120) as title, 'https://news.example.com/' || cast(doc_id as varchar) as url, source as provider, lang as language,
+select doc_id as ordinal, split_part(coalesce(text, ''), chr(10), 1) as title, 'https://news.example.com/' || cast(doc_id as varchar) as url, source as provider, lang as language,
   case when doc_id % 50 <> 0 then timestamp '2024-01-01 00:00:00' + cast(doc_id * 37 % 40000 as int) * interval 1 minute end as published_at, 'T' || cast(doc_id % 20 as varchar) as t1, 'T' || cast(doc_id % 7 as varchar) as t2
 from documents
 """
@@ -20,7 +20,7 @@ def articles(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("doc_id")
     number = lambda n: F.concat(F.lit("T"), (k % n).cast("string"))
     return read(spark, d, "documents").select(
-        k.alias("ordinal"), F.substring(F.split_part(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(1)), 1, 120).alias("title"), F.concat(F.lit("https://news.example.com/"), k.cast("string")).alias("url"),
+        k.alias("ordinal"), F.split_part(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(1)).alias("title"), F.concat(F.lit("https://news.example.com/"), k.cast("string")).alias("url"),
         F.col("source").alias("provider"), F.col("lang").alias("language"), F.when(k % 50 != 0, F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, cast(doc_id * 37 % 40000 as int))")).alias("published_at"), F.array(number(20), number(7)).alias("tickers"),
     )
 
@@ -39,8 +39,8 @@ QUERIES = {
         lambda spark, d: op.exact_dedup(read(spark, d, "pages").select(F.col("page_id").alias("ordinal"), "url")),
         CANONICAL + " select c.page_id as ordinal, pages.url from c join pages using (page_id) qualify row_number() over (partition by c.url order by c.page_id) = 1",
     ),
-    "news_title_dedup": (lambda spark, d: op.title_dedup(articles(spark, d).withColumn("day", F.to_date("published_at")), ["provider", "day"]).select("ordinal", "title", "provider"), None),
-    "ticker_news": (lambda spark, d: op.ticker_news(articles(spark, d).withColumn("day", F.to_date("published_at")), ["provider", "day"], "en", 10).select("ordinal", "title", "provider", "published_at"), None),
+    "news_title_dedup": (lambda spark, d: op.title_dedup(articles(spark, d).withColumn("fetch", op.fetch_of()), ["provider", "fetch"]).select("ordinal", "title", "provider"), None),
+    "ticker_news": (lambda spark, d: op.ticker_news(articles(spark, d).withColumns({"fetch": op.fetch_of(), "ticker": F.explode(F.array_distinct("tickers"))}), ["ticker", "fetch"], "en", 10).select("ticker", "fetch", "ordinal", "title", "provider", "published_at"), None),
     "news_feed": (
         lambda spark, d: op.feed(articles(spark, d), "en", ["T1", "T2"], 40).select("ordinal", "url", "published_at"),
         f"with a as ({ARTICLES}) select ordinal, url, published_at from a where language = 'en' and (t1 in ('T1', 'T2') or t2 in ('T1', 'T2')) order by published_at desc nulls first, url limit 40",
