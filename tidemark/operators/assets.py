@@ -117,4 +117,4 @@ def ingest(stored: DataFrame, primary: DataFrame, secondary: DataFrame, today: s
     new = clean.select(*stored.columns)
     got = new.groupBy("asset").agg(F.count(F.lit(1)).alias("n"))
     log = due.join(got, "asset", "left").select("asset", F.when(F.col("up_to_date"), "up_to_date").when(F.col("n") > 0, "success").otherwise("failed").alias("status"), F.coalesce("n", F.lit(0)).alias("n"))
-    return upsert(stored, new, ["asset", "ts"]), log
+    return upsert(stored, new, ["asset", "ts"], time="ts"), log

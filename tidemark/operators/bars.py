@@ -29,27 +29,44 @@ def normalise(bars: DataFrame, ordinal: str = "ordinal") -> DataFrame:
     return stretched.withColumns(added).drop(ordinal)
 
 
-def upsert(existing: DataFrame, new: DataFrame, keys: list[str], update: list[str] | None = None) -> DataFrame:
+def _touched(existing: DataFrame, new: DataFrame, time: str | None) -> tuple[DataFrame, DataFrame | None]:
+    """``existing`` in the range of ``time`` that ``new`` spans, and the rest of it, which a scan can tell apart by its partitions and statistics."""
+    if time is None:
+        return existing, None
+    lo, hi = new.agg(F.min(time), F.max(time)).first()
+    kind = dict(existing.dtypes)[time]
+    inside = F.col(time).between(F.lit(lo).cast(kind), F.lit(hi).cast(kind)) if lo is not None else F.lit(False)
+    return existing.where(F.coalesce(inside, F.lit(True))), existing.where(F.coalesce(~inside, F.lit(False)))
+
+
+def _same(keys: list[str]) -> Column:
+    return F.expr(" and ".join(f"e.{k} <=> n.{k}" for k in keys))
+
+
+def upsert(existing: DataFrame, new: DataFrame, keys: list[str], update: list[str] | None = None, time: str | None = None) -> DataFrame:
     """``existing`` with the rows of ``new``, both unique by ``keys``: new keys are added, of known ones the ``update`` columns are replaced.
 
-    A parquet table has no MERGE; the result is written over the partitions that ``new`` touches.
+    A parquet table has no MERGE; the result is written over the partitions that ``new`` touches. With ``time``, one of the keys, stored
+    rows outside the range of ``new`` pass through without a join or a shuffle; inside, stored rows are joined by key.
     """
+    inside, rest = _touched(existing, new, time)
+    e, n = inside.alias("e"), new.alias("n")
     if update is None or set(update) | set(keys) >= set(existing.columns):
-        both = existing.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
-        return ranked(both, keys, [F.desc("_new")]).drop("_new")
-    e, n = existing.alias("e"), new.alias("n")
-    met = F.expr(" and ".join(f"e.{k} <=> n.{k}" for k in keys))
-    joined = e.withColumn("_e", F.lit(True)).alias("e").join(n.withColumn("_n", F.lit(True)).alias("n"), met, "full")
-    picked = []
-    for c in existing.columns:
-        from_new = F.col(f"n.{c}") if c in new.columns else F.lit(None)
-        picked.append(F.when(F.col("_e").isNull() | (F.col("_n").isNotNull() & F.lit(c in update)), from_new).otherwise(F.col(f"e.{c}")).alias(c))
-    return joined.select(*picked)
+        out = e.join(n.select(*keys).alias("n"), _same(keys), "left_anti").unionByName(new)
+    else:
+        joined = inside.withColumn("_e", F.lit(True)).alias("e").join(new.withColumn("_n", F.lit(True)).alias("n"), _same(keys), "full")
+        picked = []
+        for c in existing.columns:
+            from_new = F.col(f"n.{c}") if c in new.columns else F.lit(None)
+            picked.append(F.when(F.col("_e").isNull() | (F.col("_n").isNotNull() & F.lit(c in update)), from_new).otherwise(F.col(f"e.{c}")).alias(c))
+        out = joined.select(*picked)
+    return out if rest is None else rest.unionByName(out)
 
 
-def insert_absent(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """``existing`` and those rows of ``new`` whose keys it lacks."""
-    return existing.unionByName(new.join(existing.select(*keys), keys, "left_anti").select(*existing.columns))
+def insert_absent(existing: DataFrame, new: DataFrame, keys: list[str], time: str | None = None) -> DataFrame:
+    """``existing`` and those rows of ``new`` whose keys it lacks; with ``time`` only stored rows of its range are joined."""
+    inside, _ = _touched(existing, new, time)
+    return existing.unionByName(new.join(inside.select(*keys), keys, "left_anti").select(*existing.columns))
 
 
 def first_source(*sources: DataFrame, keys: list[str]) -> DataFrame:
@@ -127,14 +144,21 @@ def retained(rows: DataFrame, time: str, as_of: str, days: int) -> DataFrame:
     return rows.where(F.col(time) >= F.expr(f"timestamp_ntz'{as_of}' - interval {int(days)} days"))
 
 
-def asof(left: DataFrame, right: DataFrame, key: str, time: str, value: str) -> DataFrame:
+def asof(left: DataFrame, right: DataFrame, key: str, time: str, value: str, bucket: str = "month") -> DataFrame:
     """``left`` (key, time, ...) with the ``value`` of ``right`` that is latest at its time.
 
-    Both sides are stacked and one window carries the last value on, so there is no range join; ``right`` comes first at equal times.
+    Both sides are stacked and one window carries the last value on, so there is no range join; ``right`` comes first at equal times. A window
+    spans one ``bucket`` of a key, so a hot key is many tasks; what a bucket hands on to the next ones is a row for each key and
+    bucket, found by a second window over these rows alone.
     """
     names = [c for c in left.columns if c != value]
-    stacked = left.select(*names, F.lit(None).cast(dict(right.dtypes)[value]).alias(value), F.lit(1).alias("_side")).unionByName(
-        right.select(key, time, value, F.lit(0).alias("_side")), allowMissingColumns=True
-    )
-    w = Window.partitionBy(key).orderBy(time, "_side").rowsBetween(Window.unboundedPreceding, 0)
-    return stacked.withColumn(value, F.last(value, ignorenulls=True).over(w)).where("_side = 1").drop("_side")
+    known = right.where(F.col(time).isNotNull() & F.col(value).isNotNull()).select(key, time, value)
+    stacked = left.select(*names, F.lit(None).cast(dict(right.dtypes)[value]).alias(value), F.lit(1).alias("_side")).unionByName(known.withColumn("_side", F.lit(0)), allowMissingColumns=True)
+    stacked = stacked.withColumn("_bucket", F.date_trunc(bucket, time))
+    w = Window.partitionBy(key, "_bucket").orderBy(time, "_side").rowsBetween(Window.unboundedPreceding, 0)
+    inside = stacked.withColumn(value, F.last(value, ignorenulls=True).over(w)).where("_side = 1").drop("_side")
+    ends = stacked.groupBy(key, "_bucket").agg(F.max_by(value, F.when(F.col("_side") == 0, F.col(time))).alias("_end"))
+    before = Window.partitionBy(key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    handed = ends.select(F.col(key).alias("_key"), F.col("_bucket").alias("_b"), F.last("_end", ignorenulls=True).over(before).alias("_handed")).where("_handed is not null and _b is not null")
+    joined = inside.join(handed, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_bucket") == F.col("_b")), "left")
+    return joined.withColumn(value, F.coalesce(value, "_handed")).drop("_bucket", "_key", "_b", "_handed")

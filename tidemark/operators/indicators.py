@@ -351,17 +351,23 @@ def _recursive(bars: DataFrame, loops: list[tuple[Indicator, dict]]) -> DataFram
     return bars.repartition("asset").sortWithinPartitions("asset", "ts").mapInPandas(run, schema)
 
 
+def indicators_by_size(bars: DataFrame, specs: list[str], most: int = 1_000_000) -> DataFrame:
+    """``indicators``, in chunks of ``most`` bars if an asset has more: bars are counted by asset first."""
+    largest = bars.groupBy("asset").count().agg(F.max("count")).first()[0] or 0
+    return indicators(bars, list(specs), chunk_rows=most if largest > most else None)
+
+
 def long_frame(bars: DataFrame, specs: list[str]) -> DataFrame:
     """asset, ts, series, value: a row for each series and bar."""
     names = [c for n, p in map(parse, specs) for c in CATALOG[n].names(p)]
-    wide = indicators(bars, list(specs)).select("asset", "ts", *(F.col(f"`{n}`") for n in names))
+    wide = indicators_by_size(bars, specs).select("asset", "ts", *(F.col(f"`{n}`") for n in names))
     return wide.unpivot(["asset", "ts"], [f"`{n}`" for n in names], "series", "value")
 
 
 def chart(bars: DataFrame, specs: list[str], n: int = 5000) -> DataFrame:
     """A row for each asset: arrays in order of time, of its newest ``n`` bars, which is what a chart shows."""
     names = [c for n, p in map(parse, specs) for c in CATALOG[n].names(p)]
-    wide = latest(indicators(bars, list(specs)), n)
+    wide = latest(indicators_by_size(bars, specs), n)
     held = wide.groupBy("asset").agg(F.array_sort(F.collect_list(F.struct("ts", "close", *(F.col(f"`{n}`").alias(f"s{i}") for i, n in enumerate(names))))).alias("_rows"))
     return held.select("asset", F.col("_rows.ts").alias("ts"), F.col("_rows.close").alias("close"), *(F.col(f"_rows.s{i}").alias(n) for i, n in enumerate(names)))
 
@@ -373,7 +379,7 @@ def screen(bars: DataFrame, spec: str, operator: str, value: float) -> DataFrame
     """asset, value: assets whose last known value of the indicator's first series compares so with ``value``."""
     n, p = parse(spec)
     name = CATALOG[n].names(p)[0]
-    found = indicators(bars, [spec]).where(F.col(f"`{name}`").isNotNull()).groupBy("asset").agg(F.max_by(F.col(f"`{name}`"), "ts").alias("value"))
+    found = indicators_by_size(bars, [spec]).where(F.col(f"`{name}`").isNotNull()).groupBy("asset").agg(F.max_by(F.col(f"`{name}`"), "ts").alias("value"))
     return found.where(F.expr(f"value {COMPARE[operator]} {float(value)}")).select("asset", steady("value", 2).alias("value"))
 
 

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.numbers import steady_sql
 
-from .bars import ranked
 
 YEARS = 5
 Steps = list[tuple[str, str]]
@@ -33,8 +32,7 @@ FACTS: Steps = [
 
 def facts(highlights: DataFrame, statements: DataFrame) -> DataFrame:
     """``highlights`` (a row for each asset_id) with the FACTS of its five latest annual ``statements``."""
-    kept = ranked(statements, ["asset_id"], [F.desc("period_end")], YEARS)
-    rows = kept.withColumn("rn", F.expr("row_number() over (partition by asset_id order by period_end desc)"))
+    rows = statements.withColumn("rn", F.expr("row_number() over (partition by asset_id order by period_end desc)")).where(F.col("rn") <= YEARS)
     return highlights.join(rows.groupBy("asset_id").agg(*(F.expr(sql).alias(name) for name, sql in FACTS)), "asset_id", "left")
 
 

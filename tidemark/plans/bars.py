@@ -87,16 +87,16 @@ QUERIES = {
     "resample_monthly": (lambda spark, d: op.resample(brand_bars(spark, d), "month"), f"with b as ({BRAND})" + RESAMPLED.format("month", "month")),
     "normalize_bars": (lambda spark, d: op.normalise(_rough(spark, d)), NORMALISED),
     "upsert_bars": (
-        lambda spark, d: op.upsert(*_halves(spark, d), keys=["asset", "ts"]),
+        lambda spark, d: op.upsert(*_halves(spark, d), keys=["asset", "ts"], time="ts"),
         SPLIT + " select * from n union all select e.* from e anti join n on e.asset = n.asset and e.ts = n.ts",
     ),
     "upsert_partial": (
-        lambda spark, d: op.upsert(*_halves(spark, d), keys=["asset", "ts"], update=["close"]),
+        lambda spark, d: op.upsert(*_halves(spark, d), keys=["asset", "ts"], update=["close"], time="ts"),
         SPLIT + """ select coalesce(e.asset, n.asset) as asset, coalesce(e.ts, n.ts) as ts, coalesce(e.open, n.open) as open, coalesce(e.high, n.high) as high,
           coalesce(e.low, n.low) as low, coalesce(n.close, e.close) as close, coalesce(e.volume, n.volume) as volume from e full join n on e.asset = n.asset and e.ts = n.ts""",
     ),
     "insert_absent": (
-        lambda spark, d: op.insert_absent(*_halves(spark, d), keys=["asset", "ts"]),
+        lambda spark, d: op.insert_absent(*_halves(spark, d), keys=["asset", "ts"], time="ts"),
         SPLIT + " select * from e union all select n.* from n anti join e on e.asset = n.asset and e.ts = n.ts",
     ),
     "history_weekly": (

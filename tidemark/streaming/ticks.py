@@ -40,10 +40,17 @@ def minute_bars(ticks: DataFrame, width: str = "1 minute") -> DataFrame:
 
 
 def last_values(ticks: DataFrame) -> DataFrame:
+    """Price and time of each asset's newest tick."""
     order = F.struct("ts", "event_id") if "event_id" in ticks.columns else F.struct("ts")
     return ticks.groupBy("asset").agg(F.max_by("price", order).alias("price"), F.max("ts").alias("ts"))
 
 
+def fresh(values: DataFrame, now: str, seconds: int = 60) -> DataFrame:
+    """``values`` (asset, price, ts) that are no older than ``seconds`` at ``now``: a last value past its time to live isn't told."""
+    at = F.lit(now).cast(dict(values.dtypes)["ts"])
+    return values.where(F.col("ts") > at - F.make_dt_interval(secs=F.lit(seconds)))
+
+
 def counters(ticks: DataFrame) -> DataFrame:
     return ticks.groupBy("asset").agg(F.count(F.lit(1)).alias("tick_count"), F.max("ts").alias("last_tick_at"))
 
@@ -53,24 +60,33 @@ def subscribed(ticks: DataFrame, subscriptions: DataFrame) -> DataFrame:
     return ticks.join(subscriptions.where("is_active").select("asset"), "asset", "left_semi")
 
 
-def alert_states(health: DataFrame) -> DataFrame:
+def alert_states(health: DataFrame, low: float = 0.0) -> DataFrame:
     """provider, type, event (opened, resolved), date from a stream of daily health (provider, date, total, ok).
 
-    Keeps one small state for each provider: whether an alert is open, and the last date seen.
+    canary_failed opens on a day with failures and resolves on one without; low_success opens where the share of ok falls below ``low`` and
+    resolves where it doesn't. Keeps one small state for each provider: which alerts are open, and the last date seen; days that
+    come late, at or before that date, change nothing. A batch's days of a provider, of which there are few, are put in order.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        is_open = state.get[0] if state.exists else False
+        failed, weak, seen = state.get if state.exists else (False, False, None)
+        days = sorted((r.date, r.total, r.ok) for f in frames for r in f.itertuples())
         out = []
-        for r in pd.concat(list(frames)).sort_values("date").itertuples():
-            bad = r.total > r.ok
-            if bad != is_open and (bad or r.total > 0):
-                out.append((key[0], "canary_failed", "opened" if bad else "resolved", r.date))
-                is_open = bad
-        state.update((is_open,))
+        for date, total, ok in days:
+            if seen is not None and date <= seen:
+                continue
+            seen = date
+            bad, poor = total > ok, total > 0 and ok / total < low
+            if bad != failed and (bad or total > 0):
+                out.append((key[0], "canary_failed", "opened" if bad else "resolved", date))
+                failed = bad
+            if poor != weak and total > 0:
+                out.append((key[0], "low_success", "opened" if poor else "resolved", date))
+                weak = poor
+        state.update((failed, weak, seen))
         yield pd.DataFrame(out, columns=["provider", "type", "event", "date"])
 
-    return health.groupBy("provider").applyInPandasWithState(step, "provider string, type string, event string, date date", "is_open boolean", "append", GroupStateTimeout.NoTimeout)
+    return health.groupBy("provider").applyInPandasWithState(step, "provider string, type string, event string, date date", "failed boolean, weak boolean, seen date", "append", GroupStateTimeout.NoTimeout)
 
 
 def available_now(stream: DataFrame, mode: str, keys: list[str] | None = None) -> DataFrame:
