@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import assets, bars, fundamentals, identity, indicators, logs, news, quality, search, streams, valuation
+from . import assets, bars, feeds, fundamentals, identity, indicators, logs, news, quality, search, streams, valuation
 
 FLAGSHIP = "bars_hourly"
-_MODULES = [bars, indicators, valuation, quality, logs, identity, assets, news, fundamentals, search, streams]
+_MODULES = [bars, indicators, valuation, quality, logs, identity, assets, news, fundamentals, search, streams, feeds]
 
 
 def queries() -> dict:

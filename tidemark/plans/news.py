@@ -53,6 +53,4 @@ QUERIES = {
         lambda spark, d: op.top_tickers(articles(spark, d)),
         f"with a as ({ARTICLES}), t as (select t1 as ticker from a union all select t2 from a where t1 <> t2) select ticker, count(*) as n from t group by 1 order by n desc, ticker limit 10",
     ),
-    "html_cards": (lambda spark, d: read(spark, d, "pages").select("page_id", F.explode(web.cards("html")).alias("c")).select("page_id", "c.title", "c.url", "c.time"), None),
-    "html_label_values": (lambda spark, d: read(spark, d, "pages").select("page_id", F.explode(web.label_values("html")).alias("c")).select("page_id", "c.label", "c.value"), None),
 }
