@@ -23,6 +23,12 @@ def plain_company(name: Column | str) -> Column:
     return F.trim(F.regexp_replace(F.replace(F.replace(col(name), F.lit("Limited"), F.lit("")), F.lit(","), F.lit("")), r"\.$", ""))
 
 
+def short_company(name: Column | str) -> Column:
+    """``Limited`` as ``Ltd``, without commas, full stops and accents."""
+    short = F.replace(F.replace(F.replace(col(name), F.lit("Limited"), F.lit("Ltd")), F.lit(","), F.lit("")), F.lit("."), F.lit(""))
+    return without_accents(short)
+
+
 def without_accents(text: Column | str) -> Column:
     """Latin letters without their marks; other characters beyond ASCII go."""
     marks = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ"

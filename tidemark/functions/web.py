@@ -31,6 +31,12 @@ SUFFIX = {
 FORM4 = {"P": "Buy", "S": "Sell", "A": "Award", "M": "Option Exercise", "G": "Gift", "F": "Tax Withholding", "D": "Sale to Issuer", "I": "Discretionary", "C": "Conversion", "W": "Will/Inheritance", "X": "Option Exercise"}
 
 
+#: Suffix of a ticker: language of its news. Fixed values.
+LANGUAGE = {".PA": "fr", ".AS": "nl", ".BR": "fr", ".DE": "de", ".F": "de", ".L": "en", ".MI": "it", ".MC": "es", ".ST": "sv", ".HE": "fi", ".SW": "de", ".TO": "en"}
+#: Suffix of a ticker: country in one service's addresses. Fixed values.
+COUNTRY = {".PA": "fr", ".AS": "nl", ".BR": "be", ".DE": "de", ".F": "de", ".L": "uk", ".MI": "it", ".MC": "es", ".ST": "se", ".HE": "fi", ".SW": "ch", ".TO": "ca"}
+
+
 def _map(table: dict[str, str]) -> Column:
     return F.create_map(*(F.lit(x) for pair in table.items() for x in pair))
 
@@ -55,6 +61,16 @@ def market_code(ticker: Column | str) -> Column:
     return F.try_element_at(_map(MIC), suffix(ticker))
 
 
+def news_language(ticker: Column | str) -> Column:
+    """Language of a ticker's market, English where its suffix isn't known."""
+    return F.coalesce(F.try_element_at(_map(LANGUAGE), suffix(ticker)), F.lit("en"))
+
+
+def market_country(ticker: Column | str) -> Column:
+    """Country of a ticker's market as an address has it; null where its suffix isn't known."""
+    return F.try_element_at(_map(COUNTRY), suffix(ticker))
+
+
 def stream_symbol(ticker: Column | str) -> Column:
     """struct(exchange, symbol): ``AIR.PA`` to EURONEXT and AIR; a ticker without a known suffix is of NASDAQ."""
     t = F.upper(col(ticker))

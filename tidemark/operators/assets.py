@@ -67,6 +67,11 @@ def compatible_provider(provider: Column, ticker: Column, european: list[str]) -
     return ~(provider.isin(european) & ~suffix(ticker).isin(EUROPEAN))
 
 
+def mentioned(mappings: DataFrame, ticker: str) -> DataFrame:
+    """``mappings`` whose value holds the ticker behind a slash. As in an unanchored LIKE, ``/A`` is also found in ``/AAPL``."""
+    return mappings.where(F.col("value").contains(f"/{ticker}"))
+
+
 def recent_closes(bars: DataFrame, listings: DataFrame, since: str) -> DataFrame:
     """ticker, ts, close of daily bars since a day."""
     days = bars.where((F.col("resolution") == "1D") & (F.col("ts") >= since))

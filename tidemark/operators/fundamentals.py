@@ -38,6 +38,27 @@ def merged(rows: DataFrame, key: str, priority: str, columns: list[str]) -> Data
     return rows.groupBy(key).agg(*(F.min_by(c, F.when(F.col(c).isNotNull(), F.col(priority))).alias(c) for c in columns))
 
 
+def requested_providers(requests: DataFrame, known: list[str]) -> DataFrame:
+    """request_id, provider, error: the names of ``requests`` (request_id, names: array) as they are known, whatever their case; none asked for means all, unknown ones have an error."""
+    names = F.filter(F.transform(F.coalesce("names", F.array().cast("array<string>")), lambda n: F.trim(n)), lambda n: n != "")
+    asked = requests.select("request_id", F.explode(F.when(F.size(names) > 0, names).otherwise(F.array(*map(F.lit, known)))).alias("name"))
+    table = F.create_map(*(F.lit(x) for n in known for x in (n.lower(), n)))
+    found = F.try_element_at(table, F.lower("name"))
+    return asked.select("request_id", F.coalesce(found, "name").alias("provider"), F.when(found.isNull(), "Provider not found").alias("error"))
+
+
+def two_stage(by_ticker: DataFrame, by_isin: DataFrame, columns: list[str]) -> DataFrame:
+    """ticker, isin and ``columns``: of each the value of the first provider that has one, those asked by ticker before those asked by the ISIN that the former found.
+
+    ``by_ticker`` has ticker, isin, place, error and ``columns``, ``by_isin`` isin, place, error and ``columns``; results with an error don't count.
+    """
+    good = by_ticker.where("error is null")
+    found = good.groupBy("ticker").agg(F.min_by("isin", F.when(F.col("isin") != "", F.col("place"))).alias("isin"))
+    later = found.join(by_isin.where("error is null"), "isin").select("ticker", F.struct(F.lit(2).alias("stage"), "place").alias("_p"), *columns)
+    both = good.select("ticker", F.struct(F.lit(1).alias("stage"), "place").alias("_p"), *columns).unionByName(later)
+    return found.join(merged(both, "ticker", "_p", columns), "ticker", "left")
+
+
 #: Column of the highlights: key of a provider's info document. Fixed values.
 HIGHLIGHTS = {
     "market_cap": "marketCap", "enterprise_value": "enterpriseValue", "pe_ratio": "trailingPE", "pe_forward": "forwardPE", "pb_ratio": "priceToBook", "ps_ratio": "priceToSalesTrailing12Months", "peg_ratio": "pegRatio",
@@ -98,6 +119,13 @@ def quotes(bars: DataFrame) -> DataFrame:
     return out.withColumns({"change": change, "change_pct": 100 * F.try_divide(change, F.col("previous"))})
 
 
+def quote_status(quoted: DataFrame, newest: DataFrame, as_of: str, seconds: int = 900) -> DataFrame:
+    """``quoted`` with status: realtime where the asset's newest tick (asset, ts) is at most ``seconds`` old, else delayed."""
+    last = newest.groupBy("asset").agg(F.max("ts").alias("_ts"))
+    recent = F.col("_ts") >= F.expr(f"timestamp_ntz'{as_of}' - interval {int(seconds)} seconds")
+    return quoted.join(last, "asset", "left").withColumn("status", F.when(recent, "realtime").otherwise("delayed")).drop("_ts")
+
+
 def stale(active: DataFrame, ticks: DataFrame, as_of: str, seconds: int = 60) -> DataFrame:
     """asset, is_stale: active assets without a tick in the ``seconds`` before ``as_of``."""
     fresh = ticks.where(F.col("ts") > F.expr(f"timestamp_ntz'{as_of}' - interval {int(seconds)} seconds")).select("asset").distinct().withColumn("_f", F.lit(True))

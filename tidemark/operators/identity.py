@@ -112,3 +112,38 @@ def filled(known: DataFrame, new: DataFrame, key: str, columns: list[str]) -> Da
     n = new.select(key, *(F.col(c).alias(f"_{c}") for c in columns))
     out = known.join(n, key, "left")
     return out.withColumns({c: F.coalesce(F.nullif(F.col(c), F.lit("")), F.col(f"_{c}")) for c in columns}).drop(*(f"_{c}" for c in columns))
+
+
+def listing_search(listings: DataFrame, ticker: str | None = None, exchange: str | None = None, currency: str | None = None, n: int = 50) -> DataFrame:
+    """The first ``n`` listings that match what is given: primary ones first, then by ticker, currency, exchange and id."""
+    out = listings
+    for name, value in (("ticker", ticker), ("exchange", exchange), ("currency", currency)):
+        if value is not None:
+            out = out.where(F.upper(name) == value.strip().upper())
+    return out.orderBy(F.desc("is_primary"), "ticker", "currency", "exchange", "listing_id").limit(n)
+
+
+def duplicate_summary(assets: DataFrame) -> DataFrame:
+    """One row: assets with an ISIN, ISINs that several assets have, and how many assets these are."""
+    sizes = assets.where("isin is not null").groupBy("isin").agg(F.count(F.lit(1)).alias("n"))
+    several = F.col("n") > 1
+    return sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("with_isin"), F.count_if(several).alias("duplicated"), F.coalesce(F.sum(F.when(several, F.col("n"))), F.lit(0)).cast("long").alias("affected"))
+
+
+def imported(known: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Assets and listings after an import of valid ``rows`` (ordinal, isin, ticker, name, currency, type) into ``known`` assets (isin, ticker, name, currency, type).
+
+    Rows of an ISIN are one asset, which takes the first row's figures; a known one keeps its own and is filled where it has none. A ticker that a known asset or
+    an earlier new one has goes to nobody else: the asset gets its ISIN as ticker. Each different ticker and currency of an ISIN is a listing.
+    """
+    first = ranked(rows, ["isin"], [F.col("ordinal")])
+    new = first.join(known.select("isin"), "isin", "left_anti")
+    taken = known.where(F.col("ticker").isNotNull()).select(F.col("ticker").alias("_t")).distinct()
+    earlier = F.row_number().over(Window.partitionBy("ticker").orderBy("ordinal")) > 1
+    placed = new.withColumn("_again", earlier & F.col("ticker").isNotNull()).join(taken, F.col("ticker") == F.col("_t"), "left")
+    own = F.when(F.col("_again") | F.col("_t").isNotNull(), F.col("isin")).otherwise(F.col("ticker"))
+    made = placed.select("isin", own.alias("ticker"), "name", "currency", "type", F.lit("created").alias("how"))
+    old = known.join(first.select("isin", F.col("name").alias("_name"), F.col("currency").alias("_currency"), F.lit(True).alias("_met")), "isin", "left")
+    filled_in = [F.coalesce(F.nullif(F.col(c), F.lit("")), F.col(f"_{c}")).alias(c) for c in ("name", "currency")]
+    kept = old.select("isin", "ticker", *filled_in, "type", F.when(F.col("_met"), "updated").otherwise("kept").alias("how"))
+    return kept.unionByName(made), rows.groupBy("isin", "ticker", "currency").agg(F.min("ordinal").alias("ordinal"))

@@ -364,6 +364,22 @@ def long_frame(bars: DataFrame, specs: list[str]) -> DataFrame:
     return wide.unpivot(["asset", "ts"], [f"`{n}`" for n in names], "series", "value")
 
 
+def long_frame_with_errors(bars: DataFrame, specs: list[str]) -> DataFrame:
+    """``long_frame`` of the specs that can be read, with a column error, and a row without an asset for each of the others."""
+    good, bad = [], []
+    for s in specs:
+        try:
+            parse(s)
+            good.append(s)
+        except ValueError as e:
+            bad.append((s, str(e)))
+    failed = bars.sparkSession.createDataFrame(bad, "series string, error string")
+    if not good:
+        none = bars.select("asset", "ts").limit(0).withColumns({"series": F.lit(""), "value": F.lit(0.0), "error": F.lit("")})
+        return none.unionByName(failed, allowMissingColumns=True)
+    return long_frame(bars, good).withColumn("error", F.lit(None).cast("string")).unionByName(failed, allowMissingColumns=True)
+
+
 def chart(bars: DataFrame, specs: list[str], n: int = 5000) -> DataFrame:
     """A row for each asset: arrays in order of time, of its newest ``n`` bars, which is what a chart shows."""
     names = [c for n, p in map(parse, specs) for c in CATALOG[n].names(p)]
@@ -383,6 +399,15 @@ def screen(bars: DataFrame, spec: str, operator: str, value: float) -> DataFrame
     return found.where(F.expr(f"value {COMPARE[operator]} {float(value)}")).select("asset", steady("value", 2).alias("value"))
 
 
+def screen_listings(bars: DataFrame, listings: DataFrame, spec: str, operator: str, value: float, most: int = 100) -> DataFrame:
+    """ticker, asset, value by ``screen`` over the first ``most`` active primary ``listings`` (ticker, asset, is_active, is_primary) by ticker, each by its newest bars: 50, or thrice the period if that is more."""
+    _, p = parse(spec)
+    period = next((x for x in p.values() if isinstance(x, int)), 0)
+    chosen = listings.where("is_active and is_primary").orderBy("ticker", "asset").limit(most).select("ticker", "asset")
+    recent = latest(bars.join(chosen.select("asset").distinct(), "asset", "left_semi"), max(50, 3 * period))
+    return screen(recent, spec, operator, value).join(chosen, "asset").select("ticker", "asset", "value")
+
+
 def catalog_rows(spark) -> DataFrame:
     """indicator, label, unit, columns, min_bars of the whole catalog."""
     rows = [(n, i.label, i.unit, ",".join(i.names(i.defaults)), int(i.min_bars(i.defaults))) for n, i in CATALOG.items()]

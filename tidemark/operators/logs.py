@@ -38,3 +38,24 @@ def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
     for c in counted[1:]:
         out = out.union(c)
     return out
+
+
+USAGE = ["created_at", "endpoint", "method", "status_code", "latency_ms", "provider_used", "cache_hit"]
+
+
+def append_usage(rows: DataFrame, path: str) -> None:
+    """Adds requests (USAGE) to the usage log, by day."""
+    rows.select(*USAGE, F.to_date("created_at").alias("day")).write.mode("append").partitionBy("day").parquet(path)
+
+
+def newest(rows: DataFrame, time: str, tie: str, n: int = 50) -> DataFrame:
+    """The ``n`` newest rows, the larger ``tie`` first among equals."""
+    return rows.orderBy(F.desc(time), F.desc(tie)).limit(n)
+
+
+def known_names(*catalogs: DataFrame) -> DataFrame:
+    """The different names (name) that any of ``catalogs`` has."""
+    out = catalogs[0].select("name")
+    for c in catalogs[1:]:
+        out = out.union(c.select("name"))
+    return out.distinct()

@@ -53,6 +53,13 @@ def dynamic_range(closes: DataFrame, least: int = 10) -> DataFrame:
     return s.select("asset", F.greatest(F.col("m") - spread, F.lit(0.01)).alias("low"), (F.col("m") + spread).alias("high"))
 
 
+def with_dynamic_bounds(limits: DataFrame, ranges: DataFrame, field: str = "price") -> DataFrame:
+    """asset, field, low, high: ``limits`` (field, low, high) for each asset of ``ranges`` (asset, low, high), whose own range replaces that of ``field``."""
+    own = ranges.select("asset", F.lit(field).alias("field"), "low", "high")
+    others = ranges.select("asset").distinct().withColumn("f", F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.lit(a).alias("low"), F.lit(b).alias("high")) for f, a, b in limits.select("field", "low", "high").collect() if f != field))))  # a row for each known field
+    return others.select("asset", "f.*").unionByName(own)
+
+
 def canary(values: DataFrame, expected: DataFrame) -> DataFrame:
     """``values`` (asset, value) against ``expected`` (asset, low, high): passed, and deviation from the middle."""
     middle = (F.col("low") + F.col("high")) / 2

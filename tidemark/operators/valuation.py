@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.numbers import steady_sql
 
-
 YEARS = 5
 Steps = list[tuple[str, str]]
 
@@ -142,16 +141,50 @@ def grid(low: float, high: float, step: float) -> list[float]:
     return [round(low + i * step, 4) for i in range(n + 1) if low + i * step <= high + 1e-9]
 
 
-def sensitivity(company: DataFrame, rates: list[float], growths: list[float]) -> DataFrame:
-    """asset_id, rate, growth, value of the cash-flow model for each rate and terminal growth; the grid is a constant, so rows are exploded and not joined."""
-    lists = [F.explode(F.array(*map(F.lit, rates))).alias("rate")]
-    df = applied(company, [*wacc_steps(), *price_steps(), *fcf_steps()[:2]]).select("*", *lists)
-    df = df.select("*", F.explode(F.array(*map(F.lit, growths))).alias("growth"))
-    return applied(df, sensitivity_steps()).select("asset_id", "rate", "growth", "value")
+def compared(company: DataFrame) -> DataFrame:
+    """asset_id, model, value, upside, status: a row for each model of each company; a model without a value has 0 for both and says why."""
+    df = valued(company)
+    status = {m: F.when(F.col(f"{m}_value").isNull(), "no value").otherwise("ok") for m in ("fcf", "eps")} | {"ddm": F.col("ddm_status")}
+    rows = F.explode(F.array(*(F.struct(F.lit(m).alias("model"), F.col(f"{m}_value").alias("value"), c.alias("status")) for m, c in status.items())))
+    return applied(df.select("asset_id", "price", rows.alias("r")).select("asset_id", "price", "r.*"), compare_steps()).select("asset_id", "model", "value", "upside", "status")
 
 
-def sensitivity_steps() -> Steps:
-    return [
-        ("used", "least(growth, rate - 0.005e0)"),
-        ("value", _floored("(" + _present("fcf_start", "fcf_growth", "rate", "used") + " - (coalesce(total_debt_now, 0) - coalesce(cash_now, 0))) / nullif(shares, 0)")),
-    ]
+def compare_steps() -> Steps:
+    return [("upside", f"coalesce({steady_sql('(value / nullif(price, 0) - 1) * 100', 2)}, 0e0)"), ("value", "coalesce(value, 0e0)")]
+
+
+def sensitivity(company: DataFrame, rates: list[float], growths: list[float], model: str = "fcf") -> DataFrame:
+    """asset_id, rate, growth, value, upside of a ``model`` (fcf, eps, ddm) for each rate and terminal growth; the grid is a constant, so rows are exploded and not joined."""
+    lists = [F.explode(F.array(*map(F.lit, rates))).alias("rate")]
+    df = applied(company, base_steps(model)).select("*", *lists)
+    df = df.select("*", F.explode(F.array(*map(F.lit, growths))).alias("growth"))
+    return applied(df, sensitivity_steps(model)).select("asset_id", "rate", "growth", "value", "upside")
+
+
+def base_steps(model: str = "fcf") -> Steps:
+    """What a model's grid starts from; its growth is that of the statements alone."""
+    paid = "abs(dividends_paid_now) / nullif(coalesce(nullif(shares_diluted_now, 0), shares_outstanding), 0)"
+    start = {
+        "fcf": fcf_steps()[:2],
+        "eps": [
+            ("eps_start", "coalesce(case when eps_trailing > 0 then eps_trailing end, case when eps_diluted_now > 0 then eps_diluted_now end, 0.01e0)"),
+            ("eps_growth", f"coalesce({_cagr('eps', 0.2)}, 0.04e0)"),
+            *(x for x in eps_steps() if x[0] == "multiple"),
+        ],
+        "ddm": [("ddm_start", f"coalesce(case when dividend_rate > 0 then dividend_rate end, nullif({paid}, 0))"), ("ddm_growth", f"coalesce({_cagr('div', 0.15)}, 0.04e0)")],
+    }
+    return [*wacc_steps(), *price_steps(), *start[model]]
+
+
+def sensitivity_steps(model: str = "fcf") -> Steps:
+    used = ("used", "least(growth, rate - 0.005e0)")
+    upside = ("upside", f"case when value is not null then coalesce({steady_sql('(value / nullif(price, 0) - 1) * 100', 2)}, 0e0) end")
+    if model == "fcf":
+        return [used, ("value", _floored("(" + _present("fcf_start", "fcf_growth", "rate", "used") + " - (coalesce(total_debt_now, 0) - coalesce(cash_now, 0))) / nullif(shares, 0)")), upside]
+    if model == "ddm":
+        return [used, ("value", _floored(_present("ddm_start", "ddm_growth", "rate", "used"))), upside]
+    years = [("year_0", "eps_start")]
+    for t in range(1, YEARS + 1):
+        years.append((f"year_{t}", f"year_{t - 1} * (1 + eps_growth * {1 - t / YEARS!r}e0 + used * {t / YEARS!r}e0)"))
+    paid = " + ".join(f"year_{t} / power(1 + rate, {t})" for t in range(1, YEARS + 1))
+    return [used, *years, ("value", _floored(f"{paid} + year_{YEARS} * multiple / power(1 + rate, {YEARS})")), upside]

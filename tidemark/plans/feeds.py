@@ -7,14 +7,15 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import dates, names, numbers, web
 from tidemark.functions.numbers import steady, steady_sql
-from tidemark.operators import assets, fundamentals, identity, search
+from tidemark.operators import assets, fundamentals, identity, logs, quality, search
 from tidemark.session import scratch_path
 from tidemark.sources import pages
 from tidemark.sources.adapters import brand_bars, read, tick_stream
+from tidemark.sources.adapters import ticks as ticks_of
 from tidemark.streaming import ticks
 
 from .bars import BRAND
-from .identity import _rows
+from .identity import LISTING, _rows, listings
 
 _OPEN, _SHUT = "' || chr(123) || '", "' || chr(125) || '"
 
@@ -79,6 +80,29 @@ def _estimates(spark: SparkSession, d: str) -> DataFrame:
     return assets.estimates(o.where("period % 2 = 0").select("asset_id", "period", (F.col("x") / 1e4).alias("eps")), o.where("period > 1995").select("asset_id", "period", F.col("x").alias("revenue")))
 
 
+PROVIDERS = ["Zonebourse", "Google", "Barrons"]
+ASKED = "select c_custkey as request_id, 'T' || cast(c_custkey % 40 as varchar) || case c_custkey % 3 when 0 then '.PA' when 1 then '.ST' else '' end as ticker, case c_custkey % 4 when 0 then ' google ,nobody' when 1 then '' else 'ZONEBOURSE' end as names, c_custkey % 700 as days, case when c_custkey % 2 = 0 then 'Foo Limited, Inc.' else 'Société A.B.' end as company from customer"
+WRAPPED = f"select 'Q' || cast(c_custkey as varchar) as query, case c_custkey % 3 when 0 then {_json('{"data":{"stocks":["{\\\\"SecId\\\\":\\\\"s<k>\\\\",\\\\"OS001Index\\\\":\\\\"AB\\\\",\\\\"RT0EC\\\\":\\\\"FR\\\\"}"]}}')} when 1 then {_json('{"data":{"stocks":[{"SecID":"t<k>","OS001Index":""}]}}')} else {_json('{"data":{"stocks":[]}}')} end as json from customer"
+KNOWN = "select 'US' || cast(c_custkey as varchar) as isin, 'T' || cast(c_custkey % 60 as varchar) as ticker, case when c_custkey % 2 = 0 then '' else c_name end as name, cast(null as varchar) as currency, 'STOCK' as type from customer where c_custkey % 5 = 0 and c_custkey <= 60"
+INCOMING = "select c_custkey as ordinal, 'US' || cast(c_custkey % 90 as varchar) as isin, 'T' || cast(c_custkey % 75 as varchar) as ticker, upper(c_name) as name, case when c_custkey % 2 = 0 then 'USD' else 'EUR' end as currency, 'ETF' as type from customer"
+TWO = "select 'T' || cast(c_custkey % 50 as varchar) as ticker, case when c_custkey % 3 = 0 then 'I' || cast(c_custkey % 50 as varchar) when c_custkey % 3 = 1 then '' end as isin, c_custkey as place, case when c_custkey % 7 = 0 then 'timeout' end as error, case when c_custkey % 4 = 0 then c_custkey * 1e0 end as price, case when c_custkey % 11 = 0 then c_name end as name from customer"
+asked, wrapped, known, incoming, stage_one = map(_rows, (ASKED, WRAPPED, KNOWN, INCOMING, TWO))
+
+
+def _stage_two(spark: SparkSession, d: str) -> DataFrame:
+    return stage_one(spark, d).select(F.concat(F.lit("I"), F.substring("ticker", 2, 9)).alias("isin"), "place", F.lit(None).cast("string").alias("error"), (F.col("place") + 0.5).alias("price"), F.lit("later").alias("name"))
+
+
+def _usage(spark: SparkSession, d: str) -> DataFrame:
+    """A usage log to which two batches were added."""
+    path = scratch_path(spark)
+    o = read(spark, d, "orders").select(F.col("o_orderdate").cast("timestamp_ntz").alias("created_at"), F.col("o_orderpriority").alias("endpoint"), F.lit("GET").alias("method"), F.lit(200).alias("status_code"), F.lit(1.5).alias("latency_ms"), F.lit("p").alias("provider_used"), (F.col("o_orderkey") % 2 == 0).alias("cache_hit"), "o_orderkey")
+    recent = o.where("created_at >= timestamp_ntz'2001-01-01'").coalesce(1)
+    for k in (0, 1):
+        logs.append_usage(recent.where(F.col("o_orderkey") % 2 == k), path)
+    return spark.read.parquet(path).groupBy("endpoint", "cache_hit").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("day").alias("days"))
+
+
 RECORDS = "select c_custkey, c_name, case when c_custkey % 3 <> 0 then c_mktsegment end as segment from customer"
 QUERIES = {
     "parse_fields": (
@@ -164,4 +188,62 @@ QUERIES = {
         lambda spark, d: ticks.fresh(ticks.available_now(ticks.last_values(tick_stream(spark, d)), "update", ["asset"]), "2024-01-30 23:50:00", 1800).withColumn("ts", F.col("ts").cast("timestamp_ntz")),
         "select event_type as asset, arg_max(value, row(ts, event_id)) as price, max(ts) as ts from events group by 1 having max(ts) > timestamp '2024-01-30 23:50:00' - interval 1800 second",
     ),
+    "requested_providers": (
+        lambda spark, d: fundamentals.requested_providers(asked(spark, d).select("request_id", F.split("names", ",").alias("names")), PROVIDERS),
+        f"""with a as ({ASKED}) select request_id, unnest(['Google', 'nobody']) as provider, unnest([null, 'Provider not found']) as error from a where request_id % 4 = 0
+        union all select request_id, unnest(['Zonebourse', 'Google', 'Barrons']), null from a where request_id % 4 = 1 union all select request_id, 'Zonebourse', null from a where request_id % 4 > 1""",
+    ),
+    "market_terms": (
+        lambda spark, d: asked(spark, d).select("request_id", web.news_language("ticker").alias("language"), web.market_country("ticker").alias("country"), *(pages.bars_to_ask(F.col("days"), r).alias(f"n_{r[-1].lower()}") for r in ("1D", "1W", "1M")), names.short_company("company").alias("company")),
+        f"""with a as ({ASKED}) select request_id, case request_id % 3 when 0 then 'fr' when 1 then 'sv' else 'en' end as language, case request_id % 3 when 0 then 'fr' when 1 then 'se' end as country, greatest(10, days) as n_d, greatest(5, days // 7 + 5) as n_w, greatest(5, days // 30 + 5) as n_m,
+        case when request_id % 2 = 0 then 'Foo Ltd Inc' else 'Societe AB' end as company from a""",
+    ),
+    "wrapped_hits": (
+        lambda spark, d: pages.wrapped_hits(wrapped(spark, d)),
+        "select 'Q' || cast(c_custkey as varchar) as query, case c_custkey % 3 when 0 then 's' else 't' end || cast(c_custkey as varchar) as id, case c_custkey % 3 when 0 then 'ab-fr-stock' else 'q' || cast(c_custkey as varchar) || '-stock' end as slug from customer where c_custkey % 3 < 2",
+    ),
+    "two_stage_merge": (
+        lambda spark, d: fundamentals.two_stage(stage_one(spark, d), _stage_two(spark, d), ["price", "name"]),
+        f"""with o as ({TWO}), g as (select * from o where error is null), f as (select ticker, arg_min(isin, place) filter (where isin <> '') as isin from g group by 1),
+        s as (select 'I' || substr(ticker, 2) as isin, place, place + 0.5e0 as price, 'later' as name from o), b as (select ticker, 1 as st, place, price, name from g union all select f.ticker, 2, s.place, s.price, s.name from f join s using (isin)),
+        m as (select ticker, arg_min(price, row(st, place)) filter (where price is not null) as price, arg_min(name, row(st, place)) filter (where name is not null) as name from b group by 1) select ticker, isin, price, name from f left join m using (ticker)""",
+    ),
+    "import_assets": (
+        lambda spark, d: identity.imported(known(spark, d), incoming(spark, d))[0],
+        f"""with k as ({KNOWN}), r as ({INCOMING}), f as (select * from r qualify row_number() over (partition by isin order by ordinal) = 1), n as (select * from f anti join k using (isin)),
+        p as (select *, row_number() over (partition by ticker order by ordinal) > 1 or ticker in (select ticker from k) as again from n)
+        select isin, case when again then isin else ticker end as ticker, name, currency, type, 'created' as how from p
+        union all select k.isin, k.ticker, coalesce(nullif(k.name, ''), f.name), coalesce(k.currency, f.currency), k.type, case when f.isin is null then 'kept' else 'updated' end from k left join f using (isin)""",
+    ),
+    "import_listings": (lambda spark, d: identity.imported(known(spark, d), incoming(spark, d))[1], f"with r as ({INCOMING}) select isin, ticker, currency, min(ordinal) as ordinal from r group by 1, 2, 3"),
+    "listing_search": (
+        lambda spark, d: identity.listing_search(listings(spark, d), currency="usd", n=25).select("listing_id", "ticker"),
+        f"with l as ({LISTING}) select listing_id, ticker from l where currency = 'USD' order by is_primary desc, ticker, currency, exchange, listing_id limit 25",
+    ),
+    "dup_summary": (
+        lambda spark, d: identity.duplicate_summary(listings(spark, d).select("asset_id", "isin").distinct()),
+        f"with l as (select distinct asset_id, isin from ({LISTING})), s as (select isin, count(*) as n from l where isin is not null group by 1) select cast(sum(n) as bigint) as with_isin, count(*) filter (where n > 1) as duplicated, cast(coalesce(sum(n) filter (where n > 1), 0) as bigint) as affected from s",
+    ),
+    "mapping_mentions": (
+        lambda spark, d: assets.mentioned(read(spark, d, "customer").select(F.col("c_custkey").alias("mapping_id"), F.concat(F.lit("http://x/T"), F.col("c_custkey").cast("string")).alias("value")), "T1"),
+        "select c_custkey as mapping_id, 'http://x/T' || cast(c_custkey as varchar) as value from customer where 'http://x/T' || cast(c_custkey as varchar) like '%/T1%'",
+    ),
+    "usage_log": (_usage, "select o_orderpriority as endpoint, o_orderkey % 2 = 0 as cache_hit, count(*) as n, count(distinct cast(o_orderdate as date)) as days from orders where o_orderdate >= timestamp '2001-01-01' group by 1, 2"),
+    "recent_failures": (
+        lambda spark, d: logs.newest(read(spark, d, "orders").where("o_orderstatus = 'F'").select("o_orderkey", F.col("o_orderdate").cast("timestamp_ntz").alias("happened")), "happened", "o_orderkey", 30),
+        "select o_orderkey, cast(o_orderdate as timestamp) as happened from orders where o_orderstatus = 'F' order by cast(o_orderdate as timestamp) desc, o_orderkey desc limit 30",
+    ),
+    "known_names": (
+        lambda spark, d: logs.known_names(read(spark, d, "nation").select(F.col("n_name").alias("name")), read(spark, d, "region").select(F.col("r_name").alias("name"))),
+        "select n_name as name from nation union select r_name from region",
+    ),
+    "quote_status": (
+        lambda spark, d: fundamentals.quote_status(ticks_of(spark, d).select("asset").distinct(), ticks_of(spark, d), "2024-01-30 23:50:00", 1800),
+        "select event_type as asset, case when max(ts) >= timestamp '2024-01-30 23:50:00' - interval 1800 second then 'realtime' else 'delayed' end as status from events group by 1",
+    ),
+    "dynamic_bounds": (
+        lambda spark, d: quality.with_dynamic_bounds(quality.bounds(spark, {"price": (0.0, 9.0), "pe_ratio": (0.5, 1000.0)}), quality.dynamic_range(brand_bars(spark, d))).select("asset", "field", steady("low", 2).alias("low"), steady("high", 2).alias("high")),
+        f"""with b as ({BRAND}), s as (select asset, avg(close) as m, 3 * greatest(stddev_samp(close), avg(close) * 0.02e0) as k from b group by 1 having count(close) >= 10)
+        select asset, 'price' as field, {steady_sql("greatest(m - k, 0.01e0)", 2)} as low, {steady_sql("m + k", 2)} as high from s union all select asset, 'pe_ratio', 0.5e0, 1000e0 from s""",
+    ),
 }

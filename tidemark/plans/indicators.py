@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.numbers import steady, steady_sql
 from tidemark.operators import indicators as op
-from tidemark.sources.adapters import brand_bars, intraday_bars
+from tidemark.sources.adapters import brand_bars, intraday_bars, read
 
 from .bars import BRAND, HOURLY
 
@@ -104,6 +104,11 @@ SQL = {
     ),
 }
 _NAMES = {"bbands": ["lower", "middle", "upper", "width", "place"], "stoch": ["k", "d"], "macd": ["macd", "histogram", "signal"], "kc": ["lower", "basis", "upper"]}
+def _listed(spark, d):
+    brand = F.col("p_brand")
+    return read(spark, d, "part").select(F.concat(F.lit("B"), F.right(brand, F.lit(2))).alias("ticker"), brand.alias("asset"), (F.right(brand, F.lit(1)) != "3").alias("is_active"), (F.right(brand, F.lit(2)) >= "2").alias("is_primary")).distinct()
+
+
 QUERIES = {q: (_query(spec, _NAMES.get(q[4:], [q[4:]])), sql) for q, (spec, sql) in SQL.items()}
 _SMA10 = f"avg(close) over {_over(10)}"
 QUERIES |= {
@@ -122,5 +127,14 @@ QUERIES |= {
         lambda spark, d: op.screen(brand_bars(spark, d), "mom_20", "gt", 0.0),
         f"with b as ({BRAND}), m as (select asset, ts, close - lag(close, 20) over (partition by asset order by ts) as y from b), l as (select asset, arg_max(y, ts) as y from m where y is not null group by 1) select asset, {steady_sql('y', 2)} as value from l where y > 0",
     ),
+    "multi_indicator_errors": (
+        lambda spark, d: op.long_frame_with_errors(intraday_bars(spark, d), ["mom_5", "nothing_3"]).withColumn("value", steady("value")),
+        B + f", w as (select asset, ts, close - lag(close, 5) over (partition by asset order by ts) as m from b) select asset, ts, 'MOM_5' as series, {steady_sql('m')} as value, null as error from w union all select null, null, 'nothing_3', null, 'no indicator is named ' || chr(39) || 'nothing' || chr(39)",
+    ),
+    "screen_listings": (
+        lambda spark, d: op.screen_listings(brand_bars(spark, d), _listed(spark, d), "mom_20", "gt", 0.0, 8),
+        f"""with b as ({BRAND}), n as (select * from b qualify row_number() over (partition by asset order by ts desc) <= 60), m as (select asset, ts, close - lag(close, 20) over (partition by asset order by ts) as y from n), l as (select asset, arg_max(y, ts) as y from m where y is not null group by 1),
+        k as (select distinct 'B' || right(p_brand, 2) as ticker, p_brand as asset from part where right(p_brand, 1) <> '3' and right(p_brand, 2) >= '2' order by 1, 2 limit 8) select ticker, asset, {steady_sql('y', 2)} as value from l join k using (asset) where y > 0""",
+    ),
     "indicator_catalog": (lambda spark, d: op.catalog_rows(spark), None),
 }

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.numbers import steady_sql
 from tidemark.operators import valuation as op
 from tidemark.sources.adapters import read
 
@@ -50,14 +51,27 @@ def _told(*columns: str):
 
 
 RATES, GROWTHS = op.grid(0.07, 0.11, 0.02), op.grid(0.01, 0.03, 0.01)
+
+
+def _grid(model: str):
+    cells = f"(select * from {_chained(COMPANY, op.base_steps(model))} cross join (select cast(unnest({RATES}) as double) as rate) cross join (select cast(unnest({GROWTHS}) as double) as growth))"
+    return lambda spark, d: op.sensitivity(companies(spark, d), RATES, GROWTHS, model), f"select asset_id, rate, growth, value, upside from {_chained(cells, op.sensitivity_steps(model))}"
+
+
 QUERIES = {
     "wacc": _told("ke", "kd", "tax", "wacc"),
     "dcf_fcf": _told("fcf_value"),
     "dcf_eps": _told("eps_value"),
     "dcf_ddm": _told("ddm_value", "ddm_status"),
     "dcf_consensus": _told("fcf_value", "eps_value", "ddm_value", "price", "consensus", "upside"),
-    "dcf_sensitivity": (
-        lambda spark, d: op.sensitivity(companies(spark, d), RATES, GROWTHS),
-        f"select asset_id, rate, growth, value from {_chained(f'(select * from {_chained(COMPANY, [*op.wacc_steps(), *op.price_steps(), *op.fcf_steps()[:2]])} cross join (select cast(unnest({RATES}) as double) as rate) cross join (select cast(unnest({GROWTHS}) as double) as growth))', op.sensitivity_steps())}",
+    "dcf_sensitivity": _grid("fcf"),
+    "dcf_sensitivity_eps": _grid("eps"),
+    "dcf_sensitivity_ddm": _grid("ddm"),
+    "dcf_compare": (
+        lambda spark, d: op.compared(companies(spark, d)),
+        f"""with v as (select * from {_chained(COMPANY, _ALL)}), r as (
+          select asset_id, price, 'fcf' as model, fcf_value as value, case when fcf_value is null then 'no value' else 'ok' end as status from v
+          union all select asset_id, price, 'eps', eps_value, case when eps_value is null then 'no value' else 'ok' end from v union all select asset_id, price, 'ddm', ddm_value, ddm_status from v)
+        select asset_id, model, coalesce(value, 0) as value, coalesce({steady_sql("(value / nullif(price, 0) - 1) * 100", 2)}, 0) as upside, status from r""",
     ),
 }

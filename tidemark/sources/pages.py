@@ -151,3 +151,18 @@ def fund_profile(documents: DataFrame) -> DataFrame:
     d = documents.select("key", j.alias("d"))
     holdings = F.transform("d.holdings", lambda h: F.struct(h["name"].alias("name"), numbers.percent_ratio(h["percentage"]).alias("weight")))
     return d.select("key", numbers.percent_ratio("d.ter").alias("ter"), numbers.currency_amount("d.fundSize").alias("size"), F.col("d.currency").alias("currency"), holdings.alias("holdings"))
+
+
+def wrapped_hits(answers: DataFrame) -> DataFrame:
+    """query, id, slug from search answers (query, json) whose first hit is a JSON text within the JSON, or an object."""
+    a = answers.select("query", F.get_json_object("json", "$.data.stocks[0]").alias("hit"))
+    key = lambda name: F.coalesce(F.get_json_object("hit", f"$.{name}"), F.lit(""))
+    symbol, country = F.lower(key("OS001Index")), F.lower(key("RT0EC"))
+    named = F.when((symbol != "") & (country != ""), F.concat_ws("-", symbol, country)).otherwise(F.lower("query"))
+    return a.select("query", numbers.first_present(key("SecId"), key("SecID")).alias("id"), F.concat(named, F.lit("-stock")).alias("slug")).where("id is not null")
+
+
+def bars_to_ask(days: Column, resolution: str) -> Column:
+    """How many bars a service is asked for to cover ``days``: at least 10 days, or 5 weeks or months, and a margin."""
+    week, month = F.floor(days / 7) + 5, F.floor(days / 30) + 5
+    return {"1D": F.greatest(F.lit(10), days), "1W": F.greatest(F.lit(5), week), "1M": F.greatest(F.lit(5), month)}[resolution].cast("bigint")
