@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import dates, names, numbers, web
 from tidemark.functions.numbers import steady, steady_sql
-from tidemark.operators import assets, fundamentals, identity, logs, quality, search
+from tidemark.operators import assets, document, fundamentals, identity, logs, quality, search
 from tidemark.session import scratch_path
 from tidemark.sources import pages
 from tidemark.sources.adapters import brand_bars, read, tick_stream
@@ -103,6 +103,33 @@ def _usage(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(path).groupBy("endpoint", "cache_hit").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("day").alias("days"))
 
 
+DOC = f"select c_custkey as asset_id, 'T' || cast(c_custkey as varchar) || '.PA' as ticker, c_name as name, case when c_custkey % 4 = 0 then '' else c_mktsegment end as sector, case when c_custkey % 3 = 0 then 'ETF' end as quote_type, case when c_custkey % 5 <> 0 then cast(c_custkey % 30 as double) end as pe_ratio, cast(c_custkey * 1000 as double) as market_cap, {_json('{"trailingPE": <k>.5, "sector": "Other", "beta": "1.25", "recommendationKey": "buy", "targetMeanPrice": 12}')} as json, case when c_custkey % 2 = 0 then 'hold' end as consensus, cast(c_custkey % 9 as double) as target_mean, c_custkey % 7 as votes from customer"
+companies = _rows(DOC)
+
+
+def _documents(spark: SparkSession, d: str) -> DataFrame:
+    c = companies(spark, d)
+    o = read(spark, d, "orders")
+    of = o.select(F.col("o_custkey").alias("asset_id"), "o_orderkey", F.to_date("o_orderdate").alias("date"), "o_totalprice", "o_orderstatus")
+    statements = of.groupBy("asset_id", F.year("date").alias("y")).agg(F.count(F.lit(1)).alias("n")).select("asset_id", F.when(F.col("y") % 2 == 0, "income").otherwise("balance").alias("statement_type"), F.lit("annual").alias("period_type"), F.concat(F.col("y").cast("string"), F.lit("-12-31")).alias("period_end"), (F.col("n") + 0.5).alias("figure"))
+    votes = c.where("asset_id % 6 <> 0").select("asset_id", "consensus", "target_mean", *(F.col("votes").alias(x) for x in ("strong_buy", "buy", "hold", "sell", "strong_sell")))
+    return document.document(
+        c.select("asset_id", "ticker", "name", "sector", "quote_type"), c.select("asset_id", "pe_ratio", "market_cap"), c.select("asset_id", "json"), statements, votes,
+        insiders=of.select("asset_id", "date", F.col("o_orderkey").cast("string").alias("owner"), F.lit(1.0).alias("shares"), F.col("o_orderstatus").alias("code")),
+        providers=of.select("asset_id", F.concat(F.lit("p"), (F.col("o_orderkey") % 3).cast("string")).alias("provider")).distinct().withColumns({"error": F.when(F.col("provider") == "p1", "timeout"), "ticker": F.lit("T"), "isin": F.lit("I"), "name": F.lit("N")}),
+        holdings=of.select("asset_id", F.col("o_orderkey").cast("string").alias("ticker"), F.col("o_orderkey").cast("string").alias("name"), F.lit("s").alias("sector"), F.lit("c").alias("country"), F.col("o_orderkey").cast("double").alias("weight")),
+    )
+
+
+def _document_fields(spark: SparkSession, d: str) -> DataFrame:
+    get = lambda path: F.get_json_object("document", f"$.{path}")
+    doc = _documents(spark, d)
+    sizes = {n: F.size(F.from_json(get(path), "map<string,string>")) for n, path in (("n_insiders", "InsiderTransactions"), ("n_income", "Financials.Income_Statement.yearly"), ("n_providers", "Providers"), ("n_holdings", "ETF_Data.Top_10_Holdings"))}
+    texts = {"code": "General.Code", "sector": "General.Sector", "kind": "General.Type", "logo": "General.LogoURL", "rating": "AnalystRatings.Rating", "first_insider": "InsiderTransactions.0.ownerName", "top": "ETF_Data.Top_10_Holdings.0.Symbol", "failed": "Providers.p1.error"}
+    figures = {"pe": "Valuation.TrailingPE", "mln": "Highlights.MarketCapitalizationMln", "beta": "Technicals.Beta", "target": "AnalystRatings.TargetPrice"}
+    return doc.select("asset_id", *(get(p).alias(n) for n, p in texts.items()), *(steady(get(p).cast("double")).alias(n) for n, p in figures.items()), *(F.coalesce(F.when(c >= 0, c), F.lit(0)).cast("bigint").alias(n) for n, c in sizes.items()))
+
+
 RECORDS = "select c_custkey, c_name, case when c_custkey % 3 <> 0 then c_mktsegment end as segment from customer"
 QUERIES = {
     "parse_fields": (
@@ -246,4 +273,14 @@ QUERIES = {
         f"""with b as ({BRAND}), s as (select asset, avg(close) as m, 3 * greatest(stddev_samp(close), avg(close) * 0.02e0) as k from b group by 1 having count(close) >= 10)
         select asset, 'price' as field, {steady_sql("greatest(m - k, 0.01e0)", 2)} as low, {steady_sql("m + k", 2)} as high from s union all select asset, 'pe_ratio', 0.5e0, 1000e0 from s""",
     ),
+    "company_document": (_documents, None),
+    "company_document_fields": (
+        _document_fields,
+        f"""with c as ({DOC}), o as (select *, row_number() over (partition by o_custkey order by cast(o_orderdate as date), cast(o_orderkey as varchar)) as rn from orders),
+        a as (select o_custkey as asset_id, count(*) as n, max(o_orderkey) as top, max(case when rn = 1 then cast(o_orderkey as varchar) end) as first, count(distinct case when year(o_orderdate) % 2 = 0 then year(o_orderdate) end) as y, count(distinct o_orderkey % 3) as p, bool_or(o_orderkey % 3 = 1) as bad from o group by 1)
+        select asset_id, ticker as code, case when sector = '' then 'Other' else sector end as sector, coalesce(quote_type, 'Common Stock') as kind, '/static/logos/UNKNOWN/T' || cast(asset_id as varchar) || '.webp' as logo, case when asset_id % 6 = 0 or consensus is null then 'buy' else consensus end as rating,
+          first as first_insider, case when quote_type = 'ETF' then cast(top as varchar) end as top, case when bad then 'timeout' end as failed, {steady_sql("coalesce(nullif(pe_ratio, 0), asset_id + 0.5e0)")} as pe, {steady_sql("nullif(market_cap, 0) / 1e6")} as mln, 1.25e0 as beta,
+          {steady_sql("case when asset_id % 6 = 0 then 12 else target_mean end")} as target, coalesce(n, 0) as n_insiders, coalesce(y, 0) as n_income, coalesce(p, 0) as n_providers, case when quote_type = 'ETF' then least(coalesce(n, 0), 10) else 0 end as n_holdings
+        from c left join a using (asset_id)""",
+    ),
 }
