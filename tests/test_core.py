@@ -343,3 +343,47 @@ def test_ingest(spark):
     bars_after, log = assets.ingest(stored, first, second, "2024-01-10")
     assert sorted((r.asset, r.ts.day, r.close) for r in bars_after.collect()) == [("a", 1, 1.0), ("a", 5, 2.0), ("b", 9, 1.0)]
     assert {r.asset: (r.status, r.n) for r in log.collect()} == {"a": ("success", 1), "b": ("up_to_date", 0), "c": ("failed", 0)}
+
+
+def test_upsert_by_time_is_the_same_and_leaves_the_rest_alone(spark):
+    rng = random.Random(4)
+    day = lambda n: dt.datetime(2024, 1, 1) + dt.timedelta(days=n)
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    old = spark.createDataFrame([(a, day(n), float(n), "old") for a in "abc" for n in range(60) if rng.random() < 0.7], "asset string, ts timestamp_ntz, v double, w string")
+    new = spark.createDataFrame([(a, day(n), float(-n), "new") for a in "bcd" for n in range(20, 30)], "asset string, ts timestamp_ntz, v double, w string")
+    for update in (None, ["v"]):
+        assert rows(bars.upsert(old, new, ["asset", "ts"], update, time="ts")) == rows(bars.upsert(old, new, ["asset", "ts"], update))
+    assert rows(bars.insert_absent(old, new, ["asset", "ts"], time="ts")) == rows(bars.insert_absent(old, new, ["asset", "ts"]))
+    assert rows(bars.upsert(old, new.limit(0), ["asset", "ts"], time="ts")) == rows(old)
+
+
+def test_asof_over_many_buckets(spark):
+    rng = random.Random(5)
+    at = lambda n: dt.datetime(2023, 1, 1) + dt.timedelta(hours=n)
+    right = [(k, at(n), rng.choice([None, float(n)])) for k in "ab" for n in rng.sample(range(9000), 40)] + [("a", None, 7.0)]
+    left = [(i, rng.choice(["a", "b", "c", None]), at(rng.randrange(-500, 9500))) for i in range(300)]
+    left += [(1000 + i, k, t) for i, (k, t, _) in enumerate(right) if t]  # equal times
+    got = {r.id: r.v for r in bars.asof(spark.createDataFrame(left, "id int, k string, ts timestamp_ntz"), spark.createDataFrame(right, "k string, ts timestamp_ntz, v double"), "k", "ts", "v", "week").collect()}
+    for i, k, t in left:
+        known = [(x, v) for key, x, v in right if key == k and x is not None and v is not None and x <= t]
+        assert got[i] == (max(known)[1] if known else None)
+
+
+def test_late_days_change_no_alert(spark, tmp_path):
+    for i, days in enumerate(([(3, 5, 4), (5, 5, 5)], [(4, 5, 1), (6, 5, 2)])):  # the 4th comes after the 5th
+        rows_ = [("p", dt.date(2024, 1, n), total, ok) for n, total, ok in days]
+        spark.createDataFrame(rows_, "provider string, date date, total long, ok long").coalesce(1).write.parquet(str(tmp_path / f"h/{i}"))
+    stream = spark.readStream.schema("provider string, date date, total long, ok long").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "h"))
+    events = [(r.date.day, r.type, r.event) for r in ticks.available_now(ticks.alert_states(stream, 0.5), "append").collect()]
+    assert sorted(events) == [(3, "canary_failed", "opened"), (5, "canary_failed", "resolved"), (6, "canary_failed", "opened"), (6, "low_success", "opened")]
+
+
+def test_news_of_each_ticker_and_fetch(spark):
+    made = [(i, f"Headline number {i} of a long day", f"http://n/{i}", "p", "en", dt.datetime(2024, 1, 1, i % 24), ["A", "B"] if i % 2 else ["A"]) for i in range(150)]
+    made += [(150, "Headline number 149 of a long day!", "http://n/x", "p", "en", dt.datetime(2024, 1, 2), ["A"])]
+    articles = spark.createDataFrame(made, "ordinal long, title string, url string, provider string, language string, published_at timestamp_ntz, tickers array<string>")
+    keyed = articles.withColumns({"fetch": news.fetch_of(), "ticker": F.explode("tickers")})
+    assert keyed.groupBy("ticker", "fetch").count().agg(F.max("count")).first()[0] <= news.PAGE
+    got = news.ticker_news(keyed, ["ticker", "fetch"], "en", 3).collect()
+    assert {(r.ticker, r.fetch) for r in got} == {("A", 0), ("A", 1), ("B", 0), ("B", 1)}
+    assert all(sum((x.ticker, x.fetch) == (r.ticker, r.fetch) for x in got) <= 3 for r in got)
