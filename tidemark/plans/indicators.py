@@ -109,6 +109,30 @@ def _listed(spark, d):
     return read(spark, d, "part").select(F.concat(F.lit("B"), F.right(brand, F.lit(2))).alias("ticker"), brand.alias("asset"), (F.right(brand, F.lit(1)) != "3").alias("is_active"), (F.right(brand, F.lit(2)) >= "2").alias("is_primary")).distinct()
 
 
+#: What the catalog tells of each indicator, literally.
+CATALOG_ROWS = """
+select * from (values
+  ('sma', 'Simple moving average', 'price', 'SMA_20', 20),
+  ('ema', 'Exponential moving average', 'price', 'EMA_20', 20),
+  ('wma', 'Weighted moving average', 'price', 'WMA_20', 20),
+  ('dema', 'Double exponential average', 'price', 'DEMA_20', 20),
+  ('tema', 'Triple exponential average', 'price', 'TEMA_20', 20),
+  ('vwap', 'Volume-weighted price of the day', 'price', 'VWAP_D', 2),
+  ('rsi', 'Relative strength', 'percent', 'RSI_14', 15),
+  ('macd', 'Convergence and divergence of averages', 'price', 'MACD_12_26_9,MACDh_12_26_9,MACDs_12_26_9', 35),
+  ('stoch', 'Stochastic oscillator', 'percent', 'STOCHk_14_3_3,STOCHd_14_3_3', 17),
+  ('cci', 'Commodity channel', 'index', 'CCI_20_0.015', 20),
+  ('roc', 'Rate of change', 'percent', 'ROC_10', 10),
+  ('mom', 'Momentum', 'price', 'MOM_10', 10),
+  ('bbands', 'Bollinger bands', 'price', 'BBL_20_2.0_2.0,BBM_20_2.0_2.0,BBU_20_2.0_2.0,BBB_20_2.0_2.0,BBP_20_2.0_2.0', 20),
+  ('atr', 'Average true range', 'price', 'ATRr_14', 14),
+  ('kc', 'Keltner channels', 'price', 'KCLe_20_2,KCBe_20_2,KCUe_20_2', 20),
+  ('obv', 'On-balance volume', 'volume', 'OBV', 2),
+  ('ad', 'Accumulation and distribution', 'volume', 'AD', 2),
+  ('mfi', 'Money flow', 'percent', 'MFI_14', 14)
+) as t(indicator, label, unit, columns, min_bars)
+"""
+
 QUERIES = {q: (_query(spec, _NAMES.get(q[4:], [q[4:]])), sql) for q, (spec, sql) in SQL.items()}
 _SMA10 = f"avg(close) over {_over(10)}"
 QUERIES |= {
@@ -136,5 +160,5 @@ QUERIES |= {
         f"""with b as ({BRAND}), n as (select * from b qualify row_number() over (partition by asset order by ts desc) <= 60), m as (select asset, ts, close - lag(close, 20) over (partition by asset order by ts) as y from n), l as (select asset, arg_max(y, ts) as y from m where y is not null group by 1),
         k as (select distinct 'B' || right(p_brand, 2) as ticker, p_brand as asset from part where right(p_brand, 1) <> '3' and right(p_brand, 2) >= '2' order by 1, 2 limit 8) select ticker, asset, {steady_sql('y', 2)} as value from l join k using (asset) where y > 0""",
     ),
-    "indicator_catalog": (lambda spark, d: op.catalog_rows(spark), None),
+    "indicator_catalog": (lambda spark, d: op.catalog_rows(spark), CATALOG_ROWS),
 }
