@@ -9,7 +9,8 @@ Exact copies collapse into one fingerprint first. A group of many near copies wo
 bucket is first linked to its commonest fingerprint, which gives a link to each member at most; the join
 then leaves out pairs that these links have already put into one component. That loses no link between components.
 
-Null and empty texts have the fingerprint zero and are linked like any other. Documents of a null doc_id get the smallest id
+Null and empty texts have the fingerprint zero and are linked like any other; very long ones are hashed whole. Columns besides doc_id and text
+aren't read, whatever their names, and ``one_of_each`` keeps them. Documents of a null doc_id get the smallest id
 that they reach, or null. Repeated rows and equal ids are told row by row. An empty table gives an empty result.
 """
 
