@@ -9,7 +9,7 @@ from tidemark.functions import dates, names, numbers, web
 from tidemark.functions.numbers import steady, steady_sql
 from tidemark.operators import assets, document, fundamentals, identity, logs, quality, search
 from tidemark.session import scratch_path
-from tidemark.sources import pages
+from tidemark.sources import pages, profiles
 from tidemark.sources.adapters import brand_bars, read, tick_stream
 from tidemark.sources.adapters import ticks as ticks_of
 from tidemark.streaming import ticks
@@ -130,6 +130,25 @@ def _document_fields(spark: SparkSession, d: str) -> DataFrame:
     return doc.select("asset_id", *(get(p).alias(n) for n, p in texts.items()), *(steady(get(p).cast("double")).alias(n) for n, p in figures.items()), *(F.coalesce(F.when(c >= 0, c), F.lit(0)).cast("bigint").alias(n) for n, c in sizes.items()))
 
 
+MARKED = f"""
+select c_custkey as key, case c_custkey % 4 when 0 then 'fscore' when 1 then 'mscore' when 2 then 'ROIC' else 'gf_score' end as code, '<style>p 99</style><p>Score is <b>-' || cast(c_custkey as varchar) || '.5</b> of 10</p>' as score,
+  '<div class="x c-faceplate__isin y"> ISIN : FR' || cast(c_custkey as varchar) || ' </div><ul><li>PEA</li><li><b>SRD</b> long</li><li>PEA</li><li>other</li></ul><div class="c-gauge" data-gauge-steps="7" data-gauge-current-step="' || cast(c_custkey % 7 as varchar) || '"><b class="c-gauge__label">Low ' || cast(c_custkey as varchar) || '</b></div>'
+  || '<div><span>Niveau de Controverse</span> <strong>N' || cast(c_custkey % 3 as varchar) || '</strong></div><div><span>Impact positif</span><strong> P </strong></div>' as equity,
+  '<h1 id="etf-title"> Fund ' || cast(c_custkey as varchar) || ' </h1><div data-testid="etf-profile-header_distribution-policy-value">' || case c_custkey % 3 when 0 then 'Thesaurierend' when 1 then 'Distributing' else 'Other' end || '</div><div data-testid="etf-profile-header_ter-value">0,' || cast(c_custkey % 9 + 1 as varchar)
+  || '0% p.a.</div><span data-testid="etf-profile-header_holdings-value">1.' || lpad(cast(c_custkey % 1000 as varchar), 3, '0') || '</span><span data-testid="etf-profile-header_fund-size-value-wrapper">EUR 1.234 m</span>' as fund,
+  'x(["A headline of ' || cast(c_custkey as varchar) || '", "https://n/' || cast(c_custkey as varchar) || case when c_custkey % 5 = 0 then '.css' else '' end || '", "S", "3 hours ago"], ["short", "https://n", "", ""])' as news,
+  'T' || cast(c_custkey as varchar) || case c_custkey % 3 when 0 then '.PA' when 1 then '' else '.ZZ' end as ticker, case c_custkey % 4 when 0 then 'PAR' when 1 then 'NAS' else 'LON' end as exchange from customer
+"""
+marked = _rows(MARKED)
+
+
+def _hits(spark: SparkSession, d: str) -> DataFrame:
+    m = marked(spark, d).where("key % 5 <> 0")
+    bare = F.concat(F.lit("t"), F.col("key").cast("string"))
+    first = m.select(bare.alias("query"), F.lit(1).alias("place"), F.lit("fund").alias("type"), bare.alias("symbol"), F.lit("PAR").alias("exchange"))
+    return first.unionByName(m.select(bare.alias("query"), F.lit(2).alias("place"), F.lit("stock").alias("type"), bare.alias("symbol"), "exchange"))
+
+
 RECORDS = "select c_custkey, c_name, case when c_custkey % 3 <> 0 then c_mktsegment end as segment from customer"
 QUERIES = {
     "parse_fields": (
@@ -283,4 +302,27 @@ QUERIES = {
           {steady_sql("case when asset_id % 6 = 0 then 12 else target_mean end")} as target, coalesce(n, 0) as n_insiders, coalesce(y, 0) as n_income, coalesce(p, 0) as n_providers, case when quote_type = 'ETF' then least(coalesce(n, 0), 10) else 0 end as n_holdings
         from c left join a using (asset_id)""",
     ),
+    "page_scores": (
+        lambda spark, d: profiles.page_scores(marked(spark, d).select((F.col("key") - F.col("key") % 4).alias("key"), "code", F.col("score").alias("html"))),
+        """select c_custkey - c_custkey % 4 as key, cast(max(case when c_custkey % 4 = 0 then -c_custkey end) as int) as piotroski_score, max(case when c_custkey % 4 = 1 then -c_custkey - 0.5e0 end) as beneish_m_score,
+        max(case when c_custkey % 4 = 2 then -c_custkey - 0.5e0 end) as roic, max(case when c_custkey % 4 = 3 then -c_custkey - 0.5e0 end) as gf_score from customer group by 1""",
+    ),
+    "exchange_symbols": (
+        lambda spark, d: profiles.exchange_first_symbol(marked(spark, d).select("ticker"), _hits(spark, d)),
+        f"""with m as ({MARKED}), h as (select *, 'T' || cast(key as varchar) as bare, key % 5 <> 0 as has from m)
+        select ticker, case when has then exchange || ':' || bare when key % 3 = 0 then 'PAR:' || bare when key % 3 = 1 then 'NCM:' || bare end as symbol from h""",
+    ),
+    "equity_profile": (
+        lambda spark, d: profiles.equity_profile(marked(spark, d).select("key", F.col("equity").alias("html"))).withColumn("eligibility", F.array_join("eligibility", ",")),
+        """select c_custkey as key, 'FR' || cast(c_custkey as varchar) as isin, 'PEA,SRD long' as eligibility, 'Low ' || cast(c_custkey as varchar) as esg_score, cast(c_custkey % 7 as varchar) || '/7' as risk_level, 'N' || cast(c_custkey % 3 as varchar) as esg_controversy,
+        null as esg_co2, 'P' as esg_positive_impact, null as esg_negative_impact from customer""",
+    ),
+    "fund_page": (
+        lambda spark, d: profiles.fund_page(marked(spark, d).select("key", F.col("fund").alias("html"))),
+        """select c_custkey as key, 'Fund ' || cast(c_custkey as varchar) as name, case c_custkey % 3 when 0 then 'Capitalisation' when 1 then 'Distribution' else 'Other' end as policy, (c_custkey % 9 + 1) / 1e1 as fees, cast(1000 + c_custkey % 1000 as int) as holdings, '1 234 m' as size from customer""",
+    ),
+    "embedded_articles": (
+        lambda spark, d: profiles.embedded_articles(marked(spark, d).select("key", F.col("news").alias("html")), "2026-05-20 10:00:00"),
+        "select c_custkey as key, 'A headline of ' || cast(c_custkey as varchar) as title, 'https://n/' || cast(c_custkey as varchar) as url, 'S' as source, timestamp '2026-05-20 07:00:00' as published_at from customer where c_custkey % 5 <> 0",
+    ),
 }
