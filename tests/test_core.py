@@ -387,3 +387,12 @@ def test_news_of_each_ticker_and_fetch(spark):
     got = news.ticker_news(keyed, ["ticker", "fetch"], "en", 3).collect()
     assert {(r.ticker, r.fetch) for r in got} == {("A", 0), ("A", 1), ("B", 0), ("B", 1)}
     assert all(sum((x.ticker, x.fetch) == (r.ticker, r.fetch) for x in got) <= 3 for r in got)
+
+
+def test_requests_are_checked():
+    from tidemark.operators.search import checked_request
+
+    assert checked_request("BRK-B", "d", "2024-01-01", "2024-01-01") == ("BRK-B", False, "2024-01-01", "2024-01-01")
+    for bad in (("TOOLONGTICKER",), ("A/B",), ("A", "x"), ("A", "a", "2024-02-01", "2024-01-01"), ("A", "a", "soon")):
+        with pytest.raises(ValueError):
+            checked_request(*bad)

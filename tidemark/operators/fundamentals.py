@@ -91,6 +91,22 @@ def sections(companies: DataFrame, statement_rows: DataFrame, earnings: DataFram
     return head.join(newest(statement_rows, "statements", latest_statements), "asset_id", "left").join(newest(earnings, "earnings", latest_earnings), "asset_id", "left")
 
 
+#: Lists of a company's page: column they are ordered by (the largest first), and how many are shown. Fixed values.
+LISTS = {"ratings": ("date", 1), "esg": ("date", 1), "trend": ("period", 10), "share_counts": ("date", 100), "holdings": ("weight", 100)}
+
+
+def with_lists(head: DataFrame, **lists: DataFrame) -> DataFrame:
+    """``head`` (asset_id, ...) with an array for each of ``lists`` (names of LISTS; asset_id and columns), cut and ordered as LISTS says; ties go by the other columns."""
+    out = head
+    for name, rows in lists.items():
+        by, n = LISTS[name]
+        others = [c for c in rows.columns if c not in ("asset_id", by)]
+        kept = ranked(rows, ["asset_id"], [F.col(by).desc_nulls_last(), *others], n)
+        held = F.array_sort(F.collect_list(F.struct(by, *others)), lambda a, b: F.when(a[by] > b[by], -1).when(a[by] < b[by], 1).when(a[others[0]] < b[others[0]], -1).when(a[others[0]] > b[others[0]], 1).otherwise(0))
+        out = out.join(kept.groupBy("asset_id").agg(held.alias(name)), "asset_id", "left")
+    return out
+
+
 def consensus_label(votes: dict[str, str]) -> object:
     """The label with the most votes, by column; the first of ``votes`` wins a tie, and none has a label without votes."""
     best = F.greatest(*(F.coalesce(F.col(c), F.lit(0)) for c in votes))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -72,6 +74,16 @@ def checked_ticker(ticker: str) -> str:
     return ticker
 
 
+def checked_request(ticker: str, order: str = "a", start: str | None = None, end: str | None = None) -> tuple[str, bool, str | None, str | None]:
+    """ticker, ascending, start and end of a request for records, or ValueError: the order is a or d, and start isn't after end (ISO dates)."""
+    if order not in ("a", "d"):
+        raise ValueError(f"no order: {order!r}")
+    days = [None if d is None else datetime.date.fromisoformat(d) for d in (start, end)]
+    if None not in days and days[0] > days[1]:
+        raise ValueError(f"{start} is after {end}")
+    return checked_ticker(ticker), order == "a", start, end
+
+
 def eod_records(bars: DataFrame) -> DataFrame:
     """Date as month-day-year; missing prices are 0, a missing adjusted close is the close."""
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))

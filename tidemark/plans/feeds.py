@@ -150,6 +150,13 @@ def _hits(spark: SparkSession, d: str) -> DataFrame:
 
 
 RECORDS = "select c_custkey, c_name, case when c_custkey % 3 <> 0 then c_mktsegment end as segment from customer"
+def _company_lists(spark: SparkSession, d: str) -> DataFrame:
+    o = read(spark, d, "orders").select(F.col("o_custkey").alias("asset_id"), F.to_date("o_orderdate").alias("date"), F.col("o_orderkey").alias("shares"), (F.col("o_orderkey") % 7).alias("weight"))
+    made = fundamentals.with_lists(read(spark, d, "customer").select(F.col("c_custkey").alias("asset_id")), share_counts=o.select("asset_id", "date", "shares"), holdings=o.select("asset_id", "weight", "shares"))
+    n = F.size("share_counts")
+    return made.select("asset_id", F.when(n > 0, n).otherwise(0).cast("bigint").alias("n_counts"), F.get("share_counts", 0)["shares"].alias("newest"), F.array_join(F.transform("holdings", lambda x: x["shares"].cast("string")), ",").alias("held"))
+
+
 QUERIES = {
     "parse_fields": (
         lambda spark, d: texts(spark, d).select(
@@ -325,4 +332,11 @@ QUERIES = {
         lambda spark, d: profiles.embedded_articles(marked(spark, d).select("key", F.col("news").alias("html")), "2026-05-20 10:00:00"),
         "select c_custkey as key, 'A headline of ' || cast(c_custkey as varchar) as title, 'https://n/' || cast(c_custkey as varchar) as url, 'S' as source, timestamp '2026-05-20 07:00:00' as published_at from customer where c_custkey % 5 <> 0",
     ),
+    "company_lists": (
+        _company_lists,
+        """with o as (select o_custkey as asset_id, cast(o_orderdate as date) as date, o_orderkey as shares, o_orderkey % 7 as weight from orders),
+        r as (select *, row_number() over (partition by asset_id order by date desc, shares) as a, row_number() over (partition by asset_id order by weight desc, shares) as b from o),
+        g as (select asset_id, count(*) as n, max(case when a = 1 then shares end) as newest, string_agg(cast(shares as varchar), ',' order by b) filter (where b <= 100) as held from r group by 1)
+        select c_custkey as asset_id, coalesce(least(n, 100), 0) as n_counts, newest, held from customer left join g on asset_id = c_custkey""",
+    ),
 }
