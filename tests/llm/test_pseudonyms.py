@@ -208,9 +208,10 @@ def test_query_is_the_same_as_by_hand(spark, sf_dir):
 
 @pytest.mark.parametrize("shape", ["yyyy-MM-dd", "M/d/yyyy", "dd/MM/yyyy", "d.M.yyyy"])
 def test_every_day_keeps_its_shape_and_comes_back(spark, shape):
-    days = spark.range(146097).selectExpr("id as doc_id", f"date_format(date_add(date'1800-01-01', cast(id as int)), '{shape}') as text")
+    days = spark.range(0, 146097, 1 if shape == "M/d/yyyy" else 5).selectExpr(  # all days of 400 years, or each fifth one
+        "id as doc_id", f"date_format(date_add(date'1800-01-01', cast(id as int)), '{shape}') as text")
     new = pseudonymise(days, KEY).selectExpr("doc_id", "text as new")
     back = pseudonymise(new.selectExpr("doc_id", "new as text"), KEY, restore=True).selectExpr("doc_id", "text as back")
     both = days.join(new, "doc_id").join(back, "doc_id")
     found = both.selectExpr("count(*)", "count(distinct new)", "count(distinct text)", "count_if(text = back)", "count_if(regexp_replace(text, '[0-9]', '0') = regexp_replace(new, '[0-9]', '0'))").first()
-    assert found[0] == found[3] == found[4] == 146097 and found[1] == found[2]
+    assert found[0] == found[3] == found[4] == days.count() and found[1] == found[2]
