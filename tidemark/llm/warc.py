@@ -1,8 +1,9 @@
 r"""A writer and reader of Zstandard-compressed WARC archives with an embedded dictionary.
 
 Each archive opens with a skippable frame (magic 0x184D2A5D) that holds a dictionary built from the archive's own records, up to
-``SAMPLE_BYTES`` of them; each record follows as a frame of its own, compressed with that dictionary. Records are dealt to archives by
-their payload's digest, so the first records of an archive are a fair sample of it.
+``SAMPLE_BYTES`` of them; each record follows as a frame of its own, compressed with that dictionary. Records reach an archive in the order of the join with
+the groups of equal payloads: by digest where Spark shuffles for it, as they are scanned where it doesn't; either way the dictionary is of the records it serves.
+Pages have no date of their own, so all records have the one given (``DATE``).
 
 Spark writes the archives itself, so they reach any store that it reaches, and a lost executor's archive is written anew by its commit
 protocol: a row is an archive and a file, and the line separator that the text writer ends it with is an empty skippable frame, which
