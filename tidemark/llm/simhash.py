@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from tidemark.session import materialise
 
 from .graph import connected
+from .sieve import sieved
 from .texts import map_texts, table
 
 SHINGLE, RADIUS, SEED, WIDE = 4, 4, 42, 1 << 27
@@ -127,7 +128,9 @@ def components(fingerprinted: DataFrame, radius: int = RADIUS) -> DataFrame:
 def one_of_each(documents: DataFrame, grouped: DataFrame) -> DataFrame:
     """``documents`` with one document of each component of ``grouped`` (doc_id, component_id), that of the smallest doc_id; rows without a doc_id stay, and of rows that share one the first by text (then by all columns as JSON) stays."""
     gone = grouped.where("doc_id <> component_id").select("doc_id").distinct()
-    left = documents.join(gone, "doc_id", "left_anti").select(*documents.columns)
+    gone = materialise(gone)
+    maybe, never = sieved(documents, "doc_id", gone)  # most texts needn't be shuffled
+    left = never.unionByName(maybe.join(gone, "doc_id", "left_anti").select(*documents.columns))
     repeated = materialise(grouped.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
     if repeated.isEmpty():
         return left
