@@ -176,18 +176,6 @@ def test_quality(spark):
     assert [tuple(r) for r in quality.dynamic_range(closes).collect()] == [("a", 94.0, 106.0)]
 
 
-def test_alert_history_and_stream_agree(spark, tmp_path):
-    days = [(1, 5, 5), (2, 5, 4), (3, 5, 1), (4, 5, 5), (5, 5, 3), (6, 5, 5), (7, 5, 2)]
-    rows = [("p", dt.date(2024, 1, n), total, ok, ok == total, ok / total) for n, total, ok in days]
-    daily = spark.createDataFrame(rows, "provider string, date date, total long, ok long, passed boolean, success_rate double")
-    history = sorted((r.opened.day, r.resolved.day if r.resolved else None) for r in quality.alert_history(daily).where("type = 'canary_failed'").collect())
-    assert history == [(2, 4), (5, 6), (7, None)]
-    daily.select("provider", "date", "total", "ok").coalesce(1).write.parquet(str(tmp_path / "h"))
-    stream = spark.readStream.schema("provider string, date date, total long, ok long").parquet(str(tmp_path / "h"))
-    events = sorted((r.date.day, r.event) for r in ticks.available_now(ticks.alert_states(stream), "append").collect())
-    assert events == [(2, "opened"), (4, "resolved"), (5, "opened"), (6, "resolved"), (7, "opened")]
-
-
 def test_import_and_primary(spark):
     rows = [(1, "A", "aaa", "US0378331005", "stock", "usd"), (2, "A", "AAA", "US0378331005", "STOCK", "USD"), (3, "A", "AAA", "US0378331005", "STOCK", "EUR"), (4, "B", "B", "bad", "STOCK", "USD"), (5, "", "C", "US0378331006", "ETF", "USD"), (6, "D", "D", "US0378331007", "FUND", "EU")]
     got = {r.ordinal: (r.errors, r.is_duplicate) for r in identity.checked_import(spark.createDataFrame(rows, "ordinal int, name string, ticker string, isin string, type string, currency string")).collect()}
@@ -369,15 +357,6 @@ def test_asof_over_many_buckets(spark):
         assert got[i] == (max(known)[1] if known else None)
 
 
-def test_late_days_change_no_alert(spark, tmp_path):
-    for i, days in enumerate(([(3, 5, 4), (5, 5, 5)], [(4, 5, 1), (6, 5, 2)])):  # the 4th comes after the 5th
-        rows_ = [("p", dt.date(2024, 1, n), total, ok) for n, total, ok in days]
-        spark.createDataFrame(rows_, "provider string, date date, total long, ok long").coalesce(1).write.parquet(str(tmp_path / f"h/{i}"))
-    stream = spark.readStream.schema("provider string, date date, total long, ok long").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "h"))
-    events = [(r.date.day, r.type, r.event) for r in ticks.available_now(ticks.alert_states(stream, 0.5), "append").collect()]
-    assert sorted(events) == [(3, "canary_failed", "opened"), (5, "canary_failed", "resolved"), (6, "canary_failed", "opened"), (6, "low_success", "opened")]
-
-
 def test_news_of_each_ticker_and_fetch(spark):
     made = [(i, f"Headline number {i} of a long day", f"http://n/{i}", "p", "en", dt.datetime(2024, 1, 1, i % 24), ["A", "B"] if i % 2 else ["A"]) for i in range(150)]
     made += [(150, "Headline number 149 of a long day!", "http://n/x", "p", "en", dt.datetime(2024, 1, 2), ["A"])]

@@ -45,7 +45,7 @@ USAGE = ["created_at", "endpoint", "method", "status_code", "latency_ms", "provi
 
 def append_usage(rows: DataFrame, path: str) -> None:
     """Adds requests (USAGE) to the usage log, by day."""
-    rows.select(*USAGE, F.to_date("created_at").alias("day")).write.mode("append").partitionBy("day").parquet(path)
+    rows.select(*USAGE, F.to_date("created_at").alias("day")).repartitionByRange("day", "created_at").write.mode("append").partitionBy("day").parquet(path)
 
 
 def newest(rows: DataFrame, time: str, tie: str, n: int = 50) -> DataFrame:

@@ -10,10 +10,10 @@ from .bars import ranked
 #: Field: lowest and highest value, both allowed. Fixed values.
 BOUNDS = {
     "pe_ratio": (0.5, 1000.0), "pe_forward": (0.5, 500.0), "pb_ratio": (0.0, 100.0), "ps_ratio": (0.0, 200.0), "peg_ratio": (-10.0, 50.0), "ev_ebitda": (0.0, 500.0),
-    "price": (0.001, 1e6), "target_price": (0.001, 1e6), "week_52_high": (0.001, 1e6), "week_52_low": (0.001, 1e6), "dividend_yield": (0.0, 0.5), "dividend_rate": (0.0, 1000.0),
+    "price": (0.001, 1e6), "target_price": (0.001, 1e6), "dividend_yield": (0.0, 0.5), "dividend_rate": (0.0, 1000.0),
     "roe": (-5.0, 10.0), "roa": (-2.0, 2.0), "net_margin": (-5.0, 1.0), "operating_margin": (-5.0, 1.0), "gross_margin": (-1.0, 1.0),
     "quarterly_revenue_growth_yoy": (-0.99, 10.0), "quarterly_earnings_growth_yoy": (-0.99, 20.0), "eps_trailing": (-1000.0, 10000.0), "eps_forward": (-1000.0, 10000.0), "eps": (-1000.0, 10000.0),
-    "beta": (-3.0, 5.0), "short_percent_float": (0.0, 1.0), "payout_ratio": (0.0, 10.0),
+    "beta": (-3.0, 5.0), "short_percent_float": (0.0, 1.0), "payout_ratio": (0.0, 10.0), "week_52_high": (0.001, 1e6), "week_52_low": (0.001, 1e6),
 }
 OUTLIER, HEALTHY, POOR, FAILURES = 0.5, 0.85, 0.70, 3
 
@@ -72,7 +72,7 @@ def daily_health(checks: DataFrame) -> DataFrame:
     """A row for each provider and date of ``checks`` (provider, date, status)."""
     s = F.col("status")
     counted = checks.groupBy("provider", "date").agg(
-        F.count(F.lit(1)).alias("total"), F.count_if(s == "ok").alias("ok"), F.count_if(s == "outlier").alias("outlier"),
+        F.count(F.lit(1)).alias("total"), F.count_if(s == "ok").alias("ok"), F.count_if(s == "outlier").alias("outlier"), F.count_if(s == "out_of_range").alias("out_of_range"),
         F.count_if(s.isin("null", "timeout")).alias("missing"), F.count_if(s == "timeout").alias("timeout"), F.every(s == "ok").alias("passed"),
     )
     rate = F.round(F.col("ok") / F.col("total"), 4)
@@ -106,10 +106,13 @@ def top_invalid(checks: DataFrame, n: int = 5) -> DataFrame:
 
 
 def alerts(daily: DataFrame, open_alerts: DataFrame | None = None) -> DataFrame:
-    """provider, date, type, severity that the day's health raises, without those that are open already."""
-    failures = F.col("total") - F.col("ok")
+    """provider, date, type, severity that the day's health raises, without those that are open already.
+
+    Values out of range and outliers are failures; a missing value or a timeout is none, it only lowers the share of ok.
+    """
+    failures = F.col("out_of_range") + F.col("outlier")
     failed = daily.where(failures > 0).select("provider", "date", F.lit("canary_failed").alias("type"), F.when(failures >= FAILURES, "critical").otherwise("warning").alias("severity"))
-    low = daily.where(F.col("success_rate") < HEALTHY).select("provider", "date", F.lit("low_success_rate").alias("type"), F.when(F.col("success_rate") < POOR, "critical").otherwise("warning").alias("severity"))
+    low = daily.where(F.col("success_rate") < HEALTHY).select("provider", "date", F.lit("high_outlier_rate").alias("type"), F.when(F.col("success_rate") < POOR, "critical").otherwise("warning").alias("severity"))
     raised = failed.union(low)
     return raised if open_alerts is None else raised.join(open_alerts.select("provider", "type"), ["provider", "type"], "left_anti").select(raised.columns)
 
@@ -127,5 +130,5 @@ def alert_history(daily: DataFrame) -> DataFrame:
     keep = days.select("provider", "date", "era", "clear_day")
     raised = alerts(daily).join(keep, ["provider", "date"])
     failed = ranked(raised.where("type = 'canary_failed'"), ["provider", "era"], [F.col("date")]).select("provider", "type", F.col("date").alias("opened"), F.col("clear_day").alias("resolved"), "severity")
-    low = ranked(raised.where("type = 'low_success_rate'"), ["provider"], [F.col("date")]).select("provider", "type", F.col("date").alias("opened"), F.lit(None).cast("date").alias("resolved"), "severity")
+    low = ranked(raised.where("type = 'high_outlier_rate'"), ["provider"], [F.col("date")]).select("provider", "type", F.col("date").alias("opened"), F.lit(None).cast("date").alias("resolved"), "severity")
     return failed.union(low)

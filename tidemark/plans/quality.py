@@ -42,10 +42,10 @@ def _health(spark: SparkSession, d: str) -> DataFrame:
 
 V = f"with v as ({VALUES}), r as (select *, case when value is null then 'null' when value < 0.001 or value > 1e6 then 'out_of_range' else 'ok' end as s from v), m as (select ticker, field, median(value) as m, count(*) as n from r where s = 'ok' group by all having count(*) >= 2)"
 J = V + ", j as (select r.*, m.m, case when s = 'ok' and abs(m.m) >= 1e-9 then abs(value - m.m) / abs(m.m) end as dev from r left join m using (ticker, field))"
-H = f"""with c as ({CHECKS}), h as (select provider, date, count(*) as total, count(*) filter (where status = 'ok') as ok, count(*) filter (where status = 'outlier') as outlier,
+H = f"""with c as ({CHECKS}), h as (select provider, date, count(*) as total, count(*) filter (where status = 'ok') as ok, count(*) filter (where status = 'outlier') as outlier, count(*) filter (where status = 'out_of_range') as out_of_range,
   count(*) filter (where status in ('null', 'timeout')) as missing, count(*) filter (where status = 'timeout') as timeout, bool_and(status = 'ok') as passed, round(count(*) filter (where status = 'ok') / count(*), 4) as success_rate from c group by 1, 2)"""
-A = H + """, a as (select provider, date, 'canary_failed' as type, case when total - ok >= 3 then 'critical' else 'warning' end as severity from h where total > ok
-  union all select provider, date, 'low_success_rate', case when success_rate < 0.7 then 'critical' else 'warning' end from h where success_rate < 0.85)"""
+A = H + """, a as (select provider, date, 'canary_failed' as type, case when out_of_range + outlier >= 3 then 'critical' else 'warning' end as severity from h where out_of_range + outlier > 0
+  union all select provider, date, 'high_outlier_rate', case when success_rate < 0.7 then 'critical' else 'warning' end from h where success_rate < 0.85)"""
 RANGE = f"with b as ({DAILY}), s as (select asset, avg(close) as m, stddev_samp(close) as s from b group by 1 having count(close) >= 10), r as (select asset, greatest(m - 3 * greatest(s, m * 0.02), 0.01) as low, m + 3 * greatest(s, m * 0.02) as high from s)"
 
 QUERIES = {
@@ -85,6 +85,6 @@ QUERIES = {
         A + """, e as (select provider, date, coalesce(sum(cast(passed as int)) over (partition by provider order by date rows between unbounded preceding and 1 preceding), 0) as era,
           min(case when passed then date end) over (partition by provider order by date rows between current row and unbounded following) as clear_day from h)
         select provider, type, min(date) as opened, arg_min(clear_day, date) filter (where clear_day is not null) as resolved, arg_min(severity, date) as severity from a join e using (provider, date) where type = 'canary_failed' group by provider, type, era
-        union all select provider, type, min(date), null, arg_min(severity, date) from a where type = 'low_success_rate' group by provider, type""",
+        union all select provider, type, min(date), null, arg_min(severity, date) from a where type = 'high_outlier_rate' group by provider, type""",
     ),
 }

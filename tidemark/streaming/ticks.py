@@ -1,14 +1,10 @@
-"""Structured Streaming over ticks: validation, lateness, minute bars, last values, counters and alert states."""
+"""Structured Streaming over ticks: validation, lateness, minute bars, last values and counters."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.operators.bars import ranked
 from tidemark.session import scratch_path
@@ -60,35 +56,6 @@ def subscribed(ticks: DataFrame, subscriptions: DataFrame) -> DataFrame:
     return ticks.join(subscriptions.where("is_active").select("asset"), "asset", "left_semi")
 
 
-def alert_states(health: DataFrame, low: float = 0.0) -> DataFrame:
-    """provider, type, event (opened, resolved), date from a stream of daily health (provider, date, total, ok).
-
-    canary_failed opens on a day with failures and resolves on one without; low_success opens where the share of ok falls below ``low`` and
-    resolves where it doesn't. Keeps one small state for each provider: which alerts are open, and the last date seen; days that
-    come late, at or before that date, change nothing. A batch's days of a provider, of which there are few, are put in order.
-    """
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        failed, weak, seen = state.get if state.exists else (False, False, None)
-        days = sorted((r.date, r.total, r.ok) for f in frames for r in f.itertuples())
-        out = []
-        for date, total, ok in days:
-            if seen is not None and date <= seen:
-                continue
-            seen = date
-            bad, poor = total > ok, total > 0 and ok / total < low
-            if bad != failed and (bad or total > 0):
-                out.append((key[0], "canary_failed", "opened" if bad else "resolved", date))
-                failed = bad
-            if poor != weak and total > 0:
-                out.append((key[0], "low_success", "opened" if poor else "resolved", date))
-                weak = poor
-        state.update((failed, weak, seen))
-        yield pd.DataFrame(out, columns=["provider", "type", "event", "date"])
-
-    return health.groupBy("provider").applyInPandasWithState(step, "provider string, type string, event string, date date", "failed boolean, weak boolean, seen date", "append", GroupStateTimeout.NoTimeout)
-
-
 def available_now(stream: DataFrame, mode: str, keys: list[str] | None = None) -> DataFrame:
     """What ``stream`` yields for all that is there now. In update mode the newest row of each of ``keys`` counts (last write wins).
 
