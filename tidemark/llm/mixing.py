@@ -179,9 +179,9 @@ def _by_source(rows: DataFrame, table: DataFrame, columns: list[str]) -> DataFra
 
 
 def balanced_sample(rows: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """``rows`` (doc_id, source, size, p) with p decided: 0 or 1, the documents and words of each source near to their expectation."""
+    """``rows`` (doc_id, source, size, p; perhaps h, a hash that tells them apart) with p decided: 0 or 1, the documents and words of each source near to their expectation."""
     kind = dict(rows.dtypes)["doc_id"]
-    h = F.xxhash64(F.lit(SEED), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "size")
+    h = F.col("h") if "h" in rows.columns else F.xxhash64(F.lit(SEED), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "size")
     given = materialise(rows.select(F.col("doc_id").cast("string").alias("doc_id"), "source", "size", "p", h.alias("h")))
     names, open_ = given.columns, F.col("p").between(_EPS, 1 - _EPS)
     out = given.where(~open_)
@@ -199,24 +199,34 @@ def balanced_sample(rows: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     return out.withColumn("doc_id", F.col("doc_id").cast(kind)).drop("h")
 
 
-def mix(documents: DataFrame) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies (how often the mix takes the document) and taken (words)."""
-    sizes = materialise(map_texts(documents, lambda texts: ((len(blank_words(t or b"")),) for t in texts), "size long", ["doc_id", "source"]))
+def mix(documents: DataFrame, row: str = "doc_id", h: str | None = None) -> DataFrame:
+    """row, source, size, source_size, target, copies (how often the mix takes the document) and taken (words).
+
+    ``row`` names the column that tells documents apart in the result, ``h`` one with a hash of theirs; by default the doc_id, of which there may be several.
+    """
+    sizes = materialise(map_texts(documents, lambda texts: ((len(blank_words(t or b"")),) for t in texts), "size long", [row, "source", *([h] if h else [])]))
     targets = materialise(source_targets(sizes))
     joined = _by_source(sizes, targets, ["source_size", "target"])
     rate = F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0))
     whole = F.floor(rate + _EPS)
     split = F.greatest(F.lit(0.0), rate - whole)
     p = F.when(split < _EPS, 0.0).otherwise(split)
-    back = _by_source(balanced_sample(joined.select("doc_id", "source", "size", p.alias("p"))), targets, ["source_size", "target"])
+    open_ = joined.select(F.col(row).alias("doc_id"), "source", "size", p.alias("p"), *([F.col(h).alias("h")] if h else []))
+    back = _by_source(balanced_sample(open_), targets, ["source_size", "target"])
     copies = (whole + F.col("p")).cast("long")
-    return back.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return back.select(F.col("doc_id").alias(row), "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
 def mixed_documents(documents: DataFrame) -> DataFrame:
-    """The documents that the mix takes at least once, with copies and taken; rows that share a doc_id get the most that one of them got."""
-    drawn = mix(documents).groupBy("doc_id").agg(F.max("copies").alias("copies"), F.max("taken").alias("taken")).where("copies > 0")
-    return documents.drop("copies", "taken").join(drawn.withColumnRenamed("doc_id", "_d"), F.col("doc_id").eqNullSafe(F.col("_d"))).drop("_d")
+    """The documents that the mix takes at least once, with copies and taken, row by row: rows without a doc_id or with the same one are drawn each by itself.
+
+    Rows are told apart by a number that is written with them, and drawn by a hash of all their columns (but maps), so reruns draw the same rows however they are partitioned.
+    """
+    given = documents.drop("copies", "taken")
+    told = [x for c, t in given.dtypes if "map<" not in t for x in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`"))]
+    rows = materialise(given.withColumns({"__row": F.monotonically_increasing_id(), "__h": F.xxhash64(F.lit(SEED), *told)}))
+    drawn = mix(rows, "__row", "__h").where("copies > 0").select("__row", "copies", "taken")
+    return rows.drop("__h").join(drawn, "__row").drop("__row")
 
 
 def op5_cube_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
