@@ -35,7 +35,7 @@ from tidemark.session import materialise
 from .texts import table
 
 A_PATH, B_PATH = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
-BLOCK = 2_000_000
+BLOCK = 500_000
 #: How byte-level BPE splits a text before merging. Fixed value.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _LONG_BLANK = re.compile(r"\s{1000}")

@@ -5,7 +5,7 @@ two ranges, and permuted by ten rounds of a keyed Feistel network: l takes a has
 range, which is a permutation for any ranges. The point is written back into the places of the old digits, so a card number stays a
 valid card number with its blanks, a date stays a date. Equal values get equal pseudonyms everywhere, as these depend on nothing but
 key, kind and value; ``restore=True`` undoes them. An e-mail address has no fixed format and becomes a keyed digest of 128 bits with an ``.invalid`` domain,
-which stays linked but can't be undone.
+which stays linked but can't be undone. A local part of more than 64 characters, which no valid address has, is taken whole where it begins a run of such characters.
 
 Card numbers (13 to 19 digits, Luhn) are sought in every run of digit groups that no other kind took, and in matches that failed their
 validation: from each group on, the longest valid sequence of groups of four digits or more (the last may be shorter) is taken, and the groups beside it (a security code, an expiry, another number)
@@ -52,7 +52,8 @@ def _iban_shape() -> str:
 # The groups of a phone number don't begin a card number: groups of four with no fifth one behind them, 4-6-5, or digits in a row.
 _NO_CARD = r"(?![0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{1,4}(?![0-9])(?![ -][0-9]{4}(?![0-9]))|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}(?![0-9])|[0-9]{13,19}(?![0-9]))"
 KINDS = {
-    "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*(?<=\.[A-Za-z]{2,24})",
+    # From any letter a local part is sought over 64 characters, which is the most an address has, from the first one of a run over all of it: so a run is not read anew from each of its dots.
+    "email": r"(?:(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*+|[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}+)@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*(?<=\.[A-Za-z]{2,24})",
     "iban": _iban_shape(),
     "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
     "date": r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})",
