@@ -115,7 +115,7 @@ def test_gap_ranges(spark):
 
 
 COMPANY = dict(beta=1.2, market_cap=100e6, eps_trailing=None, pe_ratio=None, pe_forward=None, dividend_rate=None, dividend_yield=None, shares_outstanding=10_000_000, week_52_high=60.0, week_52_low=40.0, last_close=None, trend_0y=None, trend_1y=None)
-STATEMENT = dict(revenue=None, ebit=10e6, operating_income=None, interest_expense=2e6, tax_provision=2.5e6, total_debt=40e6, total_equity=None, cash=None, operating_cashflow=None, capex=None, net_income=None, free_cashflow=None, dividends_paid=None, eps_diluted=None, shares_diluted=None)
+STATEMENT = dict(revenue=None, ebit=10e6, operating_income=None, interest_expense=2e6, tax_provision=2.5e6, total_debt=40e6, total_equity=None, cash=None, operating_cashflow=None, capex=None, net_income=None, free_cashflow=None, dividends_paid=None, eps_diluted=None, eps_basic=None, shares_diluted=None, shares_basic=None)
 
 
 def value(spark, company: dict | None = None, *statements: dict, steps=None):
@@ -133,6 +133,7 @@ def test_cost_of_capital(spark):
     r = value(spark, {"beta": 1.0}, debtless)
     assert (r.wacc, r.we, r.wd) == (0.095, 1.0, 0.0)
     assert value(spark, {"beta": 9.0}, debtless).wacc == 0.2 and value(spark, {"beta": 0.01}, debtless).wacc == 0.05
+    assert value(spark, {}, {"tax_provision": None}).tax == 0 and value(spark, {}, {"interest_expense": None}).kd == 0 and value(spark, {}, {"ebit": 0.0, "operating_income": None}).tax == 0.25
     assert value(spark, {}, {"tax_provision": 15e6}).tax == 0.25 and value(spark, {}, {"tax_provision": -1e6}).tax == 0.25
     assert value(spark, {"market_cap": 0.0}, debtless | {"total_equity": 50e6}).equity == 50e6 and value(spark, {"market_cap": 0.0}, debtless).equity == 1e6
 
@@ -148,6 +149,8 @@ def test_models(spark):
     assert value(spark, {}, dict(free_cashflow=-10e6, total_debt=500e6), steps=[*fixed, *valuation.fcf_steps()]).fcf_value == 0
     eps = lambda pe: value(spark, {"eps_trailing": 2.0, "pe_ratio": pe}, steps=[*fixed, *valuation.eps_steps(0.025, 0.05)])
     assert eps(50.0).multiple == 30 and eps(5.0).multiple == 10 and eps(-3.0).multiple == 15 and eps(50.0).eps_value > eps(5.0).eps_value > 0
+    assert value(spark, {"eps_trailing": -2.0}, {"eps_diluted": 0.0, "eps_basic": 3.0}).eps_start == 3 and value(spark, {"eps_trailing": -2.0}, {"eps_diluted": -1.0, "eps_basic": 3.0}).eps_start == 0.01
+    assert value(spark, {"shares_outstanding": None}, {"shares_diluted": 0.0, "shares_basic": 7.0}).shares == 7 and value(spark, {"last_close": 0.0}).price == 50
     none = value(spark)
     assert none.ddm_value is None and none.ddm_status == "no dividend"
     assert value(spark, {"dividend_rate": 1.5}).ddm_value > 0

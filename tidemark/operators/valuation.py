@@ -17,8 +17,9 @@ Steps = list[tuple[str, str]]
 
 #: Aggregates over an asset's latest statements; ``rn`` is 1 for the newest.
 FACTS: Steps = [
-    *((f"{c}_now", f"max(case when rn = 1 then {c} end)") for c in ("revenue", "ebit", "operating_income", "interest_expense", "tax_provision", "total_debt", "total_equity", "cash", "dividends_paid", "eps_diluted", "shares_diluted")),
+    *((f"{c}_now", f"max(case when rn = 1 then {c} end)") for c in ("revenue", "ebit", "operating_income", "interest_expense", "tax_provision", "total_debt", "total_equity", "cash", "dividends_paid", "eps_diluted", "eps_basic", "shares_diluted", "shares_basic")),
     ("fcf_base", "avg(case when rn <= 3 then free_cashflow end)"),
+    ("capex_base", "avg(case when rn <= 3 then coalesce(operating_cashflow, 0) - abs(coalesce(capex, 0)) end)"),
     ("flow_base", "avg(case when rn <= 3 then case when coalesce(operating_cashflow, 0) <> 0 then operating_cashflow - abs(coalesce(capex, 0)) else coalesce(net_income, 0) end end)"),
     *(
         (f"{short}_{end}", f"{pick}({value}, rn) filter (where {value} is not null)")
@@ -28,6 +29,11 @@ FACTS: Steps = [
     *((f"{short}_n", f"cast(count({value}) as bigint)") for short, value in (("fcf", "free_cashflow"), ("rev", "revenue"), ("eps", "eps_diluted"), ("div", "dividends_paid"))),
 ]
 
+#: Shares of the newest statement, dividends a share by it, and the earnings a share that a projection starts from.
+_DILUTED = "coalesce(nullif(shares_diluted_now, 0), nullif(shares_basic_now, 0))"
+_PAID = f"abs(dividends_paid_now) / nullif(coalesce({_DILUTED}, shares_outstanding), 0)"
+_EPS_START = "coalesce(case when eps_trailing > 0 then eps_trailing end, case when coalesce(nullif(eps_diluted_now, 0), eps_basic_now) > 0 then coalesce(nullif(eps_diluted_now, 0), eps_basic_now) end, 0.01e0)"
+
 
 def facts(highlights: DataFrame, statements: DataFrame) -> DataFrame:
     """``highlights`` (a row for each asset_id) with the FACTS of its five latest annual ``statements``."""
@@ -48,22 +54,22 @@ def _cagr(short: str, most: float) -> str:
 def wacc_steps(rf: float = 0.04, erp: float = 0.055) -> Steps:
     return [
         ("ke", steady_sql(f"{rf}e0 + coalesce(nullif(beta, 0), 1e0) * {erp}e0")),
-        ("kd", steady_sql(f"case when coalesce(interest_expense_now, 0) > 0 and coalesce(total_debt_now, 0) > 0 then interest_expense_now / nullif(total_debt_now, 0) else {rf}e0 + 0.02e0 end")),
+        ("kd", steady_sql(f"coalesce(coalesce(interest_expense_now, 0) / nullif(total_debt_now, 0), {rf}e0 + 0.02e0)")),
         ("profit", "coalesce(nullif(ebit_now, 0), operating_income_now)"),
-        ("ratio", "tax_provision_now / nullif(profit, 0)"),
+        ("ratio", "coalesce(tax_provision_now, 0) / nullif(profit, 0)"),
         ("tax", steady_sql("case when ratio between 0 and 1 then ratio else 0.25e0 end")),
         ("equity", "case when coalesce(market_cap, 0) > 0 then market_cap when coalesce(total_equity_now, 0) > 0 then total_equity_now else 1e6 end"),
-        ("debt", "greatest(coalesce(total_debt_now, 0), 0)"),
-        ("we", "equity / (equity + debt)"),
-        ("wd", "debt / (equity + debt)"),
+        ("debt", "coalesce(total_debt_now, 0)"),
+        ("we", "coalesce(equity / nullif(equity + debt, 0), 1e0)"),
+        ("wd", "coalesce(debt / nullif(equity + debt, 0), 0e0)"),
         ("wacc", steady_sql("least(greatest(we * ke + wd * kd * (1 - tax), 0.05e0), 0.20e0)")),
     ]
 
 
 def price_steps() -> Steps:
     return [
-        ("shares", "coalesce(nullif(shares_outstanding, 0), shares_diluted_now, 0)"),
-        ("price", "coalesce(last_close, case when coalesce(pe_ratio, 0) <> 0 and coalesce(eps_trailing, 0) <> 0 then pe_ratio * eps_trailing end, (week_52_high + week_52_low) / 2)"),
+        ("shares", f"coalesce(nullif(shares_outstanding, 0), {_DILUTED}, 0)"),
+        ("price", "coalesce(nullif(last_close, 0), case when coalesce(pe_ratio, 0) <> 0 and coalesce(eps_trailing, 0) <> 0 then pe_ratio * eps_trailing end, (week_52_high + week_52_low) / 2)"),
     ]
 
 
@@ -92,7 +98,7 @@ def fcf_steps(terminal: float = 0.025, growth: float | None = None) -> Steps:
 def eps_steps(terminal: float = 0.025, growth: float | None = None) -> Steps:
     own = f"coalesce(trend_0y, trend_1y, {_cagr('eps', 0.2)}, 0.05e0)" if growth is None else f"{growth}e0"
     steps = [
-        ("eps_start", "coalesce(nullif(eps_trailing, 0), nullif(eps_diluted_now, 0), 0.01e0)"),
+        ("eps_start", _EPS_START),
         ("eps_growth", own),
         ("eps_last", f"least({terminal}e0, ke - 0.005e0)"),
         ("multiple", "case when coalesce(nullif(pe_ratio, 0), pe_forward, 0) <= 0 then 15e0 else least(greatest(coalesce(nullif(pe_ratio, 0), pe_forward), 10e0), 30e0) end"),
@@ -109,7 +115,7 @@ def ddm_steps(terminal: float = 0.02, growth: float | None = None) -> Steps:
     base = [
         "nullif(greatest(dividend_rate, 0), 0)",
         "nullif(greatest(dividend_yield * pe_ratio * eps_trailing, 0), 0)",
-        "nullif(abs(dividends_paid_now) / nullif(coalesce(nullif(shares_diluted_now, 0), shares_outstanding), 0), 0)",
+        f"nullif({_PAID}, 0)",
     ]
     return [
         ("ddm_start", f"coalesce({', '.join(base)})"),
@@ -163,15 +169,14 @@ def sensitivity(company: DataFrame, rates: list[float], growths: list[float], mo
 
 def base_steps(model: str = "fcf") -> Steps:
     """What a model's grid starts from; its growth is that of the statements alone."""
-    paid = "abs(dividends_paid_now) / nullif(coalesce(nullif(shares_diluted_now, 0), shares_outstanding), 0)"
     start = {
-        "fcf": fcf_steps()[:2],
+        "fcf": [("fcf_start", "coalesce(fcf_base, capex_base, 0)"), fcf_steps()[1]],
         "eps": [
-            ("eps_start", "coalesce(case when eps_trailing > 0 then eps_trailing end, case when eps_diluted_now > 0 then eps_diluted_now end, 0.01e0)"),
+            ("eps_start", _EPS_START),
             ("eps_growth", f"coalesce({_cagr('eps', 0.2)}, 0.04e0)"),
             *(x for x in eps_steps() if x[0] == "multiple"),
         ],
-        "ddm": [("ddm_start", f"coalesce(case when dividend_rate > 0 then dividend_rate end, nullif({paid}, 0))"), ("ddm_growth", f"coalesce({_cagr('div', 0.15)}, 0.04e0)")],
+        "ddm": [("ddm_start", f"coalesce(case when dividend_rate > 0 then dividend_rate end, nullif({_PAID}, 0))"), ("ddm_growth", f"coalesce({_cagr('div', 0.15)}, 0.04e0)")],
     }
     return [*wacc_steps(), *price_steps(), *start[model]]
 

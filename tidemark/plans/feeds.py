@@ -127,7 +127,7 @@ select c_custkey as key, case c_custkey % 4 when 0 then 'fscore' when 1 then 'ms
   '<h1 id="etf-title"> Fund ' || cast(c_custkey as varchar) || ' </h1><div data-testid="etf-profile-header_distribution-policy-value">' || case c_custkey % 3 when 0 then 'Thesaurierend' when 1 then 'Distributing' else 'Other' end || '</div><div data-testid="etf-profile-header_ter-value">0,' || cast(c_custkey % 9 + 1 as varchar)
   || '0% p.a.</div><span data-testid="etf-profile-header_holdings-value">1.' || lpad(cast(c_custkey % 1000 as varchar), 3, '0') || '</span><span data-testid="etf-profile-header_fund-size-value-wrapper">EUR 1.234 m</span>' as fund,
   'x(["A headline of ' || cast(c_custkey as varchar) || '", "https://n/' || cast(c_custkey as varchar) || case when c_custkey % 5 = 0 then '.css' else '' end || '", "S", "3 hours ago"], ["short", "https://n", "", ""])' as news,
-  'T' || cast(c_custkey as varchar) || case c_custkey % 3 when 0 then '.PA' when 1 then '' else '.ZZ' end as ticker, case c_custkey % 4 when 0 then 'PAR' when 1 then 'NAS' else 'LON' end as exchange from customer
+  'T' || cast(c_custkey as varchar) || case c_custkey % 3 when 0 then '.PA' when 1 then '' else '.ZZ' end as ticker, case c_custkey % 4 when 0 then 'XPAR' when 1 then 'NAS' else 'LSE' end as exchange from customer
 """
 marked = _rows(MARKED)
 
@@ -301,7 +301,7 @@ QUERIES = {
     "exchange_symbols": (
         lambda spark, d: profiles.exchange_first_symbol(marked(spark, d).select("ticker"), _hits(spark, d)),
         f"""with m as ({MARKED}), h as (select *, 'T' || cast(key as varchar) as bare, key % 5 <> 0 as has from m)
-        select ticker, case when has then exchange || ':' || bare when key % 3 = 0 then 'PAR:' || bare when key % 3 = 1 then 'NCM:' || bare end as symbol from h""",
+        select ticker, case when has then exchange || ':' || case when key % 3 = 1 or (key % 3 = 0 and exchange = 'XPAR') then bare else 't' || cast(key as varchar) end when key % 3 = 0 then 'XPAR:' || bare when key % 3 = 1 then 'NAS:' || bare end as symbol from h""",
     ),
     "equity_profile": (
         lambda spark, d: profiles.equity_profile(marked(spark, d).select("key", F.col("equity").alias("html"))).withColumn("eligibility", F.array_join("eligibility", ",")),

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import dates, numbers
 from tidemark.functions.numbers import col
-from tidemark.functions.web import SUFFIX
 from tidemark.operators.bars import ranked
 
 #: Code of a score's page: column. Fixed values.
@@ -17,6 +16,18 @@ POLICIES = {"Ausschüttend": "Distribution", "Distribution": "Distribution", "Di
 #: Part of a label on an equity page: column. Fixed values.
 LABELS = {"controverse": "esg_controversy", "co₂": "esg_co2", "positif": "esg_positive_impact", "négatif": "esg_negative_impact"}
 
+#: Exchange code of the site that puts exchanges first: suffix of its tickers. Fixed values.
+EXCHANGE_SUFFIX = {
+    "XPAR": ".PA", "XAMS": ".AS", "XBRU": ".BR", "XLIS": ".LS", "XMAD": ".MC", "MIL": ".MI", "XSWX": ".SW", "FRA": ".F", "XTER": ".DE", "LSE": ".L",
+    "TSE": ".T", "HKSE": ".HK", "SHSE": ".SS", "SZSE": ".SZ", "ASX": ".AX", "TSX": ".TO", "TSXV": ".V", "XCNQ": ".CN", "NEOE": ".NE", "BSP": ".SA",
+    "MEX": ".MX", "BUE": ".BA", "XSGO": ".SN", "BOG": ".CL", "JSE": ".JO", "BOM": ".BO", "NSE": ".NS", "SGX": ".SI", "TPE": ".TW", "ROCO": ".TWO",
+    "XKRX": ".KS", "BKK": ".BK", "XKLS": ".KL", "ISX": ".JK", "HSTC": ".VN", "XTAE": ".TA", "SAU": ".SAU", "OSTO": ".ST", "OSL": ".OL", "OHEL": ".HE",
+    "OCSE": ".CO", "WBO": ".VI", "DUB": ".IR", "ATH": ".AT", "IST": ".IS", "WAR": ".WA", "XPRA": ".PR", "BUD": ".BD", "CAI": ".CA",
+    "NAS": "", "NYSE": "", "AMEX": "", "ARCA": "", "GREY": "", "OTCBB": "", "OTCPK": "",
+}
+#: Of exchanges without a suffix only this one is taken where no hit tells. Fixed value.
+HOME = "NAS"
+
 
 def plain_text(html: Column | str) -> Column:
     """Without scripts, styles and tags; blanks are single."""
@@ -42,19 +53,23 @@ def exchange_first_symbol(requests: DataFrame, hits: DataFrame) -> DataFrame:
     """ticker, symbol as ``EXCHANGE:SYMBOL`` for each of ``requests`` (ticker) from ``hits`` (query, place, type, symbol, exchange) of its bare symbol.
 
     A ticker with an exchange in front stays. Of stocks the first whose exchange has the ticker's suffix counts, or without a suffix the first of the very symbol; then the first of
-    the very symbol; then the first exchange by name that has the suffix.
+    the very symbol, as it is spelled; then the exchange that has the suffix (without one: NAS). Other tickers get none.
     """
-    t = F.upper("ticker")
-    parts = requests.select("ticker", F.substring_index(t, ".", 1).alias("bare"), F.when(t.contains("."), F.concat(F.lit("."), F.substring_index(t, ".", -1))).otherwise("").alias("suffix"))
-    known = F.create_map(*(F.lit(x) for pair in SUFFIX.items() for x in pair))
-    stocks = hits.where("type = 'stock'").select(F.upper("query").alias("bare"), "place", F.upper("symbol").alias("symbol"), F.upper(F.coalesce("exchange", F.lit(""))).alias("exchange"))
-    met = parts.join(stocks, "bare")
-    very = F.col("symbol") == F.col("bare")
-    fits = F.when(F.col("suffix") == "", very).otherwise(F.coalesce(F.try_element_at(known, F.col("exchange")) == F.col("suffix"), F.lit(False)))
+    pieces = F.split("ticker", r"\.")
+    parts = requests.select("ticker", F.get(pieces, F.lit(0)).alias("bare"), F.coalesce(F.concat(F.lit("."), F.upper(F.get(pieces, F.lit(1)))), F.lit("")).alias("suffix"))
+    known = F.create_map(*(F.lit(x) for pair in EXCHANGE_SUFFIX.items() for x in pair))
+    stocks = hits.where("type = 'stock'").select(F.upper("query").alias("_query"), "place", "symbol", "exchange")
+    met = parts.join(stocks, F.upper("bare") == F.col("_query"))
+    very = F.upper(F.coalesce("symbol", F.lit(""))) == F.upper("bare")
+    fits = F.when(F.col("suffix") == "", very).otherwise(F.coalesce(F.try_element_at(known, F.upper("exchange")) == F.col("suffix"), F.lit(False)))
     best = ranked(met.withColumn("way", F.when(fits, 1).when(very, 2)).where("way is not null"), ["ticker"], [F.col("way"), F.col("place")])
-    named = best.select("ticker", F.concat(F.when(F.col("exchange") != "", F.concat("exchange", F.lit(":"))).otherwise(""), "symbol").alias("found"))
-    names = sorted(SUFFIX)
-    made = F.coalesce(*(F.when(F.col("suffix") == SUFFIX[n], F.concat(F.lit(f"{n}:"), F.col("bare"))) for n in names))
+    spelled = lambda c: F.when(F.col("way") == 1, F.upper(c)).otherwise(F.col(c))
+    named = best.select("ticker", F.concat_ws(":", F.nullif(spelled("exchange"), F.lit("")), spelled("symbol")).alias("found"))
+    first: dict[str, str] = {"": HOME}
+    for exchange, suffix in EXCHANGE_SUFFIX.items():
+        first.setdefault(suffix, exchange)
+    of_suffix = F.create_map(*(F.lit(x) for pair in first.items() for x in pair))
+    made = F.concat(F.try_element_at(of_suffix, F.col("suffix")), F.lit(":"), F.col("bare"))
     joined = parts.join(named, "ticker", "left")
     return joined.select("ticker", F.when(F.col("ticker").contains(":"), F.col("ticker")).otherwise(F.coalesce("found", made)).alias("symbol"))
 
