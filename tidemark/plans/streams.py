@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.numbers import steady, steady_sql
 from tidemark.session import scratch_path
-from tidemark.sources import stored
+from tidemark.sources import frames, stored
 from tidemark.sources.adapters import brand_bars, read, tick_stream
 from tidemark.streaming import stateful
 from tidemark.streaming import ticks as op
@@ -49,6 +49,27 @@ def _upserted(spark: SparkSession, d: str) -> DataFrame:
     return stored.stored(spark, path).select("asset", "ts", steady("close").alias("close"), "volume")
 
 
+def _framed_bars(spark: SparkSession, d: str, **options) -> DataFrame:
+    """Brands' bars as stored frames, a message for each brand and year, read back by the data source."""
+    path = scratch_path(spark)
+    bar = F.concat(F.lit('{"v":['), F.concat_ws(",", F.unix_timestamp(F.col("ts").cast("timestamp")), "open", "high", "low", "close", "volume"), F.lit("]}"))
+    years = brand_bars(spark, d).groupBy("asset", F.date_format("ts", "yyyy").alias("period")).agg(F.concat_ws(",", F.collect_list(bar)).alias("bars"))  # at most 366 days
+    payload = F.concat(F.lit('{"m":"timescale_update","p":["s",{"sds_1":{"s":['), "bars", F.lit("]}}]}"))
+    years.select("asset", "period", F.concat(F.lit("~m~5~m~hello~m~"), F.length(payload).cast("string"), F.lit("~m~"), payload).alias("value")).repartition("asset").write.partitionBy("asset", "period").text(path)
+    frames.register(spark)
+    return spark.read.format("quote_frames").options(path=path, **options).load()
+
+
+def _framed_ticks(spark: SparkSession, d: str) -> DataFrame:
+    """Ticks of events as files of frames, streamed by the data source and parsed."""
+    path = scratch_path(spark)
+    e = read(spark, d, "events")
+    payload = F.to_json(F.struct(F.col("event_type").alias("ticker"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("Timestamp"), F.col("value").alias("close"), F.get_json_object("props", "$.k").try_cast("bigint").alias("volume")))
+    e.select(F.concat(F.lit("~m~"), F.length(payload).cast("string"), F.lit("~m~"), payload).alias("value")).write.text(path)
+    frames.register(spark)
+    return op.valid(op.parsed(spark.readStream.format("tick_frames").option("path", path).load()))
+
+
 def _kept_bars(spark: SparkSession, d: str) -> DataFrame:
     """Bars that a stream upserts into a stored table, of which the last seven days before the newest one are kept."""
     path = scratch_path(spark)
@@ -96,6 +117,18 @@ QUERIES = {
         """with e as (select event_type as asset, ts, event_id, value as price from events where value > 0), c as (select asset, ts, event_id / 50 % 3 >= 1 as active from e where event_id % 50 = 0)
         select e.event_id, e.asset, e.ts, e.price from e asof join c on e.asset = c.asset and e.ts >= c.ts where c.active and e.ts < (select date_trunc('milliseconds', min(m)) from (select max(ts) as m from e union all select max(ts) from c)) - interval 5 minutes""",
     ),
+    "source_quote_frames": (
+        lambda spark, d: _framed_bars(spark, d, prune="true").where("asset in ('Brand#11', 'Brand#23') and ts >= timestamp_ntz'1995-06-15' and volume > 20").select("asset", "ts", *(steady(c).alias(c) for c in ("open", "high", "low", "close")), "volume"),
+        f"with b as ({BRAND}) select asset, ts, {', '.join(f'{steady_sql(c)} as {c}' for c in ('open', 'high', 'low', 'close'))}, volume from b where asset in ('Brand#11', 'Brand#23') and ts >= '1995-06-15' and volume > 20",
+    ),
+    "source_newest_bars": (
+        lambda spark, d: _framed_bars(spark, d, start="1998-06-01", end="1998-08-15", resolution="1D").select("asset", "ts", steady("close").alias("close")),
+        f"with b as ({BRAND}), n as (select *, row_number() over (partition by asset order by ts desc) as rn from b) select asset, ts, {steady_sql('close')} as close from n where rn <= 75 and ts between '1998-06-01' and '1998-08-15'",
+    ),
+    "stream_framed_ticks": (
+        lambda spark, d: _ntz(op.available_now(_framed_ticks(spark, d), "append"), "ts"),
+        "select event_type as asset, date_trunc('second', ts) as ts, value as price, cast(json_extract_string(props, '$.k') as bigint) as volume from events where value > 0",
+    ),
     "stored_upsert": (
         _upserted,
         f"""with b as ({BRAND}) select asset, ts, {steady_sql("close * case when ts >= '1996-03-01' and ts < '1996-06-01' then 2 else 1 end")} as close, volume * case when ts >= '1996-05-01' and ts < '1996-07-01' then -1 else 1 end as volume from b
