@@ -5,6 +5,10 @@ from __future__ import annotations
 import datetime as dt
 import math
 import random
+import re
+import time
+import unicodedata
+from difflib import SequenceMatcher
 
 import pytest
 from pyspark.sql import functions as F
@@ -195,7 +199,10 @@ def test_identity(spark):
 
 
 def test_news(spark):
-    assert news.greedy_titles(["Apple beats estimates in Q2", "Apple beats estimates in Q2!", "Oil falls"], [1, 2, 3]) == [1, 2]
+    slots = news.TitleSlots()
+    for i, title in enumerate(["Apple beats estimates in Q2", "Apple beats estimates in Q2!", "Oil falls"]):
+        slots.add(title, i, i)
+    assert slots.rows == [1, 2]
     df = spark.createDataFrame([("http://A.com/x/?utm_source=t&b=1&a=&c=2#f",), ("http://a.com/x?b=1&c=2",), ("https://a.com/",), ("http://a.com/p;v=1?fbclid=3",)], "url string")
     assert [r[0] for r in df.select(web.canonical_url("url")).collect()] == ["http://a.com/x?b=1&c=2", "http://a.com/x?b=1&c=2", "https://a.com", "http://a.com/p"]
 
@@ -312,7 +319,10 @@ def test_records_are_written(spark, tmp_path):
 def test_pieces_of_texts(spark):
     from tidemark.functions import names
 
-    assert one(spark, "Société Générale ☃", names.without_accents) == "Societe Generale "
+    assert one(spark, "Société Générale ☃", names.without_accents) == "Societe Generale " and one(spark, "Škoda Łódź őŐ ﬁ", names.without_accents) == "Skoda odz oO "
+    every = "".join(chr(c) for c in range(0x20, 0x10000) if not 0xD800 <= c < 0xE000)
+    assert one(spark, every, names.without_accents) == "".join(unicodedata.normalize("NFD", c)[0] for c in every if unicodedata.normalize("NFD", c)[0].isascii())
+    assert one(spark, "  Škoda – Ünïted & Co. ", web.slug) == "skoda-united-co"
     assert one(spark, "a1 b2 c3", lambda c: names.every_group(c, "([a-z])([0-9])", 2)) == ["a", "1", "b", "2", "c", "3"] and one(spark, "none", lambda c: names.every_group(c, "([0-9])", 1)) == []
     assert one(spark, "id=[x7] end", lambda c: names.between(c, "[", "]")) == "x7" and one(spark, "nothing", lambda c: names.between(c, "[", "]")) is None
 
@@ -360,15 +370,58 @@ def test_asof_over_many_buckets(spark):
         assert got[i] == (max(known)[1] if known else None)
 
 
-def test_news_of_each_ticker_and_fetch(spark):
-    made = [(i, f"Headline number {i} of a long day", f"http://n/{i}", "p", "en", dt.datetime(2024, 1, 1, i % 24), ["A", "B"] if i % 2 else ["A"]) for i in range(150)]
-    made += [(150, "Headline number 149 of a long day!", "http://n/x", "p", "en", dt.datetime(2024, 1, 2), ["A"])]
-    articles = spark.createDataFrame(made, "ordinal long, title string, url string, provider string, language string, published_at timestamp_ntz, tickers array<string>")
-    keyed = articles.withColumns({"fetch": news.fetch_of(), "ticker": F.explode("tickers")})
-    assert keyed.groupBy("ticker", "fetch").count().agg(F.max("count")).first()[0] <= news.PAGE
-    got = news.ticker_news(keyed, ["ticker", "fetch"], "en", 3).collect()
-    assert {(r.ticker, r.fetch) for r in got} == {("A", 0), ("A", 1), ("B", 0), ("B", 1)}
-    assert all(sum((x.ticker, x.fetch) == (r.ticker, r.fetch) for x in got) <= 3 for r in got)
+def literal_titles(rows: list[tuple]) -> list[int]:
+    """The loop as it is described: (place, title, time), every title against all that stay."""
+    plain = lambda t: re.sub(r"[^\w\s]", "", (t or "").lower())
+    kept: list[tuple] = []
+    for row in rows:
+        for i, old in enumerate(kept):
+            if SequenceMatcher(None, plain(row[1]), plain(old[1])).ratio() >= 0.85:
+                if row[2] is not None and (old[2] is None or row[2] > old[2]):
+                    kept[i] = row
+                break
+        else:
+            kept.append(row)
+    return sorted(r[0] for r in kept)
+
+
+def test_titles_of_a_request_by_the_literal_loop(spark):
+    rng = random.Random(6)
+    words = "apple beats estimates oil falls sharply gold rises again on strong demand été 株価 records a b".split()
+    made = []
+    for i in range(500):
+        title = None if i % 97 == 0 else "" if i % 89 == 0 else " ".join(rng.choices(words, k=rng.randint(3, 9)))
+        if made and rng.random() < 0.5 and made[-1][1]:
+            title = made[rng.randrange(len(made))][1]
+            title = title and title.replace(rng.choice(words), rng.choice(words), 1) + rng.choice(["", "!", " x", "..."])
+        made.append((i, title, rng.choice([None, dt.datetime(2024, 1, 1, rng.randrange(24))]), rng.choice(["A", "B", None]), f"http://n/{i}" if i % 50 else None))
+    made += [(500 + i, "x" * 300 + str(i), None, "A", f"http://m/{i}") for i in range(6)]  # 200 characters and more
+    df = spark.createDataFrame(made, "ordinal long, title string, published_at timestamp_ntz, ticker string, url string").withColumn("language", F.lit("en"))
+    want = sorted(x for t in ("A", "B", None) for x in literal_titles([r[:3] for r in made if r[3] == t]))
+    assert sorted(r.ordinal for r in news.title_dedup(df.repartition(5), ["ticker"]).collect()) == want
+    got = news.ticker_news(df, ["ticker"], "en", 1000).collect()
+    assert sorted(r.ordinal for r in got) == want and news.title_dedup(df.limit(0), ["ticker"]).collect() == []
+    assert news.exact_dedup(df).count() == len(made)  # those without an address stay
+
+
+def test_a_request_of_any_size_is_compared_whole(spark):
+    df = spark.range(5000).select(F.col("id").alias("ordinal"), F.concat(F.sha2((F.col("id") % 2500).cast("string"), 256), F.lit(" "), (F.col("id") % 2500).cast("string")).alias("title"), F.timestamp_seconds("id").alias("published_at"), F.lit(1).alias("g"))
+    began = time.perf_counter()
+    assert sorted(r.ordinal for r in news.title_dedup(df, ["g"]).collect()) == list(range(2500, 5000))
+    assert time.perf_counter() - began < 90
+
+
+def test_reading_stops_after_three_failures_in_a_row(spark):
+    from tidemark.sources import pages
+
+    def places(oks: str, limit: int = 9, n: int = 1) -> list[int]:
+        """o ok, x failure, - without a date."""
+        rows = [("c", i, None if k == "-" else "2024-01-01", "a", k == "o", n) for i, k in enumerate(oks)]
+        return sorted(r.place for r in pages.kept_fetches(spark.createDataFrame(rows, "company string, place int, filed string, accession string, ok boolean, n int"), limit).collect())
+
+    assert places("oxxoxxo") == [0, 1, 2, 3, 4, 5, 6]
+    assert places("oxxxo") == [0, 1, 2, 3] and places("xxxxo") == [0, 1, 2] and places("ox-x-xo") == [0, 1, 3, 5]
+    assert places("o" * 20) == list(range(9)) and places("o" * 20, 3) == [0, 1, 2] and places("o" * 20, 3, 2) == [0, 1] and places("o" * 20, 50, 0) == list(range(15)) and places("ox" * 10, 4) == [0, 1, 2, 3, 4, 5, 6]
 
 
 def test_requests_are_checked():

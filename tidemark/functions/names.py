@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,10 +31,19 @@ def short_company(name: Column | str) -> Column:
     return without_accents(short)
 
 
+def _marked_letters() -> tuple[str, str]:
+    """The letters with marks whose canonical decomposition begins with an ASCII letter, and those letters."""
+    every = [(chr(c), unicodedata.normalize("NFD", chr(c))[0]) for c in range(0x80, 0x10000) if not 0xD800 <= c < 0xE000]
+    pairs = [(c, base) for c, base in every if base.isascii() and c != base]
+    return "".join(c for c, _ in pairs), "".join(b for _, b in pairs)
+
+
+MARKED, BARE = _marked_letters()
+
+
 def without_accents(text: Column | str) -> Column:
-    """Latin letters without their marks; other characters beyond ASCII go."""
-    marks = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ"
-    return F.regexp_replace(F.translate(col(text), marks, "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"), "[^\\x00-\\x7F]", "")
+    """Letters without their marks, as in the canonical decomposition; other characters beyond ASCII go."""
+    return F.regexp_replace(F.translate(col(text), MARKED, BARE), "[^\\x00-\\x7F]", "")
 
 
 def market_name(name: Column | str) -> Column:

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .names import without_accents
 from .numbers import col
 
 #: Parameters that only track. Fixed values.
@@ -87,8 +88,7 @@ def exchange_symbol(ticker: Column | str, exchange: Column | str) -> Column:
 
 def slug(text: Column | str) -> Column:
     """Lower case without accents, words joined by dashes."""
-    bare = F.translate(F.lower(col(text)), "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
-    return F.regexp_replace(F.regexp_replace(bare, "[^a-z0-9]+", "-"), "^-|-$", "")
+    return F.regexp_replace(F.regexp_replace(F.lower(without_accents(text)), "[^a-z0-9]+", "-"), "^-|-$", "")
 
 
 def isin_in(text: Column | str) -> Column:

@@ -23,8 +23,9 @@ def checked_import(rows: DataFrame) -> DataFrame:
     ]
     errors = F.filter(F.array(*(F.when(~F.coalesce(ok, F.lit(False)), F.lit(n)) for n, ok in rules)), lambda x: x.isNotNull())
     out = clean.withColumn("errors", errors)
-    w = Window.partitionBy("isin", "currency", F.size("errors") == 0).orderBy("ordinal")
-    return out.withColumn("is_duplicate", (F.size("errors") == 0) & (F.row_number().over(w) > 1))
+    valid = F.size("errors") == 0
+    w = Window.partitionBy(F.when(valid, F.col("isin")), F.when(valid, F.col("currency")), F.when(~valid, F.col("ordinal"))).orderBy("ordinal")  # faulty rows, of which there may be many without an ISIN, are each alone
+    return out.withColumn("is_duplicate", valid & (F.row_number().over(w) > 1))
 
 
 def primary_flags(listings: DataFrame) -> DataFrame:

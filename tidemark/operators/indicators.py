@@ -311,7 +311,8 @@ def _chunked(bars: DataFrame, look_back: int, chunk_rows: int) -> DataFrame:
 def indicators(bars: DataFrame, specs: list[str | tuple[str, dict]], chunk_rows: int | None = None) -> DataFrame:
     """``bars`` with the columns of each of ``specs``, all from one scan and one shuffle by asset. Values stay null until there are bars enough.
 
-    With ``chunk_rows`` an asset is dealt out in chunks. Only a series that hasn't moved for so long that its past weighs nothing differs: its RSI is null.
+    An asset's bars pass through one task as a sorted stream, whatever their number, and its averages keep a few numbers. A caller that would rather have an asset in many tasks can deal it
+    out in chunks of ``chunk_rows`` bars, each with enough bars before it. Only a series that hasn't moved for so long that its past weighs nothing differs: its RSI is null.
     """
     if chunk_rows is not None:
         parsed = [parse(s) if isinstance(s, str) else (s[0], {**CATALOG[s[0]].defaults, **s[1]}) for s in specs]
@@ -351,16 +352,10 @@ def _recursive(bars: DataFrame, loops: list[tuple[Indicator, dict]]) -> DataFram
     return bars.repartition("asset").sortWithinPartitions("asset", "ts").mapInPandas(run, schema)
 
 
-def indicators_by_size(bars: DataFrame, specs: list[str], most: int = 1_000_000) -> DataFrame:
-    """``indicators``, in chunks of ``most`` bars if an asset has more: bars are counted by asset first."""
-    largest = bars.groupBy("asset").count().agg(F.max("count")).first()[0] or 0
-    return indicators(bars, list(specs), chunk_rows=most if largest > most else None)
-
-
 def long_frame(bars: DataFrame, specs: list[str]) -> DataFrame:
     """asset, ts, series, value: a row for each series and bar."""
     names = [c for n, p in map(parse, specs) for c in CATALOG[n].names(p)]
-    wide = indicators_by_size(bars, specs).select("asset", "ts", *(F.col(f"`{n}`") for n in names))
+    wide = indicators(bars, specs).select("asset", "ts", *(F.col(f"`{n}`") for n in names))
     return wide.unpivot(["asset", "ts"], [f"`{n}`" for n in names], "series", "value")
 
 
@@ -383,7 +378,7 @@ def long_frame_with_errors(bars: DataFrame, specs: list[str]) -> DataFrame:
 def chart(bars: DataFrame, specs: list[str], n: int = 5000) -> DataFrame:
     """A row for each asset: arrays in order of time, of its newest ``n`` bars, which is what a chart shows."""
     names = [c for n, p in map(parse, specs) for c in CATALOG[n].names(p)]
-    wide = latest(indicators_by_size(bars, specs), n)
+    wide = latest(indicators(bars, specs), n)
     held = wide.groupBy("asset").agg(F.array_sort(F.collect_list(F.struct("ts", "close", *(F.col(f"`{n}`").alias(f"s{i}") for i, n in enumerate(names))))).alias("_rows"))
     return held.select("asset", F.col("_rows.ts").alias("ts"), F.col("_rows.close").alias("close"), *(F.col(f"_rows.s{i}").alias(n) for i, n in enumerate(names)))
 
@@ -395,7 +390,7 @@ def screen(bars: DataFrame, spec: str, operator: str, value: float) -> DataFrame
     """asset, value: assets whose last known value of the indicator's first series compares so with ``value``."""
     n, p = parse(spec)
     name = CATALOG[n].names(p)[0]
-    found = indicators_by_size(bars, [spec]).where(F.col(f"`{name}`").isNotNull()).groupBy("asset").agg(F.max_by(F.col(f"`{name}`"), "ts").alias("value"))
+    found = indicators(bars, [spec]).where(F.col(f"`{name}`").isNotNull()).groupBy("asset").agg(F.max_by(F.col(f"`{name}`"), "ts").alias("value"))
     return found.where(F.expr(f"value {COMPARE[operator]} {float(value)}")).select("asset", steady("value", 2).alias("value"))
 
 
@@ -412,3 +407,19 @@ def catalog_rows(spark) -> DataFrame:
     """indicator, label, unit, columns, min_bars of the whole catalog."""
     rows = [(n, i.label, i.unit, ",".join(i.names(i.defaults)), int(i.min_bars(i.defaults))) for n, i in CATALOG.items()]
     return spark.createDataFrame(rows, "indicator string, label string, unit string, columns string, min_bars int")
+
+
+def catalog_over(bars: DataFrame) -> DataFrame:
+    """``catalog_rows`` with assets: how many assets of ``bars`` have bars enough for the indicator."""
+    rows = catalog_rows(bars.sparkSession)
+    counted = bars.groupBy("asset").agg(F.count(F.lit(1)).alias("_n")).groupBy("_n").agg(F.count(F.lit(1)).alias("_assets"))  # a row for each length
+    enough = F.filter(F.array(*(F.struct(F.lit(n).alias("indicator"), F.lit(int(i.min_bars(i.defaults))).alias("least")) for n, i in CATALOG.items())), lambda x: x["least"] <= F.col("_n"))
+    met = counted.select("_assets", F.explode(enough).alias("x")).groupBy("x.indicator").agg(F.sum("_assets").alias("assets"))
+    return rows.join(met, "indicator", "left").withColumn("assets", F.coalesce("assets", F.lit(0)))
+
+
+def labelled_frame(bars: DataFrame, specs: list[str]) -> DataFrame:
+    """``long_frame`` with the label and unit of each series' indicator."""
+    of_series = {c: CATALOG[n] for n, p in map(parse, specs) for c in CATALOG[n].names(p)}
+    pick = lambda what: F.create_map(*(F.lit(x) for c, i in of_series.items() for x in (c, getattr(i, what))))[F.col("series")]
+    return long_frame(bars, specs).withColumns({"label": pick("label"), "unit": pick("unit")})

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,48 +15,80 @@ from tidemark.functions.web import canonical_url
 
 from .bars import ranked
 
-SIMILAR, PAGE = 0.85, 100
+SIMILAR = 0.85
 _MARKS = re.compile(r"[^\w\s]")
 
 
-def exact_dedup(articles: DataFrame, ordinal: str = "ordinal") -> DataFrame:
-    """The first article of each canonical address."""
-    return ranked(articles.withColumn("url_key", canonical_url("url")), ["url_key"], [F.col(ordinal)]).drop("url_key")
+def exact_dedup(articles: DataFrame, ordinal: str = "ordinal", group: list[str] = ()) -> DataFrame:
+    """The first article of each canonical address (within each ``group``); articles without an address stay, each by itself."""
+    keyed = articles.withColumn("url_key", canonical_url("url"))
+    once = ranked(keyed.where("url_key is not null"), [*group, "url_key"], [F.col(ordinal)])
+    return once.unionByName(keyed.where("url_key is null")).drop("url_key")
 
 
-def greedy_titles(titles: list[str], times: list) -> list[int]:
-    """Places of the articles that stay: one like an earlier one takes its place if it's newer, else it goes."""
-    plain = [_MARKS.sub("", (t or "").lower()) for t in titles]
-    kept: list[int] = []
-    for i, p in enumerate(plain):
-        for slot, j in enumerate(kept):
-            m = SequenceMatcher(None, p, plain[j], autojunk=True)
-            if m.real_quick_ratio() >= SIMILAR and m.quick_ratio() >= SIMILAR and m.ratio() >= SIMILAR:
-                if times[i] is not None and (times[j] is None or times[i] > times[j]):
-                    kept[slot] = i
-                break
-        else:
-            kept.append(i)
-    return kept
+class TitleSlots:
+    """The articles that stay, in the order in which their places were taken; only these are held.
 
+    Two titles are alike from a ratio of ``SIMILAR`` on. The ratio is at most twice the characters that both have over all of theirs, which is
+    computed for all places at once over counts of characters in 64 classes (a class of several characters only raises it); just those that can be alike are compared.
+    """
 
-def fetch_of(ordinal: str = "ordinal") -> Column:
-    """A fetch for each PAGE numbers of ``ordinal``: providers give a page at a time, so no fetch has more articles than that."""
-    return F.floor(F.col(ordinal) / PAGE)
+    def __init__(self) -> None:
+        self.n, self.counts, self.sizes = 0, np.zeros((16, 64), np.int32), np.zeros(16, np.int32)
+        self.titles: list[str] = []
+        self.times: list = []
+        self.rows: list = []
+
+    def _put(self, slot: int, title: str, counts: np.ndarray, time, row) -> None:
+        self.counts[slot], self.sizes[slot] = counts, len(title)
+        if slot == len(self.rows):
+            self.titles.append(title)
+            self.times.append(time)
+            self.rows.append(row)
+        else:
+            self.titles[slot], self.times[slot], self.rows[slot] = title, time, row
+
+    def add(self, title: str | None, time, row) -> None:
+        """One like an earlier one takes its place if it's newer, else it goes."""
+        plain = _MARKS.sub("", (title or "").lower())
+        counts = np.bincount(np.frombuffer(plain.encode("utf-32-le", "surrogatepass"), np.uint32) & 63, minlength=64)
+        total = self.sizes[: self.n] + len(plain)
+        both = np.minimum(self.counts[: self.n], counts).sum(axis=1)
+        for slot in np.flatnonzero(2.0 * both >= (SIMILAR - 1e-9) * total):
+            if SequenceMatcher(None, plain, self.titles[slot], autojunk=True).ratio() >= SIMILAR:
+                known = self.times[slot]
+                if time is not None and (known is None or time > known):
+                    self._put(slot, plain, counts, time, row)
+                return
+        if self.n == len(self.sizes):
+            self.counts, self.sizes = np.concatenate([self.counts, np.zeros_like(self.counts)]), np.concatenate([self.sizes, np.zeros_like(self.sizes)])
+        self._put(self.n, plain, counts, time, row)
+        self.n += 1
 
 
 def title_dedup(articles: DataFrame, group: list[str], ordinal: str = "ordinal") -> DataFrame:
-    """``articles`` without near-equal titles within a ``group``, which has to be one fetch: its rows meet in a task and are compared in their order.
+    """``articles`` without near-equal titles within a ``group``, which is one request: the articles of all providers that answer it.
 
-    ``fetch_of`` makes such a key of bounded size where articles come without one.
+    Which one stays depends on the order, so a request's articles pass through a task as a sorted stream; what is held are those that stay. Groups may have any size;
+    their time grows with their articles times those that stay, at some microseconds for a thousand of them.
     """
+    names = articles.columns
 
-    def one(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(ordinal, kind="stable").reset_index(drop=True)
-        times = [None if pd.isna(t) else t for t in f["published_at"]]
-        return f.iloc[sorted(greedy_titles(f["title"].tolist(), times))]
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, slots = None, TitleSlots()
+        for f in frames:
+            done = []
+            keys = list(zip(*(f[c].astype(object).where(f[c].notna(), None) for c in group)))
+            times = f["published_at"].astype(object).where(f["published_at"].notna(), None).tolist()
+            for k, title, time, row in zip(keys, f["title"].tolist(), times, f.itertuples(index=False, name=None)):
+                if k != key:
+                    done += slots.rows
+                    key, slots = k, TitleSlots()
+                slots.add(title, time, row)
+            yield pd.DataFrame(done, columns=names)
+        yield pd.DataFrame(slots.rows, columns=names)
 
-    return articles.groupBy(*group).applyInPandas(one, articles.schema)
+    return articles.repartition(*group).sortWithinPartitions(*group, ordinal).mapInPandas(run, articles.schema)
 
 
 def feed(articles: DataFrame, language: str | None = None, tickers: list[str] | None = None, n: int = 50) -> DataFrame:
@@ -75,9 +109,7 @@ def in_language(language: str) -> Column:
 def ticker_news(articles: DataFrame, group: list[str], language: str | None = None, n: int = 20) -> DataFrame:
     """What is told for each ticker and fetch: the language is chosen first, then repeated addresses and near-equal titles go, then the newest ``n`` stay."""
     out = articles if language is None else articles.where(in_language(language))
-    keyed = out.withColumn("url_key", canonical_url("url"))
-    once = ranked(keyed, [*group, "url_key"], [F.col("ordinal")]).drop("url_key")
-    return ranked(title_dedup(once, group), group, [F.col("published_at").desc_nulls_last(), F.col("ordinal")], n)
+    return ranked(title_dedup(exact_dedup(out, "ordinal", group), group), group, [F.col("published_at").desc_nulls_last(), F.col("ordinal")], n)
 
 
 def counts(articles: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ BOUNDS = {
     "beta": (-3.0, 5.0), "short_percent_float": (0.0, 1.0), "payout_ratio": (0.0, 10.0), "week_52_high": (0.001, 1e6), "week_52_low": (0.001, 1e6),
 }
 OUTLIER, HEALTHY, POOR, FAILURES = 0.5, 0.85, 0.70, 3
+MOST_FIELDS = 1000  # of a table of limits that becomes part of a plan
 
 
 def bounds(spark: SparkSession, table: dict[str, tuple[float, float]] = BOUNDS) -> DataFrame:
@@ -24,9 +25,9 @@ def bounds(spark: SparkSession, table: dict[str, tuple[float, float]] = BOUNDS)
 
 def range_check(values: DataFrame, limits: DataFrame | None = None) -> DataFrame:
     """``values`` (ticker, provider, field, value) with status: null, out_of_range or ok. Fields without limits are ok."""
-    limits = bounds(values.sparkSession) if limits is None else limits
+    limits = F.broadcast(bounds(values.sparkSession)) if limits is None else limits  # a constant
     clean = values.withColumn("value", F.when(~F.isnan("value"), F.col("value")))
-    joined = clean.join(F.broadcast(limits), "field", "left")  # a row for each known field
+    joined = clean.join(limits, "field", "left")
     status = F.when(F.col("value").isNull(), "null").when((F.col("value") < F.col("low")) | (F.col("value") > F.col("high")), "out_of_range").otherwise("ok")
     return joined.withColumn("status", status).drop("low", "high")
 
@@ -55,8 +56,11 @@ def dynamic_range(closes: DataFrame, least: int = 10) -> DataFrame:
 
 def with_dynamic_bounds(limits: DataFrame, ranges: DataFrame, field: str = "price") -> DataFrame:
     """asset, field, low, high: ``limits`` (field, low, high) for each asset of ``ranges`` (asset, low, high), whose own range replaces that of ``field``."""
+    known = limits.select("field", "low", "high").limit(MOST_FIELDS + 1).collect()
+    if len(known) > MOST_FIELDS:
+        raise ValueError(f"more than {MOST_FIELDS} fields have limits")
     own = ranges.select("asset", F.lit(field).alias("field"), "low", "high")
-    others = ranges.select("asset").distinct().withColumn("f", F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.lit(a).alias("low"), F.lit(b).alias("high")) for f, a, b in limits.select("field", "low", "high").collect() if f != field))))  # a row for each known field
+    others = ranges.select("asset").distinct().withColumn("f", F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.lit(a).alias("low"), F.lit(b).alias("high")) for f, a, b in known if f != field))))
     return others.select("asset", "f.*").unionByName(own)
 
 

@@ -97,6 +97,19 @@ def write_records(records: DataFrame, path: str, kind: str = "csv") -> None:
     w.option("header", True).csv(path) if kind == "csv" else w.json(path)
 
 
+def exchange_by_part(names: DataFrame, exchanges: DataFrame) -> DataFrame:
+    """``names`` (name, ...) with the suffix of the first of ``exchanges`` (place, name, country, suffix) whose name or country holds the name, whatever the case; null where none does.
+
+    Every part of an exchange's name or country is a key that tells the first exchange it belongs to, so finding a name in all of them is one equi-join. There are
+    as many keys as the square of a name's length; an empty name is part of all. Repeated rows stay.
+    """
+    texts = exchanges.select("place", "suffix", F.explode(F.array_distinct(F.array(F.upper(F.coalesce("name", F.lit(""))), F.upper(F.coalesce("country", F.lit("")))))).alias("t"))
+    starts = texts.select("place", "suffix", "t", F.explode(F.sequence(F.lit(1), F.greatest(F.length("t"), F.lit(1)))).alias("i"))
+    parts = starts.select("place", "suffix", F.explode(F.sequence(F.lit(0), F.length("t") - F.col("i") + 1)).alias("n"), "t", "i").select("place", "suffix", F.substring("t", F.col("i"), F.col("n")).alias("_part"))
+    first = parts.groupBy("_part").agg(F.min_by(F.struct("suffix"), "place").alias("_found"))
+    return names.join(first, F.upper("name") == F.col("_part"), "left").withColumn("suffix", F.col("_found.suffix")).drop("_part", "_found")
+
+
 def write_bars(bars: DataFrame, path: str) -> None:
     """Bars partitioned by month and sorted by asset within files, so that a read of a range or an asset skips the rest."""
     placed = bars.withColumn("month", F.date_format("ts", "yyyy-MM"))

@@ -160,5 +160,13 @@ QUERIES |= {
         f"""with b as ({BRAND}), n as (select * from b qualify row_number() over (partition by asset order by ts desc) <= 60), m as (select asset, ts, close - lag(close, 20) over (partition by asset order by ts) as y from n), l as (select asset, arg_max(y, ts) as y from m where y is not null group by 1),
         k as (select distinct 'B' || right(p_brand, 2) as ticker, p_brand as asset from part where right(p_brand, 1) <> '3' and right(p_brand, 2) >= '2' order by 1, 2 limit 8) select ticker, asset, {steady_sql('y', 2)} as value from l join k using (asset) where y > 0""",
     ),
-    "indicator_catalog": (lambda spark, d: op.catalog_rows(spark), CATALOG_ROWS),
+    "indicator_catalog": (
+        lambda spark, d: op.catalog_over(intraday_bars(spark, d, "day")),
+        f"with b as ({HOURLY.replace("'hour'", "'day'")}), n as (select asset, count(*) as n from b group by 1) select c.*, (select count(*) from n where n.n >= c.min_bars) as assets from ({CATALOG_ROWS}) c",
+    ),
+    "multi_indicator_labelled": (
+        lambda spark, d: op.labelled_frame(intraday_bars(spark, d), ["sma_10", "mom_5"]).withColumn("value", steady("value")),
+        f"""with b as ({HOURLY}), w as (select asset, ts, case when count(close) over l = 10 then avg(close) over l end as sma, close - lag(close, 5) over (partition by asset order by ts) as mom from b window l as (partition by asset order by ts rows between 9 preceding and current row))
+        select asset, ts, 'SMA_10' as series, {steady_sql('sma')} as value, 'Simple moving average' as label, 'price' as unit from w union all select asset, ts, 'MOM_5', {steady_sql('mom')}, 'Momentum', 'price' from w""",
+    ),
 }

@@ -1,4 +1,4 @@
-"""Queries over news and pages: documents stand for articles, their whole first lines for titles, and a hundred ids in a row for a fetch."""
+"""Queries over news and pages: documents stand for articles, their whole first lines for titles, and a day (of a ticker) for a request."""
 
 from __future__ import annotations
 
@@ -39,8 +39,8 @@ QUERIES = {
         lambda spark, d: op.exact_dedup(read(spark, d, "pages").select(F.col("page_id").alias("ordinal"), "url")),
         CANONICAL + " select c.page_id as ordinal, pages.url from c join pages using (page_id) qualify row_number() over (partition by c.url order by c.page_id) = 1",
     ),
-    "news_title_dedup": (lambda spark, d: op.title_dedup(articles(spark, d).withColumn("fetch", op.fetch_of()), ["provider", "fetch"]).select("ordinal", "title", "provider"), None),
-    "ticker_news": (lambda spark, d: op.ticker_news(articles(spark, d).withColumns({"fetch": op.fetch_of(), "ticker": F.explode(F.array_distinct("tickers"))}), ["ticker", "fetch"], "en", 10).select("ticker", "fetch", "ordinal", "title", "provider", "published_at"), None),
+    "news_title_dedup": (lambda spark, d: op.title_dedup(articles(spark, d).withColumn("day", F.to_date("published_at")), ["day"]).select("ordinal", "title", "provider", "day"), None),
+    "ticker_news": (lambda spark, d: op.ticker_news(articles(spark, d).withColumns({"day": F.to_date("published_at"), "ticker": F.explode(F.array_distinct("tickers"))}), ["ticker", "day"], "en", 10).select("ticker", "day", "ordinal", "title", "provider", "published_at"), None),
     "news_feed": (
         lambda spark, d: op.feed(articles(spark, d), "en", ["T1", "T2"], 40).select("ordinal", "url", "published_at"),
         f"with a as ({ARTICLES}) select ordinal, url, published_at from a where language = 'en' and (t1 in ('T1', 'T2') or t2 in ('T1', 'T2')) order by published_at desc nulls first, url limit 40",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.numbers import steady, steady_sql
 from tidemark.operators import search as op
 from tidemark.sources import pages
-from tidemark.sources.adapters import brand_bars
+from tidemark.sources.adapters import brand_bars, read
 
 from .bars import BRAND
 from .identity import _rows
@@ -37,7 +37,31 @@ def _best(order, columns: str, sql: str):
     return lambda spark, d: op.best(hits(spark, d), order()).select("request_id", "symbol", "isin"), f"with h as ({HITS}) select request_id, symbol, isin from h qualify row_number() over (partition by request_id order by {sql}) = 1"
 
 
+EXCHANGES = "select n_nationkey as place, 'Bourse of ' || n_name as name, r_name as country, '.' || substr(n_name, 1, 2) as suffix from nation join region on n_regionkey = r_regionkey"
+ASKED = "select c_custkey as id, case c_custkey % 7 when 0 then lower(c_mktsegment) when 1 then 'an' || substr('ada', 1, cast(c_custkey % 3 as int)) when 2 then 'ASIA' when 3 then 'bourse' when 4 then '' when 5 then null else 'of m' end as name from customer"
+FETCHES = "select o_custkey as company, o_orderkey as place, case when o_orderkey % 11 <> 0 then cast(o_orderdate as varchar) end as filed, case when o_orderkey % 13 <> 0 then 'a' || cast(o_orderkey as varchar) end as accession, case when o_orderkey % 29 <> 0 then o_orderkey * 7 % 10 > 5 end as ok, case when o_orderkey % 17 <> 0 then o_orderkey % 4 end as n from orders"
+
+
+def _sql(spark, d, sql: str, *tables: str):
+    for t in tables:
+        sql = sql.replace(f" {t} ", f" {{{t}}} ") if f" {t} " in sql else sql.replace(f" {t}", f" {{{t}}}")
+    return spark.sql(sql.replace("varchar", "string"), **{t: read(spark, d, t) for t in tables})
+
+
 QUERIES = {
+    "exchange_by_part": (
+        lambda spark, d: op.exchange_by_part(_sql(spark, d, ASKED, "customer"), _sql(spark, d, EXCHANGES, "nation", "region")).select("id", "name", "suffix"),
+        f"with a as ({ASKED}), e as ({EXCHANGES}) select id, a.name, (select arg_min(suffix, place) from e where contains(upper(e.name), upper(a.name)) or contains(upper(e.country), upper(a.name))) as suffix from a",
+    ),
+    "form4_fetches": (
+        lambda spark, d: pages.kept_fetches(_sql(spark, d, FETCHES, "orders"), 6).select("company", "place", "ok", "n", "before"),
+        f"""with f as ({FETCHES}), l as (select *, row_number() over (partition by company order by place) as nth from f qualify nth <= 12),
+        t as (select company, place, coalesce(ok, false) as ok, case when ok then coalesce(n, 0) else 0 end as n from l where filed is not null and accession is not null),
+        s as (select *, coalesce(sum(n) over (partition by company order by place rows between unbounded preceding and 1 preceding), 0) as before,
+          not ok and not coalesce(lag(ok, 1) over w, true) and not coalesce(lag(ok, 2) over w, true) as third from t window w as (partition by company order by place)),
+        e as (select *, coalesce(bool_or(third) over (partition by company order by place rows between unbounded preceding and 1 preceding), false) as over_ from s)
+        select company, place, ok, n, cast(before as bigint) as before from e where not over_ and before < 6""",
+    ),
     "search_quote": _best(op.quote_order, "", "not coalesce(own, true), upper(symbol) <> upper(query), kind not in ('EQUITY', 'ETF'), score desc, symbol"),
     "search_symbol": _best(op.symbol_order, "", "split_part(upper(symbol), ':', -1) <> upper(query), upper(country) <> 'US', kind <> 'stock', score desc, symbol"),
     "search_item": _best(op.item_order, "", "upper(symbol) <> upper(query), price is null, currency is null, symbol, isin"),

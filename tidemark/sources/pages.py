@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from html.parser import HTMLParser
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import dates, numbers, web
@@ -162,6 +162,23 @@ def wrapped_hits(answers: DataFrame) -> DataFrame:
     return a.select("query", numbers.first_present(key("SecId"), key("SecID")).alias("id"), F.concat(named, F.lit("-stock")).alias("slug")).where("id is not null")
 
 
+def kept_fetches(fetches: DataFrame, limit: int) -> DataFrame:
+    """The ``fetches`` (company, place, filed, accession, ok, n) of filings that are read for ``limit`` transactions, in order of place, with before: the transactions of those that come earlier.
+
+    Of a company the first 15 filings, or twice the limit if that is less, are looked at; those without a date or number are passed over. Reading stops
+    when there are transactions enough, or after three failures (ok is false) in a row. A failed fetch has no transactions.
+    """
+    order = Window.partitionBy("company").orderBy("place")
+    looked_at = fetches.withColumn("_nth", F.row_number().over(order)).where(F.col("_nth") <= min(2 * limit, 15))
+    tried = looked_at.where("filed is not null and accession is not null").withColumns({"ok": F.coalesce("ok", F.lit(False)), "n": F.when(F.coalesce("ok", F.lit(False)), F.coalesce("n", F.lit(0))).otherwise(0)})
+    up_to = order.rowsBetween(Window.unboundedPreceding, 0)
+    runs = tried.withColumn("_run", F.count_if("ok").over(up_to))  # a success begins a run
+    failed = runs.withColumn("_failures", F.count_if(~F.col("ok")).over(Window.partitionBy("company", "_run").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)))
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    told = failed.withColumns({"_stop": F.coalesce(F.max(F.col("_failures") >= 3).over(before), F.lit(False)), "before": F.coalesce(F.sum("n").over(before), F.lit(0)).cast("bigint")})
+    return told.where(~F.col("_stop") & (F.col("before") < limit)).drop("_nth", "_run", "_failures", "_stop")
+
+
 def bars_to_ask(days: Column, resolution: str) -> Column:
     """How many bars a service is asked for to cover ``days``: at least 10 days, or 5 weeks or months, and a margin."""
     week, month = F.floor(days / 7) + 5, F.floor(days / 30) + 5
