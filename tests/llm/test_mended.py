@@ -9,7 +9,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import mixing, pseudonyms
+from tidemark.llm import mixing, pseudonyms, secrets
 
 
 def targets_of(sizes: dict) -> dict:
@@ -82,3 +82,13 @@ def test_a_million_characters_take_seconds(spark, unit):
     began = time.perf_counter()
     assert docs.transform(pseudonyms.pseudonymise).select(F.length("text")).first()[0] > 0
     assert time.perf_counter() - began < 60
+
+
+def test_what_the_driver_learns_from_is_bounded(spark):
+    """Pasted dumps of any length neither reach the driver nor crowd out the rest."""
+    rows = [("hex", f"{i:032x}") for i in range(300)] * 2 + [("hex", f"{i:x}" * 40_000) for i in range(200)] + [("access", "AKIA" + "A" * n) for n in range(30_000, 30_012)]
+    values = spark.createDataFrame(rows, "kind string, value string")
+    got = secrets.labelled_values(values)
+    assert all(sum(map(len, v)) <= secrets.CHARACTERS and len(v) <= secrets.SAMPLE for v in got.values())
+    assert sum(len(v) == 32 for v in got["hex"]) > 150 and all(v in {r[1] for r in rows} for k in got for v in got[k]) and len(got["access"]) == 3
+    assert secrets.labelled_values(values.limit(0)) == {}

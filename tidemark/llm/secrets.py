@@ -9,7 +9,7 @@ the mean per symbol reaches that of nearly all labelled values held out from the
 span keeps the pieces beside it. A piece that isn't a secret as a whole is scored without the signs around it, then in parts between signs.
 
 Texts are read twice: for the labelled values and the background, then for the scores. The sample (``SAMPLE`` whole values for each label, those of the
-smallest hashes) and the table of pairs are all that reaches the driver. Labels of fewer than ``FEWEST`` values aren't learned.
+smallest hashes, of ``CHARACTERS`` characters in all) and the table of pairs are all that reaches the driver. Labels of fewer than ``FEWEST`` values aren't learned.
 
 Base spans keep their place and have the best label and its score, whatever it is. Learnt spans never overlap base spans. Of labels
 of equal score the last by name is told. Null and empty texts have no spans; very long ones are scanned whole. Rows are told one by one, so repeated rows give
@@ -37,7 +37,7 @@ _ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 _HEX = re.compile(rb"[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex")
 LEARNT = "learnt"
-LEAST, SAMPLE, FEWEST, HELD_OUT, ALPHA, MISSED, BITS = 8, 400, 8, 4, 0.05, 0.02, 20.0
+LEAST, SAMPLE, CHARACTERS, FEWEST, HELD_OUT, ALPHA, MISSED, BITS = 8, 400, 100_000, 8, 4, 0.05, 0.02, 20.0
 RESULT = "spans array<struct<kind:string,start:long,end:long,value:string,label:string,score:double>>, learnt array<struct<start:long,end:long,value:string,label:string,score:double>>, n_candidates long"
 
 #: Classes of token characters from 1 on: digits, hex letters a-f, other letters a-z, A-F, other letters A-Z, and each sign; 0 is what stands between tokens.
@@ -294,14 +294,22 @@ def _survey(texts: Iterator[bytes | None]) -> Iterator[tuple]:
         yield [{"kind": k, "value": v.decode()} for k, _, _, v in base], [{"pair": int(p), "n": int(n)} for p, n in zip(met, pairs[met], strict=True) if p]
 
 
-def labelled_values(values: DataFrame, sample: int = SAMPLE) -> dict[str, list[str]]:
-    """At most ``sample`` different whole values of each kind of ``values`` (kind, value), those of the smallest hashes."""
-    different = values.where(F.length("value") >= LEAST).distinct()
+def labelled_values(values: DataFrame, sample: int = SAMPLE, characters: int = CHARACTERS) -> dict[str, list[str]]:
+    """At most ``sample`` different whole values of each kind of ``values`` (kind, value), those of the smallest hashes; one that would bring a kind's values above ``characters`` is passed over.
+
+    So what the driver gets, and the prefix tree that it builds of it, has a bound, however long a value is. No value is cut.
+    """
+    different = materialise(values.where(F.length("value") >= LEAST).distinct().select("kind", "value", F.xxhash64("value").alias("h")))
     out: dict[str, list[str]] = {}
     for kind in KINDS:
-        rows = different.where(F.col("kind") == kind).orderBy(F.xxhash64("value"), "value").limit(sample).collect()
-        if rows:
-            out[kind] = [r["value"] for r in rows]
+        rows = different.where(F.col("kind") == kind)
+        left, chosen = characters, []
+        for r in rows.select("h", F.length("value").alias("n")).orderBy("h", "n").limit(sample).collect():
+            if r["n"] <= left:
+                left -= r["n"]
+                chosen.append(r["h"])
+        if chosen:
+            out[kind] = [r["value"] for r in rows.where(F.col("h").isin(chosen) & (F.length("value") <= characters)).orderBy("h", "value").limit(sample).collect()]
     return out
 
 
