@@ -41,6 +41,10 @@ GENERAL: list[tuple[str, str | None, str | None]] = [
     ("PrimaryTicker", "ticker", None), ("CIK", None, "cik"), ("FiscalYearEnd", None, "fiscalYearEnd"), ("Sector", "sector", "sector"), ("Industry", "industry", "industry"), ("GicSector", "gic_sector", None), ("GicGroup", "gic_group", None),
     ("GicIndustry", "gic_industry", None), ("GicSubIndustry", "gic_sub_industry", None), ("Description", "long_business_summary", None), ("Address", None, "address1"), ("Phone", None, "phone"), ("WebURL", None, "website"), ("FullTimeEmployees", None, "fullTimeEmployees"),
 ]
+#: Keys that are always null, by section, and the key of a count that is always 0. Fixed values.
+NONE = {"Highlights": ["EPSEstimateNextYear", "EPSEstimateNextQuarter", "EPSEstimateCurrentQuarter", "MostRecentQuarter", "QuarterlyEarningsShareGrowthYOY"]}
+#: Key of SplitsDividends that is a text: column of the highlights (None: none), key of the info document (None: none). Fixed values.
+SPLITS = [("DividendDate", "dividend_pay_date", None), ("ExDividendDate", "dividend_ex_date", None), ("LastSplitFactor", None, "lastSplitFactor"), ("LastSplitDate", None, "lastSplitDate")]
 #: Statement type: section of Financials. Fixed values.
 STATEMENTS = {"income": "Income_Statement", "balance": "Balance_Sheet", "cashflow": "Cash_Flow"}
 
@@ -66,14 +70,16 @@ def financials(statements: DataFrame) -> DataFrame:
 
 def document(
     profiles: DataFrame, highlights: DataFrame, infos: DataFrame, statements: DataFrame | None = None, ratings: DataFrame | None = None, esg: DataFrame | None = None, earnings: DataFrame | None = None, trend: DataFrame | None = None,
-    holders: DataFrame | None = None, insiders: DataFrame | None = None, providers: DataFrame | None = None, holdings: DataFrame | None = None,
+    holders: DataFrame | None = None, insiders: DataFrame | None = None, providers: DataFrame | None = None, holdings: DataFrame | None = None, insiders_elsewhere: DataFrame | None = None,
 ) -> DataFrame:
     """asset_id and document (JSON).
 
     ``profiles`` has asset_id, quote_type and columns of GENERAL, ``highlights`` asset_id and columns of FIGURES, ``infos`` asset_id and json. A figure of 0 counts as none,
     so its fallback is asked. The others have a row for each entry: ``ratings`` (consensus, target_mean, strong_buy, buy, hold, sell, strong_sell), ``esg`` (rating_date, total_esg,
     environment_score, social_score, governance_score, controversy_level), ``earnings`` (period, period_end, eps_actual, eps_estimate, surprise, surprise_pct), ``trend`` (period, eps_avg,
-    revenue_avg), ``holders`` (category, holder, shares, value), ``insiders`` (date, owner, shares, code), ``providers`` (provider, error, ticker, isin, name), ``holdings`` (ticker, name, sector, country, weight).
+    revenue_avg), ``holders`` (category, holder, date_reported, pct_out, shares, change, value), ``insiders`` (date, owner, shares, code, amount, price, description), ``providers`` (provider, has_payload, error, ticker, isin, name,
+    provider_url, country), ``holdings`` (ticker, name, sector, country, weight). Columns that these lack are null. ``insiders_elsewhere`` (date, owner, shares, description) serves companies without ``insiders``. Keys without a
+    value are null in the text, but those of Providers are left out; lists without entries are empty.
     """
     h = highlights.select("asset_id", F.struct(*(c for c in highlights.columns if c != "asset_id")).alias("_h"))
     j = infos.select("asset_id", F.from_json("json", "map<string,string>").alias("_j"))
@@ -95,16 +101,19 @@ def document(
     for name, figures in FIGURES.items():
         sections[name] = F.struct(*(number(c, k).alias(key) for key, c, k in figures))
     cap = number("market_cap", "marketCap")
-    sections["Highlights"] = F.struct(*(number(c, k).alias(key) for key, c, k in FIGURES["Highlights"]), (cap / 1e6).alias("MarketCapitalizationMln"))
+    sections["Highlights"] = F.struct(*(number(c, k).alias(key) for key, c, k in FIGURES["Highlights"]), (cap / 1e6).alias("MarketCapitalizationMln"), *(F.lit(None).cast("double").alias(k) for k in NONE["Highlights"]))
+    of_highlights = lambda c: F.col(f"_h.{c}").cast("string") if c in highlights.columns else F.lit(None).cast("string")
+    splits = (F.coalesce(of_highlights(c), F.try_element_at("_j", F.lit(k)) if k else F.lit(None).cast("string")).alias(name) for name, c, k in SPLITS)
+    sections["SplitsDividends"] = F.struct(*(number(c, k).alias(key) for key, c, k in FIGURES["SplitsDividends"]), *splits, F.lit(0).alias("NumberDividendsByYear"))
 
     def listed(rows: DataFrame | None, name: str, order: list[str], fields: dict[str, str], most: int | None = None, descending: bool = False) -> None:
         nonlocal df
         if rows is None:
             return
-        entry = F.struct(*(F.col(c).alias(key) for key, c in fields.items()))
+        entry = F.struct(*((F.col(c) if c in rows.columns else F.lit(None).cast("string")).alias(key) for key, c in fields.items()))
         by = [F.struct(F.col(o).isNull().alias("none"), (-F.col(o) if descending and i == 0 else F.col(o)).alias("x")) for i, o in enumerate(order)]
         df = df.join(numbered(rows, f"_{name}", by, entry, most), "asset_id", "left")
-        sections[name] = F.col(f"_{name}")
+        sections[name] = F.coalesce(F.col(f"_{name}"), F.create_map().cast(df.schema[f"_{name}"].dataType))
 
     def single(rows: DataFrame | None, name: str, fields: dict[str, str], extra: dict[str, Column]) -> None:
         nonlocal df
@@ -120,19 +129,27 @@ def document(
     listed(trend, "Trend", ["period"], {"period": "period", "earningsEstimateAvg": "eps_avg", "revenueEstimateAvg": "revenue_avg", "epsTrendCurrent": "eps_avg"})
     sections["Earnings"] = F.struct(*(sections.pop(n).alias(n) for n in ("History", "Trend") if n in sections), F.create_map().cast("map<string,string>").alias("Annual"))
     for category in ("Institutions", "Funds"):
-        listed(None if holders is None else holders.where(F.lower("category") == category.lower()), category, ["value", "holder"], {"name": "holder", "currentShares": "shares", "value": "value"}, descending=True)
+        listed(None if holders is None else holders.where(F.lower("category") == category.lower()), category, ["value", "holder"], {"name": "holder", "date": "date_reported", "totalShares": "pct_out", "currentShares": "shares", "change": "change", "value": "value"}, descending=True)
     if holders is not None:
         sections["Holders"] = F.struct(*(sections.pop(n).alias(n) for n in ("Institutions", "Funds")))
-    listed(insiders, "InsiderTransactions", ["date", "owner"], {"date": "date", "ownerName": "owner", "shares": "shares", "transactionCode": "code"})
+    trades = insiders
+    if insiders_elsewhere is not None:
+        trades = insiders_elsewhere if insiders is None else insiders.unionByName(insiders_elsewhere.join(insiders.select("asset_id").distinct(), "asset_id", "left_anti"), allowMissingColumns=True)
+    told = {"date": "date", "ownerName": "owner", "shares": "shares", "transactionCode": "code", "transactionAmount": "amount", "transactionPrice": "price", "description": "description"}
+    listed(trades, "InsiderTransactions", ["date", "owner"], told)
     if statements is not None:
         df = df.join(financials(statements), "asset_id", "left")
         sections["Financials"] = F.col("Financials")
     if providers is not None:
-        ok = F.col("error").isNull()
-        entry = F.struct(F.when(ok, "ok").otherwise("error").alias("status"), "error", *(F.when(ok, F.col(c)).alias(c) for c in ("ticker", "isin", "name")))
-        df = df.join(providers.groupBy("asset_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col("provider").alias("key"), entry.alias("value"))))).alias("_providers")), "asset_id", "left")
+        failed = F.coalesce(F.col("error") != "", F.lit(False))
+        none = ~F.coalesce("has_payload", F.lit(False)) if "has_payload" in providers.columns else F.lit(False)
+        status = F.when(failed, "error").when(none, "no_data").otherwise("ok")
+        fields = {"status": status, "error": F.when(failed, F.col("error")), **{c: F.when(~failed & ~none, F.col(c).cast("string")) for c in ("ticker", "isin", "name", "provider_url", "country") if c in providers.columns}}
+        entry = F.map_filter(F.create_map(*(x for k, c in fields.items() for x in (F.lit(k), c))), lambda _, v: v.isNotNull())
+        df = df.join(providers.groupBy("asset_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col("provider").alias("key"), F.to_json(entry).alias("value"))))).alias("_p_texts")), "asset_id", "left")
+        df = df.withColumn("_providers", F.transform_values(F.coalesce("_p_texts", F.create_map().cast("map<string,string>")), lambda _, v: F.from_json(v, "map<string,string>")))
         sections["Providers"] = F.col("_providers")
     listed(holdings, "Top_10_Holdings", ["weight", "name"], {"Symbol": "ticker", "Name": "name", "Sector": "sector", "Country": "country", "Assets_%": "weight"}, 10, descending=True)
     if holdings is not None:
         sections["ETF_Data"] = F.when(F.upper(kind) == "ETF", F.struct(sections.pop("Top_10_Holdings").alias("Top_10_Holdings")))
-    return df.select("asset_id", F.to_json(F.struct(*(c.alias(n) for n, c in sections.items()))).alias("document"))
+    return df.select("asset_id", F.to_json(F.struct(*(c.alias(n) for n, c in sections.items())), {"ignoreNullFields": "false"}).alias("document"))

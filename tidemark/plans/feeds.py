@@ -111,6 +111,58 @@ def _documents(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+INFO = """{"sector": "Other", "industry": "I<k>", "website": "http://w/<k>", "fullTimeEmployees": <k>, "trailingPE": <k>.5, "forwardPE": 11, "priceToBook": 3.5, "enterpriseValue": "<k>000", "enterpriseToRevenue": 2.25, "ebitda": "<k>00", "bookValue": 4.5, "dividendRate": 2.5,
+ "dividendYield": 0.02, "payoutRatio": 0.4, "lastSplitFactor": "2:1", "lastSplitDate": "2020-01-0<d>", "sharesOutstanding": "<k>0", "floatShares": "<k>1", "heldPercentInsiders": 0.1, "shortRatio": 1.5, "sharesShort": 7, "beta": "1.25", "fiftyTwoWeekHigh": 120, "fiftyTwoWeekLow": 80,
+ "fiftyDayAverage": 95.5, "twoHundredDayAverage": 90.5, "recommendationKey": "buy", "targetMeanPrice": 12}""".replace("\n", "")
+SECTIONS = f"select c_custkey as asset_id, 'T' || cast(c_custkey as varchar) || '.PA' as ticker, c_name as name, 'EUR' as currency, case when c_custkey % 3 = 0 then 'ETF' end as quote_type, case when c_custkey % 5 <> 0 then cast(c_custkey % 30 as double) end as pe_ratio, cast(c_custkey * 1000 as double) as market_cap, '2024-01-0' || cast(c_custkey % 9 + 1 as varchar) as dividend_ex_date, {_json(INFO).replace("<d>", "' || cast(c_custkey % 9 + 1 as varchar) || '")} as json from customer"
+TRADES = "select o_custkey as asset_id, o_orderkey, cast(o_orderdate as date) as date, o_totalprice, o_orderstatus from orders"
+profiles_of = _rows(SECTIONS)
+#: Path in a document: what it should be in terms of the company (c) and its orders (a), as text.
+_TEXTS = {
+    "General.Code": "c.ticker", "General.Name": "c.name", "General.CurrencyCode": "'EUR'", "General.Industry": "'I' || c.asset_id", "General.WebURL": "'http://w/' || c.asset_id", "General.Type": "coalesce(c.quote_type, 'Common Stock')",
+    "SplitsDividends.ExDividendDate": "c.dividend_ex_date", "SplitsDividends.LastSplitFactor": "'2:1'", "SplitsDividends.LastSplitDate": "'2020-01-0' || (c.asset_id % 9 + 1)", "SplitsDividends.DividendDate": "null", "Highlights.EPSEstimateNextYear": "null",
+    "AnalystRatings.Rating": "case when c.asset_id % 6 = 0 then 'buy' else 'hold' end", "ESGScores.RatingDate": "case when c.asset_id % 4 = 0 then '2024-0' || (c.asset_id % 9 + 1) || '-01' end", "Holders.Institutions.0.name": "'H' || a.inst", "Holders.Institutions.0.date": "a.inst_date",
+    "Holders.Funds.0.name": "'H' || a.fund", "InsiderTransactions.0.ownerName": "case when a.n is null then null when c.asset_id % 2 = 0 then 'O' || a.first else 'W' || a.first end", "InsiderTransactions.0.date": "a.first_date", "InsiderTransactions.0.transactionCode": "case when c.asset_id % 2 = 0 then a.status end",
+    "InsiderTransactions.0.description": "case when a.n is null then null when c.asset_id % 2 = 0 then 'D' || a.status else 'elsewhere' end", "Providers.p0.status": "case when a.p0 then 'ok' end", "Providers.p0.provider_url": "case when a.p0 then 'http://p/' || c.asset_id end", "Providers.p0.country": "case when a.p0 then 'FR' end",
+    "Providers.p1.status": "case when a.p1 then 'error' end", "Providers.p1.error": "case when a.p1 then 'timeout' end", "Providers.p1.country": "null", "Providers.p2.status": "case when a.p2 then 'no_data' end", "Providers.p2.name": "null", "ETF_Data.Top_10_Holdings.0.Symbol": "case when c.quote_type = 'ETF' then cast(a.top as varchar) end",
+    "ETF_Data.Top_10_Holdings.0.Sector": "case when c.quote_type = 'ETF' and a.n > 0 then 's' end", "Earnings.History.0.reportDate": "e.y0 || '-12-31'", "Earnings.Trend.0.period": "cast(e.y0 as varchar)",
+}
+#: The same as numbers.
+_NUMBERS = {
+    "General.FullTimeEmployees": "c.asset_id", "Highlights.MarketCapitalization": "nullif(c.market_cap, 0)", "Highlights.PERatio": "coalesce(nullif(c.pe_ratio, 0), c.asset_id + 0.5e0)", "Highlights.EBITDA": "c.asset_id * 100", "Highlights.BookValue": "4.5e0", "Highlights.DividendShare": "2.5e0", "Highlights.MarketCapitalizationMln": "nullif(c.market_cap, 0) / 1e6",
+    "Valuation.TrailingPE": "coalesce(nullif(c.pe_ratio, 0), c.asset_id + 0.5e0)", "Valuation.ForwardPE": "11", "Valuation.PriceBookMRQ": "3.5e0", "Valuation.EnterpriseValue": "c.asset_id * 1000", "Valuation.EnterpriseValueRevenue": "2.25e0",
+    "SharesStats.SharesOutstanding": "c.asset_id * 10", "SharesStats.SharesFloat": "c.asset_id * 10 + 1", "SharesStats.PercentInsiders": "0.1e0", "SharesStats.SharesShort": "7", "SharesStats.ShortRatio": "1.5e0", "Technicals.Beta": "1.25e0", "Technicals.52WeekHigh": "120", "Technicals.52WeekLow": "80",
+    "Technicals.50DayMA": "95.5e0", "Technicals.200DayMA": "90.5e0", "SplitsDividends.ForwardAnnualDividendRate": "2.5e0", "SplitsDividends.ForwardAnnualDividendYield": "0.02e0", "SplitsDividends.PayoutRatio": "0.4e0", "SplitsDividends.NumberDividendsByYear": "0",
+    "AnalystRatings.TargetPrice": "case when c.asset_id % 6 = 0 then 12 else c.asset_id % 9 end", "AnalystRatings.StrongBuy": "case when c.asset_id % 6 <> 0 then c.asset_id % 7 end", "AnalystRatings.Hold": "case when c.asset_id % 6 <> 0 then 2 end", "AnalystRatings.Sell": "case when c.asset_id % 6 <> 0 then 0 end",
+    "ESGScores.TotalEsg": "case when c.asset_id % 4 = 0 then c.asset_id % 50 end", "ESGScores.EnvironmentScore": "case when c.asset_id % 4 = 0 then 1 end", "ESGScores.SocialScore": "case when c.asset_id % 4 = 0 then 2 end", "ESGScores.GovernanceScore": "case when c.asset_id % 4 = 0 then 3 end", "ESGScores.ControversyLevel": "case when c.asset_id % 4 = 0 then 4 end",
+    "Holders.Institutions.0.currentShares": "a.inst", "Holders.Institutions.0.totalShares": "case when a.inst is not null then 0.25e0 end", "Holders.Institutions.0.change": "case when a.inst is not null then -0.5e0 end", "Holders.Institutions.0.value": "a.inst_value", "Holders.Funds.0.value": "a.fund_value",
+    "InsiderTransactions.0.shares": "a.first", "InsiderTransactions.0.transactionAmount": "case when c.asset_id % 2 = 0 then a.price end", "InsiderTransactions.0.transactionPrice": "case when c.asset_id % 2 = 0 then a.price / 4 end", "Earnings.History.0.epsActual": "e.n0", "Earnings.Trend.0.earningsEstimateAvg": "e.n0", "ETF_Data.Top_10_Holdings.0.Assets_%": "case when c.quote_type = 'ETF' then a.top end",
+}
+
+
+def _sections(spark: SparkSession, d: str) -> DataFrame:
+    """path, text and number of the figures of _TEXTS and _NUMBERS in each company's document."""
+    c = profiles_of(spark, d)
+    o = spark.sql(TRADES.replace("from orders", "from {orders}"), orders=read(spark, d, "orders"))
+    year = F.year("date")
+    yearly = o.groupBy("asset_id", year.alias("y")).agg(F.count(F.lit(1)).alias("n"))
+    owned = o.select("asset_id", "date", F.concat(F.lit("O"), F.col("o_orderkey").cast("string")).alias("owner"), F.col("o_orderkey").alias("shares"), F.col("o_orderstatus").alias("code"), F.col("o_totalprice").alias("amount"), (F.col("o_totalprice") / 4).alias("price"), F.concat(F.lit("D"), "o_orderstatus").alias("description"))
+    other = o.select("asset_id", "date", F.concat(F.lit("W"), F.col("o_orderkey").cast("string")).alias("owner"), F.col("o_orderkey").alias("shares"), F.lit("elsewhere").alias("description"))
+    holder = o.select("asset_id", F.when(F.col("o_orderstatus") == "F", "institutions").when(F.col("o_orderstatus") == "O", "Funds").otherwise("other").alias("category"), F.concat(F.lit("H"), F.col("o_orderkey").cast("string")).alias("holder"), F.col("date").alias("date_reported"), F.lit(0.25).alias("pct_out"), F.col("o_orderkey").alias("shares"), F.lit(-0.5).alias("change"), F.col("o_totalprice").alias("value"))
+    asked = o.select("asset_id", F.concat(F.lit("p"), (F.col("o_orderkey") % 3).cast("string")).alias("provider")).distinct().withColumns({"error": F.when(F.col("provider") == "p1", "timeout"), "has_payload": F.col("provider") != "p2", "ticker": F.lit("T"), "name": F.lit("N"), "isin": F.lit(None).cast("string"), "provider_url": F.concat(F.lit("http://p/"), F.col("asset_id").cast("string")), "country": F.lit("FR")})
+    votes = c.where("asset_id % 6 <> 0").select("asset_id", F.lit("hold").alias("consensus"), (F.col("asset_id") % 9).alias("target_mean"), (F.col("asset_id") % 7).alias("strong_buy"), *(F.lit(n).alias(x) for n, x in ((1, "buy"), (2, "hold"), (0, "sell"), (0, "strong_sell"))))
+    esg = c.where("asset_id % 4 = 0").select("asset_id", F.concat(F.lit("2024-0"), (F.col("asset_id") % 9 + 1).cast("string"), F.lit("-01")).alias("rating_date"), (F.col("asset_id") % 50).alias("total_esg"), *(F.lit(n).alias(x) for n, x in ((1, "environment_score"), (2, "social_score"), (3, "governance_score"), (4, "controversy_level"))))
+    made = document.document(
+        c.select("asset_id", "ticker", "name", "currency", "quote_type"), c.select("asset_id", "pe_ratio", "market_cap", "dividend_ex_date"), c.select("asset_id", "json"), ratings=votes, esg=esg,
+        earnings=yearly.select("asset_id", F.col("y").alias("period"), F.concat(F.col("y").cast("string"), F.lit("-12-31")).alias("period_end"), F.col("n").alias("eps_actual"), *(F.lit(0.5).alias(x) for x in ("eps_estimate", "surprise", "surprise_pct"))),
+        trend=yearly.select("asset_id", F.col("y").alias("period"), F.col("n").alias("eps_avg"), F.lit(1).alias("revenue_avg")), holders=holder, insiders=owned.where("asset_id % 2 = 0"), insiders_elsewhere=other, providers=asked,
+        holdings=o.select("asset_id", F.col("o_orderkey").cast("string").alias("ticker"), F.col("o_orderkey").cast("string").alias("name"), F.lit("s").alias("sector"), F.lit("c").alias("country"), F.col("o_orderkey").cast("double").alias("weight")),
+    )
+    get = lambda path: F.get_json_object("document", "$" + "".join(f"['{x}']" for x in path.split(".")))
+    entries = [F.struct(F.lit(x).alias("path"), get(x).alias("text"), F.lit(None).cast("double").alias("number")) for x in _TEXTS] + [F.struct(F.lit(x).alias("path"), F.lit(None).cast("string").alias("text"), steady(get(x).cast("double")).alias("number")) for x in _NUMBERS]
+    return made.select("asset_id", F.explode(F.array(*entries)).alias("e")).select("asset_id", "e.*")
+
+
 def _document_fields(spark: SparkSession, d: str) -> DataFrame:
     get = lambda path: F.get_json_object("document", f"$.{path}")
     doc = _documents(spark, d)
@@ -293,6 +345,15 @@ QUERIES = {
           {steady_sql("case when asset_id % 6 = 0 then 12 else target_mean end")} as target, coalesce(n, 0) as n_insiders, coalesce(y, 0) as n_income, coalesce(p, 0) as n_providers, case when quote_type = 'ETF' then least(coalesce(n, 0), 10) else 0 end as n_holdings
         from c left join a using (asset_id)""",
     ),
+    "company_sections": (
+        _sections,
+        f"""with c as ({SECTIONS}), o as (select *, row_number() over (partition by asset_id order by date, case when asset_id % 2 = 0 then 'O' else 'W' end || cast(o_orderkey as varchar)) as rn, year(date) as y from ({TRADES})),
+        k as (select asset_id, y, count(*) as n from o group by 1, 2), e as (select asset_id, min(y) as y0, arg_min(n, y) as n0 from k group by 1),
+        a as (select asset_id, count(*) as n, max(case when rn = 1 then o_orderkey end) as first, cast(max(case when rn = 1 then date end) as varchar) as first_date, max(case when rn = 1 then o_orderstatus end) as status, max(case when rn = 1 then o_totalprice end) as price, max(o_orderkey) as top,
+          arg_max(o_orderkey, o_totalprice) filter (where o_orderstatus = 'F') as inst, cast(arg_max(date, o_totalprice) filter (where o_orderstatus = 'F') as varchar) as inst_date, max(o_totalprice) filter (where o_orderstatus = 'F') as inst_value,
+          arg_max(o_orderkey, o_totalprice) filter (where o_orderstatus = 'O') as fund, max(o_totalprice) filter (where o_orderstatus = 'O') as fund_value, bool_or(o_orderkey % 3 = 0) as p0, bool_or(o_orderkey % 3 = 1) as p1, bool_or(o_orderkey % 3 = 2) as p2 from o group by 1)
+        select asset_id, x.path as path, x.t as text, x.v as number from (select c.asset_id, unnest([{", ".join([f"{{'path': '{p}', 't': cast({e} as varchar), 'v': cast(null as double)}}" for p, e in _TEXTS.items()] + [f"{{'path': '{p}', 't': cast(null as varchar), 'v': cast({steady_sql(e)} as double)}}" for p, e in _NUMBERS.items()])}]) as x from c left join a using (asset_id) left join e using (asset_id))""",
+    ),
     "page_scores": (
         lambda spark, d: profiles.page_scores(marked(spark, d).select((F.col("key") - F.col("key") % 4).alias("key"), "code", F.col("score").alias("html"))),
         """select c_custkey - c_custkey % 4 as key, cast(max(case when c_custkey % 4 = 0 then -c_custkey end) as int) as piotroski_score, max(case when c_custkey % 4 = 1 then -c_custkey - 0.5e0 end) as beneish_m_score,
