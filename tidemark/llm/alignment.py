@@ -240,8 +240,14 @@ def with_counts(rows: DataFrame, counts: DataFrame, a_path: str = A_PATH, b_path
     return rows.mapInArrow(run, f"{schema}, n_best long, count_sum long")
 
 
+def spread(documents: DataFrame) -> DataFrame:
+    """``documents``, a scan of files, dealt over all cores where it has fewer partitions than there are cores: encoding costs more than moving the texts."""
+    cores = documents.sparkSession.sparkContext.defaultParallelism
+    return documents.repartition(cores) if documents.rdd.getNumPartitions() < cores else documents
+
+
 def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = aligned(table(spark, sf_dir, "documents"), ["doc_id"])
+    rows = aligned(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), ["doc_id"])
     digest = F.when(F.col("groups") == "", "").otherwise(F.sha2(F.col("groups").cast("binary"), 256))
     told = materialise(rows.withColumn("groups_sha256", digest).drop("groups"))
     return with_counts(told, pair_counts(told)).select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
