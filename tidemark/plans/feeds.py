@@ -85,9 +85,9 @@ def _stage_two(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _usage(spark: SparkSession, d: str) -> DataFrame:
-    """A usage log to which two batches were added."""
+    """A usage log to which two batches were added; a month's orders stand for a day's requests."""
     path = scratch_path(spark)
-    o = read(spark, d, "orders").select(F.col("o_orderdate").cast("timestamp_ntz").alias("created_at"), F.col("o_orderpriority").alias("endpoint"), F.lit("GET").alias("method"), F.lit(200).alias("status_code"), F.lit(1.5).alias("latency_ms"), F.lit("p").alias("provider_used"), (F.col("o_orderkey") % 2 == 0).alias("cache_hit"), "o_orderkey")
+    o = read(spark, d, "orders").select(F.date_trunc("month", "o_orderdate").cast("timestamp_ntz").alias("created_at"), F.col("o_orderpriority").alias("endpoint"), F.lit("GET").alias("method"), F.lit(200).alias("status_code"), F.lit(1.5).alias("latency_ms"), F.lit("p").alias("provider_used"), (F.col("o_orderkey") % 2 == 0).alias("cache_hit"), "o_orderkey")
     for k in (0, 1):
         logs.append_usage(o.where(F.col("o_orderkey") % 2 == k), path)
     return spark.read.parquet(path).groupBy("endpoint", "cache_hit").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("day").alias("days"))
@@ -317,7 +317,7 @@ QUERIES = {
         lambda spark, d: assets.mentioned(read(spark, d, "customer").select(F.col("c_custkey").alias("mapping_id"), F.concat(F.lit("http://x/T"), F.col("c_custkey").cast("string")).alias("value")), "T1"),
         "select c_custkey as mapping_id, 'http://x/T' || cast(c_custkey as varchar) as value from customer where 'http://x/T' || cast(c_custkey as varchar) like '%/T1%'",
     ),
-    "usage_log": (_usage, "select o_orderpriority as endpoint, o_orderkey % 2 = 0 as cache_hit, count(*) as n, count(distinct cast(o_orderdate as date)) as days from orders group by 1, 2"),
+    "usage_log": (_usage, "select o_orderpriority as endpoint, o_orderkey % 2 = 0 as cache_hit, count(*) as n, count(distinct date_trunc('month', o_orderdate)) as days from orders group by 1, 2"),
     "recent_failures": (
         lambda spark, d: logs.newest(read(spark, d, "orders").where("o_orderstatus = 'F'").select("o_orderkey", F.col("o_orderdate").cast("timestamp_ntz").alias("happened")), "happened", "o_orderkey", 30),
         "select o_orderkey, cast(o_orderdate as timestamp) as happened from orders where o_orderstatus = 'F' order by cast(o_orderdate as timestamp) desc, o_orderkey desc limit 30",
