@@ -13,6 +13,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(__file__))
 import brute  # noqa: E402
+from test_mended import targets_of  # noqa: E402
 
 import __spark_entry__ as entry  # noqa: E402
 
@@ -561,3 +562,11 @@ def stage_mix(spark, before, after, folder):
     had = _rows(before)
     for r in after.select("doc_id", "text", "copies", "taken").collect():
         assert (r.doc_id, r.text) in had and r.copies in (1, 2) and r.taken == r.copies * brute.size(r.text)
+    sizes, taken, largest = Counter(), Counter(), Counter()
+    for r in before.select("source", "text").collect():
+        sizes[r.source] += brute.size(r.text)
+        largest[r.source] = max(largest[r.source], brute.size(r.text))
+    for r in after.select("source", "taken").collect():
+        taken[r.source] += r.taken
+    for source, target in targets_of({s: n for s, n in sizes.items() if n}).items():
+        assert abs(taken[source] - target) <= max(largest[source], 0.02 * target), source
