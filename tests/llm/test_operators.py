@@ -157,6 +157,20 @@ def test_decontamination_of_many_items_by_a_join(spark):
     same([(r.doc_id, r.n_words, r.n_hit, len(r["items"])) for r in found], want)
 
 
+def test_windows_of_the_same_items_are_one_class(spark):
+    """A passage of 400 items is one row a window, not 400; items without a name keep apart from the empty name."""
+    from tidemark.llm.decontaminate import _classes, benchmark_hits
+
+    rows = [(name, bytes([w])) for w in range(5) for name in [f"i{k}" for k in range(400)]] + [("i1", b"x"), (None, b"y"), ("", b"z")]
+    classes, members = _classes(spark.createDataFrame(rows, "name string, w binary"))
+    assert (classes.count(), classes.select("class").distinct().count(), members.count()) == (8, 4, 403)
+    shared = " ".join(f"s{i}" for i in range(20))
+    items = [(k, shared + f" own{k} " * 3) for k in range(60)]
+    texts = [(1, shared), (2, "a b c"), (3, None), (4, "x " + shared + " own7 own7 own7")]
+    found = benchmark_hits(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), block_words=1).collect()
+    same([(r.doc_id, r.n_words, r.n_hit, len(r["items"])) for r in found], [(i, *brute.decontamination(t, items)[:3]) for i, t in texts])
+
+
 def test_quality_metrics(spark, folder):
     rows = run(spark, "op3_", folder)
     same([tuple(r)[:7] for r in rows], [(r.doc_id, *brute.quality_metrics(r.text)) for r in docs(spark, folder)])
@@ -437,6 +451,31 @@ def test_simhash_components_of_random_fingerprints(spark, monkeypatch):
         same([(r.doc_id, r.component_id) for r in simhash.components(df).collect()], want)
 
 
+def test_wide_segments_meet_once(spark):
+    """Two segments: pairs of one to four bits meet, each at most once in a segment, and a fingerprint has 101 rows in place of 596."""
+    from pyspark.sql import functions as F
+
+    from tidemark.llm import simhash
+
+    parts = simhash.segments(simhash.WIDE)
+    rng = random.Random(8)
+    rows = []
+    for i in range(300):
+        h, g = rng.getrandbits(64), 0
+        for b in rng.sample(range(64), 1 + i % 6):
+            g |= 1 << b
+        rows += [(2 * i, h), (2 * i + 1, h ^ g)]
+    df = spark.createDataFrame([(i, h - (1 << 64) if h >> 63 else h) for i, h in rows], "i long, fp long")
+    sides = [df.select("i", simhash._looked(parts, stored)) for stored in (False, True)]
+    assert sides[0].count() + sides[1].count() == 101 * len(rows)
+    a, b = sides[0].toDF("a", "key", "x"), sides[1].toDF("b", "key", "y")
+    met = a.join(b, "key").where("a < b and (y = 0 or x > 0 and x < y)").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).collect()
+    met = {(r.a, r.b): r.n for r in met}
+    for i in range(300):
+        if 1 + i % 6 <= 4:
+            assert 1 <= met[(2 * i, 2 * i + 1)] <= 2
+
+
 def test_pipeline_links_pairs_of_similarity_four_fifths(spark):
     """Texts with words replaced: groups are the components of exact five-word similarities of 4/5 and more."""
     import corpus_pipeline

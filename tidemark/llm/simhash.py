@@ -3,6 +3,8 @@ r"""SimHash near-duplicates by multi-index hashing.
 A fingerprint is cut into segments. Two fingerprints of at most ``radius`` differing bits have a segment i that differs in at most
 r_i bits if the sum of r_i + 1 over the segments exceeds ``radius`` (pigeonhole), so each fingerprint looks up the
 Hamming balls of radius r_i around its segments in tables of the others' segments, and whole distances are checked in the join.
+Two values that differ in two bits share a neighbour one bit from each, so a ball of radius 2 is put half on each side: w + 1 rows of both
+in place of 1 + w + w(w-1)/2 of one. Flipped bits are numbered, and a pair meets in a segment at most once: at the centre of its larger one, or by the lower bit of its smaller one.
 Three segments serve up to ``WIDE`` different fingerprints and two beyond, where three would meet too many strangers; both are exact.
 
 Exact copies collapse into one fingerprint first. A group of many near copies would still meet in full, so each segment's
@@ -17,7 +19,6 @@ that they reach, or null. Repeated rows and equal ids are told row by row. An em
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from itertools import combinations
 
 import numpy as np
 import xxhash
@@ -86,12 +87,17 @@ def _key(number: int, shift: int, width: int) -> Column:
     return F.shiftrightunsigned("fp", shift).bitwiseAND((1 << width) - 1).bitwiseOR(number << 40)
 
 
-def _ball(width: int, radius: int) -> list[int]:
-    return [sum(1 << b for b in bits) for r in range(radius + 1) for bits in combinations(range(width), r)]
-
-
-def _around(key: Column, masks: list[int]) -> Column:
-    return F.transform(F.array(*(F.lit(m).cast("long") for m in masks)), lambda m: key.bitwiseXOR(m))
+def _looked(parts: list[tuple[int, int, int]], stored: bool) -> Column:
+    """One row (key, bit) for each place where a fingerprint looks, or is ``stored``: bit is 0 for its own segment and else the number of the flipped bit."""
+    sides = []
+    for i, (shift, width, radius) in enumerate(parts):
+        mine = radius // 2 if stored else radius - radius // 2
+        if mine > 1:
+            raise ValueError("segments hold balls of radius 2 at most")
+        masks = [(0, 0), *((1 << b, b + 1) for b in range(width) if mine)]
+        key = _key(i, shift, width)
+        sides.append(F.transform(F.array(*(F.struct(F.lit(m).cast("long").alias("mask"), F.lit(b).alias("bit")) for m, b in masks)), lambda m, key=key: F.struct(key.bitwiseXOR(m["mask"]).alias("key"), m["bit"].alias("bit"))))
+    return F.inline(F.flatten(F.array(*sides)))
 
 
 def _distance(a: str, b: str) -> Column:
@@ -107,9 +113,10 @@ def fingerprint_components(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     stars = entries.join(centres, "key").where((F.col("fp") != F.col("centre")) & (_distance("fp", "centre") <= radius))
     roots = connected(stars.select(F.col("fp").alias("u"), F.col("centre").alias("v")))
     known = materialise(fps.join(roots.withColumnsRenamed({"node": "fp"}), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")))
-    balls = F.flatten(F.array(*(_around(_key(i, s, w), _ball(w, r)) for i, (s, w, r) in enumerate(parts))))
-    probes = known.select(F.col("fp").alias("a"), F.col("root").alias("ra"), F.explode(balls).alias("key"))
-    found = probes.join(known.select(F.col("fp").alias("b"), F.col("root").alias("rb"), tables.alias("key")), "key").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & (_distance("a", "b") <= radius))
+    probes = known.select(F.col("fp").alias("a"), F.col("root").alias("ra"), _looked(parts, stored=False)).withColumnRenamed("bit", "bit_a")
+    stored = known.select(F.col("fp").alias("b"), F.col("root").alias("rb"), _looked(parts, stored=True)).withColumnRenamed("bit", "bit_b")
+    once = (F.col("bit_b") == 0) | (F.col("bit_a") > 0) & (F.col("bit_a") < F.col("bit_b"))
+    found = probes.join(stored, "key").where((F.col("a") < F.col("b")) & once & (F.col("ra") != F.col("rb")) & (_distance("a", "b") <= radius))
     links = connected(found.select(F.col("ra").alias("u"), F.col("rb").alias("v")))
     links = links.select(F.col("node").alias("r1"), F.col("root").alias("r2"))
     return known.join(links, known["root"] == links["r1"], "left").select("fp", F.coalesce("r2", "root").alias("root"))
