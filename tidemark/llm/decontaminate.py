@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from tidemark.session import materialise
 
+from .sieve import sieved
 from .texts import alnum_words, map_texts, table
 
 K, WINDOW = 5, 9
@@ -192,11 +193,22 @@ def _item_windows(texts: Iterator[bytes | None]) -> Iterator[tuple]:
         yield n, _kept(ids, [n] if 0 < n < SPAN else []), list(set(_windows(ids, n))) if n else []
 
 
+def _classes(windows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Windows (w, class) and classes (class, name): windows of the same items are of one class, so that a place is one row however many items share it.
+
+    A class is named by the number and two mergeable digests of its items, so no window's items are gathered in one task.
+    """
+    of = [F.xxhash64(F.lit(k), F.col("name").isNull(), F.coalesce("name", F.lit(""))) for k in (1, 2, 3)]
+    classes = materialise(windows.groupBy("w").agg(F.count(F.lit(1)).alias("n"), *(F.bit_xor(h).alias(f"x{i}") for i, h in enumerate(of[:2])), F.sum(of[2].cast("decimal(38,0)")).alias("s")).select("w", F.struct("n", "x0", "x1", "s").alias("class")))
+    one = classes.groupBy("class").agg(F.min("w").alias("w"))
+    return classes, materialise(windows.join(one, "w").select("class", "name"))
+
+
 def _joined_hits(documents: DataFrame, items: DataFrame, keep: list[str] | None) -> DataFrame:
     made = materialise(map_texts(items, _item_windows, "n int, hashes array<long>, windows array<binary>", ["name"]))
     lengths = sorted(r["n"] for r in made.where(f"n between 1 and {SPAN - 1}").select("n").distinct().collect())
     hashes = made.select(F.explode("hashes").alias("h")).distinct()
-    windows = made.select("name", F.explode("windows").alias("w")).distinct()
+    classes, members = _classes(made.select("name", F.explode("windows").alias("w")).distinct())
 
     def keys(texts: Iterator[bytes | None]) -> Iterator[tuple]:
         make = _Words()
@@ -212,9 +224,11 @@ def _joined_hits(documents: DataFrame, items: DataFrame, keep: list[str] | None)
     key = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
     texts = documents.select(key.alias("_key"), "text")
     met = materialise(map_texts(texts, keys, "hashes array<long>", ["_key"]).select("_key", F.explode("hashes").alias("h")).join(hashes, "h", "left_semi").select("_key"))
-    matched = texts.groupBy("_key").agg(F.first("text").alias("text")).join(met.distinct(), "_key", "left_semi")
+    met = materialise(met.distinct())
+    maybe, _ = sieved(texts, "_key", met)  # most texts share no hash with an item and aren't shuffled
+    matched = maybe.join(met, "_key", "left_semi").groupBy("_key").agg(F.first("text").alias("text"))
     found = map_texts(matched, places, "places array<struct<start:long,end:long,w:binary>>", ["_key"]).select("_key", F.inline("places"))
-    hits = materialise(found.join(windows, "w").select("_key", "start", "end", "name"))
+    hits = materialise(found.join(classes, "w").select("_key", "start", "end", "class"))
 
     def add(state, p):
         """Joins a place to the last span if they touch; places come by their starts."""
@@ -223,10 +237,16 @@ def _joined_hits(documents: DataFrame, items: DataFrame, keep: list[str] | None)
         return F.when((F.size(state) > 0) & (p["start"] <= F.try_element_at(state, F.lit(-1))["end"]), longer).otherwise(F.concat(state, F.array(p)))
 
     spans = F.aggregate("places", F.array().cast("array<struct<start:long,end:long>>"), add)
-    of_text = hits.groupBy("_key").agg(F.array_sort(F.collect_set("name")).alias("items"), F.array_sort(F.collect_set(F.struct("start", "end"))).alias("places"))
-    of_text = materialise(of_text.select("_key", "items", spans.alias("spans")))
-    counted = map_texts(documents.withColumn("_key", key), lambda rows: ((len(alnum_words(t or b"")),) for t in rows), "n_words long", None if keep is None else [*keep, "_key"])
-    counted = counted.drop("n_hit", "items", "spans").join(of_text, "_key", "left").drop("_key")
+    items_of = hits.select("_key", "class").distinct().join(members, "class").groupBy("_key").agg(F.array_sort(F.collect_set("name")).alias("items"))
+    places_of = hits.groupBy("_key").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("places"))
+    of_text = materialise(places_of.join(items_of, "_key", "left").select("_key", F.coalesce("items", F.array().cast("array<string>")).alias("items"), spans.alias("spans")))
+
+    def counted(rows: DataFrame) -> DataFrame:
+        return map_texts(rows, lambda texts: ((len(alnum_words(t or b"")),) for t in texts), "n_words long", None if keep is None else [*keep, "_key"]).drop("n_hit", "items", "spans")
+
+    maybe, never = sieved(documents.withColumn("_key", key), "_key", of_text.select("_key"))
+    nothing = [F.lit(None).cast(of_text.schema[c].dataType).alias(c) for c in ("items", "spans")]
+    counted = counted(maybe).join(of_text, "_key", "left").unionByName(counted(never).select("*", *nothing)).drop("_key")
     n_hit = F.coalesce(F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"]), F.lit(0).cast("long"))
     nothing = {c: F.coalesce(c, F.array().cast(of_text.schema[c].dataType)) for c in ("items", "spans")}
     return counted.withColumn("n_hit", n_hit).withColumns(nothing).select(*(c for c in counted.columns if c not in ("items", "spans", "n_words")), "n_words", "n_hit", "items", "spans")
