@@ -95,9 +95,8 @@ def _looked(parts: list[tuple[int, int, int]], stored: bool) -> Column:
         if mine > 1:
             raise ValueError("segments hold balls of radius 2 at most")
         masks = [(0, 0), *((1 << b, b + 1) for b in range(width) if mine)]
-        key = _key(i, shift, width)
-        sides.append(F.transform(F.array(*(F.struct(F.lit(m).cast("long").alias("mask"), F.lit(b).alias("bit")) for m, b in masks)), lambda m, key=key: F.struct(key.bitwiseXOR(m["mask"]).alias("key"), m["bit"].alias("bit"))))
-    return F.inline(F.flatten(F.array(*sides)))
+        sides += [F.struct(_key(i, shift, width).bitwiseXOR(F.lit(m).cast("long")).alias("key"), F.lit(b).alias("bit")) for m, b in masks]
+    return F.inline(F.array(*sides))
 
 
 def _distance(a: str, b: str) -> Column:
