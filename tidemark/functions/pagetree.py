@@ -143,6 +143,14 @@ def select(root: Element, selector: str) -> Iterator[Element]:
     return (x for x in root.inside() if any(_chosen(x, w) for w in ways))
 
 
+def marked(root: Element, tags: tuple[str, ...], words: tuple[str, ...]) -> Element | None:
+    """The first element of one of ``tags`` (of any if there are none) with a class in which one of ``words`` stands, in either case (any class or none if there are none)."""
+    for x in root.inside():
+        if (not tags or x.tag in tags) and (not words or any(w in c for c in x.attributes.get("class", "").lower().split() for w in words)):
+            return x
+    return None
+
+
 class Rule(NamedTuple):
     field: str
     kind: str

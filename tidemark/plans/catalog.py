@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import assets, bars, connectors, feeds, fundamentals, identity, indicators, logs, news, quality, search, streams, valuation
+from . import assets, bars, cards, connectors, feeds, fundamentals, identity, indicators, logs, news, quality, search, streams, valuation
 
 FLAGSHIP = "bars_hourly"
-_MODULES = [bars, indicators, valuation, quality, logs, identity, assets, news, fundamentals, search, streams, feeds, connectors]
+_MODULES = [bars, indicators, valuation, quality, logs, identity, assets, news, fundamentals, search, streams, feeds, connectors, cards]
 
 
 def queries() -> dict:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import dates, names, numbers, web
 from tidemark.functions.numbers import steady, steady_sql
-from tidemark.operators import assets, document, fundamentals, identity, logs, quality, search
+from tidemark.operators import assets, document, fundamentals, identity, imports, logs, quality, search
 from tidemark.session import scratch_path
 from tidemark.sources import pages, profiles
 from tidemark.sources.adapters import brand_bars, read, tick_stream
@@ -43,7 +43,7 @@ select c_custkey as key, '<ownershipDocument><reportingOwner><reportingOwnerId><
   '~m~9~m~hello~m~99~m~' || {_json('{"m":"timescale_update","p":["s",{"sds_1":{"s":[{"v":[<k>,1.5,3,1,2,10]},{"v":[<k>,2,null,1,2,10]},{"v":[7]}]}}]}')} as message,
   {_json('{"filings":{"recent":{"form":["4","10-K","4"],"filingDate":["2024-01-02","2024-01-05","2024-03-01"],"accessionNumber":["a<k>","b<k>","c<k>"]}}}')} as filings,
   {_json('[{"data":[{"figi":"F<k>","ticker":"T<k>","exchCode":"US"}]},{"error":"No identifier found."}]')} as mapped,
-  {_json('{"value":[{"headline":"News <k>","link":"http://n/<k>","source":"S","datePublished":"2024-01-02T03:04:05Z"},{"title":"","url":"http://none"}],"other":1}')} as feed,
+  {_json('{"value":[{"headline":"News <k>","link":"http://n/<k>","source":"S","datePublished":"2024-01-02T03:04:05Z","image":{"url":"http://i/<k>","w":1}},{"title":"","url":"http://none"}],"other":1}')} as feed,
   {_json('{"ter":"0,20 %","fundSize":"<k>,5 Mio. EUR","currency":"EUR","holdings":[{"name":"H<k>","percentage":"12,5 %"}]}')} as fund
 from customer
 """
@@ -77,7 +77,11 @@ WRAPPED = f"select 'Q' || cast(c_custkey as varchar) as query, case c_custkey %
 KNOWN = "select 'US' || cast(c_custkey as varchar) as isin, 'T' || cast(c_custkey % 60 as varchar) as ticker, case when c_custkey % 2 = 0 then '' else c_name end as name, cast(null as varchar) as currency, 'STOCK' as type from customer where c_custkey % 5 = 0"
 INCOMING = "select c_custkey as ordinal, 'US' || cast(c_custkey % 90 as varchar) as isin, 'T' || cast(c_custkey % 75 as varchar) as ticker, upper(c_name) as name, case when c_custkey % 2 = 0 then 'USD' else 'EUR' end as currency, 'ETF' as type from customer"
 TWO = "select 'T' || cast(c_custkey % 50 as varchar) as ticker, case when c_custkey % 3 = 0 then 'I' || cast(c_custkey % 50 as varchar) when c_custkey % 3 = 1 then '' end as isin, c_custkey as place, case when c_custkey % 7 = 0 then 'timeout' end as error, case when c_custkey % 4 = 0 then c_custkey * 1e0 end as price, case when c_custkey % 11 = 0 then c_name end as name from customer"
-asked, wrapped, known, incoming, stage_one = map(_rows, (ASKED, WRAPPED, KNOWN, INCOMING, TWO))
+#: Rows of an import with suffixes of several exchanges, listings that are stored, and addresses that one of the new ones has already.
+QUOTED = "select c_custkey as ordinal, 'US' || cast(c_custkey % 1000 as varchar) as isin, 'T' || cast(c_custkey % 1000 as varchar) || case c_custkey % 6 when 0 then '.PA' when 1 then '.F' when 2 then '.XX' when 3 then '.DE' else '' end as ticker, case c_custkey % 5 when 0 then 'USD' when 1 then 'CHF' when 2 then null else 'EUR' end as currency from customer"
+STORED = "select 'US' || cast(c_custkey as varchar) as isin, 'T' || cast(c_custkey as varchar) || case when c_custkey % 2 = 0 then '.PA' else '' end as ticker, case when c_custkey % 2 = 0 then 'XPAR' else '' end as exchange, case when c_custkey % 4 <> 0 then 'EUR' end as currency, c_custkey % 3 = 0 as is_primary from customer where c_custkey % 8 <> 5"
+MAPPED = "select 'US' || cast(c_custkey as varchar) as isin, 'T' || cast(c_custkey as varchar) || '.PA' as ticker, 'XPAR' as exchange, 'USD' as currency, 'GoogleFinance' as provider_name from customer where c_custkey % 4 = 0"
+asked, wrapped, known, incoming, stage_one, quoted, stored, mapped = map(_rows, (ASKED, WRAPPED, KNOWN, INCOMING, TWO, QUOTED, STORED, MAPPED))
 
 
 def _stage_two(spark: SparkSession, d: str) -> DataFrame:
@@ -199,6 +203,12 @@ def _company_lists(spark: SparkSession, d: str) -> DataFrame:
     return made.select("asset_id", F.when(n > 0, n).otherwise(0).cast("bigint").alias("n_counts"), F.get("share_counts", 0)["shares"].alias("newest"), F.array_join(F.transform("holdings", lambda x: x["shares"].cast("string")), ",").alias("held"))
 
 
+NEW = f"""with s as ({STORED}), q as (select isin, ticker, case split_part(ticker, '.', 2) when 'PA' then 'XPAR' when 'F' then 'XFRA' when 'DE' then 'XETR' else '' end as exchange, currency, min(ordinal) as ordinal from ({QUOTED}) group by 1, 2, 3, 4),
+  n as (select * from q where not exists (select 1 from s where s.isin = q.isin and s.ticker = q.ticker and s.exchange is not distinct from q.exchange and s.currency is not distinct from q.currency)),
+  g as (select isin, bool_or(is_primary) as any_primary from s group by 1),
+  r as (select n.*, any_primary, row_number() over (partition by isin order by ordinal) as place, min(case when currency in ('USD', 'GBP', 'JPY', 'CHF', 'CAD', 'AUD') then ordinal end) over (partition by isin) as main from n left join g using (isin)),
+  f as (select isin, ticker, exchange, currency, ordinal, case when any_primary is null then place = 1 when any_primary then false else coalesce(ordinal = main, false) end as is_primary from r)"""
+
 QUERIES = {
     "parse_fields": (
         lambda spark, d: texts(spark, d).select(
@@ -241,7 +251,7 @@ QUERIES = {
     ),
     "feed_articles": (
         lambda spark, d: pages.feed_articles(form(spark, d).select(F.col("feed").alias("json")), "bing").withColumn("published_at", F.col("published_at").cast("timestamp_ntz")),
-        "select 'News ' || cast(c_custkey as varchar) as title, 'http://n/' || cast(c_custkey as varchar) as url, 'S' as source, timestamp '2024-01-02 03:04:05' as published_at, 'en' as language, 'bing' as provider from customer",
+        "select 'News ' || cast(c_custkey as varchar) as title, 'http://n/' || cast(c_custkey as varchar) as url, 'S' as source, timestamp '2024-01-02 03:04:05' as published_at, 'en' as language, 'bing' as provider, 'http://i/' || cast(c_custkey as varchar) as image from customer",
     ),
     "fund_profile": (
         lambda spark, d: pages.fund_profile(form(spark, d).select("key", F.col("fund").alias("json"))).select("key", steady("ter").alias("ter"), steady("size", 0).alias("size"), "currency", F.get("holdings", 0)["name"].alias("holding"), steady(F.get("holdings", 0)["weight"]).alias("weight")),
@@ -305,6 +315,15 @@ QUERIES = {
         union all select k.isin, k.ticker, coalesce(nullif(k.name, ''), f.name), coalesce(k.currency, f.currency), k.type, case when f.isin is null then 'kept' else 'updated' end from k left join f using (isin)""",
     ),
     "import_listings": (lambda spark, d: identity.imported(known(spark, d), incoming(spark, d))[1], f"with r as ({INCOMING}) select isin, ticker, currency, min(ordinal) as ordinal from r group by 1, 2, 3"),
+    "import_new_listings": (lambda spark, d: imports.new_listings(stored(spark, d), quoted(spark, d)), f"{NEW} select isin, ticker, exchange, currency, ordinal, is_primary from f"),
+    "import_mappings": (
+        lambda spark, d: imports.default_mappings(imports.new_listings(stored(spark, d), quoted(spark, d)), mapped(spark, d)),
+        f"""{NEW}, m as ({MAPPED}), u as (
+          select isin, ticker, exchange, currency, 'YahooFinance' as provider_name, 'https://finance.yahoo.com/quote/' || ticker as provider_url from f where ticker like '%.%' or currency in ('USD', 'GBP', 'JPY', 'CHF', 'CAD', 'AUD')
+          union all select isin, ticker, exchange, currency, 'GoogleFinance', 'https://www.google.com/finance/quote/' || split_part(ticker, '.', 1) || case exchange when 'XPAR' then ':EPA' else ':ETR' end from f where exchange in ('XPAR', 'XETR'))
+        select isin, ticker, exchange, currency, provider_name, ticker as provider_ticker, provider_url, 'csv_import' as source, 1e0 as confidence_score from u
+        where not exists (select 1 from m where m.isin = u.isin and m.ticker = u.ticker and m.exchange = u.exchange and m.currency = u.currency and m.provider_name = u.provider_name)""",
+    ),
     "listing_search": (
         lambda spark, d: identity.listing_search(listings(spark, d), currency="usd", n=25).select("listing_id", "ticker"),
         f"with l as ({LISTING}) select listing_id, ticker from l where currency = 'USD' order by is_primary desc, ticker, currency, exchange, listing_id limit 25",

@@ -41,6 +41,10 @@ QUERIES = {
     ),
     "news_title_dedup": (lambda spark, d: op.title_dedup(articles(spark, d).withColumn("day", F.to_date("published_at")), ["day"]).select("ordinal", "title", "provider", "day"), None),
     "ticker_news": (lambda spark, d: op.ticker_news(articles(spark, d).withColumns({"day": F.to_date("published_at"), "ticker": F.explode(F.array_distinct("tickers"))}), ["ticker", "day"], "en", 10).select("ticker", "day", "ordinal", "title", "provider", "published_at"), None),
+    "news_in_language": (
+        lambda spark, d: articles(spark, d).withColumn("language", F.when(F.col("ordinal") % 9 != 0, F.col("language"))).where(op.in_language("en")).select("ordinal", "language"),
+        f"with a as (select ordinal, case when ordinal % 9 <> 0 then language end as language from ({ARTICLES})) select ordinal, language from a where language is null or language = 'en'",
+    ),
     "news_feed": (
         lambda spark, d: op.feed(articles(spark, d), "en", ["T1", "T2"], 40).select("ordinal", "url", "published_at"),
         f"with a as ({ARTICLES}) select ordinal, url, published_at from a where language = 'en' and (t1 in ('T1', 'T2') or t2 in ('T1', 'T2')) order by published_at desc nulls first, url limit 40",

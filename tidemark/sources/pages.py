@@ -135,13 +135,22 @@ def identifier_mappings(batches: DataFrame) -> DataFrame:
     return each.select(F.get("isins", F.col("place")).alias("isin"), F.explode("result.data").alias("d")).select("isin", "d.figi", "d.ticker", F.col("d.exchCode").alias("exchange"))
 
 
-def feed_articles(feeds: DataFrame, provider: str) -> DataFrame:
-    """title, url, source, published_at, language, provider from feed documents (json); keys go by several names, articles without title or address are left out."""
-    item = "struct<title:string,headline:string,url:string,link:string,webUrl:string,publishedDateTime:string,datePublished:string,providerPublishTime:bigint,provider:string,source:string,publisher:string>"
-    j = F.from_json("json", f"subCards array<{item}>, value array<{item}>, items array<{item}>, news array<{item}>")
-    c = feeds.select(F.explode(F.coalesce(j["subCards"], j["value"], j["items"], j["news"])).alias("c"))
+_ARTICLE = "struct<title:string,headline:string,url:string,link:string,webUrl:string,publishedDateTime:string,datePublished:string,providerPublishTime:bigint,provider:string,source:string,publisher:string,imageUrl:string,image:string,thumbnail:string>"
+
+
+def _image(c: str) -> Column:
+    """Address of an article's image: a text, or an object with url or imageUrl, or one of a list of resolutions, of which the first counts."""
+    told = numbers.first_present(*(f"{c}.{k}" for k in ("imageUrl", "image", "thumbnail")))
+    inside = F.coalesce(*(F.nullif(F.get_json_object(told, k), F.lit("")) for k in ("$.url", "$.imageUrl", "$.resolutions[0].url")))
+    return F.when(told.startswith("{"), inside).when(~told.startswith("["), told)
+
+
+def feed_articles(feeds: DataFrame, provider: str, keep: list[str] = ()) -> DataFrame:
+    """``keep`` columns, title, url, source, published_at, language, provider, image from feed documents (json); keys go by several names, articles without title or address are left out."""
+    j = F.from_json("json", ", ".join(f"{k} array<{_ARTICLE}>" for k in ("subCards", "value", "items", "news")))
+    c = feeds.select(*keep, F.explode(F.coalesce(j["subCards"], j["value"], j["items"], j["news"])).alias("c"))
     at = F.coalesce(F.try_to_timestamp(F.coalesce("c.publishedDateTime", "c.datePublished")), dates.epoch_time("c.providerPublishTime"))
-    out = c.select(numbers.first_present("c.title", "c.headline").alias("title"), numbers.first_present("c.url", "c.link", "c.webUrl").alias("url"), numbers.first_present("c.provider", "c.source", "c.publisher").alias("source"), at.alias("published_at"), F.lit("en").alias("language"), F.lit(provider).alias("provider"))
+    out = c.select(*keep, numbers.first_present("c.title", "c.headline").alias("title"), numbers.first_present("c.url", "c.link", "c.webUrl").alias("url"), numbers.first_present("c.provider", "c.source", "c.publisher").alias("source"), at.alias("published_at"), F.lit("en").alias("language"), F.lit(provider).alias("provider"), _image("c").alias("image"))
     return out.where("title is not null and url is not null")
 
 
