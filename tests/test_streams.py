@@ -223,3 +223,17 @@ def test_a_stream_that_runs_again_upserts_the_same(spark, tmp_path):
         stream = streamed(spark, str(tmp_path / f"t{k}"), [rows[:30], rows[20:]], TICK).withColumn("volume", F.lit(1))
         stored.upsert_stream(ticks.minute_bars(stream, "1 day"), path, ["asset", "ts"], f"{path}-state{k}", keep_days=5).awaitTermination()
         assert sorted(r.ts.day for r in stored.stored(spark, path).collect()) == [8, 9, 10, 11, 12, 13]
+
+
+def test_faulty_messages(spark):
+    import datetime as dt
+
+    from tidemark.streaming import ticks
+
+    cases = {
+        '{"ticker":"a","close":1}': (dt.datetime(2024, 1, 3), 1.0, None), '{"ticker":"a","close":1,"volume":0}': (dt.datetime(2024, 1, 3), 1.0, 0), '{"ticker":"a","close":1,"timestamp":"x"}': None, '{"ticker":"a","close":1,"volume":"x"}': None, '{"ticker":"a"}': None,
+        '{"ticker":"a","close":null,"Close":2,"time":"2024-01-01"}': (dt.datetime(2024, 1, 1), 2.0, None), "[1]": None, "": None, '{"ticker":"a","close":1e400}': None, '{"ticker":"a","close":false,"Close":3,"volume":"5"}': (dt.datetime(2024, 1, 3), 3.0, 5),
+    }
+    made = spark.createDataFrame([(k,) for k in cases] + [(None,)], "json string")
+    got = sorted((r.ts, r.price, r.volume or 0) for r in ticks.valid(ticks.parsed(made, received="2024-01-03 00:00:00")).where("price < 1e300").collect())
+    assert got == sorted((a, b, c or 0) for a, b, c in filter(None, cases.values()))

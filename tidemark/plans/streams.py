@@ -67,7 +67,21 @@ def _framed_ticks(spark: SparkSession, d: str) -> DataFrame:
     payload = F.to_json(F.struct(F.col("event_type").alias("ticker"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("Timestamp"), F.col("value").alias("close"), F.get_json_object("props", "$.k").try_cast("bigint").alias("volume")))
     e.select(F.concat(F.lit("~m~"), F.length(payload).cast("string"), F.lit("~m~"), payload).alias("value")).write.text(path)
     frames.register(spark)
-    return op.valid(op.parsed(spark.readStream.format("tick_frames").option("path", path).load()))
+    return op.valid(op.parsed(spark.readStream.format("tick_frames").option("path", path).load())).select("asset", "ts", "price", "volume")
+
+
+#: Messages of many shapes: keys of either case, times as seconds, ISO text, under another key, absent or broken, closes that are 0, negative, text or absent, volumes below 0, with decimals or broken.
+MESSAGES = """select event_id, '{"' || case when event_id % 2 = 0 then 'ticker' else 'Ticker' end || '":"' || event_type || '"'
+  || case event_id % 7 when 0 then '' when 1 then ',"close":0,"Close":7.5' when 2 then ',"close":-3' when 3 then ',"Close":"12.25"' when 4 then ',"close":"n/a"' else ',"close":' || cast(event_id as varchar) || '.5' end
+  || case event_id % 5 when 0 then ',"timestamp":1704067200' when 1 then ',"time":"2024-01-02T03:04:05"' when 2 then ',"timestamp":0,"time":1704067201.5' when 3 then '' when 4 then case when event_id % 3 = 0 then ',"timestamp":"soon"' else ',"timestamp":"2024-01-02T03:04:05+01:00"' end end
+  || case event_id % 6 when 0 then ',"volume":-4' when 1 then ',"Volume":' || cast(event_id as varchar) when 2 then ',"volume":7.9' when 3 then ',"volume":"many"' else '' end
+  || case event_id % 4 when 0 then ',"open":1.5,"High":2' when 1 then ',"low":"x"' else '' end || '}' as json from events"""
+
+
+def _messages(spark: SparkSession, d: str) -> DataFrame:
+    events = spark.readStream.schema(read(spark, d, "events").schema).parquet(f"{d}/events.parque[t]")
+    events.createOrReplaceTempView("_message_events")
+    return spark.sql(MESSAGES.replace("varchar", "string").replace("from events", "from _message_events"))
 
 
 def _kept_bars(spark: SparkSession, d: str) -> DataFrame:
@@ -129,6 +143,13 @@ QUERIES = {
         lambda spark, d: _ntz(op.available_now(_framed_ticks(spark, d), "append"), "ts"),
         "select event_type as asset, date_trunc('second', ts) as ts, value as price, cast(json_extract_string(props, '$.k') as bigint) as volume from events where value > 0",
     ),
+    "stream_parsed_ticks": (
+        lambda spark, d: _ntz(op.available_now(op.valid(op.parsed(_messages(spark, d), received="2024-01-03 00:00:00")), "append"), "ts"),
+        """with p as (select event_type as asset, case event_id % 7 when 1 then 7.5e0 when 2 then -3 when 3 then 12.25e0 when 5 then event_id + 0.5e0 when 6 then event_id + 0.5e0 end as price,
+          case event_id % 5 when 0 then timestamp '2024-01-01 00:00:00' when 1 then timestamp '2024-01-02 03:04:05' when 2 then timestamp '2024-01-01 00:00:01.5' when 3 then timestamp '2024-01-03 00:00:00' when 4 then case when event_id % 3 <> 0 then timestamp '2024-01-02 02:04:05' end end as ts,
+          case event_id % 6 when 1 then event_id when 2 then 7 end as volume, event_id % 6 = 3 as broken, case when event_id % 4 = 0 then 1.5e0 end as open, case when event_id % 4 = 0 then 2e0 end as high, cast(null as double) as low from events)
+        select asset, ts, price, volume, open, high, low from p where price > 0 and ts is not null and not broken""",
+    ),
     "stored_upsert": (
         _upserted,
         f"""with b as ({BRAND}) select asset, ts, {steady_sql("close * case when ts >= '1996-03-01' and ts < '1996-06-01' then 2 else 1 end")} as close, volume * case when ts >= '1996-05-01' and ts < '1996-07-01' then -1 else 1 end as volume from b

@@ -12,10 +12,22 @@ from tidemark.session import scratch_path
 LATE, EARLY = "5 minutes", "1 minute"
 
 
-def parsed(messages: DataFrame, column: str = "json") -> DataFrame:
-    """asset, ts, price, volume from JSON messages whose keys may be of either case."""
-    get = lambda name: F.coalesce(F.get_json_object(column, f"$.{name}"), F.get_json_object(column, f"$.{name.capitalize()}"))
-    return messages.select(get("ticker").alias("asset"), F.timestamp_seconds(get("timestamp").try_cast("bigint")).alias("ts"), get("close").try_cast("double").alias("price"), get("volume").try_cast("bigint").alias("volume"))
+def parsed(messages: DataFrame, column: str = "json", received: str | None = None) -> DataFrame:
+    """asset, ts, price, volume, open, high, low from JSON messages whose keys may be of either case.
+
+    A close or time of 0 counts as absent. The time is under timestamp or time, in seconds since 1970 or as ISO text (UTC where it names no zone); a message without one is of
+    the moment it's ``received`` (now). A time or volume that can't be read makes a message null in asset, ts and price, so that ``valid`` drops it; other faulty numbers are null.
+    """
+    told = lambda name: [F.get_json_object(column, f"$.{n}") for n in (name, name.capitalize())]
+    get = lambda name: F.coalesce(*(F.when(~t.isin("", "false"), t) for t in told(name)))
+    price = lambda name: F.coalesce(*(F.nullif(t.try_cast("double"), F.lit(0.0)) for t in told(name)))
+    time = F.coalesce(*(F.when(F.coalesce(get(n).try_cast("double") != 0, F.lit(True)), get(n)) for n in ("timestamp", "time")))
+    at = F.coalesce(F.try_to_timestamp(F.when(time.rlike(r"^\d{4}-\d{2}-\d{2}"), time)), F.timestamp_seconds(time.try_cast("double")))
+    now = F.current_timestamp() if received is None else F.lit(received).cast("timestamp")
+    volume = get("volume").try_cast("double")
+    good = (time.isNull() | at.isNotNull()) & (get("volume").isNull() | volume.isNotNull())
+    made = {"asset": get("ticker"), "ts": F.when(time.isNull(), now).otherwise(at), "price": price("close"), "volume": F.coalesce(get("volume").try_cast("bigint"), volume.try_cast("bigint")), **{n: price(n) for n in ("open", "high", "low")}}
+    return messages.select(*((F.when(good, c) if n in ("asset", "ts", "price") else c).alias(n) for n, c in made.items()))
 
 
 def valid(ticks: DataFrame, now: str | None = None) -> DataFrame:
