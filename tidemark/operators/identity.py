@@ -45,13 +45,13 @@ def primary_flags(listings: DataFrame) -> DataFrame:
 
 
 def _false_first(c: Column) -> Column:
-    return F.coalesce(c, F.lit(True)).cast("int").asc()
+    return F.coalesce(c, F.lit(True)).cast("int")
 
 
 def identity_order() -> list[Column]:
     """Stocks before funds, dollars first, imports first, primary first, then by name."""
     kind = F.when(F.col("type") == "stock", 0).when(F.col("type") == "etf", 1).otherwise(2)
-    return [kind.asc(), _false_first(F.col("currency") != "USD"), _false_first(F.col("source") != "import"), _false_first(~F.col("is_primary")), F.col("ticker"), F.col("currency"), F.col("exchange")]
+    return [kind, _false_first(F.col("currency") != "USD"), _false_first(F.col("source") != "import"), _false_first(~F.col("is_primary")), F.col("ticker"), F.col("currency"), F.col("exchange")]
 
 
 def enrichment_order() -> list[Column]:
@@ -95,17 +95,17 @@ def repaired(assets: DataFrame, children: DataFrame, keys: list[str], id_column:
 def resolved(requests: DataFrame, listings: DataFrame) -> DataFrame:
     """``requests`` (request_id, isin, ticker, exchange) with the asset_id found: by ISIN, else ticker and exchange, else ticker; null if none.
 
-    Each way is a join; the best one of a request counts, then identity_order.
+    The first way that finds something counts, then identity_order. Of the listings of a key (an ISIN, say) one goes before all others whatever the request,
+    so a request meets that one only: a row for each request and way, however many listings a key has.
     """
-    l = listings.select("asset_id", "listing_id", F.col("isin").alias("l_isin"), F.col("ticker").alias("l_ticker"), F.col("exchange").alias("l_exchange"), "type", "currency", "source", "is_primary")
-    ways = [
-        requests.join(l, F.col("isin") == F.col("l_isin")).withColumn("way", F.lit(1)),
-        requests.join(l, (F.col("ticker") == F.col("l_ticker")) & (F.col("exchange") == F.col("l_exchange"))).withColumn("way", F.lit(2)),
-        requests.join(l, F.col("ticker") == F.col("l_ticker")).withColumn("way", F.lit(3)),
-    ]
-    found = ways[0].unionByName(ways[1]).unionByName(ways[2]).drop("ticker", "exchange", "isin").withColumnsRenamed({"l_ticker": "ticker", "l_exchange": "exchange"})
-    best = ranked(found, ["request_id"], [F.col("way"), *identity_order(), F.col("listing_id")])
-    return requests.join(best.select("request_id", "asset_id", "way"), "request_id", "left")
+    order = F.struct(*identity_order(), F.col("listing_id"))
+    l = listings.select("isin", "ticker", "exchange", F.struct(order.alias("order"), "asset_id").alias("l"))
+    ways = []
+    for way, keys in enumerate((["isin"], ["ticker", "exchange"], ["ticker"]), 1):
+        first = l.groupBy(*keys).agg(F.min("l").alias("l"))
+        ways.append(requests.select("request_id", *keys).join(first, keys).select("request_id", F.struct(F.lit(way).alias("way"), "l").alias("found")))
+    best = ways[0].union(ways[1]).union(ways[2]).groupBy("request_id").agg(F.min("found").alias("found"))
+    return requests.join(best.select("request_id", "found.l.asset_id", "found.way"), "request_id", "left")
 
 
 def filled(known: DataFrame, new: DataFrame, key: str, columns: list[str]) -> DataFrame:
