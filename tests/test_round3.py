@@ -6,7 +6,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import identity
+from tidemark.operators import identity, search
 
 
 def test_a_request_meets_one_listing_of_a_key(spark):
@@ -20,3 +20,11 @@ def test_a_request_meets_one_listing_of_a_key(spark):
     got = {r.request_id: (r.asset_id, r.way) for r in identity.resolved(requests, listings).collect()}
     assert time.perf_counter() - began < 60  # 4e8 pairs would take longer
     assert len(got) == 20000 and all(got[i] == ((377, 1) if i % 3 == 0 else (None, None) if i % 5 == 0 else (377, 2) if i % 2 == 0 else (377, 3)) for i in range(20000))
+
+
+def test_equal_hits_go_by_their_columns_whatever_their_order(spark):
+    rows = [(1, "q", "Q", "ETF", True, 1.0, "US", f"I{i:03}") for i in range(50)]
+    kind = "request_id int, query string, symbol string, kind string, own boolean, score double, country string, isin string"
+    for order in (search.quote_order, search.symbol_order):
+        got = {search.best(spark.createDataFrame(made, kind).coalesce(1), order()).first().isin for made in (rows, rows[::-1], rows[25:] + rows[:25])}
+        assert got == {"I000"}

@@ -49,8 +49,8 @@ def market_order(markets: list[str] = MARKETS) -> list[Column]:
 
 
 def best(hits: DataFrame, order: list[Column]) -> DataFrame:
-    """The first hit of each request."""
-    return ranked(hits, ["request_id"], order)
+    """The first hit of each request. Those that ``order`` leaves equal go by their columns in turn, so that reruns agree."""
+    return ranked(hits, ["request_id"], [*order, *hits.columns])
 
 
 def search_term(rows: DataFrame) -> DataFrame:
