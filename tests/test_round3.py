@@ -7,6 +7,8 @@ import time
 from pyspark.sql import functions as F
 
 from tidemark.operators import identity, search
+from tidemark.plans import catalog
+from tidemark.sources import adapters
 
 
 def test_a_request_meets_one_listing_of_a_key(spark):
@@ -28,3 +30,11 @@ def test_equal_hits_go_by_their_columns_whatever_their_order(spark):
     for order in (search.quote_order, search.symbol_order):
         got = {search.best(spark.createDataFrame(made, kind).coalesce(1), order()).first().isin for made in (rows, rows[::-1], rows[25:] + rows[:25])}
         assert got == {"I000"}
+
+
+def test_pages_are_read_on_all_cores(spark, sf_dir):
+    found = catalog.queries()
+    for name in ("insider_tables", "connector_fields", "connector_filled", "html_label_values", "html_cards", "index_members", "news_cards", "page_headings"):
+        plan = found[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+        assert "RoundRobinPartitioning(8)" in plan, name  # each table is a file of one partition
+    assert adapters.spread(spark.range(0, 10, 1, 20)).rdd.getNumPartitions() == 20  # what has partitions enough stays

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.sources import cards as op
-from tidemark.sources.adapters import read
+from tidemark.sources.adapters import read, spread
 from tidemark.sources.pages import feed_articles
 
 NOW = "2024-06-01 12:00:00"
@@ -37,7 +37,7 @@ FEED = {"key": "page_id", "json": f"case when page_id % 4 = 0 then {_made(SUBCAR
 
 
 def _rows(columns: dict[str, str]):
-    return lambda spark, d: read(spark, d, "pages").selectExpr(*(f"{what.replace('varchar', 'string')} as {name}" for name, what in columns.items()))
+    return lambda spark, d: spread(read(spark, d, "pages").select("page_id")).selectExpr(*(f"{what.replace('varchar', 'string')} as {name}" for name, what in columns.items()))
 
 
 pages, msn, feed = map(_rows, (PAGE, MSN, FEED))

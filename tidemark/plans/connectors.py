@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.numbers import steady, steady_sql
 from tidemark.sources import connectors as op
-from tidemark.sources.adapters import read
+from tidemark.sources.adapters import read, spread
 
 _K, _D = "cast(c_custkey as varchar)", "cast(c_custkey % 10 as varchar)"
 PROVIDERS = ["zonebourse", "barrons", "wallstreetjournal", "marketwatch", "morningstar", "investing", "boursedirect", "investir", "boursorama", "fortuneo"]
@@ -37,11 +37,15 @@ HIT = f"select c_custkey as key, case c_custkey % 10 {' '.join(f'''when {i} then
 _TRADE = "<table class=\"cr_mod_insider z\"><tbody><tr><td>3 months<td><span class=data_data>6 Purchases</span><td> <k> Purchased<tr><td>short</table><table class='cr_mod_transactions'><thead><tr><td>a<td>b<td>c<td>d<td>e</thead><tbody><tr><td>01/0<d>/24</td><td>O &lt;<k>&gt;<td>1,<d>00<td><td>$<k></tbody></table>"
 
 
-def _rows(sql: str):
-    return lambda spark, d: spark.sql(sql.replace("\\", "\\\\").replace("varchar", "string").replace("from customer", "from {customer}"), customer=read(spark, d, "customer"))
+def _rows(sql: str, given=read):
+    return lambda spark, d: spark.sql(sql.replace("\\", "\\\\").replace("varchar", "string").replace("from customer", "from {customer}"), customer=given(spark, d, "customer"))
 
 
-pages, hits, trades = _rows(PAGE), _rows(HIT), _rows(f"select c_custkey as key, case when c_custkey % 7 <> 0 then {_made(_TRADE)} end as html from customer")
+def _spread(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spread(read(spark, d, name))
+
+
+pages, hits, trades = _rows(PAGE, _spread), _rows(HIT), _rows(f"select c_custkey as key, case when c_custkey % 7 <> 0 then {_made(_TRADE)} end as html from customer", _spread)
 
 
 def _fields(spark: SparkSession, d: str) -> DataFrame:
@@ -75,7 +79,7 @@ QUERIES = {
         f"select c_custkey as key, cast(c_custkey % 7 <> 0 as bigint) as n, case when c_custkey % 7 <> 0 then {_K} || ' Purchased' end as bought, case when c_custkey % 7 <> 0 then 'O <' || {_K} || '>' end as owner, case when c_custkey % 7 <> 0 then '1,' || {_D} || '00' end as shares, cast(c_custkey % 7 <> 0 as bigint) as m from customer",
     ),
     "page_headings": (
-        lambda spark, d: op.provider_fields(read(spark, d, "pages").select(F.col("page_id").alias("key"), F.lit("msn").alias("provider"), "html")).select("key", "status", "name"),
+        lambda spark, d: op.provider_fields(spread(read(spark, d, "pages")).select(F.col("page_id").alias("key"), F.lit("msn").alias("provider"), "html")).select("key", "status", "name"),
         "with h as (select page_id as key, nullif(trim(replace(replace(replace(regexp_extract(html, '(?s)<h1[^>]*>([^<]*)', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')), '') as name from pages) select key, case when name is null then 'no_data' else 'ok' end as status, name from h",
     ),
 }

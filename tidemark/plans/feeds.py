@@ -15,7 +15,7 @@ from tidemark.sources.adapters import ticks as ticks_of
 from tidemark.streaming import ticks
 
 from .bars import BRAND
-from .identity import LISTING, _rows, listings
+from .identity import LISTING, _pages, _rows, listings
 
 _OPEN, _SHUT = "' || chr(123) || '", "' || chr(125) || '"
 
@@ -49,7 +49,8 @@ from customer
 """
 PROFILE = "select c_custkey as asset_id, case when c_custkey % 2 = 0 then c_mktsegment when c_custkey % 3 = 0 then '' end as sector, case when c_custkey % 5 = 0 then c_name end as name from customer"
 ALERTS = "select c_custkey as alert_id, case when c_custkey % 4 = 0 then timestamp '2024-01-05 00:00:00' end as resolved_at from customer"
-texts, page, form, profile, alerts = map(_rows, (TEXTS, PAGE, FORM, PROFILE, ALERTS))
+texts, profile, alerts = map(_rows, (TEXTS, PROFILE, ALERTS))
+page, form = map(_pages, (PAGE, FORM))
 
 
 def _written_bars(spark: SparkSession, d: str) -> DataFrame:

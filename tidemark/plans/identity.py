@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.web import SUFFIX, exchange_symbol, market_code, stream_symbol
 from tidemark.operators import identity as op
-from tidemark.sources.adapters import read
+from tidemark.sources.adapters import read, spread
 
 IMPORT = """
 select c_custkey as ordinal, case when c_custkey % 23 = 0 then '  ' else ' ' || c_name end as name, case when c_custkey % 19 = 0 then repeat('X', 21) else 't' || cast(c_custkey % 90 as varchar) end as ticker,
@@ -28,8 +28,13 @@ select c_custkey as id, 'T' || cast(c_custkey % 50 as varchar) || case c_custkey
 """
 
 
-def _rows(sql: str):
-    return lambda spark, d: spark.sql(sql.replace("varchar", "string").replace("from customer", "from {customer}"), customer=read(spark, d, "customer"))
+def _rows(sql: str, given=read):
+    return lambda spark, d: spark.sql(sql.replace("varchar", "string").replace("from customer", "from {customer}"), customer=given(spark, d, "customer"))
+
+
+def _pages(sql: str):
+    """Rows that Python reads one by one, on all cores."""
+    return _rows(sql, lambda spark, d, name: spread(read(spark, d, name)))
 
 
 imports, listings, symbols = _rows(IMPORT), _rows(LISTING), _rows(SYMBOL)

@@ -10,7 +10,7 @@ from tidemark.sources import pages
 from tidemark.sources.adapters import brand_bars, read
 
 from .bars import BRAND
-from .identity import _rows
+from .identity import _pages, _rows
 
 HITS = """
 select c_nationkey as request_id, 'q' || cast(c_nationkey as varchar) as query, case when c_custkey % 9 = 0 then 'Q' || cast(c_nationkey as varchar) else 'X:S' || cast(c_custkey as varchar) end as symbol,
@@ -29,7 +29,7 @@ select c_custkey as key, case c_custkey % 4 when 0 then 'zonebourse' when 1 then
   '<table><tr><th>' || case c_custkey % 4 when 0 then 'Chiffre d''affaires' else 'Revenue' end || '</th><td>' || case c_custkey % 4 when 0 then cast(c_custkey as varchar) || ' 000,5 €' else cast(c_custkey as varchar) || '.5M' end || '</td></tr><tr><td>P/E Ratio</td><td>'
   || cast(c_custkey % 40 as varchar) || '.25</td></tr><tr><td>P/E</td><td>99</td></tr></table><dl><dt>Dividend Yield:</dt><dd>' || case when c_custkey % 3 = 0 then '-' else '2.5' end || '</dd></dl>' as html from customer
 """
-hits, terms, provider_pages = _rows(HITS), _rows(TERMS), _rows(PAGES)
+hits, terms, provider_pages = _rows(HITS), _rows(TERMS), _pages(PAGES)
 _NOT = "coalesce({}, true)"
 
 
