@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import random
 import time
+from difflib import SequenceMatcher
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import identity, search
+from tidemark.operators import identity, news, search
 from tidemark.plans import catalog
 from tidemark.sources import adapters
 
@@ -38,3 +40,33 @@ def test_pages_are_read_on_all_cores(spark, sf_dir):
         plan = found[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
         assert "RoundRobinPartitioning(8)" in plan, name  # each table is a file of one partition
     assert adapters.spread(spark.range(0, 10, 1, 20)).rdd.getNumPartitions() == 20  # what has partitions enough stays
+
+
+def test_titles_of_one_language_are_told_apart_in_time():
+    rng = random.Random(3)
+    parts = "th nd in re ou er an ea sh st on es ha at hei tion ble ing ".split()
+    made = [" ".join("".join(rng.choices(parts, k=rng.randint(1, 4))) for _ in range(rng.randint(5, 60))) for _ in range(1200)]
+    made += [made[i] if i % 3 else made[i].replace("th", "t", 4) for i in range(600)]  # copies and near copies
+    slots, began = news.TitleSlots(), time.perf_counter()
+    for i, title in enumerate(made):
+        slots.add(title, None, i)
+    assert time.perf_counter() - began < 12 and slots.rows[:1200] == list(range(1200))
+    for i in range(1200, len(slots.rows)):  # those that took a place are like none before
+        assert all(SequenceMatcher(None, made[slots.rows[i]], made[j]).ratio() < news.SIMILAR for j in (slots.rows[i] - 1200, 0, 1))
+
+
+def test_a_title_that_came_before_meets_places_that_changed_since():
+    a, b, c = "apple beats estimates in the quarter", "apple beats estimates in the quarters", "apple beats the estimates in quarters"
+    rng, ratio = random.Random(5), lambda x, y: SequenceMatcher(None, x, y, autojunk=True).ratio()
+    for _ in range(300):
+        slots, want, kept = news.TitleSlots(), [], []
+        for i in range(25):
+            title, at = rng.choice([a, b, c, a[5:], b[:-7], c + a[:9], ""]), rng.choice([None, rng.randrange(30)])
+            slots.add(title, at, i)
+            place = next((k for k, (t, _, _) in enumerate(kept) if ratio(title, t) >= news.SIMILAR), None)
+            if place is None:
+                kept.append((title, at, i))
+            elif at is not None and (kept[place][1] is None or at > kept[place][1]):
+                kept[place] = (title, at, i)
+        want = [r for _, _, r in kept]
+        assert slots.rows == want

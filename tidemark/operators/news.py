@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from difflib import SequenceMatcher
@@ -16,6 +17,7 @@ from tidemark.functions.web import canonical_url
 from .bars import ranked
 
 SIMILAR = 0.85
+_BLOCK = 32
 _MARKS = re.compile(r"[^\w\s]")
 
 
@@ -26,20 +28,58 @@ def exact_dedup(articles: DataFrame, ordinal: str = "ordinal", group: list[str]
     return once.unionByName(keyed.where("url_key is null")).drop("url_key")
 
 
+def _masks(a: str) -> dict[str, int]:
+    """The places of each character, as bits."""
+    places: dict[str, list[int]] = {}
+    for i, c in enumerate(a):
+        places.setdefault(c, []).append(i)
+    out = {}
+    for c, at in places.items():
+        bits = bytearray(len(a) // 8 + 1)
+        for i in at:
+            bits[i >> 3] |= 1 << (i & 7)
+        out[c] = int.from_bytes(bits, "little")
+    return out
+
+
+def _in_common(masks: dict[str, int], size: int, b: str, need: int) -> bool:
+    """Whether ``b`` and a text of ``size`` characters, given by its ``masks``, have a common subsequence of ``need`` characters.
+
+    Its length grows by one with each bit that is cleared, a row of the table at once. Characters that are in it stand no further apart than others can be left
+    out, so only places near the diagonal count; the end is seen when too many characters of ``b`` have found none.
+    """
+    left, spare = len(b) - need, size - need
+    whole = free = (1 << size) - 1
+    for i in range(0, len(b), _BLOCK):
+        near = (whole >> max(0, i - left) << max(0, i - left)) & ((1 << max(0, i + _BLOCK + spare)) - 1)
+        for c in b[i : i + _BLOCK]:
+            met = free & masks.get(c, 0) & near
+            free = (free + met) | (free - met)
+        free &= whole
+        if min(i + _BLOCK, len(b)) - size + free.bit_count() > left:
+            return False
+    return True
+
+
 class TitleSlots:
-    """The articles that stay, in the order in which their places were taken; only these are held.
+    """The articles that stay, in the order in which their places were taken; only these are held, and the different titles.
 
     Two titles are alike from a ratio of ``SIMILAR`` on. The ratio is at most twice the characters that both have over all of theirs, which is
-    computed for all places at once over counts of characters in 64 classes (a class of several characters only raises it); just those that can be alike are compared.
+    computed for all places of a fitting length at once over counts of characters in 64 classes (a class of several characters only raises it). What the ratio counts
+    is a common subsequence, so just those with one that is long enough are compared in full. Equal titles have a ratio of 1, and a title that came before
+    is held only against places that have changed since.
     """
 
     def __init__(self) -> None:
-        self.n, self.counts, self.sizes = 0, np.zeros((16, 64), np.int32), np.zeros(16, np.int32)
+        self.n, self.step, self.counts, self.sizes, self.changed = 0, 0, np.zeros((16, 64), np.int32), np.zeros(16, np.int32), np.zeros(16, np.int64)
         self.titles: list[str] = []
         self.times: list = []
         self.rows: list = []
+        self.known: dict[str, tuple[int, int]] = {}  # title: the step at which it came last, and the place that it went to
 
     def _put(self, slot: int, title: str, counts: np.ndarray, time, row) -> None:
+        if slot == len(self.rows) or self.titles[slot] != title:
+            self.changed[slot] = self.step
         self.counts[slot], self.sizes[slot] = counts, len(title)
         if slot == len(self.rows):
             self.titles.append(title)
@@ -48,20 +88,39 @@ class TitleSlots:
         else:
             self.titles[slot], self.times[slot], self.rows[slot] = title, time, row
 
+    def _alike(self, plain: str, counts: np.ndarray) -> int | None:
+        """The first place with a title like ``plain``."""
+        size, sizes = len(plain), self.sizes[: self.n]
+        last, place = self.known.get(plain, (-1, -1))
+        fits = 2.0 * np.minimum(sizes, size) >= (SIMILAR - 1e-9) * (sizes + size)
+        if place >= 0:
+            fits[:place] &= self.changed[:place] > last
+        near = np.flatnonzero(fits)
+        near = near[2.0 * np.minimum(self.counts[near], counts).sum(axis=1) >= (SIMILAR - 1e-9) * (sizes[near] + size)]
+        masks = None
+        for slot in near.tolist():
+            title = self.titles[slot]
+            if title == plain or slot == place and self.changed[slot] <= last:
+                return slot
+            masks = _masks(plain) if masks is None else masks
+            if _in_common(masks, size, title, math.ceil((SIMILAR - 1e-9) * (size + len(title)) / 2)) and SequenceMatcher(None, plain, title, autojunk=True).ratio() >= SIMILAR:
+                return slot
+        return None
+
     def add(self, title: str | None, time, row) -> None:
         """One like an earlier one takes its place if it's newer, else it goes."""
         plain = _MARKS.sub("", (title or "").lower())
         counts = np.bincount(np.frombuffer(plain.encode("utf-32-le", "surrogatepass"), np.uint32) & 63, minlength=64)
-        total = self.sizes[: self.n] + len(plain)
-        both = np.minimum(self.counts[: self.n], counts).sum(axis=1)
-        for slot in np.flatnonzero(2.0 * both >= (SIMILAR - 1e-9) * total):
-            if SequenceMatcher(None, plain, self.titles[slot], autojunk=True).ratio() >= SIMILAR:
-                known = self.times[slot]
-                if time is not None and (known is None or time > known):
-                    self._put(slot, plain, counts, time, row)
-                return
+        self.step += 1
+        slot = self._alike(plain, counts)
+        self.known[plain] = (self.step - 1, self.n if slot is None else slot)
+        if slot is not None:
+            known = self.times[slot]
+            if time is not None and (known is None or time > known):
+                self._put(slot, plain, counts, time, row)
+            return
         if self.n == len(self.sizes):
-            self.counts, self.sizes = np.concatenate([self.counts, np.zeros_like(self.counts)]), np.concatenate([self.sizes, np.zeros_like(self.sizes)])
+            self.counts, self.sizes, self.changed = (np.concatenate([x, np.zeros_like(x)]) for x in (self.counts, self.sizes, self.changed))
         self._put(self.n, plain, counts, time, row)
         self.n += 1
 
@@ -69,8 +128,8 @@ class TitleSlots:
 def title_dedup(articles: DataFrame, group: list[str], ordinal: str = "ordinal") -> DataFrame:
     """``articles`` without near-equal titles within a ``group``, which is one request: the articles of all providers that answer it.
 
-    Which one stays depends on the order, so a request's articles pass through a task as a sorted stream; what is held are those that stay. Groups may have any size;
-    their time grows with their articles times those that stay, at some microseconds for a thousand of them.
+    Which one stays depends on the order, so a request's articles pass through a task as a sorted stream; what is held are those that stay and the different titles. Groups may have any size;
+    their time grows with their different titles times those that stay. Few groups are dealt over more tasks than there are cores, so that a task has one or none.
     """
     names = articles.columns
 
@@ -88,7 +147,9 @@ def title_dedup(articles: DataFrame, group: list[str], ordinal: str = "ordinal")
             yield pd.DataFrame(done, columns=names)
         yield pd.DataFrame(slots.rows, columns=names)
 
-    return articles.repartition(*group).sortWithinPartitions(*group, ordinal).mapInPandas(run, articles.schema)
+    spark = articles.sparkSession
+    tasks = max(8 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return articles.repartition(tasks, *group).sortWithinPartitions(*group, ordinal).mapInPandas(run, articles.schema)
 
 
 def feed(articles: DataFrame, language: str | None = None, tickers: list[str] | None = None, n: int = 50) -> DataFrame:
