@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import random
 import time
+import weakref
 from difflib import SequenceMatcher
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from tidemark.operators import identity, news, search
 from tidemark.plans import catalog
 from tidemark.sources import adapters
+from tidemark.streaming import stateful
 
 
 def test_a_request_meets_one_listing_of_a_key(spark):
@@ -70,3 +73,45 @@ def test_a_title_that_came_before_meets_places_that_changed_since():
                 kept[place] = (title, at, i)
         want = [r for _, _, r in kept]
         assert slots.rows == want
+
+
+class _List:
+    def __init__(self) -> None:
+        self.rows: list = []
+
+    def get(self):
+        return iter(self.rows)
+
+    def put(self, rows) -> None:
+        self.rows = list(rows)
+
+    def appendList(self, rows) -> None:
+        self.rows += rows
+
+
+class _Handle:
+    def __init__(self) -> None:
+        self.lists: dict[str, _List] = {}
+
+    def getListState(self, name: str, schema: str) -> _List:
+        return self.lists.setdefault(name, _List())
+
+    def registerTimer(self, at: int) -> None:
+        self.at = at
+
+
+def test_a_batch_is_read_frame_by_frame():
+    for processor, active in ((stateful._LastValues(60_000_000), None), (stateful._Subscribed(), None)):
+        handle, alive, most = _Handle(), [], []
+        processor.init(handle)
+
+        def frames():
+            for i in range(9):
+                f = pd.DataFrame({"event_id": [i], "ts": pd.to_datetime([1_700_000_000 + 30 * (9 - i)], unit="s"), "price": [float(i)], "active": pd.Series([active], dtype=object)})
+                alive.append(weakref.ref(f))
+                most.append(sum(r() is not None for r in alive))
+                yield f
+                del f
+
+        assert all(len(x) == 0 for x in processor.handleInputRows(("a",), frames(), None))
+        assert max(most) <= 2 and len(handle.lists.get("runs", handle.lists.get("waiting")).rows) in (1, 9)  # one run, or nine ticks
