@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from tidemark.operators import identity, news, search
-from tidemark.plans import catalog
+from tidemark.plans import catalog, feeds
 from tidemark.sources import adapters
 from tidemark.streaming import stateful
 
@@ -45,6 +45,17 @@ def test_pages_are_read_on_all_cores(spark, sf_dir):
     assert adapters.spread(spark.range(0, 10, 1, 20)).rdd.getNumPartitions() == 20  # what has partitions enough stays
 
 
+def test_a_company_document_is_read_once_and_made_where_its_asset_is(spark, sf_dir):
+    plan = catalog.queries()["company_sections"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "get_json_object" not in plan and plan.count("SortMergeJoin") >= 10  # one task made all documents of a small table, and read each once for each path
+    texts = ['{"a": {"b": "x \\"y\\"", "n": 1.25E7, "0": {"c": null}}, "b": -3, "l": {"10": 1, "1": "z"}}', '{"a": null}', "{}", None]
+    paths = ["a.b", "a.n", "a.0.c", "b", "l.1", "none.x"]
+    found, get = feeds._read_once(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "asset_id int, document string"), paths)
+    told = lambda p: F.get_json_object("document", "$" + "".join(f"['{x}']" for x in p.split(".")))
+    for row in found.select(F.array(*map(get, paths)).alias("once"), F.array(*map(told, paths)).alias("each")).collect():
+        assert row.once == row.each
+
+
 def test_titles_of_one_language_are_told_apart_in_time():
     rng = random.Random(3)
     parts = "th nd in re ou er an ea sh st on es ha at hei tion ble ing ".split()

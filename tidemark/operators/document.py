@@ -1,7 +1,8 @@
 """The nested document of a company: sections of figures, each with its fallback, and numbered or dated lists, as one JSON text for each asset.
 
 Lists are aggregated by asset before they are joined, so a document is a row and a company's lists are all that meets in it; their lengths are
-bounded by what a company has (statements, ratings, holders). What an input lacks is null in the document.
+bounded by what a company has (statements, ratings, holders). The joins go by sorted partitions of the assets, however small an input seems: a document costs far more than its
+rows' bytes tell, so it is made where its asset was dealt to. What an input lacks is null in the document.
 """
 
 from __future__ import annotations
@@ -84,7 +85,7 @@ def document(
     h = highlights.select("asset_id", F.struct(*(c for c in highlights.columns if c != "asset_id")).alias("_h"))
     j = infos.select("asset_id", F.from_json("json", "map<string,string>").alias("_j"))
     p = profiles.select("asset_id", F.struct(*(c for c in profiles.columns if c != "asset_id")).alias("_p"))
-    df = p.join(h, "asset_id", "left").join(j, "asset_id", "left")
+    df = p.join(h.hint("merge"), "asset_id", "left").join(j.hint("merge"), "asset_id", "left")
 
     def number(column: str | None, key: str | None) -> Column:
         own = F.col(f"_h.{column}").cast("double") if column in highlights.columns else F.lit(None).cast("double")
@@ -112,13 +113,13 @@ def document(
             return
         entry = F.struct(*((F.col(c) if c in rows.columns else F.lit(None).cast("string")).alias(key) for key, c in fields.items()))
         by = [F.struct(F.col(o).isNull().alias("none"), (-F.col(o) if descending and i == 0 else F.col(o)).alias("x")) for i, o in enumerate(order)]
-        df = df.join(numbered(rows, f"_{name}", by, entry, most), "asset_id", "left")
+        df = df.join(numbered(rows, f"_{name}", by, entry, most).hint("merge"), "asset_id", "left")
         sections[name] = F.coalesce(F.col(f"_{name}"), F.create_map().cast(df.schema[f"_{name}"].dataType))
 
     def single(rows: DataFrame | None, name: str, fields: dict[str, str], extra: dict[str, Column]) -> None:
         nonlocal df
         if rows is not None:
-            df = df.join(rows.groupBy("asset_id").agg(F.min(F.struct(*(F.col(c).alias(c) for c in fields.values()))).alias(f"_{name}")), "asset_id", "left")
+            df = df.join(rows.groupBy("asset_id").agg(F.min(F.struct(*(F.col(c).alias(c) for c in fields.values()))).alias(f"_{name}")).hint("merge"), "asset_id", "left")
         own = {key: (F.col(f"_{name}.{c}") if rows is not None else F.lit(None).cast("string")) for key, c in fields.items()}
         sections[name] = F.struct(*((F.coalesce(c, extra[key].cast(dict(rows.dtypes)[fields[key]]) if rows is not None else extra[key]) if key in extra else c).alias(key) for key, c in own.items()))
 
@@ -138,7 +139,7 @@ def document(
     told = {"date": "date", "ownerName": "owner", "shares": "shares", "transactionCode": "code", "transactionAmount": "amount", "transactionPrice": "price", "description": "description"}
     listed(trades, "InsiderTransactions", ["date", "owner"], told)
     if statements is not None:
-        df = df.join(financials(statements), "asset_id", "left")
+        df = df.join(financials(statements).hint("merge"), "asset_id", "left")
         sections["Financials"] = F.col("Financials")
     if providers is not None:
         failed = F.coalesce(F.col("error") != "", F.lit(False))
@@ -146,7 +147,7 @@ def document(
         status = F.when(failed, "error").when(none, "no_data").otherwise("ok")
         fields = {"status": status, "error": F.when(failed, F.col("error")), **{c: F.when(~failed & ~none, F.col(c).cast("string")) for c in ("ticker", "isin", "name", "provider_url", "country") if c in providers.columns}}
         entry = F.map_filter(F.create_map(*(x for k, c in fields.items() for x in (F.lit(k), c))), lambda _, v: v.isNotNull())
-        df = df.join(providers.groupBy("asset_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col("provider").alias("key"), F.to_json(entry).alias("value"))))).alias("_p_texts")), "asset_id", "left")
+        df = df.join(providers.groupBy("asset_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col("provider").alias("key"), F.to_json(entry).alias("value"))))).alias("_p_texts")).hint("merge"), "asset_id", "left")
         df = df.withColumn("_providers", F.transform_values(F.coalesce("_p_texts", F.create_map().cast("map<string,string>")), lambda _, v: F.from_json(v, "map<string,string>")))
         sections["Providers"] = F.col("_providers")
     listed(holdings, "Top_10_Holdings", ["weight", "name"], {"Symbol": "ticker", "Name": "name", "Sector": "sector", "Country": "country", "Assets_%": "weight"}, 10, descending=True)

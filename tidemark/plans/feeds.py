@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from tidemark.functions import dates, names, numbers, web
 from tidemark.functions.numbers import steady, steady_sql
@@ -145,6 +148,24 @@ _NUMBERS = {
 }
 
 
+def _read_once(documents: DataFrame, paths: list[str]) -> tuple[DataFrame, Callable[[str], Column]]:
+    """``documents`` with their values at ``paths``, and what gives a path's text: a document is read once, whatever the number of paths."""
+    parts: dict = {}
+    for path in paths:
+        at = parts
+        for x in path.split("."):
+            at = at.setdefault(x, {})
+    kind = lambda of: StructType([StructField(x, kind(below) if below else StringType()) for x, below in of.items()])
+
+    def get(path: str) -> Column:
+        c = F.col("j")
+        for x in path.split("."):
+            c = c.getField(x)
+        return c
+
+    return documents.select("asset_id", "document", F.from_json("document", kind(parts)).alias("j")), get
+
+
 def _sections(spark: SparkSession, d: str) -> DataFrame:
     """path, text and number of the figures of _TEXTS and _NUMBERS in each company's document."""
     c = profiles_of(spark, d)
@@ -163,17 +184,16 @@ def _sections(spark: SparkSession, d: str) -> DataFrame:
         trend=yearly.select("asset_id", F.col("y").alias("period"), F.col("n").alias("eps_avg"), F.lit(1).alias("revenue_avg")), holders=holder, insiders=owned.where("asset_id % 2 = 0"), insiders_elsewhere=other, providers=asked,
         holdings=o.select("asset_id", F.col("o_orderkey").cast("string").alias("ticker"), F.col("o_orderkey").cast("string").alias("name"), F.lit("s").alias("sector"), F.lit("c").alias("country"), F.col("o_orderkey").cast("double").alias("weight")),
     )
-    get = lambda path: F.get_json_object("document", "$" + "".join(f"['{x}']" for x in path.split(".")))
+    found, get = _read_once(made, [*_TEXTS, *_NUMBERS])
     entries = [F.struct(F.lit(x).alias("path"), get(x).alias("text"), F.lit(None).cast("double").alias("number")) for x in _TEXTS] + [F.struct(F.lit(x).alias("path"), F.lit(None).cast("string").alias("text"), steady(get(x).cast("double")).alias("number")) for x in _NUMBERS]
-    return made.select("asset_id", F.explode(F.array(*entries)).alias("e")).select("asset_id", "e.*")
+    return found.select("asset_id", F.explode(F.array(*entries)).alias("e")).select("asset_id", "e.*")
 
 
 def _document_fields(spark: SparkSession, d: str) -> DataFrame:
-    get = lambda path: F.get_json_object("document", f"$.{path}")
-    doc = _documents(spark, d)
-    sizes = {n: F.size(F.from_json(get(path), "map<string,string>")) for n, path in (("n_insiders", "InsiderTransactions"), ("n_income", "Financials.Income_Statement.yearly"), ("n_providers", "Providers"), ("n_holdings", "ETF_Data.Top_10_Holdings"))}
+    sizes = {n: F.size(F.from_json(F.get_json_object("document", f"$.{path}"), "map<string,string>")) for n, path in (("n_insiders", "InsiderTransactions"), ("n_income", "Financials.Income_Statement.yearly"), ("n_providers", "Providers"), ("n_holdings", "ETF_Data.Top_10_Holdings"))}
     texts = {"code": "General.Code", "sector": "General.Sector", "kind": "General.Type", "logo": "General.LogoURL", "rating": "AnalystRatings.Rating", "first_insider": "InsiderTransactions.0.ownerName", "top": "ETF_Data.Top_10_Holdings.0.Symbol", "failed": "Providers.p1.error"}
     figures = {"pe": "Valuation.TrailingPE", "mln": "Highlights.MarketCapitalizationMln", "beta": "Technicals.Beta", "target": "AnalystRatings.TargetPrice"}
+    doc, get = _read_once(_documents(spark, d), [*texts.values(), *figures.values()])
     return doc.select("asset_id", *(get(p).alias(n) for n, p in texts.items()), *(steady(get(p).cast("double")).alias(n) for n, p in figures.items()), *(F.coalesce(F.when(c >= 0, c), F.lit(0)).cast("bigint").alias(n) for n, c in sizes.items()))
 
 
