@@ -10,6 +10,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import functions as F
 
+from tidemark.llm import similar
 from tidemark.operators import identity, news, search
 from tidemark.plans import catalog, feeds
 from tidemark.sources import adapters
@@ -126,3 +127,14 @@ def test_a_batch_is_read_frame_by_frame():
 
         assert all(len(x) == 0 for x in processor.handleInputRows(("a",), frames(), None))
         assert max(most) <= 2 and len(handle.lists.get("runs", handle.lists.get("waiting")).rows) in (1, 9)  # one run, or nine ticks
+
+
+def test_links_that_fingerprints_propose_count_without_a_shared_band(spark):
+    words = [f"w{i}" for i in range(400)]
+    texts = {5: words, 3: [*words[:-1], "x"], 9: [*words[:-2], "y", "z"], 4: words[::-1]}  # near copies, and another text
+    documents = spark.createDataFrame([(k, " ".join(t)) for k, t in texts.items()], "doc_id long, text string")
+    rows = similar.materialise(similar.map_texts(documents, similar._signatures, "key long, n int, fp long, bands array<long>", ["doc_id"]))
+    bandless = rows.withColumn("bands", F.array().cast("array<long>"))
+    got = {r.doc_id: r.component_id for r in similar.components_of(documents, bandless).collect()}
+    assert got == {5: 3, 3: 3, 9: 3, 4: 4}
+    assert {r.doc_id: r.component_id for r in similar.similar_components(documents).collect()} == got

@@ -3,7 +3,7 @@ r"""Near-duplicates by the similarity (Jaccard) of whole texts' sets of five-wor
 Texts of equal words collapse into one key first. The SimHash operator then proposes links: fingerprints of the same shingles at most four bits apart, by
 multi-index hashing, each text held against the first of its component. Its radius reaches few pairs of similarity 0.8, so bands complete it. Minima of ``BANDS * ROWS`` hashes over a text's shingles are cut into bands, and texts that
 share a band are candidates: a pair of similarity s shares none with probability (1 - s**ROWS) ** BANDS, which is 1.3e-7 at 0.8 and 7e-11 at 0.85.
-Every candidate link is verified on the sets themselves, so no pair below 4/5 is linked. Only texts that share a band get their sets written.
+Every candidate link is verified on the sets themselves, so no pair below 4/5 is linked. Only texts that share a band, or that fingerprints propose, get their sets written; a proposal counts whether its texts share a band or not.
 
 A band of many near copies would meet in full, so its texts are first held against one of them, a few times with another one, and linked texts
 take a common root; the first one is that which meets most texts, as the middle of a group does. The texts of bands that still hold different roots are then
@@ -139,11 +139,12 @@ def fingerprint_pairs(texts: DataFrame) -> DataFrame:
 
 
 def roots(entries: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """key, root for each key of ``entries`` (key, n, band, size: keys of the band), whose bands have two keys at least.
+    """key, root for each key of ``entries`` (key, n, band, size: keys of the band), whose bands have two keys at least, and of ``pairs`` (a, ra, b, rb).
 
-    ``sets`` has the shingles of each; ``pairs`` (a, ra, b, rb) are held against each other first.
+    ``sets`` has the shingles of each; ``pairs`` are held against each other first, whether they share a band or not.
     """
-    known = entries.groupBy("key").agg(F.sum("size").alias("meets")).select("key", F.col("key").alias("root"), "meets")
+    met = entries.select("key", "size").unionByName(_keys_of(pairs).withColumn("size", F.lit(0).cast("long")))
+    known = met.groupBy("key").agg(F.sum("size").alias("meets")).select("key", F.col("key").alias("root"), "meets")
     known = materialise(_rerooted(known, materialise(verified(pairs, sets).select("ra", "rb"))))
     live = entries
     for i in range(ROUNDS + 1):
@@ -161,17 +162,26 @@ def roots(entries: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
     return known.select("key", "root")
 
 
+def _keys_of(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("key"))
+
+
 def similar_components(documents: DataFrame) -> DataFrame:
     """doc_id, component_id for each row of ``documents`` (doc_id, text): the smallest doc_id it reaches by links of similarity 4/5 or more."""
-    rows = materialise(map_texts(documents, _signatures, "key long, n int, fp long, bands array<long>", ["doc_id"]))
+    return components_of(documents, materialise(map_texts(documents, _signatures, "key long, n int, fp long, bands array<long>", ["doc_id"])))
+
+
+def components_of(documents: DataFrame, rows: DataFrame) -> DataFrame:
+    """``similar_components`` by ``rows`` (doc_id, key, n, fp, bands), the signatures of ``documents``."""
     firsts = materialise(rows.groupBy("key", "n", "fp").agg(F.min("doc_id").alias("first"), F.first("bands").alias("bands")))
     entries = firsts.select("key", "n", F.explode("bands").alias("band"))
     shared = materialise(entries.join(entries.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "band"))
-    wanted = materialise(shared.select("key").distinct())
+    proposed = materialise(fingerprint_pairs(firsts))
+    wanted = materialise(shared.select("key").union(_keys_of(proposed)).distinct())
     maybe, _ = sieved(map_texts(documents, _keys, "key long", ["text"]), "key", wanted)  # most texts needn't be shuffled
     texts = maybe.groupBy("key").agg(F.first("text").alias("text")).join(wanted, "key", "left_semi")  # copies meet before the shuffle
     sets = materialise(map_texts(texts, _sets, "hashes array<long>", ["key"]))
-    named = firsts.select("key", "first").join(roots(shared, sets, fingerprint_pairs(firsts)), "key", "left").select("key", "first", F.coalesce("root", "key").alias("root"))
+    named = firsts.select("key", "first").join(roots(shared, sets, proposed), "key", "left").select("key", "first", F.coalesce("root", "key").alias("root"))
     named = materialise(named)
     least = materialise(named.groupBy("root").agg(F.min("first").alias("component_id")))  # written, so that the join can split a root with most of the keys
     return rows.select("doc_id", "key").join(named.join(least, "root").select("key", "component_id"), "key").select("doc_id", "component_id")
