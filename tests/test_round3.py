@@ -46,6 +46,23 @@ def test_pages_are_read_on_all_cores(spark, sf_dir):
     assert adapters.spread(spark.range(0, 10, 1, 20)).rdd.getNumPartitions() == 20  # what has partitions enough stays
 
 
+def test_rows_of_one_row_group_are_dealt_though_its_file_has_many_cuts(spark, tmp_path):
+    path = str(tmp_path / "x.parquet")
+    spark.range(20000).coalesce(1).write.parquet(path)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    for k in before:
+        spark.conf.set(k, "4096")
+    try:
+        scan = spark.read.parquet(path)
+        sizes = [n for n in scan.rdd.mapPartitions(lambda x: [sum(1 for _ in x)]).collect() if n]
+        assert scan.rdd.getNumPartitions() > 8 and sizes == [20000]  # many cuts, of which one has all rows
+        dealt = [n for n in adapters.spread(scan).rdd.mapPartitions(lambda x: [sum(1 for _ in x)]).collect() if n]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sum(dealt) == 20000 and len(dealt) >= 8 and max(dealt) < 5000
+
+
 def test_a_company_document_is_read_once_and_made_where_its_asset_is(spark, sf_dir):
     plan = catalog.queries()["company_sections"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "get_json_object" not in plan and plan.count("SortMergeJoin") >= 10  # one task made all documents of a small table, and read each once for each path
