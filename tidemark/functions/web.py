@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import markup
 from .names import without_accents
 from .numbers import col
 
@@ -144,8 +145,7 @@ class _Page(HTMLParser):
 
 def _read(page: str | None) -> _Page:
     p = _Page()
-    p.feed(page or "")
-    p.close()
+    markup.read(p, page or "")
     return p
 
 
