@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import similar
 from tidemark.operators import identity, news, search
 from tidemark.plans import catalog, feeds
-from tidemark.sources import adapters
+from tidemark.sources import adapters, pages
 from tidemark.streaming import stateful
 
 
@@ -155,3 +155,16 @@ def test_links_that_fingerprints_propose_count_without_a_shared_band(spark):
     got = {r.doc_id: r.component_id for r in similar.components_of(documents, bandless).collect()}
     assert got == {5: 3, 3: 3, 9: 3, 4: 4}
     assert {r.doc_id: r.component_id for r in similar.similar_components(documents).collect()} == got
+
+
+def test_page_figures_are_told_row_by_row(spark, sf_dir):
+    eps = "<table><tr><td>EPS</td><td>{}</td></tr></table>"
+    rows = [
+        (1, "barrons", eps.format(1.5), 1.5, None, None), (1, "barrons", eps.format(2.5), 2.5, None, None), (None, "barrons", eps.format(3.5), 3.5, None, None), (2, None, eps.format(4.5), None, None, None), (3, "barrons", None, None, None, None),
+        (4, "zonebourse", "<table><tr><th>PER</th><td>-</td></tr><tr><th>P/E, PER</th><td>1 2,5 €</td></tr><tr><th>BPA</th><td>7</td></tr></table>", 7.0, 12.5, None), (5, "googlefinance", "<dl><dt>Net income</dt><dd>$1.5M</dd></dl>", None, None, 1.5e6), (6, "nobody", eps.format(1), None, None, None),
+    ]
+    made = spark.createDataFrame([r[:3] for r in rows], "key int, provider string, html string")
+    got = [(r.key, r.provider, r.eps, r.pe_ratio, r.net_income) for r in pages.page_metrics(made).collect()]
+    assert sorted(got, key=repr) == sorted(((r[0], r[1], *r[3:]) for r in rows), key=repr)  # pages of one key told each other's figures, and those without a key none
+    plan = catalog.queries()["page_metrics"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange") == 1

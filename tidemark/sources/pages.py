@@ -5,6 +5,8 @@ Fetching is left to whoever has a network; each provider is a table of labels he
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from functools import reduce
 from html.parser import HTMLParser
 
 from pyspark.sql import Column, DataFrame, Window
@@ -38,21 +40,32 @@ PROVIDERS: dict[str, tuple[str, list[tuple[str, str]]]] = {
 }
 
 
-def _number(kind: Column, text: str) -> Column:
-    return F.when(kind == "french", numbers.french_number(text)).when(kind == "magnitude", numbers.magnitude(text)).otherwise(numbers.first_number(text))
+_NUMBERS = {"french": numbers.french_number, "magnitude": numbers.magnitude, "plain": numbers.first_number}
+
+
+def _case(ways: Iterable[tuple[Column, Column]]) -> Column:
+    """The value of the first condition that holds."""
+    return reduce(lambda made, way: made.when(*way), ways, F)
 
 
 def page_metrics(pages: DataFrame) -> DataFrame:
     """key, provider and FIELDS from ``pages`` (key, provider, html). The first label that names a field and has a number counts."""
-    spark = pages.sparkSession
-    rules = [(p, kind, i, needle, field) for p, (kind, found) in PROVIDERS.items() for i, (needle, field) in enumerate(found)]
-    table = F.broadcast(spark.createDataFrame(rules, "provider string, kind string, rule int, needle string, field string"))  # a constant
-    cells = pages.select("key", "provider", F.posexplode(web.label_values("html")).alias("place", "cell")).select("key", "provider", "place", F.lower("cell.label").alias("label"), F.col("cell.value").alias("text"))
-    met = cells.join(table, "provider").where(F.col("label").contains(F.col("needle")))
-    each = met.groupBy("key", "provider", "place").agg(F.min_by(F.struct("field", "kind", "text"), "rule").alias("r")).select("key", "provider", "place", "r.*")
-    told = each.withColumn("value", _number(F.col("kind"), "text")).where("value is not null")
-    wide = told.groupBy("key", "provider").agg(*(F.min_by(F.when(F.col("field") == f, F.col("value")), F.when(F.col("field") == f, F.col("place"))).alias(f) for f in FIELDS))
-    return pages.select("key", "provider").join(wide, ["key", "provider"], "left")
+    provider = F.col("provider")
+    alike: dict[tuple[str, tuple], list[str]] = {}
+    for name, (kind, rules) in PROVIDERS.items():
+        alike.setdefault((kind, tuple(rules)), []).append(name)
+
+    def cell(c: Column) -> Column:
+        label = F.lower(c["label"])
+        return F.struct(_case((provider.isin(names), _case((label.contains(needle), F.lit(field)) for needle, field in rules)) for (_, rules), names in alike.items()).alias("field"), c["value"].alias("text"))
+
+    def number(text: Column) -> Column:
+        written = {kind: [name for (k, _), names in alike.items() if k == kind for name in names] for kind, _ in alike}
+        return _case((provider.isin(names), _NUMBERS[kind](text)) for kind, names in written.items())
+
+    named = pages.select("key", "provider", F.filter(F.transform(web.label_values("html"), cell), lambda c: c["field"].isNotNull()).alias("cells"))
+    told = named.select("key", "provider", F.filter(F.transform("cells", lambda c: F.struct(c["field"].alias("field"), number(c["text"]).alias("value"))), lambda c: c["value"].isNotNull()).alias("cells"))
+    return told.select("key", "provider", *(F.get(F.filter("cells", lambda c: c["field"] == f), F.lit(0))["value"].alias(f) for f in FIELDS))
 
 
 class _Tables(HTMLParser):
