@@ -9,6 +9,7 @@ import pytest
 
 from tidemark.functions import markup, pagetree, web
 from tidemark.plans import connectors
+from tidemark.sources import connectors as fields
 
 BITS = [
     "<", ">", "/", "p", "Div", "td", " ", "\n", "\t", "\x0b", "\xa0", "=", '"', "'", "a", "class", "data-x", "&amp;", "&", ";", "&#39", "&eacute", "x", "1", "<p>", "</p>", "<td class='a b'>", '<a href="u">', "<br/>", "<br />", "<!--", "-->", "<script>", "</script>", "<title>", "</title>",
@@ -60,3 +61,31 @@ def test_plain_pages_are_not_fed_to_the_slow_parser(monkeypatch):
             assert next(pagetree.tree(html.replace("<k>", "7").replace("<d>", "7").replace("<i>", "00000007")).inside()).tag
     with pytest.raises(AssertionError):
         pagetree.tree("<!-- a -->")
+
+
+def test_short_texts_are_read_once_for_several_rules(monkeypatch):
+    read, whole = [], pagetree.Element._text
+
+    def counted(x, most):
+        read.append(most)
+        return whole(x, most)
+
+    monkeypatch.setattr(pagetree.Element, "_text", counted)
+    page = "<h1>x</h1>" + "<li>no label here</li>" * 100 + "<li>EPS: 1.5</li>"
+    assert pagetree.picked(pagetree.tree(page), fields.RULES["marketwatch"]) == [{"field": "name", "text": "x"}, {"field": "eps", "text": "1.5"}]
+    assert len(read) == 102  # three rules look at 101 elements
+
+
+def test_elements_are_chosen_as_by_a_walk():
+    def walk(x):
+        for y in x.children:
+            if isinstance(y, pagetree.Element):
+                yield y
+                yield from walk(y)
+
+    for page in random_pages(3_000):
+        root = pagetree.tree(page)
+        every = list(walk(root))
+        assert list(root.inside()) == every
+        for selector, wanted in [("td, p", lambda x: x.tag in ("td", "p")), (".a, div", lambda x: x.tag == "div" or "a" in x.attributes.get("class", "").split()), ("*", lambda x: True), ("td.a[class]", lambda x: x.tag == "td" and "a" in x.attributes.get("class", "").split())]:
+            assert list(pagetree.select(root, selector)) == [x for x in every if wanted(x)]
