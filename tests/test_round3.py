@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import similar
 from tidemark.operators import identity, news, search
 from tidemark.plans import catalog, feeds
-from tidemark.sources import adapters, pages
+from tidemark.sources import adapters, connectors, pages
 from tidemark.streaming import stateful
 
 
@@ -168,3 +168,14 @@ def test_page_figures_are_told_row_by_row(spark, sf_dir):
     assert sorted(got, key=repr) == sorted(((r[0], r[1], *r[3:]) for r in rows), key=repr)  # pages of one key told each other's figures, and those without a key none
     plan = catalog.queries()["page_metrics"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and plan.count("Exchange") == 1
+
+
+def test_a_field_is_a_column_and_tables_tell_all_their_rows(spark, sf_dir):
+    rows = [
+        ("zonebourse", "<table><tr><td>PER<td>1,5<tr><td>PER<td>n<td>2,5<tr><td>PER<td>-</table><h1>a</h1><h1>b</h1>"), ("barrons", "<div><p>EPS<p>none</div><div><p>EPS<p>3.5</div><div>EPS: 4</div>"), ("msn", None), ("barrons", "<p>"),
+        ("ZoneBourse", "<p class=esg-rank> A </p><table><tr><th>EPS<td>7</table>"),
+    ]
+    made = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "key int, provider string, html string").repartition(1)
+    got = connectors.provider_fields(made)
+    assert sorted((r.key, r.status, r.name, r.pe_ratio, r.eps, r.esg_score) for r in got.collect()) == [(0, "ok", "a", 2.5, None, None), (1, "ok", None, None, 3.5, None), (2, "error", None, None, None, None), (3, "no_data", None, None, None, None), (4, "ok", None, None, 7.0, "A")]
+    assert "found" not in got._jdf.queryExecution().executedPlan().toString()  # each field was filtered out of a list of all

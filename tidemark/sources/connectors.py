@@ -49,24 +49,29 @@ RULES: dict[str, list[Rule]] = {
 }
 TEXTS = ["name", "ticker", "isin", "sector", "industry", "esg_score", "market_cap", "price_text"]
 FIGURES = ["price", "change_percent", "pe_ratio", "dividend_yield", "eps", "revenue", "net_income", "ebitda", "operating_margin", "profit_margin"]
-_FOUND = "struct<found:array<struct<field:string,text:string>>,error:string>"
+#: A column for each field: its first text, or the texts of all its rows for the fields that tables have.
+_FOUND = f"struct<{','.join(f'{field}:{"array<string>" if field in ROWS else "string"}' for field in TEXTS + FIGURES)},error:string>"
 
 
 def _picked(html: pd.Series, provider: pd.Series) -> pd.DataFrame:
-    found, errors = [], []
+    found, errors = {field: [] for field in TEXTS + FIGURES}, []
     for page, name in zip(html, provider):
+        met: dict[str, list[str]] = {}
         try:
             if page is None or name not in RULES:
                 raise ValueError("no page" if page is None else "no rules")
             root = tree(page)
             if next(root.inside(), None) is None:
                 raise ValueError("no element")
-            found.append(picked(root, RULES[name]))
+            for one in picked(root, RULES[name]):
+                met.setdefault(one["field"], []).append(one["text"])
             errors.append(None)
         except Exception as error:  # whatever a page does to the parser is told in its own row
-            found.append([])
             errors.append(f"{type(error).__name__}: {error}")
-    return pd.DataFrame({"found": found, "error": errors})
+        for field, column in found.items():
+            texts = met.get(field)
+            column.append(texts and (texts if field in ROWS else texts[0]))
+    return pd.DataFrame({**found, "error": errors})
 
 
 def _isin(text: Column) -> Column:
@@ -78,7 +83,7 @@ def _number(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r"[\s  %$€+]", ""), ",", ".").try_cast("double")
 
 
-def _of_rows(texts: Column) -> Column:
+def _of_rows(texts: str) -> Column:
     """The first number of a row's cells; of several rows the last that has one counts."""
     first = F.transform(texts, lambda text: F.get(F.filter(F.transform(F.split(text, "\n"), numbers.french_number), lambda x: x.isNotNull()), F.lit(0)))
     return F.try_element_at(F.filter(first, lambda x: x.isNotNull()), F.lit(-1))
@@ -90,11 +95,9 @@ CANONICAL = r"(?i)-([a-z0-9]+)-([a-z0-9]{12})-[a-z0-9]+$"
 def provider_fields(pages: DataFrame) -> DataFrame:
     """key, provider, status (ok, no_data, error), error, TEXTS and FIGURES from ``pages`` (key, provider, html)."""
     made = pages.select("key", "provider", F.pandas_udf(_picked, _FOUND)("html", F.lower("provider")).alias("r"))
-    def every(field: str) -> Column:
-        return F.transform(F.filter("r.found", lambda x: x["field"] == field), lambda x: x["text"])
 
     def told(field: str) -> Column:
-        return F.get(every(field), F.lit(0))
+        return F.get(f"r.{field}", F.lit(0)) if field in ROWS else F.col(f"r.{field}")
 
     provider, columns = F.lower("provider"), {}
     for field in TEXTS:
@@ -105,7 +108,7 @@ def provider_fields(pages: DataFrame) -> DataFrame:
     for field in FIGURES:
         columns[field] = _number(told(field))
         if field in ROWS:
-            columns[field] = F.when(provider == "zonebourse", _of_rows(every(field))).otherwise(columns[field])
+            columns[field] = F.when(provider == "zonebourse", _of_rows(f"r.{field}")).otherwise(columns[field])
     out = made.select("key", "provider", F.col("r.error").alias("error"), *(c.alias(n) for n, c in columns.items()))
     status = F.when(F.col("error").isNotNull(), "error").when(F.coalesce(*(F.col(c).cast("string") for c in columns)).isNull(), "no_data").otherwise("ok")
     return out.select("key", "provider", status.alias("status"), "error", *columns)
