@@ -8,7 +8,8 @@ from difflib import SequenceMatcher
 
 import numpy as np
 
-from tidemark.operators import news
+from tidemark.operators import news, search
+from tidemark.plans import search as plans
 
 PARTS = "th nd in re ou er an ea sh st on es ha at hei tion ble ing wh ly".split()
 
@@ -82,3 +83,15 @@ def test_common_subsequences_of_many_texts_at_once():
         found = news._in_common_of_many([np.frombuffer(m.encode(), np.uint8) for m in mine], np.array([o for o, _ in pairs]), np.frombuffer("".join(b for _, b in pairs).encode("utf-32-le"), np.uint32).astype(np.uint8), np.cumsum(sizes) - sizes, sizes, need)
         told = set(found.tolist())
         assert len(told) == len(pairs) if more == 0 else len(told) < 12  # it ends where few are left
+
+
+def test_equal_quotes_go_by_their_place_in_the_list(spark):
+    rows = [(585, 1, "q", "Q", "ETF", True, 1.0, "I585"), (14220, 1, "q", "Q", "ETF", True, 1.0, "I14220"), (7, 1, "q", "Q", "ETF", True, 0.5, "I7")]
+    made = spark.createDataFrame(rows[::-1], "place int, request_id int, query string, symbol string, kind string, own boolean, score double, isin string")
+    assert search.best(made, search.quote_order(), "place").first().isin == "I585"  # by its columns, I14220 came first
+
+
+def test_a_quote_of_the_query_is_the_first_of_its_equals(spark, tmp_path):
+    c = spark.createDataFrame([(k, 23, "x", 1.0) for k in (14220, 585)], "c_custkey long, c_nationkey int, c_name string, c_acctbal double")
+    c.coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    assert plans.QUERIES["search_quote"][0](spark, str(tmp_path)).first().isin == "I585"

@@ -48,9 +48,9 @@ def market_order(markets: list[str] = MARKETS) -> list[Column]:
     return [_last((F.upper("symbol") != q) & (F.upper("isin") != q)), F.when(place > 0, place).otherwise(len(markets) + 1).asc(), F.upper("symbol"), F.col("market"), F.col("isin")]
 
 
-def best(hits: DataFrame, order: list[Column]) -> DataFrame:
-    """The first hit of each request. Those that ``order`` leaves equal go by their columns in turn, so that reruns agree."""
-    return ranked(hits, ["request_id"], [*order, *hits.columns])
+def best(hits: DataFrame, order: list[Column], place: str | None = None) -> DataFrame:
+    """The first hit of each request. Those that ``order`` leaves equal go by their ``place`` in the provider's list, if there is one, then by their columns in turn, so that reruns agree."""
+    return ranked(hits, ["request_id"], [*order, *([] if place is None else [place]), *hits.columns])
 
 
 def search_term(rows: DataFrame) -> DataFrame:

@@ -29,12 +29,13 @@ select c_custkey as key, case c_custkey % 4 when 0 then 'zonebourse' when 1 then
   '<table><tr><th>' || case c_custkey % 4 when 0 then 'Chiffre d''affaires' else 'Revenue' end || '</th><td>' || case c_custkey % 4 when 0 then cast(c_custkey as varchar) || ' 000,5 €' else cast(c_custkey as varchar) || '.5M' end || '</td></tr><tr><td>P/E Ratio</td><td>'
   || cast(c_custkey % 40 as varchar) || '.25</td></tr><tr><td>P/E</td><td>99</td></tr></table><dl><dt>Dividend Yield:</dt><dd>' || case when c_custkey % 3 = 0 then '-' else '2.5' end || '</dd></dl>' as html from customer
 """
-hits, terms, provider_pages = _rows(HITS), _rows(TERMS), _pages(PAGES)
+PLACED = HITS.replace("select ", "select c_custkey as place, ", 1)
+hits, placed, terms, provider_pages = _rows(HITS), _rows(PLACED), _rows(TERMS), _pages(PAGES)
 _NOT = "coalesce({}, true)"
 
 
-def _best(order, columns: str, sql: str):
-    return lambda spark, d: op.best(hits(spark, d), order()).select("request_id", "symbol", "isin"), f"with h as ({HITS}) select request_id, symbol, isin from h qualify row_number() over (partition by request_id order by {sql}) = 1"
+def _best(order, columns: str, sql: str, given=hits, place=None):
+    return lambda spark, d: op.best(given(spark, d), order(), place).select("request_id", "symbol", "isin"), f"with h as ({HITS}) select request_id, symbol, isin from h qualify row_number() over (partition by request_id order by {sql}) = 1"
 
 
 EXCHANGES = "select n_nationkey as place, 'Bourse of ' || n_name as name, r_name as country, '.' || substr(n_name, 1, 2) as suffix from nation join region on n_regionkey = r_regionkey"
@@ -62,7 +63,7 @@ QUERIES = {
         e as (select *, coalesce(bool_or(third) over (partition by company order by place rows between unbounded preceding and 1 preceding), false) as over_ from s)
         select company, place, ok, n, cast(before as bigint) as before from e where not over_ and before < 6""",
     ),
-    "search_quote": _best(op.quote_order, "", "not coalesce(own, true), upper(symbol) <> upper(query), kind not in ('EQUITY', 'ETF'), score desc, symbol"),
+    "search_quote": _best(op.quote_order, "", "not coalesce(own, true), upper(symbol) <> upper(query), kind not in ('EQUITY', 'ETF'), score desc, symbol", placed, "place"),
     "search_symbol": _best(op.symbol_order, "", "split_part(upper(symbol), ':', -1) <> upper(query), upper(country) <> 'US', kind <> 'stock', score desc, symbol"),
     "search_item": _best(op.item_order, "", "upper(symbol) <> upper(query), price is null, currency is null, symbol, isin"),
     "search_market": _best(op.market_order, "", "upper(symbol) <> upper(query), case market when 'XPAR' then 1 when 'XNYS' then 7 else 8 end, upper(symbol), market, isin"),
