@@ -316,7 +316,7 @@ def title_dedup(articles: DataFrame, group: list[str], ordinal: str = "ordinal")
     """``articles`` without near-equal titles within a ``group``, which is one request: the articles of all providers that answer it.
 
     Which one stays depends on the order, so a request's articles pass through a task as a sorted stream; what is held are those that stay and the different titles. Groups may have any size;
-    bounds told for whole arrays leave few titles to compare. Few groups are dealt over many more tasks than there are cores, so that a task has one or none.
+    bounds told for whole arrays leave few titles to compare. Few groups are dealt over more tasks than there are cores, so that a task has one or none.
     """
     names = articles.columns
 
@@ -335,7 +335,7 @@ def title_dedup(articles: DataFrame, group: list[str], ordinal: str = "ordinal")
         yield pd.DataFrame(slots.rows, columns=names)
 
     spark = articles.sparkSession
-    tasks = max(32 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    tasks = max(8 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     return articles.repartition(tasks, *group).sortWithinPartitions(*group, ordinal).mapInPandas(run, articles.schema)
 
 
